@@ -3,17 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contaminated
 from .exact_dedup import exact_duplicates
 from .html_extract import extract
+from .license_scan import scan
 from .near_dedup import near_duplicates
+from .quality import quality
+from .token_counts import histogram, token_lengths
 from .toxicity import toxicity
 from .unigram import encode
+from .url_filter import judge
 
 #: Vocabulary file that the encoding queries use; a parameter of the operators.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# Fixed value: how that vocabulary splits texts before merging.
+RANKS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The rules of the URL query.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +34,21 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram(token_lengths(table(spark, sf_dir, "documents"), RANKS, RANKS_PATTERN))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes: the labels of the document with the page's id; a page is bad if that is of low quality or toxic."""
+    labels = table(spark, sf_dir, "labels")
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
+    return judge(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), PIECES)
 
@@ -36,13 +61,68 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op6_unigram, op7_html_text, op8_exact_dedup, op10_toxicity)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_near_dedup, op2_decontaminate, op3_token_counts, op4_url_filter, op5_quality, op6_unigram, op7_html_text, op8_exact_dedup, op9_license_scan, op10_toxicity)
+}
 
 ORACLE_SQL = {
+    "op1_near_dedup": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words
+        ), grams AS (SELECT doc_id, hash(unnest(s)) AS g FROM sets),
+        shared AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT a, b FROM shared JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * n >= 80 * (len(x.s) + len(y.s) - n)
+        ), sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT doc_id AS v, doc_id AS r FROM documents UNION SELECT reach.v, sides.b FROM reach JOIN sides ON sides.a = reach.r)
+        SELECT sets.doc_id, len(s)::BIGINT AS n_shingles, c AS component_id, sets.doc_id = c AS kept
+        FROM sets JOIN (SELECT v, min(r) AS c FROM reach GROUP BY v) ON v = sets.doc_id
+    """,
+    "op4_url_filter": r"""
+        WITH rest AS (
+            SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages
+        ), p AS (
+            SELECT page_id, translate(regexp_extract(r, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+        ), o AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1),
+        h AS (
+            SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix
+            FROM p LEFT JOIN o USING (page_id) GROUP BY host
+        ), g AS (
+            SELECT 'suffix' AS level, sum(n) AS n, sum(k) AS k FROM h GROUP BY suffix UNION ALL SELECT 'domain', sum(n), sum(k) FROM h GROUP BY domain UNION ALL SELECT 'host', n, k FROM h
+        ), m AS (
+            SELECT level, count(*) AS g, sum(n) AS n, sum(k) AS k, sum(n * n) AS nn, sum(k * k / n) AS kk, (sum(k) + 1) / (sum(n) + 2) AS rate FROM g WHERE n > 0 GROUP BY level
+        ), s AS (SELECT *, (kk - k * k / n - (g - 1) * rate * (1 - rate)) / nullif(n - nn / n, 0) AS spread FROM m),
+        prior AS (SELECT level, rate, CASE WHEN g > 1 AND spread > 0 THEN least(greatest(rate * (1 - rate) / spread - 1, 1), 1000) ELSE 1000 END AS m FROM s),
+        sx AS (SELECT suffix, (sum(h.k) + any_value(m) * any_value(rate)) / (sum(h.n) + any_value(m)) AS r FROM h, prior WHERE level = 'suffix' GROUP BY suffix),
+        dm AS (SELECT h.domain, (sum(h.k) + any_value(m) * any_value(sx.r)) / (sum(h.n) + any_value(m)) AS r FROM h JOIN sx USING (suffix), prior WHERE level = 'domain' GROUP BY h.domain),
+        ab AS (SELECT host, n, h.k, h.k + m * dm.r AS a, n - h.k + m * (1 - dm.r) AS b FROM h JOIN dm USING (domain), prior WHERE level = 'host'),
+        post AS (SELECT host, n, k, round(greatest(a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 0), 9) AS bound FROM ab),
+        ruled AS (
+            SELECT *, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+                WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+                WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+                WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+            FROM p JOIN post USING (host)
+        )
+        SELECT page_id, host, path, rule,
+            CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict,
+            n::BIGINT AS labelled, k::BIGINT AS bad, bound AS lower_bound
+        FROM ruled
+    """,
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
                sha256(coalesce(text, '')) AS text_sha256
