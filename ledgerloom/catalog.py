@@ -2,5 +2,151 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text
+from .operators import matching, records
+from .plans.demo import bank_rows, events, ledger_rows
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def normalize_text(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_description(F.col("text"))).alias("digest"))
+
+
+def parse_amount(spark, sf_dir):
+    shown = F.concat(F.lit("R$ "), F.translate(F.format_number("value", 2), ",.", ".,"))
+    return events(spark, sf_dir).select("event_id", text.normalize_amount(shown).alias("cents"))
+
+
+def parse_date(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", text.normalize_date(F.date_format("ts", "dd/MM/yy")).alias("day"))
+
+
+def classify_type(spark, sf_dir):
+    said = F.when(F.col("event_type") == "purchase", "PIX QR CODE DINÂMICO").when(F.col("event_type") == "error", "Devolução Pix").when(F.col("event_type") == "click", "Aplicação CDB").when(F.col("event_type") == "signup", "TED recebida").otherwise("Saldo")
+    return events(spark, sf_dir).select("event_id", text.transaction_type(said).alias("type"), text.investment_action(said).alias("action"))
+
+
+def token_similarity(spark, sf_dir):
+    parts = _table(spark, sf_dir, "part")
+    pairs = parts.select("p_partkey", "p_name", (F.col("p_partkey") + 1).alias("other")).join(parts.select(F.col("p_partkey").alias("other"), F.col("p_name").alias("other_name")), "other")
+    return pairs.select("p_partkey", F.round(text.description_similarity(F.col("p_name"), F.col("other_name")), 6).alias("similarity"))
+
+
+def candidate_edges(spark, sf_dir):
+    return matching.candidate_edges(bank_rows(spark, sf_dir), ledger_rows(spark, sf_dir)).select("bank_id", "sheet_id", "amount", "score", "confidence", "days")
+
+
+def assignment(spark, sf_dir):
+    return matching.assignment(matching.candidate_edges(bank_rows(spark, sf_dir), ledger_rows(spark, sf_dir)))
+
+
+def reconcile_items(spark, sf_dir):
+    return matching.reconcile_items(bank_rows(spark, sf_dir), ledger_rows(spark, sf_dir))
+
+
+def status_counts(spark, sf_dir):
+    return reconcile_items(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
+
+
+def refund_groups(spark, sf_dir):
+    return matching.refund_groups(bank_rows(spark, sf_dir)).select("refund_id", "status", F.array_join("original_ids", ",").alias("originals"), "gross", "refunded", "net")
+
+
+def bank_totals(spark, sf_dir):
+    return records.totals(bank_rows(spark, sf_dir))
+
+
+def balance_audit(spark, sf_dir):
+    """A running balance per user in which every row with an id divisible by 97 is off by one cent."""
+    cents = F.floor(F.col("value") * 100 + 0.5).cast("long")
+    credit = F.when(F.col("event_type") == "error", cents).otherwise(0)
+    rows = events(spark, sf_dir).select(F.col("user_id").alias("statement"), F.col("event_id").alias("source_row"), F.to_date("ts").alias("date"), credit.alias("credit"), (cents - credit).alias("debit"))
+    running = F.sum(F.col("credit") - F.col("debit")).over(Window.partitionBy("statement").orderBy("date", "source_row").rowsBetween(Window.unboundedPreceding, 0))
+    return records.balance_audit(rows.withColumn("balance_after", running + F.when(F.col("source_row") % 97 == 0, 1).otherwise(0)))
+
+
+def _versions(spark, sf_dir, first: int):
+    state = F.when(F.col("event_id") % 5 == 0, "DELETED").otherwise("ACTIVE")
+    rows = events(spark, sf_dir).filter(F.col("event_id") % 2 == first)
+    return rows.groupBy(F.col("user_id").alias("key")).agg(F.max(F.to_date("ts")).alias("updated_ts"), F.max_by(state, F.struct("ts", "event_id")).alias("state"))
+
+
+def lww_merge(spark, sf_dir):
+    return records.sync_merge(_versions(spark, sf_dir, 0), _versions(spark, sf_dir, 1))
+
+
+def audit_merge(spark, sf_dir):
+    return records.audit_merge(_versions(spark, sf_dir, 0), _versions(spark, sf_dir, 1))
+
+
+def period_filter(spark, sf_dir):
+    rows = records.period_filter(_table(spark, sf_dir, "orders"), "o_orderdate", "1995-01-01", "1996-06-30")
+    return rows.select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+
+
+def missing_diff(spark, sf_dir):
+    return records.missing_sources(_table(spark, sf_dir, "customer").select("c_custkey"), _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+def eligibility(spark, sf_dir):
+    k = F.col("event_id")
+    item = {
+        "source": F.when(k % 2 == 0, "STATEMENT").otherwise("BANK"), "status": F.when(k % 3 == 0, "MISSING").when(k % 3 == 1, "CARD_MISSING").otherwise("MATCHED"), "direction": F.when(k % 7 == 0, "CREDIT").otherwise("DEBIT"),
+        "type": F.when(F.col("event_type") == "error", "REFUND").when(F.col("event_type") == "click", "TRANSFER").otherwise("EXPENSE"), "in_sheet": k % 11 == 0, "added": k % 13 == 0, "complete": k % 5 != 0,
+    }
+    return events(spark, sf_dir).select("event_id", records.eligibility(item).alias("reason"))
+
+
+def duplicate_groups(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").groupBy("l_partkey", F.to_date("l_shipdate").alias("day"), "l_quantity").agg(F.count("*").alias("n"), F.min("l_orderkey").alias("anchor"))
+    return rows.filter("n > 1")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (normalize_text, parse_amount, parse_date, classify_type, token_similarity, candidate_edges, assignment, reconcile_items, status_counts, refund_groups, bank_totals, balance_audit, lww_merge, audit_merge, period_filter, missing_diff, eligibility, duplicate_groups)
+}
+
+_BANK = "SELECT CAST(event_id AS VARCHAR) AS id, CAST(ts AS DATE) AS d, CAST(floor(value * 100 + 0.5) AS BIGINT) AS amount, event_type FROM events"
+_VERSIONS = """
+    r AS (SELECT user_id AS key, max(CAST(ts AS DATE)) AS ts, arg_max(CASE WHEN event_id % 5 = 0 THEN 'DELETED' ELSE 'ACTIVE' END, (ts, event_id)) AS state FROM events WHERE event_id % 2 = 0 GROUP BY 1),
+    l AS (SELECT user_id AS key, max(CAST(ts AS DATE)) AS ts, arg_max(CASE WHEN event_id % 5 = 0 THEN 'DELETED' ELSE 'ACTIVE' END, (ts, event_id)) AS state FROM events WHERE event_id % 2 = 1 GROUP BY 1)"""
+
+ORACLE_SQL = {
+    "normalize_text": r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(translate(text, 'ßàáâãäåèéêëìíîïòóôõöùúûüýÿñçÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝÑÇ', '|aaaaaaeeeeiiiiooooouuuuyyncAAAAAAEEEEIIIIOOOOOUUUUYNC')),
+        '\b(?:compra aprovada|pagamento aprovado|cartao final \d+)\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))) AS digest FROM documents""",
+    "parse_amount": "SELECT event_id, CAST(floor(round(value, 2) * 100 + 0.5) AS BIGINT) AS cents FROM events",
+    "parse_date": "SELECT event_id, CAST(ts AS DATE) AS day FROM events",
+    "classify_type": """SELECT event_id, CASE event_type WHEN 'purchase' THEN 'EXPENSE' WHEN 'error' THEN 'REFUND' WHEN 'click' THEN 'INVESTMENT' WHEN 'signup' THEN 'TRANSFER' ELSE 'OTHER' END AS type,
+        CASE event_type WHEN 'click' THEN 'APPLICATION' END AS action FROM events""",
+    "candidate_edges": f"""WITH e AS ({_BANK}) SELECT b.id AS bank_id, s.id AS sheet_id, b.amount, CAST(55 + CASE abs(b.d - s.d) WHEN 0 THEN 25 WHEN 1 THEN 20 WHEN 2 THEN 15 ELSE 8 END AS INTEGER) AS score,
+        CAST(60 + CASE abs(b.d - s.d) WHEN 0 THEN 30 WHEN 1 THEN 24 WHEN 2 THEN 18 ELSE 11 END AS INTEGER) AS confidence, CAST(abs(b.d - s.d) AS INTEGER) AS days
+        FROM e b JOIN e s ON b.amount = s.amount AND b.event_type = 'purchase' AND s.event_type = 'view' AND abs(b.d - s.d) <= 3""",
+    "refund_groups": f"""WITH e AS ({_BANK}), p AS (SELECT r.id AS rid, r.amount AS ra, o.id AS oid, o.amount AS oa FROM e r JOIN e o ON r.event_type = 'error' AND o.event_type = 'purchase' AND r.d - o.d BETWEEN 1 AND 60 AND o.amount >= r.amount),
+        x AS (SELECT * FROM p WHERE ra = oa), q AS (SELECT * FROM p WHERE rid NOT IN (SELECT rid FROM x) AND oid NOT IN (SELECT oid FROM x)),
+        c AS (SELECT * FROM x UNION ALL SELECT q.* FROM q WHERE rid IN (SELECT rid FROM q GROUP BY rid HAVING count(*) = 1)),
+        k AS (SELECT *, count(*) OVER (PARTITION BY oid) AS claims FROM c),
+        g AS (SELECT rid, ra, string_agg(oid, ',' ORDER BY oid) AS originals, count(*) AS n, max(claims) AS claims, max(oa) AS oa FROM k GROUP BY rid, ra)
+        SELECT rid AS refund_id, CASE WHEN n > 1 OR claims > 1 THEN 'REVIEW' WHEN ra = oa THEN 'REFUNDED' ELSE 'PARTIAL' END AS status, originals, CASE WHEN n = 1 AND claims = 1 THEN oa END AS gross, ra AS refunded, CASE WHEN n = 1 AND claims = 1 THEN oa - ra END AS net FROM g""",
+    "bank_totals": f"""WITH e AS ({_BANK}) SELECT CAST(sum(CASE WHEN event_type = 'purchase' THEN amount ELSE 0 END) AS BIGINT) AS debit_total, CAST(sum(CASE WHEN event_type = 'error' THEN amount ELSE 0 END) AS BIGINT) AS credit_total,
+        count(*) FILTER (event_type = 'purchase') AS debits, count(*) AS transactions FROM e WHERE event_type IN ('purchase', 'error')""",
+    "balance_audit": """WITH e AS (SELECT user_id AS statement, event_id AS source_row, CAST(ts AS DATE) AS date, CAST(floor(value * 100 + 0.5) AS BIGINT) * CASE WHEN event_type = 'error' THEN 1 ELSE -1 END AS move FROM events),
+        b AS (SELECT *, CAST(sum(move) OVER (PARTITION BY statement ORDER BY date, source_row ROWS UNBOUNDED PRECEDING) AS BIGINT) + CASE WHEN source_row % 97 = 0 THEN 1 ELSE 0 END AS bal FROM e),
+        w AS (SELECT *, lag(bal) OVER o AS before, lag(date) OVER o AS day_before, lead(bal) OVER o AS after, lead(move) OVER o AS next_move FROM b WINDOW o AS (PARTITION BY statement ORDER BY date, source_row))
+        SELECT statement, source_row, date, before + move AS expected, bal AS reported, bal - before - move AS difference, CAST(date - day_before AS INTEGER) AS gap_days, coalesce(bal + next_move = after AND after = before, false) AS compensated FROM w WHERE bal <> before + move""",
+    "lww_merge": f"""WITH {_VERSIONS}, u AS (SELECT key, ts, state, 'remote' AS side, 1 AS rank FROM r UNION ALL SELECT key, ts, state, 'local', CASE WHEN state = 'DELETED' THEN 2 ELSE 0 END FROM l)
+        SELECT key, ts AS updated_ts, state, side FROM u QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, rank DESC) = 1""",
+    "audit_merge": f"""WITH {_VERSIONS}, j AS (SELECT coalesce(r.key, l.key) AS key, r.ts AS rt, r.state AS rs, l.ts AS lt, l.state AS ls, r.ts IS NULL OR coalesce(l.state = 'DELETED', false) OR coalesce(l.ts > r.ts, false) AS w FROM r FULL JOIN l ON r.key = l.key)
+        SELECT key, CASE WHEN w THEN lt ELSE rt END AS updated_ts, CASE WHEN w THEN ls ELSE rs END AS state, CASE WHEN w THEN 'local' ELSE 'remote' END AS side FROM j""",
+    "period_filter": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1996-06-30'",
+    "missing_diff": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "eligibility": """SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'ALREADY_ADDED' WHEN event_id % 11 = 0 THEN 'ALREADY_IN_SHEET' WHEN event_type = 'error' THEN 'REFUND' WHEN event_id % 7 = 0 THEN 'NOT_DEBIT' WHEN event_type = 'click' THEN 'OUT_OF_SCOPE_TRANSFER'
+        WHEN event_id % 3 <> CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END THEN 'NOT_MISSING' WHEN event_id % 5 = 0 THEN 'UNSUPPORTED_WRITE' ELSE 'ELIGIBLE' END AS reason FROM events""",
+    "duplicate_groups": "SELECT l_partkey, CAST(l_shipdate AS DATE) AS day, l_quantity, count(*) AS n, min(l_orderkey) AS anchor FROM lineitem GROUP BY ALL HAVING count(*) > 1",
+}
