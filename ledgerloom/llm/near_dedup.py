@@ -3,17 +3,19 @@
 Every text becomes a set of word shingles. Texts with the same set form one class. Of each class, MinHash values
 are cut into bands; classes that share a band value are candidates. The MinHash sample is also folded into an odd
 sketch, a bitmap holding the parity of how many samples fall on each bit: the XOR of two sketches holds the parity of
-the samples' symmetric difference, so its population count estimates high similarities closely. Candidates
-within five standard deviations of the threshold are verified on their full sets.
+the samples' symmetric difference, so its population count estimates high similarities closely. Candidates within
+five standard deviations of the threshold are verified on their full sets. A second bitmap folds the whole set in the same way: its XOR never has more
+bits than the sets' symmetric difference has members, so more bits than the threshold allows rule a pair out for certain.
 
-To avoid all pairs within a bucket, each class is first linked to the best-matching bucket leader; only buckets that
-still hold several components are then searched for links between different components, with the sketch test inside the join.
+To avoid all pairs within a bucket, each class is first linked to the best-matching bucket leader, then to the best of other leaders;
+only buckets that still hold several components are searched for links between different components, block by block, and only pairs that pass both bitmap tests leave a block.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +24,19 @@ from .components import components
 
 #: At similarity 0.8 one pair in 20 million shares none of 32 bands of 4 values.
 BANDS, ROWS = 32, 4
-SKETCH_WORDS = 8  # of 64 bits
+SKETCH_WORDS, PARITY_WORDS = 8, 32  # of 64 bits
+#: Rows of a block when a large bucket is compared block by block.
+BLOCK = 2000
 #: Standard deviations of the estimate (samples and sketch) that a candidate may lie below the threshold.
 SLACK = 5
 
 
+def _folded(spots: np.ndarray, rows: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """n bitmaps with the parity of how often each spot of a row occurs."""
+    parity = np.bincount((spots + rows * np.uint64(bits)).astype(np.int64).ravel(), minlength=n * bits) & 1
+    return np.packbits(parity.astype(np.uint8).reshape(-1, bits), axis=1).view(np.uint64)
+
+
 def _features(size: int):
     samples = BANDS * ROWS
     factors, offsets = stream(samples, 31) | np.uint64(1), stream(samples, 37)
@@ -36,12 +46,12 @@ def _features(size: int):
     def run(batches):
         shingler = Shingler(size)
         for batch in batches:
-            columns = [[], [], [], [], []]
+            columns = [[], [], [], [], [], []]
             for _, _, raw, at in each_chunk(batch.column(1)):
                 sets = shingler.sets(raw, at)
                 counts = np.array([len(s) for s in sets], np.int64)
                 n, full = len(sets), np.flatnonzero(counts)
-                bands, sketch = np.zeros((n, BANDS), np.uint64), np.zeros((n, SKETCH_WORDS), np.uint64)
+                bands, sketch, parity = (np.zeros((n, w), np.uint64) for w in (BANDS, SKETCH_WORDS, PARITY_WORDS))
                 sums = np.zeros((n, 2), np.uint64)
                 if len(full):
                     shingles = np.concatenate([sets[i] for i in full])
@@ -54,20 +64,20 @@ def _features(size: int):
                         key = mix(key + least[r::ROWS])
                     bands[full] = key.T
                     spot = mix(least ^ np.arange(samples, dtype=np.uint64)[:, None]) % np.uint64(bits)
-                    parity = np.bincount((spot + np.arange(len(full), dtype=np.uint64) * np.uint64(bits)).astype(np.int64).ravel(), minlength=len(full) * bits) & 1
-                    sketch[full] = np.packbits(parity.astype(np.uint8).reshape(-1, bits), axis=1).view(np.uint64)
+                    sketch[full] = _folded(spot, np.arange(len(full), dtype=np.uint64), len(full), bits)
+                    parity[full] = _folded(mix(shingles) % np.uint64(64 * PARITY_WORDS), np.repeat(np.arange(len(full), dtype=np.uint64), counts[full]), len(full), 64 * PARITY_WORDS)
                     sums[full, 0] = np.add.reduceat(mix(shingles), starts)
                     sums[full, 1] = np.bitwise_xor.reduceat(shingles * np.uint64(0x9E3779B97F4A7C15), starts)
-                for c, x in zip(columns, (counts, sums[:, 0].view(np.int64), sums[:, 1].view(np.int64), bands.view(np.int64), sketch.view(np.int64)), strict=True):
+                for c, x in zip(columns, (counts, sums[:, 0].view(np.int64), sums[:, 1].view(np.int64), bands.view(np.int64), sketch.view(np.int64), parity.view(np.int64)), strict=True):
                     c.append(x)
             join = lambda c, shape: np.concatenate(c) if c else np.zeros(shape, np.int64)
             n = batch.num_rows
             counts, s1, s2 = (join(c, 0) for c in columns[:3])
-            bands, sketch = join(columns[3], (0, BANDS)), join(columns[4], (0, SKETCH_WORDS))
+            bands, sketch, parity = (join(c, (0, w)) for c, w in zip(columns[3:], (BANDS, SKETCH_WORDS, PARITY_WORDS), strict=True))
             listed = lambda x, w: pa.ListArray.from_arrays(pa.array(np.arange(0, n * w + 1, w), pa.int32()), pa.array(np.ascontiguousarray(x).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts), pa.array(s1), pa.array(s2), listed(bands, BANDS), listed(sketch, SKETCH_WORDS)],
-                names=["id", "n", "s1", "s2", "bands", "sketch"],
+                [batch.column(0), pa.array(counts), pa.array(s1), pa.array(s2), listed(bands, BANDS), listed(sketch, SKETCH_WORDS), listed(parity, PARITY_WORDS)],
+                names=["id", "n", "s1", "s2", "bands", "sketch", "parity"],
             )
 
     return run
@@ -97,13 +107,66 @@ def most_flips(threshold: float) -> int:
     return int(np.ceil(odd + SLACK * (odd * (1 - odd / bits)) ** 0.5))
 
 
-def _flips(a: str, b: str) -> Column:
+def _flips(a: str, b: str, words: int) -> Column:
     total = F.lit(0)
-    for i in range(SKETCH_WORDS):
+    for i in range(words):
         total = total + F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]))
     return total
 
 
+def _open_pairs(percent: int):
+    """Pairs of rows of different components in each bucket block that pass the size and both bitmap tests."""
+    limit = most_flips(percent / 100)
+
+    def tested(own, rep, n, c, sketch, parity, split):
+        found = []
+        left, right = (np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())) if split else (np.arange(len(rep)),) * 2
+        for r in left:
+            others = right if split else right[r + 1 :]
+            others = others[(c[others] != c[r]) & (100 * np.minimum(n[others], n[r]) >= percent * np.maximum(n[others], n[r]))]
+            others = others[np.bitwise_count(sketch[others] ^ sketch[r]).sum(axis=1) <= limit]
+            apart = np.bitwise_count(parity[others] ^ parity[r]).sum(axis=1).astype(np.int64)
+            found += [(min(rep[r], rep[o]), max(rep[r], rep[o])) for o in others[apart * (100 + percent) <= (n[others] + n[r]) * (100 - percent)]]
+        return found
+
+    def run(batches):
+        kept = None
+        for batch in _and_end(batches):
+            if batch is None:
+                rows, last = kept, True
+            else:
+                table = pa.Table.from_batches([batch])
+                rows, last = (pa.concat_tables([kept, table]) if kept is not None else table), False
+            if rows is None or not len(rows):
+                continue
+            key, i, j, own, rep, n, c = (rows.column(x).to_numpy() for x in range(7))
+            edge = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+            cuts = [0, *edge.tolist(), *([len(key)] if last else [])]
+            done = cuts[-1]
+            kept = rows.slice(done) if not last else None
+            if done:
+                sketch, parity = (np.asarray(pc.list_flatten(rows.column(x).slice(0, done))).view(np.uint64).reshape(done, w) for x, w in ((7, SKETCH_WORDS), (8, PARITY_WORDS)))
+                found = []
+                for f, t in zip(cuts[:-1], cuts[1:], strict=True):
+                    if t - f > 1:
+                        found += tested(own[f:t], rep[f:t], n[f:t], c[f:t], sketch[f:t], parity[f:t], i[f] != j[f])
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _and_end(batches):
+    yield from batches
+    yield None
+
+
+def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose ends lie in different components."""
+    pairs = pairs.join(labels.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a", "left")
+    pairs = pairs.join(labels.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b", "left")
+    return pairs.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """Group texts whose shingle sets have a Jaccard similarity of `percent` or more.
 
@@ -114,20 +177,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = "id long, n long, s1 long, s2 long, bands array<long>, sketch array<long>"
+    schema = "id long, n long, s1 long, s2 long, bands array<long>, sketch array<long>, parity array<long>"
     rows = written(source.mapInArrow(_features(shingle), schema))
     worded = rows.filter("n > 0 and id is not null")
     classes = cut(worded.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")))
     first = worded.join(classes.withColumnRenamed("rep", "id"), ["id", "n", "s1", "s2"], "left_semi")
-    leaders = written(first.select(F.col("id").alias("rep"), "n", "bands", "sketch"))
-    sketches = leaders.select("rep", "n", "sketch").dropDuplicates(["rep", "n"])
+    leaders = written(first.select(F.col("id").alias("rep"), "n", "bands", "sketch", "parity"))
     texts = source.filter(F.col("id").isNotNull())
-
-    keyed = leaders.select("rep", "n", F.explode("bands").alias("key"))
-    buckets = cut(keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("other")).filter("lead <> other").select("key", "lead"))
-    stars = keyed.join(buckets, "key").filter("rep <> lead").groupBy("rep", "lead").agg(F.count("*").alias("shared"))
-    best = stars.groupBy("rep").agg(F.max_by("lead", F.struct("shared", -F.col("lead"))).alias("lead"))
-    limit = most_flips(percent / 100)
+    one = leaders.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"), F.col("parity").alias("pa"))
+    two = leaders.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"), F.col("parity").alias("pb"))
+    apart = _flips("pa", "pb", PARITY_WORDS)
+    near = (
+        (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        & (_flips("ka", "kb", SKETCH_WORDS) <= most_flips(percent / 100))
+        & (apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+    )
 
     def verify(pairs: DataFrame) -> DataFrame:
         """pairs (a, b) -> those that link on their full sets."""
@@ -137,21 +201,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         whole = pairs.join(needed.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(needed.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         return whole.select("a", "b", "ta", "tb").mapInArrow(_verified(shingle, percent), "a long, b long")
 
-    one = sketches.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
-    two = sketches.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
-    near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_flips("ka", "kb") <= limit)
-    starred = best.select(F.col("lead").alias("a"), F.col("rep").alias("b")).join(two, "b").join(one, "a").filter(near).select("a", "b").distinct()
-    links = cut(verify(starred))
-    labels = components(links)
+    keyed = leaders.select("rep", "n", F.explode("bands").alias("key"))
+    buckets = cut(keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high"))
+    links, labels = None, None
+    for lead in ("low", "high"):
+        stars = keyed.join(buckets.select("key", F.col(lead).alias("a")), "key").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+        if labels is not None:
+            stars = _across(stars, labels)
+        tested = stars.join(two, "b").join(one, "a").filter(near)
+        best = tested.groupBy("b").agg(F.min_by("a", F.struct((apart / (F.col("na") + F.col("nb"))).alias("x"), "a")).alias("a"))
+        linked = cut(verify(best.select("a", "b")))
+        links = linked if links is None else links.unionByName(linked)
+        labels = components(links)
 
     # links between different components of one bucket
     marked = keyed.join(buckets, "key").join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("c", "rep").alias("c"))
     mixed = marked.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
-    open_rows = cut(marked.join(mixed, "key", "left_semi").join(sketches, ["rep", "n"]))
-    left = open_rows.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("sketch").alias("ka"))
-    right = open_rows.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("sketch").alias("kb"))
-    across = left.join(right, (left.key == right.key) & (F.col("ca") < F.col("cb")) & near).select("a", "b").distinct()
-    labels = components(links.unionByName(verify(across)))
+    open_rows = cut(marked.join(mixed, "key", "left_semi").join(leaders.select("rep", "n", "sketch", "parity"), ["rep", "n"]))
+    sizes = open_rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = open_rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("long"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "c", "sketch", "parity")
+    sorted_rows = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    pairs = sorted_rows.mapInArrow(_open_pairs(percent), "a long, b long").distinct()
+    labels = components(links.unionByName(verify(pairs)))
 
     named = classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("c", "rep").alias("component_id"))
     grouped = worded.select("id", "n", "s1", "s2").join(named, ["n", "s1", "s2"]).select("id", "n", "component_id")
