@@ -146,7 +146,7 @@ class Shingler:
             if n >= k:
                 out.append(np.unique(grams[first : last - k + 1]))
             elif n:
-                out.append(mix((hashes[first:last] * self._salts[:n]).sum(dtype=np.uint64, keepdims=True) + self._salts[k] * np.uint64(n)))
+                out.append(mix((hashes[first:last] * self._salts[:n]).sum(dtype=np.uint64, keepdims=True) + self._salts[k : k + 1] * np.uint64(n)))
             else:
                 out.append(grams[:0])
         return out
