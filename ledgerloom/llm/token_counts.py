@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import cut, small_batches
 
 #: Lengths of one block of the two-level suffix sums.
 BLOCK = 1024
@@ -49,7 +49,8 @@ def histogram(lengths: DataFrame) -> DataFrame:
 
     Sums run within blocks of lengths and over the blocks' totals, so no task sees all lengths.
     """
-    counts = lengths.dropna(subset=["n_tokens"]).groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
+    # Checkpointed, as both levels of sums read the counts and no text should be encoded twice.
+    counts = cut(lengths.dropna(subset=["n_tokens"]).groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK)))
     inside = Window.partitionBy("block").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, 0)
     above = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
