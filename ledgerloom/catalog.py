@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import matching, records
+from .operators import groups, matching, records
 from .plans.demo import bank_rows, events, ledger_rows
 
 
@@ -108,9 +108,29 @@ def duplicate_groups(spark, sf_dir):
     return rows.filter("n > 1")
 
 
+def ledger_duplicates(spark, sf_dir):
+    """Line items as ledger rows: date, quantity as amount, part as text."""
+    line = _table(spark, sf_dir, "lineitem")
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    said = F.concat(F.lit("peca "), F.floor(F.col("l_partkey") / 10).cast("string"))
+    rows = line.select(key.alias("id"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("row_idx"), F.to_date("l_shipdate").alias("date"), F.col("l_quantity").cast("long").alias("amount"), said.alias("description"))
+    return groups.ledger_duplicates(rows).select("date", "amount", "anchor_id", F.array_join("ids", ",").alias("ids"))
+
+
+def card_compositions(spark, sf_dir):
+    """Orders as card costs; each customer's bill is the sum of the even-numbered orders of the year before the last order."""
+    cost = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").alias("account"), F.to_date("o_orderdate").alias("date"), F.floor(F.col("o_totalprice") * 100 + 0.5).cast("long").alias("amount"))
+    last = cost.groupBy("account").agg(F.max("date").alias("last"))
+    recent = cost.join(last, "account").filter(F.datediff("last", "date") <= groups.HORIZON)
+    bills = recent.groupBy("account", "last").agg(F.sum(F.when(F.col("id").cast("long") % 2 == 0, F.col("amount")).otherwise(0)).alias("amount"))
+    bills = bills.select(F.col("account").cast("string").alias("bill_id"), "account", F.col("last").alias("date"), "amount")
+    out = groups.card_compositions(bills, cost)
+    return out.select("bill_id", "status", "candidates", "rank", "score", F.array_join("ids", ",").alias("ids"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (normalize_text, parse_amount, parse_date, classify_type, token_similarity, candidate_edges, assignment, reconcile_items, status_counts, refund_groups, bank_totals, balance_audit, lww_merge, audit_merge, period_filter, missing_diff, eligibility, duplicate_groups)
+    for f in (normalize_text, parse_amount, parse_date, classify_type, token_similarity, candidate_edges, assignment, reconcile_items, status_counts, refund_groups, bank_totals, balance_audit, lww_merge, audit_merge, period_filter, missing_diff, eligibility, duplicate_groups, ledger_duplicates, card_compositions)
 }
 
 _BANK = "SELECT CAST(event_id AS VARCHAR) AS id, CAST(ts AS DATE) AS d, CAST(floor(value * 100 + 0.5) AS BIGINT) AS amount, event_type FROM events"
