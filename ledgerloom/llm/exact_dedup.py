@@ -20,6 +20,8 @@ from .common import cut, small_batches
 
 #: Fingerprints that a block of the merged filter holds on average.
 PER_BLOCK = 50_000
+#: Parts that the rows of one fingerprint are dealt to, so that a large group of copies doesn't meet in one task.
+SALTS = 16
 
 
 class CountingQuotientFilter:
@@ -126,10 +128,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     block_bits = max(0, math.ceil(math.log2(max(docs.count(), 1) / PER_BLOCK)))
     parts = source.select("fp").mapInArrow(_build(block_bits), FILTER)
     routed = cut(parts.groupBy("block").applyInPandas(_merge(block_bits), "fp long, seen long"))
-    compared = source.join(routed.select("fp"), "fp", "left_semi").groupBy("fp", "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    groups = compared.filter("group_size > 1").select("fp", F.sha2("text", 256).alias("sha"), "keep_id", "group_size")
-    narrow = source.select("id", "fp", F.sha2("text", 256).alias("sha"))
-    out = narrow.join(groups, ["fp", "sha"], "left")
+    salted = source.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    compared = salted.join(routed.select("fp", every), ["fp", "salt"], "left_semi").groupBy("fp", "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = cut(compared.filter("group_size > 1").select("fp", F.sha2("text", 256).alias("sha"), "keep_id", "group_size")).select("*", every)
+    narrow = salted.select("id", "fp", "salt", F.sha2("text", 256).alias("sha"))
+    out = narrow.join(groups, ["fp", "sha", "salt"], "left")
     single = F.col("group_size").isNull()
     return out.select(
         F.col("id").alias(id_col),
