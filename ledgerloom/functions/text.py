@@ -90,13 +90,16 @@ def parse_boolean(text: Column) -> Column:
 
 def transaction_type(description: Column, payment: Column | None = None) -> Column:
     """Type of a transaction from its text; a payment method 'investimento' counts like an application."""
-    value = normalize_description(description)
     paid = normalize_description(payment) == "investimento" if payment is not None else F.lit(False)
-    out = F.lit("OTHER")
-    for kind, pattern in reversed(TYPE_PATTERNS):
-        fits = value.rlike(pattern)
-        out = F.when(fits | paid if pattern == "aplicacao" else fits, kind).otherwise(out)
-    return out
+
+    def first_fitting(value: Column) -> Column:
+        out = F.lit("OTHER")
+        for kind, pattern in reversed(TYPE_PATTERNS):
+            fits = value.rlike(pattern)
+            out = F.when(fits | paid if pattern == "aplicacao" else fits, kind).otherwise(out)
+        return out
+
+    return _let(normalize_description(description), first_fitting)
 
 
 def investment_action(description: Column) -> Column:
@@ -143,3 +146,75 @@ def description_similarity(left: Column, right: Column) -> Column:
     na, nb = F.size(tokens(a)), F.size(tokens(b))
     score = F.greatest(2 * taken / (na + nb), taken / F.least(na, nb) * 0.92)
     return F.when((a == "") | (b == "") | a.isNull() | b.isNull(), 0.0).when(a == b, 1.0).when((na == 0) | (nb == 0), 0.0).otherwise(score)
+
+
+# Friendly names and suggested payment methods of common bank texts, first match first.
+FRIENDLY = [
+    (r"^pix (?:qrcode|qr code) din(?:amico)?(?: |$)", "Pix QR Code Dinâmico", "Pix"),
+    (r"^pix (?:qrcode|qr code) est(?:atico)?(?: |$)", "Pix QR Code Estático", "Pix"),
+    (r"^pix enviado(?: |$)", "Pix Enviado", "Pix"),
+    (r"^compra (?:cartao )?visa(?: |$)", "Compra no débito", "Débito"),
+    (r"^seguro cart deb(?:ito)?(?: bradesco)?(?: |$)", "Seguro cartão de débito", "Débito automático"),
+    (r"^gastos? (?:cartao(?: de)?|c|com) credito(?: |$)", "Pagamento de fatura", ""),
+    (r"^conta de telefone(?: |$)", "Conta de telefone", "Débito automático"),
+    (r"^aplicacao cdb(?: |$)", "Aplicação em CDB", "Investimento"),
+]
+
+
+def friendly_label(description: Column) -> Column:
+    """A readable name for display (label) with a suggested payment method (payment); the trimmed text itself if none fits."""
+    value = normalize_description(description)
+    out = F.struct(F.trim(description).alias("label"), F.lit("").alias("payment"))
+    for pattern, label, payment in reversed(FRIENDLY):
+        out = F.when(value.rlike(pattern), F.struct(F.lit(label).alias("label"), F.lit(payment).alias("payment"))).otherwise(out)
+    return out
+
+
+def ledger_type(description: Column, payment: Column) -> Column:
+    """Type of a ledger row: card payments, investments and income by their text, then the payment method, else an expense."""
+    kind, paid = transaction_type(description), normalize_description(F.coalesce(payment, F.lit("")))
+    own = normalize_description(description).rlike(r"transferencia entre contas(?: proprias)?|movimentacao interna|pix entre contas proprias|pix para minha conta|pix para conta propria|" + OWN_ACCOUNT)
+    return (
+        F.when(kind.isin("CARD_PAYMENT", "INVESTMENT", "INVESTMENT_INCOME", "INCOME"), kind).when(paid == "investimento", "INVESTMENT").when(paid.isin("transferencia", "transfer"), "TRANSFER")
+        .when(paid == "credito bradesco", F.when(own, "TRANSFER").otherwise("EXPENSE")).when(kind == "OTHER", "EXPENSE").otherwise(kind)
+    )
+
+
+def installment(description: Column) -> Column:
+    """(number, total) of a text like 'loja 2/10'; nulls if there is none."""
+    pattern = r"\b(\d{1,2})\s*/\s*(\d{1,2})\b"
+    part = lambda i: F.regexp_extract(description, pattern, i).try_cast("int")
+    return F.struct(part(1).alias("number"), part(2).alias("total"))
+
+
+def invoice_amount(text: Column) -> Column:
+    """Cents of an invoice amount; a minus before or after it makes it negative."""
+    bare = F.regexp_replace(text, r"^[\s-]+|[\s-]+$", "")
+    return F.when(text.rlike(r"^\s*-|-\s*$"), -F.abs(normalize_amount(bare))).otherwise(normalize_amount(bare))
+
+
+def is_timestamp(text: Column) -> Column:
+    """Whether a text is a full ISO timestamp with offset that exists in the calendar."""
+    shape = text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})$")
+    return F.coalesce(shape & F.try_to_timestamp(text).isNotNull(), F.lit(False))
+
+
+def installment_similarity(left: Column, right: Column) -> Column:
+    """0 to 1: tokens of the left text in order each take the first free right token that equals, starts or continues it; larger of dice and 0.92 times containment."""
+    tokens = lambda text: F.filter(F.split(normalize_description(text), " "), lambda t: F.length(t) > 1)
+
+    def score(both: Column) -> Column:
+        a, b = both["a"], both["b"]
+        start = F.struct(b.alias("free"), F.lit(0).alias("hits"))
+
+        def take(state: Column, token: Column) -> Column:
+            place = F.array_position(F.transform(state["free"], lambda t: (t != "") & (t.startswith(token) | token.startswith(t))), True).cast("int")
+            left_over = F.transform(state["free"], lambda t, i: F.when(i + 1 == place, F.lit("")).otherwise(t))
+            return F.struct(F.when(place > 0, left_over).otherwise(state["free"]).alias("free"), (state["hits"] + (place > 0).cast("int")).alias("hits"))
+
+        hits = F.aggregate(a, start, take, lambda state: state["hits"])
+        shared = lambda h: F.greatest(2 * h / (F.size(a) + F.size(b)), 0.92 * h / F.least(F.size(a), F.size(b)))
+        return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(_let(hits, shared))
+
+    blank = lambda text: F.coalesce(text, F.lit(""))
+    return _let(F.struct(tokens(blank(left)).alias("a"), tokens(blank(right)).alias("b")), score)
