@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import catalog_records
 from .functions import text
 from .operators import groups, matching, records
 from .plans.demo import bank_rows, events, ledger_rows
@@ -170,3 +171,6 @@ ORACLE_SQL = {
         WHEN event_id % 3 <> CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END THEN 'NOT_MISSING' WHEN event_id % 5 = 0 THEN 'UNSUPPORTED_WRITE' ELSE 'ELIGIBLE' END AS reason FROM events""",
     "duplicate_groups": "SELECT l_partkey, CAST(l_shipdate AS DATE) AS day, l_quantity, count(*) AS n, min(l_orderkey) AS anchor FROM lineitem GROUP BY ALL HAVING count(*) > 1",
 }
+
+QUERIES |= catalog_records.QUERIES
+ORACLE_SQL |= catalog_records.ORACLE_SQL
