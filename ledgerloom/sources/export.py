@@ -16,3 +16,46 @@ def summary_long(rows: DataFrame, metrics: dict) -> DataFrame:
     """One row (metric, value) per named aggregate, in one pass over the rows."""
     wide = rows.agg(*(m.cast("long").alias(name) for name, m in metrics.items()))
     return wide.unpivot([], list(metrics), "metric", "value")
+
+
+def _money(cents: str):
+    """Cents as Brazilian text: 1.234,56."""
+    return F.translate(F.format_number(F.col(cents) / 100, 2), ",.", ".,")
+
+
+def _day(column: str):
+    return F.date_format(column, "dd/MM/yyyy")
+
+
+def missing_export(items: DataFrame) -> DataFrame:
+    """Bank rows without a ledger row. items: status, date, original_description, amount, type, payment_method, document."""
+    return items.filter("status = 'MISSING'").select(_day("date").alias("Data"), F.col("original_description").alias("Descrição"), _money("amount").alias("Valor"), F.col("type").alias("Tipo"), F.col("payment_method").alias("Forma de pagamento"), F.col("document").alias("Documento"))
+
+
+def review_export(items: DataFrame) -> DataFrame:
+    """Rows to review with their reasons in one cell. items: as for missing_export with score, confidence, sheet_id, reasons."""
+    return items.filter("status = 'REVIEW'").select(
+        _day("date").alias("Data"), F.col("original_description").alias("Descrição"), _money("amount").alias("Valor"), F.col("sheet_id").alias("Candidato"), F.col("score").alias("Pontuação"), F.col("confidence").alias("Confiança"),
+        F.col("type").alias("Tipo"), F.array_join("reasons", " / ").alias("Motivos"),
+    )
+
+
+def out_of_scope_export(items: DataFrame) -> DataFrame:
+    return items.filter("status like 'OUT_OF_SCOPE%'").select(_day("date").alias("Data"), F.col("original_description").alias("Descrição"), _money("amount").alias("Valor"), F.col("direction").alias("Direção"), F.col("status").alias("Situação"))
+
+
+def duplicates_export(groups: DataFrame, ledger: DataFrame) -> DataFrame:
+    """One row per member of a duplicate group, blank where the ledger no longer holds it. groups: anchor_id, ids; ledger: id, date, original_description, amount."""
+    members = groups.select(F.col("anchor_id").alias("Grupo"), F.explode("ids").alias("id"))
+    return members.join(ledger.select("id", _day("date").alias("Data"), F.col("original_description").alias("Descrição"), _money("amount").alias("Valor")), "id", "left").withColumnRenamed("id", "ID")
+
+
+def compositions_export(options: DataFrame, ledger: DataFrame) -> DataFrame:
+    """One row per item of the best composition of a bill, or one blank row. options: bill_id, status, rank, ids."""
+    best = options.filter("rank <= 1").select(F.col("bill_id").alias("Fatura"), F.col("status").alias("Situação"), F.explode_outer("ids").alias("id"))
+    return best.join(ledger.select("id", _day("date").alias("Data"), F.col("original_description").alias("Descrição"), _money("amount").alias("Valor")), "id", "left").withColumnRenamed("id", "ID")
+
+
+def findings_export(findings: DataFrame, longest: int = 500) -> DataFrame:
+    """Findings as text cells of at most `longest` characters, a limit of the spreadsheet cell."""
+    return findings.select("code", "severity", F.substring("subject", 1, longest).alias("subject"), F.substring(F.array_join("related", " / "), 1, longest).alias("related"))
