@@ -28,7 +28,7 @@ def overlaps(known: DataFrame, incoming: DataFrame) -> DataFrame:
 
     known, incoming: id, row_idx, date, direction, amount, document, format, original_description. SINGLE: the only row of its date, direction and amount on both sides, in another format or with
     like evidence. DOCUMENT, TEXT: equal document or text, once on each side. ORDER: if nearly all of the incoming rows are single in another format, what is left of a key pairs by order
-    when both sides have equally many. All steps are counts, equi-joins on unique keys and windows; no pairs within a key are listed.
+    when both sides have equally many. An id that repeats in a source names one row per date, direction and amount. All steps are counts, equi-joins on unique keys and windows; no pairs within a key are listed.
     """
     cols = ["id", "row_idx", *KEY, "document", "format", "original_description"]
     a, b = (df.select(*cols).withColumn("said", normalize_description(F.coalesce("original_description", F.lit("")))) for df in (known, incoming))
@@ -36,26 +36,27 @@ def overlaps(known: DataFrame, incoming: DataFrame) -> DataFrame:
     keys = size(a, "a").join(size(b, "b"), KEY)
     cross = F.coalesce(F.col("a_format") != F.col("b_format"), F.lit(False))
     like = F.coalesce((F.col("a_document") != "") & (F.col("a_document") == F.col("b_document")), F.lit(False)) | compatible(F.col("a_text"), F.col("b_text"))
-    alone = keys.filter("a = 1 and b = 1").select("a_id", "b_id", cross.alias("cross"), like.alias("like"))
-    single = alone.filter("cross or like").select(F.col("a_id").alias("known_id"), F.col("b_id").alias("incoming_id"), F.lit("SINGLE").alias("how"))
+    alone = keys.filter("a = 1 and b = 1").select(*KEY, "a_id", "b_id", cross.alias("cross"), like.alias("like"))
+    single = alone.filter("cross or like").select(*KEY, F.col("a_id").alias("known_id"), F.col("b_id").alias("incoming_id"), F.lit("SINGLE").alias("how"))
     anchors, total = alone.agg(F.count_if("cross")).scalar(), incoming.agg(F.greatest(F.count("*"), F.lit(1))).scalar()
 
     def once(df: DataFrame, column: str, name: str) -> DataFrame:
         return df.filter(F.coalesce(column, F.lit("")) != "").groupBy(*KEY, column).agg(F.count("*").alias("n"), F.min("id").alias(name)).filter("n = 1").drop("n")
 
     def rest(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return a.join(pairs.select(F.col("known_id").alias("id")), "id", "left_anti"), b.join(pairs.select(F.col("incoming_id").alias("id")), "id", "left_anti")
+        taken = lambda name: pairs.select(*KEY, F.col(name).alias("id"))
+        return a.join(taken("known_id"), [*KEY, "id"], "left_anti"), b.join(taken("incoming_id"), [*KEY, "id"], "left_anti")
 
     pairs = single
     for column, how in (("document", "DOCUMENT"), ("said", "TEXT")):
         left, right = rest(pairs)
-        pairs = pairs.unionByName(once(left, column, "known_id").join(once(right, column, "incoming_id"), [*KEY, column]).select("known_id", "incoming_id", F.lit(how).alias("how")))
+        pairs = pairs.unionByName(once(left, column, "known_id").join(once(right, column, "incoming_id"), [*KEY, column]).select(*KEY, "known_id", "incoming_id", F.lit(how).alias("how")))
     left, right = rest(pairs)
     whole = Window.partitionBy(*KEY)
     placed = lambda df, name: df.select(*KEY, F.col("id").alias(name), F.col("format").alias(f"{name}_format"), F.row_number().over(whole.orderBy("row_idx", "id")).alias("nth"), F.count("*").over(whole).alias("size"))
     ordered = placed(left, "known_id").join(placed(right, "incoming_id"), [*KEY, "nth", "size"]).filter("known_id_format <> incoming_id_format")
     ordered = ordered.filter(anchors >= ALIGNED * total).select("known_id", "incoming_id", F.lit("ORDER").alias("how"))
-    return pairs.unionByName(ordered)
+    return pairs.drop(*KEY).unionByName(ordered)
 
 
 def merge(known: DataFrame, incoming: DataFrame, source: str) -> DataFrame:
