@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 # Element names and the words that name page furniture in class, id and role.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 FURNITURE = {"aside", "button", "dialog", "footer", "form", "head", "menu", "nav", "object", "search", "select"}
@@ -31,7 +30,9 @@ CLOSES = {
 PUNCTUATION = ".,;:!?。，！？"
 
 _TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math)\b(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*+[^>]*+>|\Z)"
+    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?P<raw>script|style|noscript|template|textarea|title|iframe|annotation-xml|annotation)\b(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*+[^>]*+>|\Z)"
+    # A drawing ends with its own tag if that closes itself, else at its end tag or at an HTML element, which can't stand in it.
+    r"|<(?P<drawn>svg)\b(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+(?:(?<=/)>|>.*?(?:</svg\s*+[^>]*+>|(?=</?(?:p|div|h[1-6]|ul|ol|li|dl|dd|dt|table|pre|blockquote|center|body|article|section|main|span|b|i|em|strong|br|img)\b)|\Z))"
     r"|<(?P<name>/?[a-z][^\s/>]*+)(?P<attrs>(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<loose>/?[a-z][^\s/>]*+)(?P<rest>[^>]*+)>|<[!?/][^>]*+>",
     re.IGNORECASE | re.DOTALL,
 )
@@ -60,7 +61,7 @@ class _Page:
     """Blocks of a page: raw text, element number, characters in links; and per element its parent, tag and path."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.dropped, self.path = [-1], ["#"], [False], ["#"]
+        self.parent, self.tag, self.named, self.path = [-1], ["#"], [False], ["#"]
         self.blocks: list[tuple[str, int, int]] = []
         self._stack, self._text, self._linked, self._owner, self._in_link = [0], [], 0, 0, 0
         self._inline: list[str] = []
@@ -75,7 +76,7 @@ class _Page:
                     self._close(name[1:])
                 else:
                     self._open(name, m["attrs"] or m["rest"] or "")
-            elif m["raw"]:
+            elif m["raw"] or m["drawn"]:
                 self._text.append(" ")
         self._add(source[at:])
         self._flush()
@@ -110,11 +111,39 @@ class _Page:
         self._flush()
         self.parent.append(above)
         self.tag.append(tag)
-        self.dropped.append(self.dropped[above] or _is_furniture(tag, attrs, inside))
+        self.named.append(_is_furniture(tag, attrs, inside))
         self.path.append(f"{self.path[above]}/{tag}" if len(self.path[above]) < 2000 else self.path[above])
         self._stack.append(len(self.tag) - 1)
         self._inline, self._in_link = [], 0
 
+    def dropped(self) -> list[bool]:
+        """Elements that are furniture by name or lie in such an element.
+
+        A name says nothing about an element that holds more article or main text than stands free, or half of the text of a page without those.
+        """
+        size = range(len(self.tag))
+        inside = [False] * len(self.tag)
+        for e in size:
+            inside[e] = self.tag[e] in ("article", "main") or e > 0 and inside[self.parent[e]]
+        text, told = [0] * len(self.tag), [0] * len(self.tag)
+        for t, e, linked in self.blocks:
+            text[e] += len(t) - linked
+            told[e] += (len(t) - linked) * inside[e]
+        free = told[:]  # without what lies in furniture further in
+        for e in reversed(size[1:]):
+            text[self.parent[e]] += text[e]
+            told[self.parent[e]] += told[e]
+            free[self.parent[e]] += free[e] * (not self.named[e])
+        out, standing = [False] * len(self.tag), free[0]
+        for e in size[1:]:
+            out[e] = out[self.parent[e]]
+            if self.named[e] and not out[e]:
+                if told[e] > standing if told[0] else text[e] and 2 * text[e] >= text[0]:
+                    standing += free[e]
+                else:
+                    out[e] = True
+        return out
+
     def _pop(self) -> None:
         self._flush()
         self._stack.pop()
@@ -160,7 +189,8 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     page = _Page(source)
-    blocks = [b for b in page.blocks if not page.dropped[b[1]]]
+    dropped = page.dropped()
+    blocks = [b for b in page.blocks if not dropped[b[1]]]
     if not blocks:
         return ""
     number: dict[str, int] = {}

@@ -197,6 +197,23 @@ def test_main_text():
     assert [html_extract.main_text(x) for x in (None, "", "<!-- never closed", "<script>x", "plain &lt;text")] == ["", "", "", "", "plain <text"]
 
 
+def test_furniture_names_do_not_drop_the_article():
+    body = "<p>First, a line.</p><p>Second, a line.</p>"
+    for before, after in (('<div class="layout with-sidebar">', "</div>"), ('<div class="noSidebar">', "</div>"), ('<div id="page-form">', "</div>"), ("<form>", "</form>"), ('<form><div class="share-layout">', "</div></form>")):
+        for tag in ("article", "main", "div"):
+            page = f'<body><nav><a href=x>Home</a></nav>{before}<{tag}>{body}</{tag}><div class="ad">Buy, now.</div>{after}<footer>x</footer></body>'
+            assert html_extract.main_text(page) == "First, a line.\nSecond, a line.", page
+    page = f'<div class="with-sidebar"><article>{body}</article><section id="comments"><article>So, no.</article></section></div>'
+    assert html_extract.main_text(page) == "First, a line.\nSecond, a line."
+
+
+def test_drawings_and_formulas():
+    for drawing in ('<svg class="i"/>', '<svg><path d="M0"/><text>no</text></svg>', '<svg viewBox="0 0 1 1">'):
+        assert html_extract.main_text(f"<article><p>One.</p>{drawing}<p>Two.</p></article>") == "One.\nTwo."
+    formula = "<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding=tex>x=2</annotation></math>"
+    assert html_extract.main_text(f"<article><p>So {formula} holds.</p></article>") == "So x=2 holds."
+
+
 def test_pages_are_extracted_whole(spark):
     pages = spark.createDataFrame([(1, "u", None, 0), (None, None, "<p>a</p><p>b</p>", 1), (2, "v", "<article>" + "<p>Some text, here.</p>" * 3000, 2)], "page_id long, url string, html string, text int")
     got = {r.page_id: (r.text, r.n_chars) for r in html_extract.extract(pages).collect()}
