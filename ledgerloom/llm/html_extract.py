@@ -1,8 +1,9 @@
 """Main-text extraction by tag-path ratios.
 
 A page is read as text nodes with their root-to-leaf tag paths. For each path, text length and punctuation over its nodes give two ratios; both are
-smoothed along the page, fused and thresholded, which marks the content nodes. The element that holds nearly all content text
-is the article, and everything in it is kept except page furniture (menus, adverts, forms, comments and the like).
+smoothed along the page, fused and thresholded, which marks the content nodes wherever they stand. Short nodes such as headings, list items and cells are
+kept beside content nodes of their container. Tags and names are an extra signal: nodes outside article and main count half (on pages
+without those, nodes outside the element that holds nearly all content), and elements named as page furniture (menus, adverts, forms, comments and the like) are dropped unless they hold the article.
 """
 
 from __future__ import annotations
@@ -28,6 +29,13 @@ CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"}),
 }
 PUNCTUATION = ".,;:!?。，！？"
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements whose text may be short by nature; those that belong to their place even in a container of their own; and what is passed on the way to the container.
+TEXTUAL = {"p", "li", "dt", "dd", "td", "th", "caption", "figcaption", "pre", "blockquote", "summary", "legend"} | HEADINGS
+FIXED = {"td", "th", "caption", "figcaption", "pre"}
+WRAPPERS = {"ul", "ol", "dl", "dir", "li", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "figure", "figcaption", "blockquote", "header", "hgroup", "details", "center"}
+#: Mean characters and punctuation marks from which a path is prose in full; share of the page's best node that content reaches; factor outside the main container.
+PROSE, SHARE, OUTSIDE = (200.0, 4.0), 0.4, 0.5
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?P<raw>script|style|noscript|template|textarea|title|iframe|annotation-xml|annotation)\b(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*+[^>]*+>|\Z)"
@@ -173,15 +181,29 @@ class _Page:
                 return
 
 
-def content_nodes(lengths: np.ndarray, marks: np.ndarray, paths: np.ndarray) -> np.ndarray:
-    """Which nodes are content. lengths, marks: characters outside links and punctuation marks of each node; paths: its path's number."""
+def content_nodes(lengths: np.ndarray, marks: np.ndarray, paths: np.ndarray, prior: np.ndarray | float = 1.0) -> np.ndarray:
+    """Which nodes are content. lengths, marks: characters outside links and punctuation marks of each node; paths: its path's number; prior: its factor.
+
+    The two ratios are the means over all nodes of a path. Neighbours on the page count in the smoothing by their distance, those of another path a quarter.
+    """
     n = np.bincount(paths)
-    text = np.log1p(np.bincount(paths, lengths) / n)[paths]
-    punctuation = np.log1p(np.bincount(paths, marks) / n)[paths]
-    kernel = np.array([1.0, 2.0, 3.0, 2.0, 1.0])
-    smooth = lambda x: np.convolve(x, kernel, "full")[2 : 2 + len(x)] / np.convolve(np.ones(len(x)), kernel, "full")[2 : 2 + len(x)]
-    fused = np.sqrt(text * smooth(text)) * (0.25 + np.sqrt(punctuation * smooth(punctuation)))
-    return fused >= max(fused.mean() - 0.5 * fused.std(), 0.2 * fused.max())
+    mean = (np.bincount(paths, lengths) / n)[paths]
+    text = np.sqrt(np.minimum(mean, PROSE[0]))
+    punctuation = np.sqrt(np.minimum(np.bincount(paths, marks) / n, PROSE[1]))[paths]
+    near = [(k, np.where(paths[k:] == paths[:-k], 1.0, 0.25) * (3 - k)) for k in (1, 2) if len(paths) > k]
+
+    def smooth(x):
+        total, weight = 3 * x, np.full(len(x), 3.0)
+        for k, w in near:
+            total[k:] += w * x[:-k]
+            total[:-k] += w * x[k:]
+            weight[k:] += w
+            weight[:-k] += w
+        return total / weight
+
+    fused = np.sqrt(text * smooth(text)) * (0.25 + np.sqrt(punctuation * smooth(punctuation))) * prior
+    # Text that is long without any punctuation counts as well.
+    return (fused >= SHARE * min(fused.max(), np.sqrt(PROSE[0]) * (0.25 + np.sqrt(PROSE[1])))) | (mean * prior >= PROSE[0])
 
 
 def main_text(source: str | None) -> str:
@@ -197,27 +219,64 @@ def main_text(source: str | None) -> str:
     paths = np.array([number.setdefault(page.path[e], len(number)) for _, e, _ in blocks])
     lengths = np.array([len(t) - linked for t, _, linked in blocks], float)
     marks = np.array([sum(map(t.count, PUNCTUATION)) for t, _, _ in blocks], float)
-    chosen = content_nodes(lengths, marks, paths)
+    told = [False] * len(page.tag)
+    for e in range(1, len(page.tag)):
+        told[e] = page.tag[e] in ("article", "main") or told[page.parent[e]]
+    inside = np.array([told[e] for _, e, _ in blocks])
+    near = inside if lengths[inside].any() else _in_container(page, blocks, content_nodes(lengths, marks, paths), lengths)
+    chosen = content_nodes(lengths, marks, paths, np.where(near, 1.0, OUTSIDE))
+    return "\n".join(t for (t, _, _), c in zip(blocks, _with_short_nodes(page, blocks, chosen, inside, lengths), strict=True) if c)
+
+
+def _in_container(page: _Page, blocks: list[tuple[str, int, int]], chosen: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which nodes lie in the deepest element with nearly all content text, and never in a lone paragraph only."""
     weight = np.zeros(len(page.tag))
     np.add.at(weight, np.array([e for (_, e, _), c in zip(blocks, chosen, strict=True) if c]), lengths[chosen] + 1)
     for e in range(len(page.tag) - 1, 0, -1):
         weight[page.parent[e]] += weight[e]
-    # The deepest element with nearly all content text; in an article or main element that element, and never a lone paragraph.
-    article = max(range(len(page.tag)), key=lambda e: (weight[e] >= 0.9 * weight[0], e if weight[e] >= 0.9 * weight[0] else 0))
-    up, outer = article, None
-    while up > 0:
-        if page.tag[up] in ("article", "main"):
-            outer = up if outer is None or page.tag[outer] != "article" else outer
-        up = page.parent[up]
-    if outer is not None:
-        article = outer
-    elif page.tag[article] not in ("div", "section", "body", "td", "html", "#"):
-        article = max(page.parent[article], 0)
+    container = int(np.flatnonzero(weight >= 0.9 * weight[0])[-1])
+    while container > 0 and page.tag[container] not in ("div", "section", "body", "td", "html"):
+        container = page.parent[container]
     within = np.zeros(len(page.tag), bool)
-    within[article] = True
-    for e in range(article + 1, len(page.tag)):
+    within[container] = True
+    for e in range(container + 1, len(page.tag)):
         within[e] = within[page.parent[e]]
-    return "\n".join(t for t, e, _ in blocks if within[e])
+    return within[[e for _, e, _ in blocks]]
+
+
+def _with_short_nodes(page: _Page, blocks: list[tuple[str, int, int]], chosen: np.ndarray, inside: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The chosen nodes and, whatever their ratios, the headings, lines, list items, cells and captions that stand beside them in one container.
+
+    Outside article and main, nodes that are links only must also lie between chosen ones.
+    """
+    holds = [False] * len(page.tag)
+    for (_, e, _), c in zip(blocks, chosen, strict=True):
+        while c and e >= 0 and not holds[e]:
+            holds[e] = True
+            e = page.parent[e]
+    at = np.flatnonzero(chosen)
+    first, last = at[0], at[-1]
+    out = chosen.copy()
+    for i, (_, e, _) in enumerate(blocks):
+        between = inside[i] or first < i < last
+        if out[i] or not (lengths[i] or between):
+            continue
+        tag = page.tag[e]
+        if tag in TEXTUAL:
+            fixed = tag in FIXED
+            e = page.parent[e]
+            while e > 0 and not holds[e] and (page.tag[e] in WRAPPERS or fixed and between and page.tag[e] in ("div", "section")):
+                fixed = fixed or page.tag[e] in FIXED
+                e = page.parent[e]
+        out[i] = holds[e]
+    following = False
+    for i in range(last, -1, -1):  # a heading goes with the node below it, the page's with all
+        tag = page.tag[blocks[i][1]]
+        if tag == "h1" or tag in HEADINGS and following:
+            out[i] = True
+        if tag not in HEADINGS:
+            following = out[i]
+    return out
 
 
 def _extracted(batches):

@@ -207,6 +207,17 @@ def test_furniture_names_do_not_drop_the_article():
     assert html_extract.main_text(page) == "First, a line.\nSecond, a line."
 
 
+LONG = "A long line of the article, which goes on, with more words and clauses; it ends here. Then it goes on again, for as long as a paragraph should, and stops."
+
+
+def test_ratios_choose_the_nodes():
+    parts = ["<h1>Title</h1>", f"<p>{LONG}</p>", "<div>Buy our shoes now</div>", "<h2>Part</h2>", f"<p>{LONG}</p>", "<ul><li>Item</li></ul>", "<div><p>So nice.</p></div>", f"<p>{LONG}</p>", "<p>Short.</p>"]
+    want = "\n".join(["Title", LONG, "Part", LONG, "Item", LONG, "Short."])
+    for tag in ("article", "main", "div"):
+        page = f"<body><div><a href=x>Home</a> <a href=y>News</a></div><{tag}>{''.join(parts)}</{tag}><div>All about shoes</div></body>"
+        assert html_extract.main_text(page) == want, tag
+
+
 def test_drawings_and_formulas():
     for drawing in ('<svg class="i"/>', '<svg><path d="M0"/><text>no</text></svg>', '<svg viewBox="0 0 1 1">'):
         assert html_extract.main_text(f"<article><p>One.</p>{drawing}<p>Two.</p></article>") == "One.\nTwo."
