@@ -218,6 +218,18 @@ def test_ratios_choose_the_nodes():
         assert html_extract.main_text(page) == want, tag
 
 
+def test_content_outside_the_main_container_stays():
+    long = f"<p>{LONG}</p>"
+    page = f"<body><div><a href=x>Home</a></div><div><h1>Title</h1><p>lead</p><div class=body>{long * 30}</div></div></body>"
+    assert html_extract.main_text(page).split("\n") == ["Title", "lead", *[LONG] * 30]
+    page = f"<body><div class=body>{long * 30}</div><section><h2>Last</h2>{long}</section></body>"
+    assert html_extract.main_text(page).split("\n") == [*[LONG] * 30, "Last", LONG]
+    page = f"<body><div><article>{long * 30}</article></div><div><article>{long}<table><tr><td>1</td></tr></table></article></div></body>"
+    assert html_extract.main_text(page).split("\n") == [*[LONG] * 31, "1"]
+    page = f"<body><div><div>{long}<div><table><tr><td>1</td><td><p>2</p></td></tr></table></div>{long}</div></div></body>"
+    assert html_extract.main_text(page).split("\n") == [LONG, "1", "2", LONG]
+
+
 def test_drawings_and_formulas():
     for drawing in ('<svg class="i"/>', '<svg><path d="M0"/><text>no</text></svg>', '<svg viewBox="0 0 1 1">'):
         assert html_extract.main_text(f"<article><p>One.</p>{drawing}<p>Two.</p></article>") == "One.\nTwo."
