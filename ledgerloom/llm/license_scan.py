@@ -1,8 +1,7 @@
 """License scans with DataFrame functions only.
 
-Every text is cut into overlapping windows of words. Each band holds one MinHash value of a window's word shingles; a window that shares a
-band value with any window of a template is a hit. Bands are many and of one value each, so that even a template of a single shingle, one
-sixth of a window, shares a band with probability 1 - (5/6)**24 = 0.987 per window and lies in two windows. The region
+Every text is cut into overlapping windows of words. A window that holds a shingle of any template is a hit. MinHash bands would lose a template of
+a single shingle, one sixth of a window, now and then, so hits are found exactly: templates are few, and so are their shingles. The region
 around every hit is then compared with each template: exact containment of the template's shingles decides.
 """
 
@@ -25,8 +24,7 @@ TEMPLATES = {
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "public-domain": "This work has been released into the public domain",
 }
-SHINGLE, WINDOW, STRIDE, BANDS = 3, 6, 4, 24  # words; shingles; shingles; bands of one MinHash value
-_SEEDS = [(i * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64) - (1 << 63) for i in range(1, BANDS + 1)]
+SHINGLE, WINDOW, STRIDE = 3, 6, 4  # words; shingles; shingles
 
 
 def shingles(text: Column) -> Column:
@@ -54,14 +52,6 @@ def _part(hashes: Column, first: Column, length: int) -> Column:
     return F.transform(F.sequence(first, F.least(first + length, F.size(hashes)) - 1), lambda i: F.get(hashes, i))
 
 
-def _least(part: Column, seed: int) -> Column:
-    return F.array_min(F.transform(part, lambda x: x.bitwiseXOR(F.lit(seed).cast("bigint"))))
-
-
-def _band(parts: Column, seed: int) -> Column:
-    return F.transform(parts, lambda w: _least(w.part, seed))
-
-
 def _share(hashes: list[int], reach: int) -> Column:
     """The largest share of a template's shingles found in the region around any hit."""
     template = F.array(*(F.lit(v).cast("bigint") for v in hashes))
@@ -77,23 +67,15 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
     """
     spark = docs.sparkSession
     listed = spark.createDataFrame(sorted((templates or TEMPLATES).items()), "license string, text string").select("license", shingles(F.col("text")).alias("h"))
-    known = listed.select("license", F.array_distinct("h").alias("h"), *(_band(windows(F.col("h")), s).alias(f"b{i}") for i, s in enumerate(_SEEDS))).collect()
+    known = listed.select("license", F.array_distinct("h").alias("h")).collect()
     reach = max((len(r.h) for r in known), default=1)
-
-    def hit(window: Column) -> Column:
-        found = F.lit(False)
-        for i, seed in enumerate(_SEEDS):
-            found = found | _least(window.part, seed).isin(sorted({v for r in known for v in r[f"b{i}"]}))
-        return found
-
-    # A text that holds no shingle of any template can't share a band value either.
     anything = F.array(*(F.lit(v).cast("bigint") for v in sorted({v for r in known for v in r.h})))
     # Filters that use the row number stay above the projection that makes it; else Spark would evaluate all shingles anew for every use of them.
     numbered = F.col("row") >= 0
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), shingles(F.col(text_col).cast("string")).alias("h"))
     rows = rows.filter(numbered & F.arrays_overlap("h", anything))
     rows = rows.select("id", "h", F.monotonically_increasing_id().alias("row"), windows(F.col("h")).alias("w"))
-    rows = rows.filter(numbered).select("id", "h", F.monotonically_increasing_id().alias("row"), F.transform(F.filter("w", hit), lambda w: w.at).alias("hits"))
+    rows = rows.filter(numbered).select("id", "h", F.monotonically_increasing_id().alias("row"), F.transform(F.filter("w", lambda w: F.arrays_overlap(w.part, anything)), lambda w: w.at).alias("hits"))
     rows = rows.filter(numbered & (F.size("hits") > 0))
     shares = [F.struct(F.lit(r.license).alias("license"), _share(r.h, reach).alias("containment")) for r in known]
     found = rows.select("id", F.monotonically_increasing_id().alias("row"), F.array(*shares).alias("shares")).filter(numbered).select("id", F.inline("shares"))

@@ -254,6 +254,14 @@ def test_licenses_against_search(spark, odd):
     assert sorted(str(r.doc_id) for r in license_scan.scan(short).collect()) == ["1", "None"]
 
 
+def test_single_shingle_templates_are_found_everywhere(spark):
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    texts = [" ".join([*(word() for _ in range(20 + i % 4)), "All rights reserved.", *(word() for _ in range(20))]) for i in range(2000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert rows(license_scan.scan(docs), "doc_id") == [(i,) for i in range(2000)]
+
+
 def test_grammar():
     count = toxicity.Matcher({"zork": False, "blim ": True}).counts
     named = lambda text: {p: n for p, n in zip(toxicity.PATTERNS, count(text), strict=True) if n}
