@@ -1,4 +1,7 @@
-"""The corpus pipeline: five stages over documents, each applying one operator to all that its predecessor kept."""
+"""The corpus pipeline: five stages over documents, each applying one operator to all that its predecessor kept.
+
+The first stage writes a key for every row; decisions are made and applied by that key, so rows with a null or repeated id are judged by their own text.
+"""
 
 from __future__ import annotations
 
@@ -10,40 +13,52 @@ from ledgerloom.llm.decontaminate import contaminated
 from ledgerloom.llm.exact_dedup import exact_duplicates
 from ledgerloom.llm.near_dedup import near_duplicates
 from ledgerloom.llm.queries import PIECES
-from ledgerloom.llm.toxicity import toxicity
+from ledgerloom.llm.toxicity import fit, scores
 from ledgerloom.llm.unigram import encode
 
 
+KEY = "_row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key for every row, written so that it is the same at every use."""
+    return docs if KEY in docs.columns else written(docs.withColumn(KEY, F.monotonically_increasing_id()))
+
+
 def _drop(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of docs but those whose id is dropped; rows with a null id stay."""
-    ids = dropped.select(F.col("doc_id").cast("long").alias("dropped_id")).distinct()
-    return docs.join(ids, docs.doc_id == ids.dropped_id, "left_anti")
+    """Rows of docs but those whose key is dropped."""
+    return docs.join(dropped.select(KEY).distinct(), KEY, "left_anti")
+
+
+def _one_of_each(docs: DataFrame, groups: DataFrame, largest: bool) -> DataFrame:
+    """Of the rows of each group (key, same) the one with the largest or smallest id; a row with a null id only where its group holds no id."""
+    named = groups.join(docs.select(KEY, F.col("doc_id").cast("long").alias("id")), KEY)
+    first = F.max(F.struct("id", KEY)) if largest else F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", KEY))
+    return docs.join(named.groupBy("same").agg(first.alias("first")).select(F.col(f"first.{KEY}").alias(KEY)), KEY, "left_semi")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.7."""
-    return _drop(docs, toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 1"))
+    docs = _keyed(docs)
+    return _drop(docs, scores(docs, *fit(docs, table(spark, sf_dir, "labels")), id_col=KEY).filter("predicted = 1"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of byte-identical texts the document with the largest id; of repeated rows one."""
-    return _drop(docs, exact_duplicates(docs).filter("not kept")).transform(_once)
-
-
-def _once(docs: DataFrame) -> DataFrame:
-    """One of the rows that repeat an id; rows with a null id all stay."""
-    named = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))
+    docs = _keyed(docs)
+    return _one_of_each(docs, exact_duplicates(docs, KEY).select(KEY, F.col("keep_id").alias("same")), largest=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest id."""
-    return _drop(docs, near_duplicates(docs).filter("not kept"))
+    docs = _keyed(docs)
+    return _one_of_each(docs, near_duplicates(docs, KEY).select(KEY, F.col("component_id").alias("same")), largest=False)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item occurs within its edit budget."""
-    return _drop(docs, contaminated(docs, table(spark, sf_dir, "benchmark")))
+    docs = _keyed(docs)
+    return _drop(docs, contaminated(docs, table(spark, sf_dir, "benchmark"), KEY))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

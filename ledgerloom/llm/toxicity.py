@@ -228,11 +228,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Returns (id, held_out, score, predicted) and the count of each clause pattern. Null and empty texts match nothing and get the base score; labels
     that are null are left out; without labels the prior weights hold; a null id is not held out; an empty table gives no rows.
     """
-    stems, w = fit(docs, labels, id_col, text_col)
+    out = scores(docs, *fit(docs, labels, id_col, text_col), id_col, text_col, threshold)
+    return out.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", "predicted", *PATTERNS)
+
+
+def scores(docs: DataFrame, stems: dict[str, bool], w: np.ndarray, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """(id, score, predicted) and the count of each clause pattern per row, by what fit() gives."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = source.mapInArrow(_counted(stems), "id long, " + ", ".join(f"{p} int" for p in PATTERNS))
     total = F.lit(float(w[0]))
     for pattern, weight in zip(PATTERNS, w[1:], strict=True):
         total = total + float(weight) * F.log1p(pattern)
     score = F.round(1 / (1 + F.exp(-total)), 9)
-    return rows.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), *PATTERNS)
+    return rows.select(F.col("id").alias(id_col), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), *PATTERNS)

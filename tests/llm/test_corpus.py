@@ -312,6 +312,17 @@ def test_pipeline_against_brute_force(spark):
     assert set(got) == set(left) and all(r.round_trip for r in got.values())
 
 
+def test_stages_judge_each_row_by_its_text(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    words = " ".join(f"w{i}" for i in range(100))
+    data = [(1, "a clean text"), (1, "another clean text"), (1, "another clean text"), (None, "a clean text"), (2, "You idiot, I will kill you, you idiot!"), (2, "a third text"), (None, "You idiot, I will kill you, you idiot!"), (3, item), (3, "a fourth text"), (None, item), (4, words), (4, "a fifth text"), (5, words + " more"), (None, words + " still"), (None, "a sixth text"), (None, "a sixth text")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+    want = [(1, "a clean text"), (1, "another clean text"), (2, "a third text"), (3, "a fourth text"), (4, words), (4, "a fifth text"), (None, "a sixth text")]
+    assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == sorted(want, key=str)
+
+
 def test_stages_take_odd_documents(spark, odd):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, odd.select("doc_id", "text", "lang", "source", "n_chars"), SF)
