@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import Scratch, cut
+
+__all__ = ["CHUNK_BYTES", "Scratch", "Shingler", "WordHasher", "chunks", "cut", "each_chunk", "held_out", "mix", "small_batches", "stream", "table", "text_bytes", "written"]
+
 #: Bytes of text that one vectorised step handles at a time inside a task.
 CHUNK_BYTES = 400_000
 
@@ -24,28 +25,7 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir")
-    if folder is None:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-        folder = context.getCheckpointDir()
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it again; later reads touch only the columns they need."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+written = cut
 
 
 def held_out(doc_id: Column) -> Column:

@@ -73,8 +73,8 @@ class ItemMatcher:
         if places:
             self.finder.make_automaton()
 
-    def matches(self, text: str) -> list[tuple[int, int, int]]:
-        """(item id, distance, budget) of items that occur within their budget."""
+    def matches(self, text: str, first: bool = False) -> list[tuple[int, int, int]]:
+        """(item id, distance, budget) of items that occur within their budget, or the first one found."""
         if not self.items or not text:
             return []
         starts: dict[int, list[int]] = {}
@@ -85,19 +85,21 @@ class ItemMatcher:
         for i, at in starts.items():
             item_id, item, k = self.items[i]
             distance, at = k + 1, sorted(at)
-            first = last = None
+            low = high = None
             for start in [*at, None]:
-                if first is not None and (start is None or start - k > last):
-                    window = text[max(first, 0) : last]
+                if low is not None and (start is None or start - k > high):
+                    window = text[max(low, 0) : high]
                     distance = min(distance, 0 if item in window else myers(item, window))
-                    first = None
+                    low = None
                     if not distance:
                         break
                 if start is not None:
-                    first = start - k if first is None else first
-                    last = start + len(item) + k
+                    low = start - k if low is None else low
+                    high = start + len(item) + k
             if distance <= k:
                 out.append((item_id, distance, k))
+                if first:
+                    break
         return out
 
 
@@ -124,11 +126,30 @@ def _blocks(benchmark: DataFrame):
     yield block
 
 
+def _clean(items: list[tuple[int, str]], rate: float, place: int):
+    """Batches without the rows whose text, the column at `place`, holds an item."""
+
+    def run(batches):
+        matcher = ItemMatcher(items, rate)
+        for batch in batches:
+            yield batch.filter(pa.array([not matcher.matches(normalise(text.as_py()), first=True) for text in batch.column(place)], pa.bool_()))
+
+    return run
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: float = RATE) -> DataFrame:
+    """The rows of docs, all columns, in which no benchmark item occurs within its edit budget. Block after block of items works on what the one before left, in one pass over the texts."""
+    small_batches(docs.sparkSession)
+    for block in _blocks(benchmark):
+        docs = docs.mapInArrow(_clean(block, rate, docs.columns.index(text_col)), docs.schema)
+    return docs
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
     """Benchmark items that occur in documents within their error budget: (id, item_id, distance, budget), one row per pair of a row and an item.
 
     Both sides are lower-cased and reduced to words; a budget counts characters of that form. Null, empty and punctuation-only texts and items match nothing;
-    items with a null id are left out; repeated rows give repeated matches; an empty table on either side gives no rows.
+    items with a null id are left out; repeated rows give repeated matches; texts of any length are searched whole; an empty table on either side gives no rows.
     """
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))

@@ -20,8 +20,8 @@ from .common import cut, small_batches
 
 #: Fingerprints that a block of the merged filter holds on average.
 PER_BLOCK = 50_000
-#: Parts that the rows of one fingerprint are dealt to, so that a large group of copies doesn't meet in one task.
-SALTS = 16
+#: Rows of one fingerprint that one task takes; a larger group of copies is dealt to as many parts as its count in the filter asks for.
+PART = 5_000
 
 
 class CountingQuotientFilter:
@@ -119,19 +119,21 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Group rows with byte-identical texts.
 
     Returns (id, keep_id, group_size, kept, text_sha256) per row. Null texts count as empty. Of equal texts the largest id stays.
-    Rows that repeat an id and text are all marked alike; rows with a null id stay only where their group holds no id. An
-    empty table gives no rows.
+    Rows that repeat an id and text are all marked alike; rows with a null id stay only where no row of their group has an id, and then all of
+    them do. Texts of any length are compared whole. An empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("fp", F.xxhash64("text"))
     block_bits = max(0, math.ceil(math.log2(max(docs.count(), 1) / PER_BLOCK)))
     parts = source.select("fp").mapInArrow(_build(block_bits), FILTER)
-    routed = cut(parts.groupBy("block").applyInPandas(_merge(block_bits), "fp long, seen long"))
-    salted = source.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    routed = cut(parts.groupBy("block").applyInPandas(_merge(block_bits), "fp long, seen long").withColumn("parts", F.ceil(F.col("seen") / PART)))
+    large = routed.filter("parts > 1").select("fp", F.col("parts").alias("of"))
+    salted = source.join(large, "fp", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("of", F.lit(1)))).drop("of")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt")
     compared = salted.join(routed.select("fp", every), ["fp", "salt"], "left_semi").groupBy("fp", "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    groups = cut(compared.filter("group_size > 1").select("fp", F.sha2("text", 256).alias("sha"), "keep_id", "group_size")).select("*", every)
+    groups = cut(compared.filter("group_size > 1").select("fp", F.sha2("text", 256).alias("sha"), "keep_id", "group_size"))
+    groups = groups.join(routed.select("fp", "parts"), "fp").select("fp", "sha", "keep_id", "group_size", every)
     narrow = salted.select("id", "fp", "salt", F.sha2("text", 256).alias("sha"))
     out = narrow.join(groups, ["fp", "sha", "salt"], "left")
     single = F.col("group_size").isNull()

@@ -9,6 +9,8 @@ bits than the sets' symmetric difference has members, so more bits than the thre
 
 To avoid all pairs within a bucket, each class is first linked to the best-matching bucket leader, then to the best of other leaders;
 only buckets that still hold several components are searched for links between different components, block by block, and only pairs that pass both bitmap tests leave a block.
+
+Texts are read twice: once for the MinHash values, once to pick those that share a bucket with another class; only these are ever shuffled, and a leader with many followers is dealt to several tasks with them.
 """
 
 from __future__ import annotations
@@ -19,14 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shingler, cut, each_chunk, mix, small_batches, stream, written
+from .common import Scratch, Shingler, each_chunk, mix, small_batches, stream
 from .components import components
 
 #: At similarity 0.8 one pair in 20 million shares none of 32 bands of 4 values.
 BANDS, ROWS = 32, 4
 SKETCH_WORDS, PARITY_WORDS = 8, 32  # of 64 bits
-#: Rows of a block when a large bucket is compared block by block.
-BLOCK = 2000
+#: Rows of a block when a large bucket is compared block by block; followers of a leader that one task takes.
+BLOCK, FOLLOWERS = 2000, 500
 #: Standard deviations of the estimate (samples and sketch) that a candidate may lie below the threshold.
 SLACK = 5
 
@@ -46,12 +48,12 @@ def _features(size: int):
     def run(batches):
         shingler = Shingler(size)
         for batch in batches:
-            columns = [[], [], [], [], [], []]
+            columns = [[], [], [], [], []]
             for _, _, raw, at in each_chunk(batch.column(1)):
                 sets = shingler.sets(raw, at)
                 counts = np.array([len(s) for s in sets], np.int64)
                 n, full = len(sets), np.flatnonzero(counts)
-                bands, sketch, parity = (np.zeros((n, w), np.uint64) for w in (BANDS, SKETCH_WORDS, PARITY_WORDS))
+                bands, sketch = (np.zeros((n, w), np.uint64) for w in (BANDS, SKETCH_WORDS))
                 sums = np.zeros((n, 2), np.uint64)
                 if len(full):
                     shingles = np.concatenate([sets[i] for i in full])
@@ -65,20 +67,37 @@ def _features(size: int):
                     bands[full] = key.T
                     spot = mix(least ^ np.arange(samples, dtype=np.uint64)[:, None]) % np.uint64(bits)
                     sketch[full] = _folded(spot, np.arange(len(full), dtype=np.uint64), len(full), bits)
-                    parity[full] = _folded(mix(shingles) % np.uint64(64 * PARITY_WORDS), np.repeat(np.arange(len(full), dtype=np.uint64), counts[full]), len(full), 64 * PARITY_WORDS)
                     sums[full, 0] = np.add.reduceat(mix(shingles), starts)
                     sums[full, 1] = np.bitwise_xor.reduceat(shingles * np.uint64(0x9E3779B97F4A7C15), starts)
-                for c, x in zip(columns, (counts, sums[:, 0].view(np.int64), sums[:, 1].view(np.int64), bands.view(np.int64), sketch.view(np.int64), parity.view(np.int64)), strict=True):
+                for c, x in zip(columns, (counts, sums[:, 0].view(np.int64), sums[:, 1].view(np.int64), bands.view(np.int64), sketch.view(np.int64)), strict=True):
                     c.append(x)
             join = lambda c, shape: np.concatenate(c) if c else np.zeros(shape, np.int64)
             n = batch.num_rows
             counts, s1, s2 = (join(c, 0) for c in columns[:3])
-            bands, sketch, parity = (join(c, (0, w)) for c, w in zip(columns[3:], (BANDS, SKETCH_WORDS, PARITY_WORDS), strict=True))
-            listed = lambda x, w: pa.ListArray.from_arrays(pa.array(np.arange(0, n * w + 1, w), pa.int32()), pa.array(np.ascontiguousarray(x).ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts), pa.array(s1), pa.array(s2), listed(bands, BANDS), listed(sketch, SKETCH_WORDS), listed(parity, PARITY_WORDS)],
-                names=["id", "n", "s1", "s2", "bands", "sketch", "parity"],
-            )
+            bands, sketch = (join(c, (0, w)) for c, w in zip(columns[3:], (BANDS, SKETCH_WORDS), strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(s1), pa.array(s2), _listed(bands), _listed(sketch)], names=["id", "n", "s1", "s2", "bands", "sketch"])
+
+    return run
+
+
+def _listed(x: np.ndarray) -> pa.ListArray:
+    n, w = x.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * w + 1, w), pa.int32()), pa.array(np.ascontiguousarray(x).ravel()))
+
+
+def _parities(size: int):
+    """Texts with the parity bitmap of their whole set."""
+
+    def run(batches):
+        shingler = Shingler(size)
+        for batch in batches:
+            maps = [np.zeros((0, PARITY_WORDS), np.int64)]
+            for _, _, raw, at in each_chunk(batch.column(1)):
+                sets = shingler.sets(raw, at)
+                counts = np.array([len(s) for s in sets], np.int64)
+                spots = mix(np.concatenate(sets)) % np.uint64(64 * PARITY_WORDS) if len(sets) else np.zeros(0, np.uint64)
+                maps.append(_folded(spots, np.repeat(np.arange(len(sets), dtype=np.uint64), counts), len(sets), 64 * PARITY_WORDS).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _listed(np.concatenate(maps))], names=["id", "text", "parity"])
 
     return run
 
@@ -176,16 +195,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     small_batches(spark)
+    scratch = Scratch(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = "id long, n long, s1 long, s2 long, bands array<long>, sketch array<long>, parity array<long>"
-    rows = written(source.mapInArrow(_features(shingle), schema))
+    rows = scratch.keep(source.mapInArrow(_features(shingle), "id long, n long, s1 long, s2 long, bands array<long>, sketch array<long>"))
     worded = rows.filter("n > 0 and id is not null")
-    classes = cut(worded.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")))
-    first = worded.join(classes.withColumnRenamed("rep", "id"), ["id", "n", "s1", "s2"], "left_semi")
-    leaders = written(first.select(F.col("id").alias("rep"), "n", "bands", "sketch", "parity"))
-    texts = source.filter(F.col("id").isNotNull())
-    one = leaders.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"), F.col("parity").alias("pa"))
-    two = leaders.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"), F.col("parity").alias("pb"))
+    classes = scratch.keep(worded.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")))
+    leaders = worded.join(classes.withColumnRenamed("rep", "id"), ["id", "n", "s1", "s2"], "left_semi").withColumnRenamed("id", "rep")
+    keyed = leaders.select("rep", F.explode("bands").alias("key"))
+    buckets = scratch.keep(keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high"))
+    shared = scratch.keep(keyed.join(buckets, "key").distinct())
+    wanted = scratch.keep(shared.select(F.col("rep").alias("id")).distinct())
+    texts = scratch.keep(source.join(wanted, "id", "left_semi").distinct().mapInArrow(_parities(shingle), "id long, text string, parity array<long>"))
+    features = scratch.keep(leaders.select("rep", "n", "sketch").join(texts.select(F.col("id").alias("rep"), "parity"), "rep").distinct())
+    one = features.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"), F.col("parity").alias("pa"))
+    two = features.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"), F.col("parity").alias("pb"))
     apart = _flips("pa", "pb", PARITY_WORDS)
     near = (
         (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
@@ -193,42 +216,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         & (apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
     )
 
+    def beside(rows: DataFrame, pairs: DataFrame, side: DataFrame) -> DataFrame:
+        """rows (a, b, ...) of the pairs (a, b) with the columns of side by a; those of an `a` with many pairs are dealt to parts, each of which gets its row of side."""
+        parts = scratch.keep(pairs.groupBy("a").agg(F.ceil(F.count("*") / FOLLOWERS).alias("parts")))
+        dealt = rows.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).drop("parts")
+        return dealt.join(side.join(parts, "a").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts"), ["a", "part"]).drop("part")
+
     def verify(pairs: DataFrame) -> DataFrame:
         """pairs (a, b) -> those that link on their full sets."""
-        pairs = cut(pairs)
-        wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        needed = cut(texts.join(wanted, "id", "left_semi"))
-        whole = pairs.join(needed.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(needed.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+        pairs = scratch.keep(pairs)
+        mine = lambda c, text: texts.join(pairs.select(F.col(c).alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias(c), F.col("text").alias(text))
+        whole = beside(pairs.join(mine("b", "tb"), "b"), pairs, mine("a", "ta"))
         return whole.select("a", "b", "ta", "tb").mapInArrow(_verified(shingle, percent), "a long, b long")
 
-    keyed = leaders.select("rep", "n", F.explode("bands").alias("key"))
-    buckets = cut(keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high"))
     links, labels = None, None
     for lead in ("low", "high"):
-        stars = keyed.join(buckets.select("key", F.col(lead).alias("a")), "key").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+        stars = shared.select(F.col(lead).alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
         if labels is not None:
             stars = _across(stars, labels)
-        tested = stars.join(two, "b").join(one, "a").filter(near)
+        stars = scratch.keep(stars)
+        tested = beside(stars.join(two, "b"), stars, one).filter(near)
         best = tested.groupBy("b").agg(F.min_by("a", F.struct((apart / (F.col("na") + F.col("nb"))).alias("x"), "a")).alias("a"))
-        linked = cut(verify(best.select("a", "b")))
+        linked = scratch.keep(verify(best.select("a", "b")))
         links = linked if links is None else links.unionByName(linked)
-        labels = components(links)
+        labels = components(links, scratch)
 
     # links between different components of one bucket
-    marked = keyed.join(buckets, "key").join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("c", "rep").alias("c"))
-    mixed = marked.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
-    open_rows = cut(marked.join(mixed, "key", "left_semi").join(leaders.select("rep", "n", "sketch", "parity"), ["rep", "n"]))
+    marked = scratch.keep(shared.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", F.coalesce("c", "rep").alias("c")))
+    mixed = scratch.keep(marked.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key"))
+    open_rows = scratch.keep(marked.join(mixed, "key", "left_semi").join(features, "rep"))
     sizes = open_rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     dealt = open_rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("long"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "c", "sketch", "parity")
     sorted_rows = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     pairs = sorted_rows.mapInArrow(_open_pairs(percent), "a long, b long").distinct()
-    labels = components(links.unionByName(verify(pairs)))
+    labels = components(links.unionByName(verify(pairs)), scratch)
 
     named = classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("c", "rep").alias("component_id"))
     grouped = worded.select("id", "n", "s1", "s2").join(named, ["n", "s1", "s2"]).select("id", "n", "component_id")
     alone = rows.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
-    return grouped.unionByName(alone).select(
+    out = grouped.unionByName(alone).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
     )
+    out = Scratch(spark).keep(out)
+    scratch.drop()
+    return out
