@@ -1,68 +1,74 @@
 """The corpus pipeline: five stages over documents, each applying one operator to all that its predecessor kept.
 
-The first stage writes a key for every row; decisions are made and applied by that key, so rows with a null or repeated id are judged by their own text.
+Toxicity and decontamination judge each row where it stands, whatever its id. The two deduplications name rows by their place in the files of their input, so rows with a null or
+repeated id are judged by their own text.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import table, written
-from ledgerloom.llm.decontaminate import contaminated
+from ledgerloom.llm.common import Scratch, table
+from ledgerloom.llm.decontaminate import clean_rows
 from ledgerloom.llm.exact_dedup import exact_duplicates
 from ledgerloom.llm.near_dedup import near_duplicates
 from ledgerloom.llm.queries import PIECES
-from ledgerloom.llm.toxicity import fit, scores
+from ledgerloom.llm.toxicity import fit, mild_rows
 from ledgerloom.llm.unigram import encode
 
-
 KEY = "_row_key"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key for every row, written so that it is the same at every use."""
-    return docs if KEY in docs.columns else written(docs.withColumn(KEY, F.monotonically_increasing_id()))
-
+    """docs with a number for every row that is the same at every use: the hash of its file plus its place there, or a written number where docs don't come from files.
 
-def _drop(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of docs but those whose key is dropped."""
-    return docs.join(dropped.select(KEY).distinct(), KEY, "left_anti")
+    Two files of a table clash only if their 64-bit hashes lie closer together than a file has rows.
+    """
+    try:
+        keyed = docs.select("*", (F.shiftright(F.xxhash64(F.col("_metadata.file_path")), 1) + F.col("_metadata.row_index")).alias(KEY))
+        keyed.schema
+    except AnalysisException:
+        return Scratch(docs.sparkSession).keep(docs.withColumn(KEY, F.monotonically_increasing_id()))
+    return keyed
 
 
 def _one_of_each(docs: DataFrame, groups: DataFrame, largest: bool) -> DataFrame:
-    """Of the rows of each group (key, same) the one with the largest or smallest id; a row with a null id only where its group holds no id."""
-    named = groups.join(docs.select(KEY, F.col("doc_id").cast("long").alias("id")), KEY)
+    """docs without those rows of a group (KEY, same) that aren't its first by id; a row with a null id is first only where its group holds no id."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    several = groups.join(groups.groupBy("same").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "same")
+    named = scratch.keep(several.join(docs.select(KEY, F.col("doc_id").cast("long").alias("id")), KEY))
     first = F.max(F.struct("id", KEY)) if largest else F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", KEY))
-    return docs.join(named.groupBy("same").agg(first.alias("first")).select(F.col(f"first.{KEY}").alias(KEY)), KEY, "left_semi")
+    gone = scratch.keep(named.join(named.groupBy("same").agg(first.alias("first")).select(F.col(f"first.{KEY}").alias(KEY)), KEY, "left_anti").select(KEY))
+    return docs.join(gone, KEY, "left_anti").drop(KEY)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.7."""
-    docs = _keyed(docs)
-    return _drop(docs, scores(docs, *fit(docs, table(spark, sf_dir, "labels")), id_col=KEY).filter("predicted = 1"))
+    """Rows whose toxicity score is below 0.7; repeated rows are judged alike, null and empty texts stay."""
+    return mild_rows(docs, *fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of byte-identical texts the document with the largest id; of repeated rows one."""
+    """Of byte-identical texts, null and empty ones being equal, the row with the largest id; of repeated rows one."""
     docs = _keyed(docs)
-    return _one_of_each(docs, exact_duplicates(docs, KEY).select(KEY, F.col("keep_id").alias("same")), largest=True)
+    return _one_of_each(docs, exact_duplicates(docs, KEY).filter("group_size > 1").select(KEY, F.col("keep_id").alias("same")), largest=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest id."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the row with the smallest id; texts without words stay."""
     docs = _keyed(docs)
-    return _one_of_each(docs, near_duplicates(docs, KEY).select(KEY, F.col("component_id").alias("same")), largest=False)
+    return _one_of_each(docs, near_duplicates(docs, KEY).filter("n_shingles > 0").select(KEY, F.col("component_id").alias("same")), largest=False)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item occurs within its edit budget."""
-    docs = _keyed(docs)
-    return _drop(docs, contaminated(docs, table(spark, sf_dir, "benchmark"), KEY))
+    """Rows in which no benchmark item occurs within its edit budget; repeated rows are judged alike, null and empty texts stay."""
+    return clean_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of all remaining documents."""
+    """Piece ids of all remaining documents; null ids pass through, null and empty texts give no pieces, repeated rows repeated results."""
     return encode(docs, PIECES)
 
 
@@ -79,8 +85,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents, each written as Parquet in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply all stages to documents, each written as Parquet in the shared folder and read again; a table goes when the next one is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        scratch = Scratch(spark)
+        docs = scratch.keep(stage(spark, docs, sf_dir))
+        if last:
+            last.drop()
+        last = scratch
     return STAGES[-1][1](spark, docs, sf_dir)
