@@ -69,7 +69,8 @@ class _Page:
     """Blocks of a page: raw text, element number, characters in links; and per element its parent, tag and path."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.named, self.path = [-1], ["#"], [False], ["#"]
+        self.parent, self.tag, self.named, self.path, self.inside = [-1], ["#"], [False], [0], [False]
+        self._numbers: dict[tuple[int, str], int] = {}  # a path is the number of its parent's path and a tag
         self.blocks: list[tuple[str, int, int]] = []
         self._stack, self._text, self._linked, self._owner, self._in_link = [0], [], 0, 0, 0
         self._inline: list[str] = []
@@ -115,12 +116,13 @@ class _Page:
         elif self.tag[self._stack[-1]] == "p":
             self._pop()
         above = self._stack[-1]
-        inside = "/article" in self.path[above] or "/main" in self.path[above]
+        inside = self.inside[above]
         self._flush()
         self.parent.append(above)
         self.tag.append(tag)
         self.named.append(_is_furniture(tag, attrs, inside))
-        self.path.append(f"{self.path[above]}/{tag}" if len(self.path[above]) < 2000 else self.path[above])
+        self.path.append(self._numbers.setdefault((self.path[above], tag), len(self._numbers) + 1))
+        self.inside.append(inside or tag in ("article", "main"))
         self._stack.append(len(self.tag) - 1)
         self._inline, self._in_link = [], 0
 
@@ -129,10 +131,7 @@ class _Page:
 
         A name says nothing about an element that holds more article or main text than stands free, or half of the text of a page without those.
         """
-        size = range(len(self.tag))
-        inside = [False] * len(self.tag)
-        for e in size:
-            inside[e] = self.tag[e] in ("article", "main") or e > 0 and inside[self.parent[e]]
+        size, inside = range(len(self.tag)), self.inside
         text, told = [0] * len(self.tag), [0] * len(self.tag)
         for t, e, linked in self.blocks:
             text[e] += len(t) - linked
@@ -215,14 +214,11 @@ def main_text(source: str | None) -> str:
     blocks = [b for b in page.blocks if not dropped[b[1]]]
     if not blocks:
         return ""
-    number: dict[str, int] = {}
+    number: dict[int, int] = {}
     paths = np.array([number.setdefault(page.path[e], len(number)) for _, e, _ in blocks])
     lengths = np.array([len(t) - linked for t, _, linked in blocks], float)
     marks = np.array([sum(map(t.count, PUNCTUATION)) for t, _, _ in blocks], float)
-    told = [False] * len(page.tag)
-    for e in range(1, len(page.tag)):
-        told[e] = page.tag[e] in ("article", "main") or told[page.parent[e]]
-    inside = np.array([told[e] for _, e, _ in blocks])
+    inside = np.array([page.inside[e] for _, e, _ in blocks])
     near = inside if lengths[inside].any() else _in_container(page, blocks, content_nodes(lengths, marks, paths), lengths)
     chosen = content_nodes(lengths, marks, paths, np.where(near, 1.0, OUTSIDE))
     return "\n".join(t for (t, _, _), c in zip(blocks, _with_short_nodes(page, blocks, chosen, inside, lengths), strict=True) if c)
@@ -289,7 +285,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """Main text of every page: (page_id, url, text, n_chars).
 
     Null and empty pages and pages without text give an empty text; null ids and urls pass through; repeated rows give repeated results; an unclosed
-    comment or script runs to the end of the page; an empty table gives no rows. n_chars counts code points.
+    comment or script runs to the end of the page; pages of any length and depth are read whole; an empty table gives no rows. n_chars counts code points.
     """
     small_batches(pages.sparkSession)
     source = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))

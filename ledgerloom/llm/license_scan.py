@@ -1,15 +1,19 @@
 """License scans with DataFrame functions only.
 
-Every text is cut into overlapping windows of words. A window that holds a shingle of any template is a hit. MinHash bands would lose a template of
-a single shingle, one sixth of a window, now and then, so hits are found exactly: templates are few, and so are their shingles. The region
-around every hit is then compared with each template: exact containment of the template's shingles decides.
+Templates are a table of license texts. The word shingles of every document are looked up among those of the templates by a join, which names the templates that a place may belong to;
+around every such place the window of a template's length is compared with that template alone, by the exact share of its shingles that the window holds.
+
+MinHash bands over windows would lose a template of a single shingle now and then, however many bands there are, so places are retrieved by exact shingles instead; they find all
+that bands could find.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
+
 # License notices to look for.
 TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
@@ -24,7 +28,7 @@ TEMPLATES = {
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "public-domain": "This work has been released into the public domain",
 }
-SHINGLE, WINDOW, STRIDE = 3, 6, 4  # words; shingles; shingles
+SHINGLE = 3  # words
 
 
 def shingles(text: Column) -> Column:
@@ -41,42 +45,26 @@ def shingles(text: Column) -> Column:
     )
 
 
-def windows(hashes: Column) -> Column:
-    """Overlapping windows (at, part) of shingle hashes; the last may be shorter."""
-    starts = F.when(F.size(hashes) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(F.size(hashes) - 1, F.lit(0)), F.lit(STRIDE)))
-    return F.transform(starts, lambda s: F.struct(s.alias("at"), _part(hashes, s, WINDOW).alias("part")))
-
-
-def _part(hashes: Column, first: Column, length: int) -> Column:
-    """Up to `length` elements from a place on; unlike slice() it doesn't copy the whole array first."""
-    return F.transform(F.sequence(first, F.least(first + length, F.size(hashes)) - 1), lambda i: F.get(hashes, i))
-
-
-def _share(hashes: list[int], reach: int) -> Column:
-    """The largest share of a template's shingles found in the region around any hit."""
-    template = F.array(*(F.lit(v).cast("bigint") for v in hashes))
-    held = F.transform("hits", lambda s: F.size(F.array_intersect(_part(F.col("h"), F.greatest(s - reach, F.lit(0)), WINDOW + 2 * reach), template)))
-    return F.round(F.array_max(held) / len(hashes), 6)
+def template_table(spark: SparkSession, templates: dict[str, str] | None = None) -> DataFrame:
+    """(license, text) of a few templates, by default the notices above."""
+    return spark.createDataFrame(sorted((templates or TEMPLATES).items()), "license string, text string")
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Licenses found: (id, license, containment), one row per row and license, with the largest containment around any hit.
+def scan(docs: DataFrame, templates: DataFrame | None = None, containment: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Licenses found: (id, license, containment), one row per row and license, with the largest containment in any window of the template's length.
 
-    Null and empty texts match nothing; a null id is kept; repeated rows give repeated results; an empty table gives no rows. The templates are a
-    parameter of a few entries and travel as literals.
+    templates: license, text; any number of them, of any length. Their shingles are broadcast only if Spark finds the table small. Null and empty texts match nothing; a null id is kept; repeated rows
+    give repeated results; texts of any length are read whole; templates without words match nothing; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    listed = spark.createDataFrame(sorted((templates or TEMPLATES).items()), "license string, text string").select("license", shingles(F.col("text")).alias("h"))
-    known = listed.select("license", F.array_distinct("h").alias("h")).collect()
-    reach = max((len(r.h) for r in known), default=1)
-    anything = F.array(*(F.lit(v).cast("bigint") for v in sorted({v for r in known for v in r.h})))
-    # Filters that use the row number stay above the projection that makes it; else Spark would evaluate all shingles anew for every use of them.
-    numbered = F.col("row") >= 0
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), shingles(F.col(text_col).cast("string")).alias("h"))
-    rows = rows.filter(numbered & F.arrays_overlap("h", anything))
-    rows = rows.select("id", "h", F.monotonically_increasing_id().alias("row"), windows(F.col("h")).alias("w"))
-    rows = rows.filter(numbered).select("id", "h", F.monotonically_increasing_id().alias("row"), F.transform(F.filter("w", lambda w: F.arrays_overlap(w.part, anything)), lambda w: w.at).alias("hits"))
-    rows = rows.filter(numbered & (F.size("hits") > 0))
-    shares = [F.struct(F.lit(r.license).alias("license"), _share(r.h, reach).alias("containment")) for r in known]
-    found = rows.select("id", F.monotonically_increasing_id().alias("row"), F.array(*shares).alias("shares")).filter(numbered).select("id", F.inline("shares"))
-    return found.filter(F.col("containment") >= containment).select(F.col("id").alias(id_col), "license", "containment")
+    listed = templates if templates is not None else template_table(docs.sparkSession)
+    known = listed.select("license", F.array_distinct(shingles(F.col("text"))).alias("h"))
+    known = cut(known.select("license", F.size("h").alias("of"), F.explode("h").alias("s")).distinct())
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.select("id", "row", F.posexplode(shingles(F.col("text"))).alias("at", "s"))
+    places = rows.join(known, "s").groupBy("id", "row", "license", "of").agg(F.array_sort(F.collect_list(F.struct("at", "s"))).alias("p"))
+    places = places.filter(F.size("p") >= containment * F.col("of"))
+    # At most one place stands at each position, so a window of the template's length holds at most as many.
+    window = lambda first, i: F.filter(F.slice("p", i + 1, F.col("of")), lambda x: x["at"] < first["at"] + F.col("of"))
+    held = F.array_max(F.transform("p", lambda first, i: F.size(F.array_distinct(F.transform(window(first, i), lambda x: x["s"])))))
+    share = F.round(held / F.col("of"), 6)
+    return places.select(F.col("id").alias(id_col), "license", share.alias("containment")).filter(F.col("containment") >= containment)

@@ -1,8 +1,8 @@
 """Quality by co-training: one classifier reads the text, one the page's metadata, and each teaches the other.
 
-Both are logistic regressions, fitted on a bounded sample. In each round a view labels the unlabelled rows that it is
-surest of, and those join the other view's training rows. At the end each view is calibrated on labelled rows left aside, and the
-calibrated log odds are combined with weights fitted on the same rows. All documents are then scored.
+Both are logistic regressions, fitted on a bounded sample of labelled rows. In each round a view judges all unlabelled documents, and some of
+those that it is sure of, drawn from all of them by a hash of their id, join the other view's training rows. At the end each view is calibrated on labelled rows left aside, and the
+calibrated log odds are combined with weights fitted on the same rows. All documents are then scored. Features are computed once and kept.
 """
 
 from __future__ import annotations
@@ -11,13 +11,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches
+from .common import Scratch, held_out, small_batches
 
-#: Labelled and unlabelled rows that the views are fitted on, at most; rounds; pseudo-labels of each class that a view hands over in a round.
-LABELLED, UNLABELLED, ROUNDS, HANDED = 6000, 6000, 5, 100
+#: Labelled rows that the views are fitted on, at most; rounds; pseudo-labels of each class that a view hands over in a round, at most.
+LABELLED, ROUNDS, HANDED = 6000, 3, 500
 SURE = 0.9  # least probability of a pseudo-label
 _BUCKETS = 32
 _SYMBOLS = "#%$&*|<>{}[]=_~^"
@@ -41,6 +41,10 @@ def metadata_view(lang: str | None, source: str | None, n_chars: int | None) ->
     return out
 
 
+#: Features of each view.
+TEXT, METADATA = len(text_view("")), len(metadata_view(None, None, None))
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0) -> np.ndarray:
     """Newton steps; the bias comes last and is hardly held back."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -56,67 +60,115 @@ def odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.clip(x @ w[:-1] + w[-1], -30, 30)
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(weights of the text view, of the metadata view, of their combination). y: 0, 1, or -1 for unlabelled rows."""
-    order = np.arange(len(y))
-    aside = (y >= 0) & (order % 5 == 0)
-    truth = [np.where((y >= 0) & ~aside, y, -1) for _ in views]
-    if (y >= 0).sum() < 10 or len(set(y[(y >= 0) & ~aside])) < 2 or len(set(y[aside])) < 2:
-        base = (max((y == 1).sum(), 0) + 1) / ((y >= 0).sum() + 2)
-        return np.zeros(views[0].shape[1] + 1), np.zeros(views[1].shape[1] + 1), np.array([0.0, 0.0, np.log(base / (1 - base))])
-    fit = lambda v: fit_logistic(views[v][truth[v] >= 0], truth[v][truth[v] >= 0])
-    for _ in range(ROUNDS):
-        weights = [fit(0), fit(1)]
-        for v in (0, 1):
-            other, free = 1 - v, np.flatnonzero((truth[1 - v] < 0) & ~aside & (y < 0))
-            p = 1 / (1 + np.exp(-odds(views[v][free], weights[v])))
-            for label, confidence in ((1, p), (0, 1 - p)):
-                best = free[np.argsort(-confidence, kind="stable")[:HANDED]]
-                sure = np.sort(-confidence)[: len(best)] <= -SURE
-                truth[other][best[sure]] = label
-    weights = [fit(0), fit(1)]
-    both = np.column_stack([odds(views[v][aside], weights[v]) for v in (0, 1)])
-    return weights[0], weights[1], fit_logistic(both, y[aside])
+def calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slope and shift that turn a view's log odds into calibrated ones."""
+    w = fit_logistic(x[:, None], y, ridge=1e-2)
+    return np.array([max(w[0], 0.0), w[1]])
+
+
+def finish(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, weights: list[np.ndarray]) -> tuple:
+    """The model (text weights, metadata weights, calibration of each, combination) from labelled rows left aside."""
+    raw = [odds(views[v], weights[v]) for v in (0, 1)]
+    scales = [calibrate(r, y) for r in raw]
+    both = np.column_stack([r * scale[0] + scale[1] for r, scale in zip(raw, scales, strict=True)])
+    return weights[0], weights[1], scales[0], scales[1], fit_logistic(both, y)
+
+
+def base_rate(y: np.ndarray) -> tuple:
+    """A model that gives every document the share of good labels, where labels don't suffice to learn."""
+    base = ((y == 1).sum() + 1) / ((y >= 0).sum() + 2)
+    return np.zeros(TEXT + 1), np.zeros(METADATA + 1), np.array([1.0, 0.0]), np.array([1.0, 0.0]), np.array([0.0, 0.0, np.log(base / (1 - base))])
 
 
 def _features(batches):
     for batch in batches:
-        ids, texts, langs, sources, sizes, labels = (c.to_pylist() for c in batch.columns)
+        ids, texts, langs, sources, sizes = (c.to_pylist() for c in batch.columns)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([text_view(t or "") for t in texts], pa.list_(pa.float64())), pa.array([metadata_view(*m) for m in zip(langs, sources, sizes, strict=True)], pa.list_(pa.float64())), pa.array(labels, pa.int32())],
-            names=["id", "text_view", "metadata_view", "label"],
+            [pa.array(ids, pa.int64()), pa.array([text_view(t or "") for t in texts], pa.list_(pa.float64())), pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array(sizes, pa.int64())],
+            names=["id", "text_view", "lang", "source", "n_chars"],
         )
 
 
-def _scored(model):
+FEATURES = "id long, text_view array<double>, lang string, source string, n_chars long"
+
+
+def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Both views of the rows of FEATURES."""
+    text = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, TEXT)
+    metadata = np.array([metadata_view(*m) for m in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)], float).reshape(batch.num_rows, METADATA)
+    return text, metadata
+
+
+def _sure(weights: list[np.ndarray]):
+    """Rows of FEATURES that a view is sure of, once for each such view, with the view and its label."""
+
     def run(batches):
         for batch in batches:
-            ids, texts, langs, sources, sizes = (c.to_pylist() for c in batch.columns)
-            a = odds(np.array([text_view(t or "") for t in texts]).reshape(len(ids), -1), model[0]) if ids else np.zeros(0)
-            b = odds(np.array([metadata_view(*m) for m in zip(langs, sources, sizes, strict=True)]).reshape(len(ids), -1), model[1]) if ids else np.zeros(0)
-            p = 1 / (1 + np.exp(-odds(np.column_stack([a, b]), model[2])))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(a), pa.array(b), pa.array(np.round(p, 9))], names=["id", "text_odds", "metadata_odds", "score"])
+            if not batch.num_rows:
+                continue
+            for v, x in enumerate(_views(batch)):
+                p = 1 / (1 + np.exp(-odds(x, weights[v])))
+                keep = np.flatnonzero(np.maximum(p, 1 - p) >= SURE)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.take(pa.array(keep)).columns, pa.array(np.full(len(keep), v, np.int32)), pa.array((p[keep] > 0.5).astype(np.int32))], names=["id", "text_view", "lang", "source", "n_chars", "view", "label"]
+                )
 
     return run
 
 
+def _scored(model: tuple):
+    def run(batches):
+        for batch in batches:
+            views = _views(batch)
+            a, b = (odds(views[v], model[v]) * model[2 + v][0] + model[2 + v][1] for v in (0, 1))
+            p = 1 / (1 + np.exp(-odds(np.column_stack([a, b]), model[4])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a), pa.array(b), pa.array(np.round(p, 9))], names=["id", "text_odds", "metadata_odds", "score"])
+
+    return run
+
+
+def _collected(rows: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """(views, labels, ids) of a bounded table of FEATURES and label."""
+    got = sorted(rows.collect(), key=lambda r: (zlib.crc32(str(r.id).encode()), r.id))
+    text = np.array([r.text_view for r in got], float).reshape(len(got), TEXT)
+    metadata = np.array([metadata_view(r.lang, r.source, r.n_chars) for r in got], float).reshape(len(got), METADATA)
+    return (text, metadata), np.array([r.label for r in got], int), np.array([r.id for r in got], np.int64)
+
+
+def co_train(features: DataFrame, taught: DataFrame, known: DataFrame) -> tuple:
+    """The model of both views. features: FEATURES of all documents; taught: at most LABELLED ids with label; known: ids that have a label, held out or not."""
+    one = features.join(F.broadcast(taught), "id").groupBy("id").agg(F.min_by(F.struct("text_view", "lang", "source", "n_chars"), F.hash("text_view", "lang", "source", "n_chars")).alias("f"), F.max("label").alias("label"))
+    views, y, _ = _collected(one.select("id", "f.*", "label"))
+    aside = np.arange(len(y)) % 5 == 0
+    if len(y) < 10 or len(set(y[~aside])) < 2 or len(set(y[aside])) < 2:
+        return base_rate(y)
+    free = features.filter("id is not null").join(known.select("id"), "id", "left_anti")
+    train = [(views[v][~aside], y[~aside]) for v in (0, 1)]
+    weights = [fit_logistic(*train[v]) for v in (0, 1)]
+    for _ in range(ROUNDS):
+        sure = free.mapInArrow(_sure(weights), FEATURES + ", view int, label int").dropDuplicates(["id", "view"])
+        drawn = sure.withColumn("n", F.row_number().over(Window.partitionBy("view", "label").orderBy(F.xxhash64("id"), "id"))).filter(F.col("n") <= HANDED)
+        for v in (0, 1):
+            handed, labels, _ = _collected(drawn.filter(F.col("view") == 1 - v).drop("view", "n"))
+            if len(labels):
+                train[v] = (np.concatenate([views[v][~aside], handed[v]]), np.concatenate([y[~aside], labels]))
+        weights = [fit_logistic(*train[v]) for v in (0, 1)]
+    return finish((views[0][aside], views[1][aside]), y[aside], weights)
+
+
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Score every document from 0 to 1: (doc_id, held_out, text_odds, metadata_odds, score, predicted).
+    """Score every document from 0 to 1: (doc_id, held_out, text_odds, metadata_odds, score, predicted); the odds are calibrated.
 
     Labels are learnt only from rows that are not held out. Nulls: a null text counts as empty, null metadata has values of its own, null labels are left
-    out, a null id is scored and not held out. Without labels of both kinds every document gets the base rate. An empty table gives no rows.
+    out, a null id is scored and not held out. Repeated rows are scored alike and teach once; texts of any length are read whole. Without labels of both kinds every document gets the base rate.
+    An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
-    known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("label")).dropna().groupBy("id").agg(F.max("label").alias("label"))
-    taught = known.filter(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").limit(LABELLED)
-    free = rows.select("id").dropna().join(known.select("id"), "id", "left_anti").distinct().orderBy(F.xxhash64("id"), "id").limit(UNLABELLED).withColumn("label", F.lit(-1))
-    sample = rows.join(F.broadcast(taught.unionByName(free)), "id")
-    got = sample.mapInArrow(_features, "id long, text_view array<double>, metadata_view array<double>, label int").collect()
-    got.sort(key=lambda r: (zlib.crc32(str(r.id).encode()), r.id))
-    shape = (len(got), -1) if got else (0, 1)
-    model = co_train((np.array([r.text_view for r in got]).reshape(shape), np.array([r.metadata_view for r in got]).reshape(shape)), np.array([r.label for r in got]))
-    if not got:
-        model = (np.zeros(len(text_view("")) + 1), np.zeros(len(metadata_view(None, None, None)) + 1), model[2])
-    scored = rows.mapInArrow(_scored(model), "id long, text_odds double, metadata_odds double, score double")
+    features = scratch.keep(rows.mapInArrow(_features, FEATURES))
+    known = scratch.keep(labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("label")).dropna().groupBy("id").agg(F.max("label").alias("label")))
+    taught = scratch.keep(known.filter(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").limit(LABELLED))
+    model = co_train(features, taught, known)
+    scored = features.mapInArrow(_scored(model), "id long, text_odds double, metadata_odds double, score double")
     return scored.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "text_odds", "metadata_odds", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

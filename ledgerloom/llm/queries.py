@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contaminated
@@ -15,7 +14,7 @@ from .quality import quality
 from .token_counts import histogram, token_lengths
 from .toxicity import toxicity
 from .unigram import encode
-from .url_filter import judge
+from .url_filter import LONG_SUFFIXES, judge, rule_outcomes
 
 #: Vocabulary file that the encoding queries use; a parameter of the operators.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -39,10 +38,9 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes: the labels of the document with the page's id; a page is bad if that is of low quality or toxic."""
-    labels = table(spark, sf_dir, "labels")
-    outcomes = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
-    return judge(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+    """Outcomes: what the rules say about the pages that they judge."""
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, rule_outcomes(pages, URL_RULES), URL_RULES)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,14 +89,22 @@ ORACLE_SQL = {
         SELECT sets.doc_id, len(s)::BIGINT AS n_shingles, c AS component_id, sets.doc_id = c AS kept
         FROM sets JOIN (SELECT v, min(r) AS c FROM reach GROUP BY v) ON v = sets.doc_id
     """,
-    "op4_url_filter": r"""
+    "op4_url_filter": rf"""
         WITH rest AS (
             SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages
-        ), p AS (
+        ), parts AS (
             SELECT page_id, translate(regexp_extract(r, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
-        ), o AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1),
+        ), p AS (
+            SELECT *, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+                WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+                WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+                WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+            FROM parts
+        ), o AS (SELECT page_id, max(CASE WHEN rule IN ('org/', 'com/fr/') THEN 0 ELSE 1 END) AS bad FROM p WHERE rule IS NOT NULL GROUP BY 1),
         h AS (
-            SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix
+            SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k, CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN ({", ".join(f"'{x}'" for x in LONG_SUFFIXES)}) THEN 2 ELSE 1 END AS labels,
+                array_to_string(string_split(host, '.')[-labels - 1:], '.') AS domain, array_to_string(string_split(host, '.')[-labels:], '.') AS suffix
             FROM p LEFT JOIN o USING (page_id) GROUP BY host
         ), g AS (
             SELECT 'suffix' AS level, sum(n) AS n, sum(k) AS k FROM h GROUP BY suffix UNION ALL SELECT 'domain', sum(n), sum(k) FROM h GROUP BY domain UNION ALL SELECT 'host', n, k FROM h
@@ -109,19 +115,11 @@ ORACLE_SQL = {
         sx AS (SELECT suffix, (sum(h.k) + any_value(m) * any_value(rate)) / (sum(h.n) + any_value(m)) AS r FROM h, prior WHERE level = 'suffix' GROUP BY suffix),
         dm AS (SELECT h.domain, (sum(h.k) + any_value(m) * any_value(sx.r)) / (sum(h.n) + any_value(m)) AS r FROM h JOIN sx USING (suffix), prior WHERE level = 'domain' GROUP BY h.domain),
         ab AS (SELECT host, n, h.k, h.k + m * dm.r AS a, n - h.k + m * (1 - dm.r) AS b FROM h JOIN dm USING (domain), prior WHERE level = 'host'),
-        post AS (SELECT host, n, k, round(greatest(a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 0), 9) AS bound FROM ab),
-        ruled AS (
-            SELECT *, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
-                WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
-                WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
-                WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
-                WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
-            FROM p JOIN post USING (host)
-        )
+        post AS (SELECT host, n, k, round(greatest(a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 0), 9) AS bound FROM ab)
         SELECT page_id, host, path, rule,
             CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict,
             n::BIGINT AS labelled, k::BIGINT AS bad, bound AS lower_bound
-        FROM ruled
+        FROM p JOIN post USING (host)
     """,
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,

@@ -230,6 +230,21 @@ def test_content_outside_the_main_container_stays():
     assert html_extract.main_text(page).split("\n") == [LONG, "1", "2", LONG]
 
 
+def test_deep_pages_keep_their_paths_apart():
+    deep = "<div>" * 700 + "<p>An advert of a few words</p><section>" + "<p>A sentence of the article, long enough to count as prose, follows here. It ends.</p>" * 5 + "</section>" + "</div>" * 700
+    page = html_extract._Page(f"<body>{deep}</body>")
+    assert len({page.path[e] for _, e, _ in page.blocks}) == 2 and html_extract.main_text(f"<body>{deep}</body>").count("A sentence") == 5
+
+
+def test_outputs_depend_on_the_ratios(spark, monkeypatch):
+    """With every node taken for content most pages without telling names come out different."""
+    filler = "<p>A sentence of the article, long enough to count as prose, follows here; it ends.</p>"
+    pages = [f"<body><div><div>Buy now {i}</div><div>Log in</div></div><section>{filler * (i + 3)}</section><div><span>Contact us</span></div></body>" for i in range(10)]
+    before = [html_extract.main_text(p) for p in pages]
+    monkeypatch.setattr(html_extract, "content_nodes", lambda lengths, marks, paths, prior=1.0: np.ones(len(lengths), bool))
+    assert all("Buy now" not in t and t.count("A sentence") == i + 3 for i, t in enumerate(before)) and all(html_extract.main_text(p) != t for p, t in zip(pages, before, strict=True))
+
+
 def test_drawings_and_formulas():
     for drawing in ('<svg class="i"/>', '<svg><path d="M0"/><text>no</text></svg>', '<svg viewBox="0 0 1 1">'):
         assert html_extract.main_text(f"<article><p>One.</p>{drawing}<p>Two.</p></article>") == "One.\nTwo."
@@ -244,14 +259,32 @@ def test_pages_are_extracted_whole(spark):
 
 
 def test_licenses_against_search(spark, odd):
-    docs = documents(spark).collect()
-    plain = lambda t: " " + " ".join(re.findall(r"[^\W_]+", t.lower())) + " "
-    want = {(d.doc_id, k) for d in docs for k, v in license_scan.TEMPLATES.items() if plain(v) in plain(d.text or "")}
-    got = {(r.doc_id, r.license) for r in license_scan.scan(documents(spark)).collect()}
-    assert want <= got and want
+    """Every document and template by a plain sliding window over word triples."""
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    grams = lambda w: [tuple(w[i : i + 3]) for i in range(max(len(w) - 2, 1))] if w else []
+    templates = {k: set(grams(words(v))) for k, v in license_scan.TEMPLATES.items()}
+    want = set()
+    for d in documents(spark).collect():
+        said = grams(words(d.text or ""))
+        for k, t in templates.items():
+            best = max((len(t.intersection(said[i : i + len(t)])) for i in range(len(said)) if said[i] in t), default=0) / len(t)
+            if best >= 0.8:
+                want.add((d.doc_id, k, round(best, 6)))
+    assert {(r.doc_id, r.license, r.containment) for r in license_scan.scan(documents(spark)).collect()} == want and want
     assert license_scan.scan(odd).count() == 0 and license_scan.scan(odd.limit(0)).count() == 0
-    short = spark.createDataFrame([(1, "All rights reserved."), (2, "rights reserved"), (None, "x y z. ALL RIGHTS RESERVED")], "doc_id long, text string")
-    assert sorted(str(r.doc_id) for r in license_scan.scan(short).collect()) == ["1", "None"]
+    short = spark.createDataFrame([(1, "All rights reserved."), (2, "rights reserved"), (None, "x y z. ALL RIGHTS RESERVED"), (3, "word " * 50000 + "All rights reserved." * 2), (1, "All rights reserved.")], "doc_id long, text string")
+    assert sorted(str(r.doc_id) for r in license_scan.scan(short).collect()) == ["1", "1", "3", "None"]
+
+
+def test_long_templates_with_edits(spark):
+    draw = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    changed = [w if draw.random() > 0.04 else "x" for w in words]
+    docs = spark.createDataFrame([(1, "a b c " + " ".join(changed)), (2, " ".join(words[:200])), (3, " ".join(words))], "doc_id long, text string")
+    table = spark.createDataFrame([("long", " ".join(words)), ("nothing", "...")], "license string, text string")
+    found = {r.doc_id: r.containment for r in license_scan.scan(docs, table).collect()}
+    share = len({tuple(words[i : i + 3]) for i in range(398)} & {tuple(changed[i : i + 3]) for i in range(398)}) / 398
+    assert found == {1: round(share, 6), 3: 1.0} if share >= 0.8 else found == {3: 1.0}
 
 
 def test_single_shingle_templates_are_found_everywhere(spark):
@@ -323,11 +356,50 @@ def test_toxicity_odd_rows(spark, odd, labels):
     assert kept.count() == len(ODD) and kept.columns == odd.columns
 
 
+def plain_distance(item, text):
+    """Least edit distance between the item and any part of the text, by the textbook table."""
+    row = list(range(len(item) + 1))
+    best = row[-1]
+    for c in text:
+        above, row = row, [0]
+        for j, x in enumerate(item, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != c)))
+        best = min(best, row[-1])
+    return best
+
+
+def test_contamination_against_every_pair(spark):
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choice("abcde") for _ in range(draw.randrange(2, 7)))
+    items = [" ".join(word() for _ in range(draw.randrange(3, 14))) for _ in range(12)]
+    texts = []
+    for n in range(40):
+        inner = list(items[n % 12])
+        for _ in range(n % 5):
+            at = draw.randrange(len(inner))
+            inner[at : at + 1] = draw.choice([[], [draw.choice("abcde")], [inner[at], "b"]])
+        texts.append(" ".join(word() for _ in range(15)) + " " + "".join(inner) + " " + " ".join(word() for _ in range(15)))
+    texts += [texts[0], "", " ".join([texts[1]] * 40)]
+    docs = spark.createDataFrame([(i % 41, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(100 + i, t) for i, t in enumerate(items)], "item_id long, text string")
+    want = []
+    for i, t in enumerate(texts):
+        for j, item in enumerate(map(decontaminate.normalise, items)):
+            k, d = decontaminate.budget(len(item)), plain_distance(item, decontaminate.normalise(t))
+            if d <= k:
+                want.append((i % 41, 100 + j, d, k))
+    assert rows(decontaminate.contaminated(docs, bench), "doc_id", "item_id", "distance", "budget") == sorted(want) and len({w[2] for w in want}) > 1
+    held = {w[0] for w in want}
+    assert {r.doc_id for r in decontaminate.clean_rows(docs, bench).collect()} == {i % 41 for i, t in enumerate(texts) if i % 41 not in held or i >= 41 and not any(plain_distance(decontaminate.normalise(x), decontaminate.normalise(t)) <= decontaminate.budget(len(x)) for x in items)}
+
+
 def test_quality_on_held_out_rows(spark, odd, labels):
     sf = "/root/testdata/sf0.01"
     truth = spark.read.parquet(f"{sf}/labels.parquet")
     held = quality(spark.read.parquet(f"{sf}/documents.parquet"), truth).join(truth, "doc_id").filter("held_out")
     assert held.filter("predicted = quality").count() / held.count() > 0.93
+    calibrated = held.select((1 / (1 + F.exp(-F.col("text_odds")))).alias("p"), "quality").agg(F.avg("p").alias("p"), F.avg("quality").alias("q"), F.avg(((F.col("p") > 0.5) == (F.col("quality") == 1)).cast("int")).alias("right")).first()
+    assert abs(calibrated.p - calibrated.q) < 0.06 and calibrated.right > 0.93
     assert quality(odd, labels).count() == len(ODD) and quality(odd.limit(0), labels).count() == 0
 
 
