@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import catalog_records
+from . import catalog_matching, catalog_records
 from .functions import text
 from .operators import groups, matching, records
-from .plans.demo import bank_rows, events, ledger_rows
+from .plans.demo import bank_rows, events
+
+
+#: "Sao Jose" with combining accents, letters with carons and rings, an approval phrase.
+_SUFFIX = " Sa\u0303o Jose\u0301 Dvo\u0159\u00e1k \u016b\u1ea1 Compra Aprovada Cart\u00e3o final 12"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +20,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def normalize_text(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_description(F.col("text"))).alias("digest"))
+    """Texts with an ending that holds combining accents, precomposed letters and phrases that go."""
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_description(F.concat("text", F.lit(_SUFFIX)))).alias("digest"))
 
 
 def parse_amount(spark, sf_dir):
@@ -39,22 +44,6 @@ def token_similarity(spark, sf_dir):
     return pairs.select("p_partkey", F.round(text.description_similarity(F.col("p_name"), F.col("other_name")), 6).alias("similarity"))
 
 
-def candidate_edges(spark, sf_dir):
-    return matching.candidate_edges(bank_rows(spark, sf_dir), ledger_rows(spark, sf_dir)).select("bank_id", "sheet_id", "amount", "score", "confidence", "days")
-
-
-def assignment(spark, sf_dir):
-    return matching.assignment(matching.candidate_edges(bank_rows(spark, sf_dir), ledger_rows(spark, sf_dir)))
-
-
-def reconcile_items(spark, sf_dir):
-    return matching.reconcile_items(bank_rows(spark, sf_dir), ledger_rows(spark, sf_dir))
-
-
-def status_counts(spark, sf_dir):
-    return reconcile_items(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
-
-
 def refund_groups(spark, sf_dir):
     return matching.refund_groups(bank_rows(spark, sf_dir)).select("refund_id", "status", F.array_join("original_ids", ",").alias("originals"), "gross", "refunded", "net")
 
@@ -109,15 +98,6 @@ def duplicate_groups(spark, sf_dir):
     return rows.filter("n > 1")
 
 
-def ledger_duplicates(spark, sf_dir):
-    """Line items as ledger rows: date, quantity as amount, part as text."""
-    line = _table(spark, sf_dir, "lineitem")
-    key = F.concat_ws("-", "l_orderkey", "l_linenumber")
-    said = F.concat(F.lit("peca "), F.floor(F.col("l_partkey") / 10).cast("string"))
-    rows = line.select(key.alias("id"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("row_idx"), F.to_date("l_shipdate").alias("date"), F.col("l_quantity").cast("long").alias("amount"), said.alias("description"))
-    return groups.ledger_duplicates(rows).select("date", "amount", "anchor_id", F.array_join("ids", ",").alias("ids"))
-
-
 def card_compositions(spark, sf_dir):
     """Orders as card costs; each customer's bill is the sum of the even-numbered orders of the year before the last order."""
     cost = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").alias("account"), F.to_date("o_orderdate").alias("date"), F.floor(F.col("o_totalprice") * 100 + 0.5).cast("long").alias("amount"))
@@ -131,7 +111,7 @@ def card_compositions(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (normalize_text, parse_amount, parse_date, classify_type, token_similarity, candidate_edges, assignment, reconcile_items, status_counts, refund_groups, bank_totals, balance_audit, lww_merge, audit_merge, period_filter, missing_diff, eligibility, duplicate_groups, ledger_duplicates, card_compositions)
+    for f in (normalize_text, parse_amount, parse_date, classify_type, token_similarity, refund_groups, bank_totals, balance_audit, lww_merge, audit_merge, period_filter, missing_diff, eligibility, duplicate_groups, card_compositions)
 }
 
 _BANK = "SELECT CAST(event_id AS VARCHAR) AS id, CAST(ts AS DATE) AS d, CAST(floor(value * 100 + 0.5) AS BIGINT) AS amount, event_type FROM events"
@@ -140,15 +120,11 @@ _VERSIONS = """
     l AS (SELECT user_id AS key, max(CAST(ts AS DATE)) AS ts, arg_max(CASE WHEN event_id % 5 = 0 THEN 'DELETED' ELSE 'ACTIVE' END, (ts, event_id)) AS state FROM events WHERE event_id % 2 = 1 GROUP BY 1)"""
 
 ORACLE_SQL = {
-    "normalize_text": r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(translate(text, 'ßàáâãäåèéêëìíîïòóôõöùúûüýÿñçÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝÑÇ', '|aaaaaaeeeeiiiiooooouuuuyyncAAAAAAEEEEIIIIOOOOOUUUUYNC')),
-        '\b(?:compra aprovada|pagamento aprovado|cartao final \d+)\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))) AS digest FROM documents""",
+    "normalize_text": rf"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(strip_accents(text || '{_SUFFIX}')), '\b(?:compra aprovada|pagamento aprovado|cartao final \d+)\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))) AS digest FROM documents""",
     "parse_amount": "SELECT event_id, CAST(floor(round(value, 2) * 100 + 0.5) AS BIGINT) AS cents FROM events",
     "parse_date": "SELECT event_id, CAST(ts AS DATE) AS day FROM events",
     "classify_type": """SELECT event_id, CASE event_type WHEN 'purchase' THEN 'EXPENSE' WHEN 'error' THEN 'REFUND' WHEN 'click' THEN 'INVESTMENT' WHEN 'signup' THEN 'TRANSFER' ELSE 'OTHER' END AS type,
         CASE event_type WHEN 'click' THEN 'APPLICATION' END AS action FROM events""",
-    "candidate_edges": f"""WITH e AS ({_BANK}) SELECT b.id AS bank_id, s.id AS sheet_id, b.amount, CAST(55 + CASE abs(b.d - s.d) WHEN 0 THEN 25 WHEN 1 THEN 20 WHEN 2 THEN 15 ELSE 8 END AS INTEGER) AS score,
-        CAST(60 + CASE abs(b.d - s.d) WHEN 0 THEN 30 WHEN 1 THEN 24 WHEN 2 THEN 18 ELSE 11 END AS INTEGER) AS confidence, CAST(abs(b.d - s.d) AS INTEGER) AS days
-        FROM e b JOIN e s ON b.amount = s.amount AND b.event_type = 'purchase' AND s.event_type = 'view' AND abs(b.d - s.d) <= 3""",
     "refund_groups": f"""WITH e AS ({_BANK}), p AS (SELECT r.id AS rid, r.amount AS ra, o.id AS oid, o.amount AS oa FROM e r JOIN e o ON r.event_type = 'error' AND o.event_type = 'purchase' AND r.d - o.d BETWEEN 1 AND 60 AND o.amount >= r.amount),
         x AS (SELECT * FROM p WHERE ra = oa), q AS (SELECT * FROM p WHERE rid NOT IN (SELECT rid FROM x) AND oid NOT IN (SELECT oid FROM x)),
         c AS (SELECT * FROM x UNION ALL SELECT q.* FROM q WHERE rid IN (SELECT rid FROM q GROUP BY rid HAVING count(*) = 1)),
@@ -172,5 +148,5 @@ ORACLE_SQL = {
     "duplicate_groups": "SELECT l_partkey, CAST(l_shipdate AS DATE) AS day, l_quantity, count(*) AS n, min(l_orderkey) AS anchor FROM lineitem GROUP BY ALL HAVING count(*) > 1",
 }
 
-QUERIES |= catalog_records.QUERIES
-ORACLE_SQL |= catalog_records.ORACLE_SQL
+QUERIES |= catalog_matching.QUERIES | catalog_records.QUERIES
+ORACLE_SQL |= catalog_matching.ORACLE_SQL | catalog_records.ORACLE_SQL

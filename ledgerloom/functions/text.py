@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters and their base letters.
-ACCENTED = "àáâãäåèéêëìíîïòóôõöùúûüýÿñçÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝÑÇ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuyyncAAAAAAEEEEIIIIOOOOOUUUUYNC"
+
+
+def _accents() -> tuple[str, str]:
+    """Letters whose canonical decomposition is one plain letter and combining marks U+0300 to U+036F, with that letter; the marks alone go."""
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    found = []
+    for letter in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0x2100, 0x2150)]):
+        first, *rest = unicodedata.normalize("NFD", letter)
+        if first != letter and first.isascii() and all(m in marks for m in rest):
+            found.append((letter, first))
+    return "".join(a for a, _ in found) + marks, "".join(b for _, b in found)
+
+
+#: Accented Latin letters followed by the combining marks, and the base letters; what has no counterpart is removed.
+ACCENTED, PLAIN = _accents()
+# Phrases of card approvals, which say nothing about a purchase.
+APPROVALS = r"\b(?:compra aprovada|pagamento aprovado|cartao final \d+)\b"
 # Month names, words for yes and no, generic bank texts.
 MONTHS = ["janeiro", "fevereiro", "marco", "abril", "maio", "junho", "julho", "agosto", "setembro", "outubro", "novembro", "dezembro"]
 YES = ["sim", "s", "true", "verdadeiro", "1", "yes", "y"]
@@ -31,7 +47,7 @@ PIX_PAYMENT = r"^(?:pix enviado|pix (?:qr code|qrcode) (?:din(?:amico)?|est(?:at
 def normalize_description(text: Column) -> Column:
     """Lower case without accents, approval phrases and punctuation, single spaces."""
     plain = F.lower(F.translate(text, ACCENTED, PLAIN))
-    plain = F.regexp_replace(plain, r"\b(?:compra aprovada|pagamento aprovado|cartao final \d+)\b", " ")
+    plain = F.regexp_replace(plain, APPROVALS, " ")
     return F.trim(F.regexp_replace(plain, r"[^a-z0-9]+", " "))
 
 
@@ -115,22 +131,32 @@ def is_pix_payment(description: Column) -> Column:
     return normalize_description(description).rlike(PIX_PAYMENT)
 
 
+# Letters from which containment, a long and a short prefix and letters in order count, the scores of each, the least share of the longer word
+# that letters in order make up, and the weight of containment in a text.
+CONTAINED, LONG_PREFIX, SHORT_PREFIX, IN_ORDER = (5, 0.85), (4, 0.8), (2, 0.55), (4, 0.72)
+ORDER_SHARE, CONTAINMENT = 0.5, 0.92
+
+
 def _token_score(a: Column, b: Column) -> Column:
     """How well two tokens fit: equal, contained, prefix, or the shorter one's letters in order within the longer."""
     short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
     in_order = F.aggregate(F.split(long, ""), F.lit(1), lambda at, c: F.when(c == F.substring(short, at, F.lit(1)), at + 1).otherwise(at)) > F.length(short)
     return (
         F.when(a == b, 1.0)
-        .when((F.length(short) >= 5) & long.contains(short), 0.85)
-        .when((F.length(short) >= 2) & long.startswith(short), F.when(F.length(short) >= 4, 0.8).otherwise(0.55))
-        .when((F.length(short) >= 4) & (F.length(short) >= 0.5 * F.length(long)) & in_order, 0.72)
+        .when((F.length(short) >= CONTAINED[0]) & long.contains(short), CONTAINED[1])
+        .when((F.length(short) >= SHORT_PREFIX[0]) & long.startswith(short), F.when(F.length(short) >= LONG_PREFIX[0], LONG_PREFIX[1]).otherwise(SHORT_PREFIX[1]))
+        .when((F.length(short) >= IN_ORDER[0]) & (F.length(short) >= ORDER_SHARE * F.length(long)) & in_order, IN_ORDER[1])
         .otherwise(0.0)
     )
 
 
 def description_similarity(left: Column, right: Column) -> Column:
     """0 to 1: tokens of both texts are paired greedily, best pair first; the larger of dice and 0.92 times containment."""
-    a, b = normalize_description(left), normalize_description(right)
+    return normalized_similarity(normalize_description(left), normalize_description(right))
+
+
+def normalized_similarity(a: Column, b: Column) -> Column:
+    """description_similarity of texts that are normalised already, so that a join can normalise each side once per row."""
     tokens = lambda text: F.filter(F.split(text, " "), lambda t: F.length(t) > 1)
     pairs = F.flatten(F.transform(tokens(a), lambda x, i: F.transform(tokens(b), lambda y, j: F.struct((-_token_score(x, y)).alias("s"), i.alias("i"), j.alias("j")))))
     ranked = F.array_sort(F.filter(pairs, lambda p: p.s < 0))
@@ -144,7 +170,7 @@ def description_similarity(left: Column, right: Column) -> Column:
         lambda acc: acc["sum"],
     )
     na, nb = F.size(tokens(a)), F.size(tokens(b))
-    score = F.greatest(2 * taken / (na + nb), taken / F.least(na, nb) * 0.92)
+    score = F.greatest(2 * taken / (na + nb), taken / F.least(na, nb) * CONTAINMENT)
     return F.when((a == "") | (b == "") | a.isNull() | b.isNull(), 0.0).when(a == b, 1.0).when((na == 0) | (nb == 0), 0.0).otherwise(score)
 
 
@@ -213,7 +239,7 @@ def installment_similarity(left: Column, right: Column) -> Column:
             return F.struct(F.when(place > 0, left_over).otherwise(state["free"]).alias("free"), (state["hits"] + (place > 0).cast("int")).alias("hits"))
 
         hits = F.aggregate(a, start, take, lambda state: state["hits"])
-        shared = lambda h: F.greatest(2 * h / (F.size(a) + F.size(b)), 0.92 * h / F.least(F.size(a), F.size(b)))
+        shared = lambda h: F.greatest(2 * h / (F.size(a) + F.size(b)), CONTAINMENT * h / F.least(F.size(a), F.size(b)))
         return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(_let(hits, shared))
 
     blank = lambda text: F.coalesce(text, F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import similarity
@@ -16,29 +16,44 @@ CANDIDATES, ITEMS, NODES, SOLUTIONS, HORIZON = 24, 18, 75_000, 8, 365
 ALIKE = 0.78
 
 
-def ledger_duplicates(ledger: DataFrame) -> DataFrame:
-    """Rows of equal date and amount whose text is like an earlier row's, the anchor: (date, amount, anchor_id, ids).
+def duplicate_members(ledger: DataFrame) -> DataFrame:
+    """Ledger rows that repeat each other: (id, row_idx, date, amount, anchor_id), anchors included.
 
-    Likeness counts to the anchor only and isn't transitive; rows are taken in the order of row_idx. Only dates and amounts with several rows reach Python.
+    Rows of equal date and amount whose text is like an earlier row's, the anchor, belong to it; likeness counts to the anchor only and isn't transitive, and the first anchor in the order of
+    row_idx takes a row. Equal texts always share an anchor, so only distinct texts of keys with several of them reach Python, sorted and one at a time: a task holds the anchors of one key.
     ledger: id, row_idx, date, amount, description.
     """
-    rows = ledger.select("date", "amount", F.struct("row_idx", "id", normalize_description(F.coalesce("description", F.lit(""))).alias("said")).alias("row"))
-    lists = rows.groupBy("date", "amount").agg(F.sort_array(F.collect_list("row")).alias("rows")).filter(F.size("rows") > 1)
+    rows = ledger.select("id", "row_idx", "date", "amount", normalize_description(F.coalesce("description", F.lit(""))).alias("said"))
+    key = ["date", "amount"]
+    texts = rows.groupBy(*key, "said").agg(F.min(F.struct("row_idx", "id")).alias("first"), F.count("*").alias("n")).filter("said <> ''")
+    several = texts.groupBy(*key).agg(F.count("*").alias("texts"), F.sum("n").alias("rows")).filter("rows > 1")
+    kept = texts.join(several, key)
 
     def anchored(batches):
+        at, anchors = None, []
         for batch in batches:
             out = []
-            for date, amount, held in zip(batch.date, batch.amount, batch.rows, strict=True):
-                left = [(r["id"], r["said"]) for r in held]
-                while left:
-                    anchor, others = left[0], left[1:]
-                    alike = [similarity(anchor[1], r[1]) >= ALIKE for r in others]
-                    left = [r for r, same in zip(others, alike, strict=True) if not same]
-                    if any(alike):
-                        out.append((date, amount, anchor[0], [anchor[0], *(r[0] for r, same in zip(others, alike, strict=True) if same)]))
-            yield pd.DataFrame(out, columns=["date", "amount", "anchor_id", "ids"])
+            for date, amount, said, anchor in zip(batch.date, batch.amount, batch.said, batch.anchor_id, strict=True):
+                if (date, amount) != at:
+                    at, anchors = (date, amount), []
+                found = next((a for a in anchors if similarity(a[0], said) >= ALIKE), None)
+                if found is None:
+                    found = (said, anchor)
+                    anchors.append(found)
+                out.append(found[1])
+            yield batch[["date", "amount", "said"]].assign(anchor_id=out)
+
+    many = kept.filter("texts > 1").select(*key, "said", F.col("first.id").alias("anchor_id"), F.col("first.row_idx").alias("place")).repartition(*key).sortWithinPartitions(*key, "place", "anchor_id").drop("place")
+    anchors = many.mapInPandas(anchored, "date date, amount long, said string, anchor_id string").unionByName(kept.filter("texts = 1").select(*key, "said", F.col("first.id").alias("anchor_id")))
+    members = rows.join(anchors, [*key, "said"])
+    sizes = members.groupBy(*key, "anchor_id").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    return members.join(sizes, [*key, "anchor_id"]).select("id", "row_idx", *key, "anchor_id")
+
 
-    return lists.mapInPandas(anchored, "date date, amount long, anchor_id string, ids array<string>")
+def ledger_duplicates(ledger: DataFrame) -> DataFrame:
+    """duplicate_members() as one row per anchor: (date, amount, anchor_id, ids), ids in the order of row_idx."""
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "id"))), lambda r: r["id"])
+    return duplicate_members(ledger).groupBy("date", "amount", "anchor_id").agg(ids.alias("ids"))
 
 
 def subset_sums(amounts: list[int], target: int, items: int = ITEMS, nodes: int = NODES) -> tuple[list[tuple[int, ...]], bool]:
@@ -59,22 +74,38 @@ def subset_sums(amounts: list[int], target: int, items: int = ITEMS, nodes: int
     return found, False
 
 
-OPTION = "bill_id string, status string, candidates int, rank int, score int, ids array<string>"
+OPTION = "bill_id string, status string, candidates int, candidate_total long, rank int, score int, ids array<string>"
+
+
+def _counted(bills: DataFrame, items: DataFrame) -> DataFrame:
+    """bills with the number and sum of the items of their account up to HORIZON days before, by a range window over daily sums; no pair is formed."""
+    number = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date")).alias("n_day")
+    daily = items.groupBy("account", number("day")).agg(F.count("*").alias("n"), F.sum("cost").alias("cost"))
+    asked = bills.select("account", number("date"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("cost")).distinct()
+    both = daily.unionByName(asked).groupBy("account", "n_day").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"))
+    back = Window.partitionBy("account").orderBy("n_day").rangeBetween(-HORIZON, 0)
+    sums = both.select("account", "n_day", F.sum("n").over(back).cast("int").alias("candidates"), F.sum("cost").over(back).cast("long").alias("candidate_total"))
+    return bills.withColumn("n_day", F.datediff("date", F.lit("1970-01-01").cast("date"))).join(sums, ["account", "n_day"])
 
 
 def card_compositions(bills: DataFrame, ledger: DataFrame) -> DataFrame:
     """Up to eight sets of ledger rows of an account that add up to a card bill: one row per option, or one without ids.
 
-    status: MATCHED, NO_MATCH or LIMITED (too many candidates or nodes). Candidates lie up to a year before the bill; they are counted first, and a bill with more
-    than 24 never reaches Python. bills: bill_id, account, date, amount; ledger: id, account, date, amount.
+    status: REVIEW (options to choose from), NO_MATCH or LIMITED (too many candidates or nodes). Candidates lie up to a year before the bill; their number and sum come from a window over daily
+    sums, and only bills with at most 24 of them are joined with rows, by blocks of 31 days. bills: bill_id, account, date, amount; ledger: id, account, date, amount and, where rows may repeat
+    an identity, identity, of which the first row counts.
     """
-    items = ledger.dropDuplicates(["account", "id"]).select("account", "id", F.col("date").alias("day"), F.col("amount").alias("cost"))
+    named = ledger if "identity" in ledger.columns else ledger.withColumn("identity", F.col("id"))
+    first = F.min(F.struct(*(["row_idx"] if "row_idx" in ledger.columns else []), "id", F.col("date").alias("day"), F.col("amount").alias("cost"))).alias("row")
+    items = named.groupBy("account", "identity").agg(first).select("account", "identity", "row.id", "row.day", "row.cost")
+    sized = _counted(bills, items)
+    plain = sized.filter(f"candidates = 0 or candidates > {CANDIDATES}").select(
+        "bill_id", F.when(F.col("candidates") == 0, "NO_MATCH").otherwise("LIMITED").alias("status"), "candidates", "candidate_total", F.lit(0).alias("rank"), F.lit(None).cast("int").alias("score"), F.lit(None).cast("array<string>").alias("ids")
+    )
+    few = sized.filter(f"candidates between 1 and {CANDIDATES}").withColumn("block", F.explode(F.sequence(F.floor((F.col("n_day") - HORIZON) / 31), F.floor(F.col("n_day") / 31))))
+    blocks = items.withColumn("block", F.floor(F.datediff("day", F.lit("1970-01-01").cast("date")) / 31))
     age = F.datediff("date", "day")
-    pairs = bills.join(items, "account").filter((age >= 0) & (age <= HORIZON)).select("bill_id", "amount", "id", "cost", age.alias("age"))
-    counts = pairs.groupBy("bill_id").agg(F.count("*").alias("n"))
-    sized = bills.select("bill_id").join(counts, "bill_id", "left").select("bill_id", F.coalesce("n", F.lit(0)).cast("int").alias("n"))
-    empty = F.lit(None).cast("array<string>").alias("ids")
-    plain = sized.filter(f"n = 0 or n > {CANDIDATES}").select("bill_id", F.when(F.col("n") == 0, "NO_MATCH").otherwise("LIMITED").alias("status"), F.col("n").alias("candidates"), F.lit(0).alias("rank"), F.lit(None).cast("int").alias("score"), empty)
+    pairs = few.join(blocks, ["account", "block"]).filter((age >= 0) & (age <= HORIZON)).select("bill_id", "amount", "candidate_total", "id", "identity", "cost", age.alias("age"))
 
     def searched(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = list(pdf.sort_values(["age", "id"]).itertuples())
@@ -83,10 +114,10 @@ def card_compositions(bills: DataFrame, ledger: DataFrame) -> DataFrame:
         for chosen in sets:
             ages = [rows[i].age for i in chosen]
             near = [math.floor(25 * (1 - min(x, HORIZON) / HORIZON) + 0.5) for x in (sum(ages) / len(ages), max(ages) - min(ages))]
-            options.append((-(50 + sum(near)), "|".join(sorted(rows[i].id for i in chosen)), [rows[i].id for i in sorted(chosen, key=lambda i: (-rows[i].age, rows[i].id))]))
-        status = "LIMITED" if limited else "MATCHED" if options else "NO_MATCH"
-        ranked = [(rows[0].bill_id, status, len(rows), k, -score, ids) for k, (score, _, ids) in enumerate(sorted(options)[:SOLUTIONS], 1)]
-        return pd.DataFrame(ranked or [(rows[0].bill_id, status, len(rows), 0, None, None)], columns=[c.split()[0] for c in OPTION.split(", ")]).astype({"score": "Int32"})
+            options.append((-(50 + sum(near)), "|".join(sorted(rows[i].identity for i in chosen)), [rows[i].id for i in sorted(chosen, key=lambda i: (-rows[i].age, rows[i].id))]))
+        status = "LIMITED" if limited else "REVIEW" if options else "NO_MATCH"
+        head = (rows[0].bill_id, status, len(rows), rows[0].candidate_total)
+        ranked = [(*head, k, -score, ids) for k, (score, _, ids) in enumerate(sorted(options)[:SOLUTIONS], 1)]
+        return pd.DataFrame(ranked or [(*head, 0, None, None)], columns=[c.split()[0] for c in OPTION.split(", ")]).astype({"score": "Int32"})
 
-    few = pairs.join(counts.filter(f"n <= {CANDIDATES}"), "bill_id", "left_semi")
-    return plain.unionByName(few.groupBy("bill_id").applyInPandas(searched, OPTION))
+    return plain.unionByName(pairs.groupBy("bill_id").applyInPandas(searched, OPTION))

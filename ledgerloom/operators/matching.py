@@ -1,18 +1,21 @@
-"""Matching of bank debits to ledger rows: scored candidate edges, optimal assignment with an ambiguity margin, refunds and duplicates.
+"""Matching of bank debits to ledger rows: scored candidate edges, their disposition under decisions, optimal assignment with an ambiguity margin, refunds, and the resulting items.
 
-Edges need equal cents, so every connected component lies within one amount and the assignment decomposes over amounts.
+Edges need equal cents, so every connected component lies within one amount; contested components are found by joins and dealt out to tasks one by one.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import description_similarity, is_generic, is_pix_payment, normalize_description
+from ..functions.text import is_generic, is_pix_payment, normalize_description, normalized_similarity
+from ..plans.shared import cut
+from .links import components
 
 
 @dataclass(frozen=True)
@@ -34,51 +37,74 @@ class MatchConfig:
 
 CONFIG = MatchConfig()
 
+# The texts that explain an edge, a planned pair and a structural match.
+REASON = {
+    "amount": "Valor exato", "same_day": "Mesma data", "unsure": "Direção não confirmada no arquivo", "direction": "Direção compatível", "generic": "Descrição bancária genérica; não usada para reduzir a compatibilidade",
+    "party": "Contraparte compatível", "alias": "Alias histórico de forma de pagamento: Pix ↔ Transferência", "exact": "Descrição exata após normalização", "high": "Descrição altamente semelhante", "partial": "Descrição parcialmente semelhante",
+    "few": "Descrição com poucos termos em comum", "investment": "Forma de pagamento Investimento", "alias_payment": "Forma de pagamento Transferência reconhecida como alias histórico", "pix": "Forma de pagamento Pix compatível",
+    "payment": "Forma de pagamento compatível", "rivals": "Mais de uma candidata plausível; revisão necessária", "whole": "Solução global completa; par de mesma data priorizado", "manual": "Correspondência confirmada manualmente",
+    "alone": "Única candidata plausível", "chosen": "Correspondência 1:1 escolhida globalmente", "plain": "Descrição bancária genérica; não penalizada", "unlike": "Descrição com baixa similaridade; evidência estrutural prevaleceu", "like": "Descrição compatível",
+}
+
+
+def _texts(*cases: tuple[Column, str | Column]) -> Column:
+    """The texts of the cases that hold, in order."""
+    return F.array_compact(F.array(*(F.when(condition, F.lit(text) if isinstance(text, str) else text) for condition, text in cases)))
+
 
 def candidate_edges(bank: DataFrame, ledger: DataFrame, config: MatchConfig = CONFIG) -> DataFrame:
-    """Plausible pairs: equal cents, both debits, fitting types, at most `days` apart unless both sides are investments.
+    """Plausible pairs with score, confidence and reasons: equal cents, both debits, fitting types, at most `days` apart unless both sides are investments.
 
     bank: id, date, amount, direction, direction_known, type, original_description, counterparty_name, payment_method. ledger: id, date, amount, type,
-    original_description, payment_method. Filters on either side reach its scan; amount is the join key and the rest a residual predicate.
+    original_description, payment_method. Ordinary pairs are joined on amount and a block of days, so that a frequent amount meets only the rows of its own weeks; investments, which have
+    no date limit, on the amount alone. Texts are normalised once per row.
     """
+    said = lambda c: normalize_description(F.coalesce(c, F.lit("")))
+    day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
     b = bank.filter((F.col("direction") == "DEBIT") & F.col("type").isin("EXPENSE", "OTHER", "INVESTMENT")).select(
-        F.col("id").alias("bank_id"), "amount", F.col("date").alias("bank_date"), F.col("type").alias("bank_type"), F.col("original_description").alias("bank_text"),
-        "direction_known", "counterparty_name", F.col("payment_method").alias("bank_payment"),
+        F.col("id").alias("bank_id"), "amount", F.col("date").alias("bank_date"), F.col("type").alias("bank_type"), said("original_description").alias("bank_said"), is_generic(F.col("original_description")).alias("generic"),
+        F.coalesce(is_pix_payment(F.col("original_description")), F.lit(False)).alias("pix_bank"), F.coalesce("direction_known", F.lit(True)).alias("direction_known"), said("counterparty_name").alias("party_said"),
+        (F.coalesce("payment_method", F.lit("")) != "").alias("bank_pays"), said("payment_method").alias("bank_paid"),
     )
-    s = ledger.filter(F.col("type").isin("EXPENSE", "TRANSFER", "INVESTMENT")).select(
-        F.col("id").alias("sheet_id"), "amount", F.col("date").alias("sheet_date"), F.col("type").alias("sheet_type"), F.col("original_description").alias("sheet_text"), F.col("payment_method").alias("sheet_payment")
+    s = ledger.filter(F.col("type") != "CARD_PAYMENT").select(
+        F.col("id").alias("sheet_id"), "amount", F.col("date").alias("sheet_date"), F.col("type").alias("sheet_type"), said("original_description").alias("sheet_said"), said("payment_method").alias("paid"), (F.coalesce("payment_method", F.lit("")) != "").alias("sheet_pays")
     )
-    paid = normalize_description(F.coalesce("sheet_payment", F.lit("")))
-    days = F.abs(F.datediff("bank_date", "sheet_date"))
-    invested = (F.col("bank_type") == "INVESTMENT") & ((F.col("sheet_type") == "INVESTMENT") | (paid == "investimento"))
-    alias = is_pix_payment(F.col("bank_text")) & (paid == "transferencia") & (F.col("sheet_type") == "TRANSFER")
-    ordinary = (F.col("bank_type") != "INVESTMENT") & ((F.col("sheet_type") == "EXPENSE") | alias) & (days <= config.days)
-    pairs = b.join(s, "amount").filter(invested & ((F.col("sheet_type") != "TRANSFER") | alias) | ordinary)
-    pairs = pairs.select("*", days.alias("days"), invested.alias("invested"), alias.alias("alias"), paid.alias("paid"), is_generic(F.col("bank_text")).alias("generic"))
-    pairs = pairs.withColumn("similarity", F.when(F.col("generic"), 0.0).otherwise(description_similarity(F.col("bank_text"), F.col("sheet_text"))))
-    party = F.when(F.coalesce("counterparty_name", F.lit("")) == "", 0.0).otherwise(description_similarity(F.col("counterparty_name"), F.col("sheet_text")))
-    pairs = pairs.withColumn("party", party)
+    alias = F.col("pix_bank") & (F.col("paid") == "transferencia") & (F.col("sheet_type") == "TRANSFER")
+    span = 2 * config.days + 1
+    near = b.filter("bank_type <> 'INVESTMENT'").withColumn("block", F.explode(F.array_distinct(F.array(*(F.floor((day("bank_date") + shift) / span) for shift in (-config.days, config.days))))))
+    ordinary = near.join(s.filter("sheet_type in ('EXPENSE', 'TRANSFER')").withColumn("block", F.floor(day("sheet_date") / span)), ["amount", "block"])
+    ordinary = ordinary.filter((F.abs(F.datediff("bank_date", "sheet_date")) <= config.days) & ((F.col("sheet_type") == "EXPENSE") | alias)).drop("block").withColumn("invested", F.lit(False))
+    saved = s.filter((F.col("sheet_type") == "INVESTMENT") | (F.col("paid") == "investimento"))
+    invested = b.filter("bank_type = 'INVESTMENT'").join(saved, "amount").filter(F.col("sheet_type") != "TRANSFER").withColumn("invested", F.lit(True))
+    pairs = ordinary.unionByName(invested.select(ordinary.columns)).withColumn("days", F.abs(F.datediff("bank_date", "sheet_date"))).withColumn("alias", alias)
+    similar = F.when(F.col("generic"), 0.0).otherwise(normalized_similarity(F.col("bank_said"), F.col("sheet_said")))
+    party = F.when(F.col("party_said") == "", 0.0).otherwise(normalized_similarity(F.col("party_said"), F.col("sheet_said")))
+    pairs = pairs.withColumn("similarity", similar).withColumn("party", party)
+
     by_date = F.coalesce(F.get(F.array(*map(F.lit, config.dates)), "days"), F.lit(0))
     text = F.col("similarity")
-    by_text = F.when(text >= 0.999, config.descriptions[0]).when(text >= 0.72, config.descriptions[1]).when(text >= 0.45, config.descriptions[2]).when(text > 0, config.descriptions[3]).otherwise(0)
-    pix = is_pix_payment(F.col("bank_text")) & (F.col("paid") == "pix")
-    same_payment = pix | (F.col("paid") != "") & (normalize_description(F.coalesce("bank_payment", F.lit(""))) == F.col("paid"))
+    levels = list(zip((text >= 0.999, text >= 0.72, text >= 0.45, text > 0), config.descriptions, ("exact", "high", "partial", "few"), strict=True))
+    first = lambda values, other: reduce(lambda out, case: F.when(case[0], case[1]).otherwise(out), reversed(values), other)
+    pix = F.col("pix_bank") & (F.col("paid") == "pix")
+    same_payment = pix | F.col("bank_pays") & F.col("sheet_pays") & (F.col("bank_paid") == F.col("paid"))
     bonus = lambda condition, points: F.when(condition, points).otherwise(0)
-    score = F.lit(config.amount) + by_date + by_text + bonus(F.col("party") >= 0.45, config.counterparty) + bonus(F.col("invested"), config.payment) + bonus(same_payment, config.payment)
-    known = F.coalesce("direction_known", F.lit(True))
+    score = F.lit(config.amount) + by_date + first([(c, F.lit(p)) for c, p, _ in levels], F.lit(0)) + bonus(F.col("party") >= 0.45, config.counterparty) + bonus(F.col("invested"), config.payment) + bonus(same_payment, config.payment)
+    known, days = F.col("direction_known"), F.col("days")
     sure = F.coalesce(F.get(F.array(*map(F.lit, (30, 24, 18, 11))), "days"), F.lit(0))
     confidence = F.least(F.lit(94), 45 + bonus(known, 15) + sure + F.floor(text * 8 + 0.5)).cast("int")
+    apart = F.when(days == 0, REASON["same_day"]).when(days < len(config.dates), F.concat(F.lit("Data com "), days.cast("string"), F.when(days == 1, " dia de diferença").otherwise(" dias de diferença")))
+    reasons = _texts(
+        (F.lit(True), REASON["amount"]), (F.lit(True), apart), (known, REASON["direction"]), (~known, REASON["unsure"]), (F.col("generic"), REASON["generic"]), (F.col("party") >= 0.45, REASON["party"]), (F.col("alias"), REASON["alias"]),
+        (F.lit(True), first([(c, F.lit(REASON[r])) for c, _, r in levels], F.lit(None).cast("string"))), (F.col("invested"), REASON["investment"]), (F.col("alias") & ~F.col("invested"), REASON["alias_payment"]), (pix, REASON["pix"]), (~pix & same_payment, REASON["payment"]),
+    )
     return pairs.select(
-        "bank_id", "sheet_id", "amount", score.cast("int").alias("score"), confidence.alias("confidence"), "days", F.round("similarity", 6).alias("similarity"), F.round("party", 6).alias("counterparty_similarity"),
-        "bank_type", known.alias("direction_known"), "alias", is_pix_payment(F.col("bank_text")).alias("pix_bank"), "paid",
+        "bank_id", "sheet_id", "amount", score.cast("int").alias("score"), confidence.alias("confidence"), "days", F.round("similarity", 6).alias("similarity"), F.round("party", 6).alias("counterparty_similarity"), "bank_type", "direction_known", "alias", "generic", "pix_bank", "paid",
+        reasons.alias("reasons"),
     ).filter(F.col("score") >= config.least)
 
 
-def solve(weights: np.ndarray) -> tuple[float, list[int]]:
-    """Largest total weight of a one-to-one assignment in which rows may stay free: (total, column of each row or -1).
-
-    Shortest augmenting paths over costs max - weight, with one free column of weight zero per row.
-    """
+def _optimum(weights: np.ndarray):
+    """The optimal assignment of rows to columns with one free column per row: (costs, row and column potentials, row of each column or -1)."""
     n, m = weights.shape
     top = max(float(weights.max()) if weights.size else 0.0, 0.0)
     cost = np.hstack([top - np.where(weights > 0, weights, 0.0), np.full((n, n), top)])
@@ -104,114 +130,160 @@ def solve(weights: np.ndarray) -> tuple[float, list[int]]:
             before = came[column]
             owner[column] = row if before < 0 else owner[before]
             column = before
-    chosen = [-1] * n
-    for j in range(m):
+    return cost, u, v, owner
+
+
+def _chosen(weights: np.ndarray, owner: np.ndarray) -> list[int]:
+    chosen = [-1] * len(weights)
+    for j in range(weights.shape[1]):
         if owner[j] >= 0 and weights[owner[j], j] > 0:
             chosen[owner[j]] = j
+    return chosen
+
+
+def solve(weights: np.ndarray) -> tuple[float, list[int]]:
+    """Largest total weight of a one-to-one assignment in which rows may stay free: (total, column of each row or -1).
+
+    Shortest augmenting paths over costs max - weight, with one free column of weight zero per row; of equal optima the one that favours earlier rows.
+    """
+    chosen = _chosen(weights, _optimum(weights)[3])
     return float(sum(weights[i, j] for i, j in enumerate(chosen) if j >= 0)), chosen
 
 
-def _parts(edges: pd.DataFrame) -> list[pd.DataFrame]:
-    """Connected components of the edges of one amount."""
-    label = {}
+def solve_with_margins(weights: np.ndarray) -> tuple[list[int], list[float]]:
+    """The column of each row as in solve(), and how much total weight the best assignment without that pair loses.
+
+    A best assignment without a pair differs from the optimum by one alternating cycle through it: a shortest path from the pair's row back to its column over reduced costs. Columns that no row owns
+    count as owned by a spare row that takes any column at no cost.
+    """
+    cost, u, v, owner = _optimum(weights)
+    chosen, top = _chosen(weights, owner), cost[0, -1] if cost.size else 0.0
+    reduced = cost - u[:, None] - v[None, :]
+    spare, margins = -v, [0.0] * len(chosen)
+    free = owner < 0
+    for i, j in enumerate(chosen):
+        if j < 0:
+            continue
+        reach, done = reduced[i].copy(), np.zeros(len(v), bool)
+        reach[j] = top - u[i] - v[j]
+        used_spare = False
+        while True:
+            column = int(np.where(done, np.inf, reach).argmin())
+            if column == j:
+                break
+            done[column] = True
+            if free[column]:
+                if used_spare:
+                    continue
+                step, used_spare = spare, True
+            else:
+                step = reduced[owner[column]]
+            reach = np.where(done, reach, np.minimum(reach, reach[column] + step))
+        margins[i] = float(reach[j] + u[i] + v[j] - cost[i, j])
+    return chosen, margins
+
 
-    def find(x):
-        while label.setdefault(x, x) != x:
-            x = label[x]
-        return x
+ASSIGNED = "bank_id string, sheet_id string, amount long, score int, confidence int, days int, margin int, ambiguous boolean, structural string, matched boolean"
+_EDGE = ["bank_id", "sheet_id", "amount", "score", "confidence", "days", "bank_type", "direction_known", "pix_bank", "paid"]
 
-    for b, s in zip(edges.bank_id, edges.sheet_id, strict=True):
-        label[find(("s", s))] = find(("b", b))
-    roots = [find(("b", b))[1] for b in edges.bank_id]
-    return [part for _, part in edges.groupby(np.array(roots, object), sort=True)]
 
+def assign_component(edges: pd.DataFrame, config: MatchConfig = CONFIG) -> list[tuple]:
+    """Best assignment of the edges of one component, with each pair's margin over the best one without it, as rows of ASSIGNED."""
+    banks, sheets = np.unique(edges.bank_id), np.unique(edges.sheet_id)
+    at_bank, at_sheet = np.searchsorted(banks, edges.bank_id), np.searchsorted(sheets, edges.sheet_id)
+    weights = np.zeros((len(banks), len(sheets)))
+    weights[at_bank, at_sheet] = edges.score
+    chosen, margins = solve_with_margins(weights)
+    paired, of_sheet = sum(j >= 0 for j in chosen), np.bincount(at_sheet)
+    order = np.argsort(at_bank, kind="stable")
+    ends = np.searchsorted(at_bank[order], np.arange(len(banks) + 1))
+    days, paid, rows = edges.days.to_numpy(), edges.paid.to_numpy(), []
+    for i, j in enumerate(chosen):
+        if j < 0:
+            continue
+        options = order[ends[i] : ends[i + 1]]
+        k = options[at_sheet[options] == j][0]
+        r = edges.iloc[k]
+        same_day = r.days == 0
+        pix = len(banks) == 1 and same_day and r.pix_bank and r.paid == "pix" and (paid[options] == "pix").sum() == 1 and (paid[options] == "transferencia").sum() == len(options) - 1
+        alone = same_day and (len(options) == 1 or pix) and of_sheet[j] == 1
+        whole = same_day and len(banks) == len(sheets) == paired and (days[options] == 0).sum() == 1
+        margin = int(round(margins[i]))
+        ambiguous = margin < config.margin and not whole and not pix
+        limit = config.automatic_investment if r.bank_type == "INVESTMENT" else config.automatic
+        strong = alone or whole or (not 0 < r.days <= config.days and r.score >= limit)
+        structural = "ALONE" if alone else "WHOLE" if whole else None
+        rows.append((r.bank_id, r.sheet_id, int(r.amount), int(r.score), int(r.confidence), int(r.days), margin, bool(ambiguous), structural, bool(r.direction_known and not ambiguous and strong)))
+    return rows
 
-ASSIGNED = "bank_id string, sheet_id string, amount long, score int, confidence int, days int, margin int, ambiguous boolean, matched boolean"
 
+def _settled(config: MatchConfig):
+    """Assigns every component of a partition that is sorted by component; only the component at the end of a batch waits for the next one."""
 
-def assign_amount(edges: pd.DataFrame, config: MatchConfig = CONFIG) -> pd.DataFrame:
-    """Best assignment of the edges of one amount, with each pair's margin over the best one without it."""
-    rows = []
-    for part in _parts(edges):
-        banks, sheets = sorted(part.bank_id.unique()), sorted(part.sheet_id.unique())
-        place_b, place_s = {b: i for i, b in enumerate(banks)}, {s: i for i, s in enumerate(sheets)}
-        weights, edge = np.zeros((len(banks), len(sheets))), {}
-        for r in part.itertuples():
-            i, j = place_b[r.bank_id], place_s[r.sheet_id]
-            weights[i, j], edge[i, j] = r.score, r
-        total, chosen = solve(weights)
-        paired = sum(j >= 0 for j in chosen)
-        for i, j in enumerate(chosen):
-            if j < 0:
+    def run(batches):
+        kept = None
+        for batch in _then_none(batches):
+            last = batch is None
+            rows = kept if last else batch if kept is None else pd.concat([kept, batch], ignore_index=True)
+            if rows is None or not len(rows):
                 continue
-            r, options = edge[i, j], [e for (b, _), e in edge.items() if b == i]
-            without = weights.copy()
-            without[i, j] = 0
-            margin = int(total - solve(without)[0])
-            same_day = r.days == 0
-            pix = len(banks) == 1 and same_day and r.pix_bank and r.paid == "pix" and sum(e.paid == "pix" for e in options) == 1 and sum(e.paid == "transferencia" for e in options) == len(options) - 1
-            alone = same_day and (len(options) == 1 or pix) and sum(s == j for _, s in edge) == 1
-            whole = same_day and len(banks) == len(sheets) == paired and sum(e.days == 0 for e in options) == 1
-            ambiguous = margin < config.margin and not whole and not pix
-            strong = alone or whole or (not 0 < r.days <= config.days and r.score >= (config.automatic_investment if r.bank_type == "INVESTMENT" else config.automatic))
-            rows.append((r.bank_id, r.sheet_id, r.amount, r.score, r.confidence, r.days, margin, bool(ambiguous), bool(r.direction_known and not ambiguous and strong)))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in ASSIGNED.split(", ")])
+            starts = np.flatnonzero(np.concatenate(([True], rows.c.to_numpy()[1:] != rows.c.to_numpy()[:-1])))
+            cuts = [*starts, len(rows)] if last else [*starts]
+            kept = None if last else rows.iloc[starts[-1] :]
+            found = [row for first, end in zip(cuts[:-1], cuts[1:], strict=True) for row in assign_component(rows.iloc[first:end], config)]
+            yield pd.DataFrame(found, columns=[c.split()[0] for c in ASSIGNED.split(", ")])
+
+    return run
+
+
+def _then_none(batches):
+    yield from batches
+    yield None
 
 
 def assignment(edges: DataFrame, config: MatchConfig = CONFIG) -> DataFrame:
-    """One row per planned pair. Pairs whose bank and ledger row have no other edge are settled by columns alone; only the rest go to the solver."""
-    marked = edges.withColumn("of_bank", F.count("*").over(Window.partitionBy("amount", "bank_id"))).withColumn("of_sheet", F.count("*").over(Window.partitionBy("amount", "sheet_id")))
-    single = marked.filter("of_bank = 1 and of_sheet = 1")
+    """One row per planned pair. Pairs whose bank and ledger row have no other edge are settled by columns alone; the others by connected component.
+
+    structural: ALONE or WHOLE if the day alone decides. A component is one assignment problem and is held by one task, as a matrix of its bank rows times its ledger and bank rows.
+    """
+    edges = cut(edges.select(*_EDGE))
+    marked = edges.withColumn("of_bank", F.count("*").over(Window.partitionBy("bank_id"))).withColumn("of_sheet", F.count("*").over(Window.partitionBy("sheet_id")))
     limit = F.when(F.col("bank_type") == "INVESTMENT", config.automatic_investment).otherwise(config.automatic)
     strong = (F.col("days") == 0) | (F.col("days") > config.days) & (F.col("score") >= limit)
-    lone = single.select(
-        "bank_id", "sheet_id", "amount", "score", "confidence", "days", F.col("score").alias("margin"), F.lit(False).alias("ambiguous"), (F.col("direction_known") & strong).alias("matched")
+    lone = marked.filter("of_bank = 1 and of_sheet = 1").select(
+        "bank_id", "sheet_id", "amount", "score", "confidence", "days", F.col("score").alias("margin"), F.lit(False).alias("ambiguous"), F.when(F.col("days") == 0, "ALONE").alias("structural"), (F.col("direction_known") & strong).alias("matched")
     )
-    rest = marked.filter("of_bank > 1 or of_sheet > 1").drop("of_bank", "of_sheet")
-    return lone.unionByName(rest.groupBy("amount").applyInPandas(lambda pdf: assign_amount(pdf, config), ASSIGNED))
-
-
-def reconcile_items(bank: DataFrame, ledger: DataFrame, config: MatchConfig = CONFIG) -> DataFrame:
-    """One row per bank row with its status: (bank_id, status, reason, sheet_id, score, confidence, days)."""
-    edges = candidate_edges(bank, ledger, config)
-    planned = assignment(edges, config)
-    refunds = refund_groups(bank, config)
-    full = refunds.filter("status = 'REFUNDED'")
-    originals = full.select(F.explode("original_ids").alias("bank_id"), F.lit("original").alias("refunded"))
-    credits = full.select(F.col("refund_id").alias("bank_id"), F.lit("credit").alias("refunded"))
-    tried = edges.select("bank_id", F.lit(True).alias("tried")).distinct()
-    rows = bank.select(F.col("id").alias("bank_id"), "type", "direction", F.coalesce("direction_known", F.lit(True)).alias("known"))
-    rows = rows.join(planned.drop("amount"), "bank_id", "left").join(originals.unionByName(credits).dropDuplicates(["bank_id"]), "bank_id", "left").join(tried, "bank_id", "left")
-    kind, debit = F.col("type"), F.col("direction") == "DEBIT"
-    status = (
-        F.when(F.col("refunded").isNotNull(), "REFUNDED").when((kind == "REFUND") & ~debit, "OUT_OF_SCOPE").when(kind == "CARD_PAYMENT", "CARD_DIVERGENCE")
-        .when(kind == "INVESTMENT", "OUT_OF_SCOPE_INVESTMENT").when(kind.isin("INVESTMENT_INCOME", "TRANSFER", "INCOME") | ~debit, "OUT_OF_SCOPE")
-        .when(F.col("matched"), "MATCHED").when(F.col("sheet_id").isNotNull() | F.col("tried") | ~F.col("known"), "REVIEW").when(kind == "OTHER", "OUT_OF_SCOPE").otherwise("MISSING")
-    )
-    reason = F.when(F.col("sheet_id").isNull() & F.col("tried"), "ASSIGNMENT_CONFLICT").when(F.col("ambiguous"), "AMBIGUOUS").when(~F.col("known"), "DIRECTION_UNCERTAIN")
-    return rows.select("bank_id", status.alias("status"), F.when(status == "REVIEW", reason).alias("reason"), "sheet_id", "score", "confidence", "days")
+    rest = cut(marked.filter("of_bank > 1 or of_sheet > 1").drop("of_bank", "of_sheet"))
+    labels = components(rest.select(F.concat(F.lit("b"), "bank_id").alias("a"), F.concat(F.lit("s"), "sheet_id").alias("b")))
+    dealt = rest.join(labels.filter(F.col("v").startswith("b")).select(F.substring("v", 2, 1 << 30).alias("bank_id"), "c"), "bank_id").repartition("c").sortWithinPartitions("c", "bank_id", "sheet_id")
+    return lone.unionByName(dealt.mapInPandas(_settled(config), ASSIGNED))
 
 
 def refund_groups(bank: DataFrame, config: MatchConfig = CONFIG) -> DataFrame:
     """Refund credits and the Pix debits that they return: (refund_id, status, original_ids, gross, refunded, net).
 
-    Equal amounts win; a smaller refund counts only if exactly one larger debit within the window fits that no equal refund claims. Debits are joined by
-    blocks of `refund_days` days, so each refund meets at most two blocks.
+    Equal amounts win; a smaller refund counts only if exactly one larger debit within the window fits that no equal refund claims. Whether one, none or more fit is read off the two largest free debits
+    of each day, so a refund meets at most two rows of each day of its window, however many debits there are.
     """
     text = normalize_description(F.coalesce("original_description", F.lit("")))
     refunds = bank.filter("type = 'REFUND' and direction = 'CREDIT'").select(F.col("id").alias("refund_id"), F.col("date").alias("refund_date"), F.col("amount").alias("refunded"))
     debits = bank.filter((F.col("direction") == "DEBIT") & F.col("type").isin("EXPENSE", "OTHER") & text.rlike(r"\bpix\b")).select(F.col("id").alias("original_id"), "date", F.col("amount").alias("gross"))
+    span = config.refund_days
+    block = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / span)
     age = F.datediff("refund_date", "date")
-    inside = (age > 0) & (age <= config.refund_days)
-    exact = refunds.join(debits, (F.col("refunded") == F.col("gross")) & inside)
-    block = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / config.refund_days)
-    left = refunds.join(exact.select("refund_id").distinct(), "refund_id", "left_anti").withColumn("block", F.explode(F.array(block(F.col("refund_date")), block(F.col("refund_date")) - 1)))
-    free = debits.join(exact.select("original_id").distinct(), "original_id", "left_anti").withColumn("block", block(F.col("date")))
-    # The unique plausible debit of a refund, without listing the others: counts come before any pair is kept.
-    partial = left.join(free, (left.block == free.block) & (F.col("gross") > F.col("refunded")) & inside).groupBy("refund_id", "refund_date", "refunded").agg(F.count("*").alias("n"), F.min("original_id").alias("original_id"), F.min("gross").alias("gross"))
-    chosen = exact.select("refund_id", "refunded", "original_id", "gross").unionByName(partial.filter("n = 1").select("refund_id", "refunded", "original_id", "gross"))
-    chosen = chosen.withColumn("claims", F.count("*").over(Window.partitionBy("original_id")))
-    grouped = chosen.groupBy("refund_id", "refunded").agg(F.sort_array(F.collect_list("original_id")).alias("original_ids"), F.max("claims").alias("claims"), F.max("gross").alias("gross"))
+    asked = refunds.withColumn("block", F.explode(F.array(block("refund_date"), block("refund_date") - 1)))
+    exact = cut(asked.join(debits.select("original_id", "date", "gross", F.col("gross").alias("refunded"), block("date").alias("block")), ["refunded", "block"]).filter((age > 0) & (age <= span)))
+    left = refunds.join(exact.select("refund_id").distinct(), "refund_id", "left_anti")
+    free = debits.join(exact.select("original_id").distinct(), "original_id", "left_anti")
+    two_largest = lambda rows, key: rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("gross"), F.desc("original_id")))).filter("place <= 2")
+    days = left.select("refund_date").distinct().select("refund_date", F.explode(F.sequence(F.date_sub("refund_date", span), F.date_sub("refund_date", 1))).alias("date"))
+    two = two_largest(days.join(two_largest(free, "date").drop("place"), "date"), "refund_date")
+    of = lambda place, c: F.max(F.when(F.col("place") == place, F.col(c)))
+    two = two.groupBy("refund_date").agg(of(1, "gross").alias("gross"), of(1, "original_id").alias("original_id"), of(2, "gross").alias("next"))
+    partial = left.join(two, "refund_date").filter((F.col("gross") > F.col("refunded")) & (F.col("next").isNull() | (F.col("next") <= F.col("refunded"))))
+    chosen = exact.select("refund_id", "refunded", "original_id", "gross").unionByName(partial.select("refund_id", "refunded", "original_id", "gross"))
+    claims = chosen.groupBy("original_id").agg(F.count("*").alias("claims"))
+    grouped = chosen.join(claims, "original_id").groupBy("refund_id", "refunded").agg(F.sort_array(F.collect_list("original_id")).alias("original_ids"), F.max("claims").alias("claims"), F.max("gross").alias("gross"))
     open_case = (F.size("original_ids") > 1) | (F.col("claims") > 1)
     status = F.when(open_case, "REVIEW").when(F.col("gross") == F.col("refunded"), "REFUNDED").otherwise("PARTIAL")
     return grouped.select("refund_id", status.alias("status"), "original_ids", F.when(~open_case, F.col("gross")).alias("gross"), "refunded", F.when(~open_case, F.col("gross") - F.col("refunded")).alias("net"))

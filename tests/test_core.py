@@ -30,6 +30,11 @@ def test_dates(spark):
     assert [d and str(d) for d in column(spark, list(said), text.normalize_date)] == list(said.values())
 
 
+def test_accents_by_decomposition(spark):
+    said = {"São José": "sao jose", "Sa\u0303o Jose\u0301": "sao jose", "Dvořák Ūnā ạ": "dvorak una a", "İzmir Ǆ ß ø": "izmir", "Compra aprovada Café": "cafe"}
+    assert column(spark, list(said), text.normalize_description) == list(said.values())
+
+
 def test_types_and_booleans(spark):
     said = {"Gastos Cartão de Crédito": "CARD_PAYMENT", "Estorno Pix": "REFUND", "Resgate CDB": "INVESTMENT", "TED": "TRANSFER", "limited": "TRANSFER", "Pix recebido": "INCOME", "Compra visa": "EXPENSE", "saldo": "OTHER"}
     assert column(spark, list(said), text.transaction_type) == list(said.values())
@@ -67,10 +72,25 @@ def test_solver_against_enumeration():
 def test_assignment_margin():
     rows = [("b1", "s1", 100, 85, 90, 0, "EXPENSE", True, False, "pix"), ("b1", "s2", 100, 80, 90, 1, "EXPENSE", True, False, "pix"), ("b2", "s2", 100, 85, 90, 0, "EXPENSE", True, False, "pix")]
     edges = pd.DataFrame(rows, columns=["bank_id", "sheet_id", "amount", "score", "confidence", "days", "bank_type", "direction_known", "pix_bank", "paid"])
-    out = matching.assign_amount(edges).set_index("bank_id")
+    out = pd.DataFrame(matching.assign_component(edges), columns=[c.split()[0] for c in matching.ASSIGNED.split(", ")]).set_index("bank_id")
     assert out.sheet_id.to_dict() == {"b1": "s1", "b2": "s2"} and out.matched.all() and not out.ambiguous.any()
 
 
+def test_margins_against_solving_again():
+    draw = random.Random(11)
+    for _ in range(200):
+        weights = np.array([[draw.choice([0, 0, 55, 60, 75, 80, 100]) for _ in range(draw.randint(1, 5))]] * 1, float)
+        weights = np.array([[draw.choice([0, 0, 55, 60, 75, 80, 100]) for _ in range(weights.shape[1])] for _ in range(draw.randint(1, 5))], float)
+        total, chosen = matching.solve(weights)
+        again, margins = matching.solve_with_margins(weights)
+        assert again == chosen
+        for i, j in enumerate(chosen):
+            if j >= 0:
+                without = weights.copy()
+                without[i, j] = 0
+                assert margins[i] == pytest.approx(total - matching.solve(without)[0])
+
+
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()
@@ -84,7 +104,7 @@ def test_against_sql(spark, name):
 
 
 def test_items_cover_every_bank_row(spark):
-    items = catalog.reconcile_items(spark, SF)
+    items = catalog.QUERIES["reconcile_items"](spark, SF)
     assert items.count() == items.select("bank_id").distinct().count() > 0
 
 
