@@ -56,7 +56,7 @@ def card_candidates(spark, sf_dir):
 
 
 def card_purchase_states(spark, sf_dir):
-    return cards.purchase_states(_purchases(spark, sf_dir), _costs(spark, sf_dir))
+    return cards.purchase_states(_purchases(spark, sf_dir), _costs(spark, sf_dir)).select("purchase_id", "status", "sheet_id", "candidates")
 
 
 def card_refunds(spark, sf_dir):
@@ -208,7 +208,7 @@ QUERIES = {
 }
 
 _CARDS = """e AS (SELECT CAST(event_id AS VARCHAR) AS id, CAST(ts AS DATE) AS d, CAST(floor(value * 100 + 0.5) AS BIGINT) AS amount, event_type FROM events),
-    p AS (SELECT b.id AS purchase_id, s.id AS sheet_id, b.amount, s.d = b.d + 10 AS on_due, CAST(abs(s.d - b.d) AS INTEGER) AS days, abs(s.d - CAST(b.d + 10 - INTERVAL 1 MONTH AS DATE)) <= 3 AS previous_cycle
+    p AS (SELECT b.id AS purchase_id, s.id AS sheet_id, b.amount, s.d = b.d + 10 AS on_due, CAST(abs(s.d - b.d) AS INTEGER) AS days, (year(b.d + 10) - year(s.d)) * 12 + month(b.d + 10) - month(s.d) = 1 AND abs(day(b.d + 10) - day(s.d)) <= 3 AS previous_cycle
         FROM e b JOIN e s ON b.amount = s.amount AND b.event_type = 'purchase' AND s.event_type = 'view' AND (s.d = b.d + 10 OR abs(s.d - b.d) <= 7)),
     c AS (SELECT * FROM p QUALIFY on_due OR NOT bool_or(on_due) OVER (PARTITION BY purchase_id))"""
 _FINDINGS = """i AS (SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS subject, CASE o_orderkey % 3 WHEN 0 THEN 'MATCHED' WHEN 1 THEN 'REVIEW' ELSE 'MISSING' END AS status, CASE WHEN o_orderkey % 4 = 0 THEN 'ASSIGNMENT_CONFLICT' END AS reason,
@@ -227,7 +227,7 @@ ORACLE_SQL = {
         CASE WHEN event_type = 'purchase' THEN 'DEBIT' ELSE 'CREDIT' END AS direction, 'doc:' || event_id AS bank_transaction_id FROM events
         UNION ALL SELECT CAST(event_id AS VARCHAR), 4, 'FOOTER_OR_METADATA', NULL, 0, 'DEBIT', NULL FROM events""",
     "card_candidates": f"WITH {_CARDS} SELECT * FROM c",
-    "card_purchase_states": f"""WITH {_CARDS}, w AS (SELECT *, count(*) OVER (PARTITION BY sheet_id) AS wanted FROM c),
+    "card_purchase_states": f"""WITH {_CARDS}, w AS (SELECT c.*, count(*) OVER (PARTITION BY sheet_id, user_id) AS wanted FROM c JOIN events ON purchase_id = CAST(event_id AS VARCHAR)),
         b AS (SELECT purchase_id, count(*) AS n, min(sheet_id) AS sheet, bool_and(wanted = 1 AND (on_due OR days <= 3 AND (days = 0 OR NOT previous_cycle))) AS sure FROM w GROUP BY 1),
         s AS (SELECT e.id AS purchase_id, CASE WHEN n IS NULL THEN 'CARD_MISSING' WHEN n = 1 AND sure THEN 'CARD_MATCHED' ELSE 'CARD_REVIEW' END AS status, sheet, coalesce(n, 0) AS candidates FROM e LEFT JOIN b ON e.id = b.purchase_id WHERE event_type = 'purchase')
         SELECT purchase_id, status, CASE WHEN status = 'CARD_MATCHED' THEN sheet END AS sheet_id, candidates FROM s""",

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import description_similarity, installment_similarity, normalize_description
+from ..plans.shared import cut
+from .links import first_claims
 
 #: Least likeness of instalment texts to a purchase, of rows of one instalment sequence, and of texts for an automatic match.
 ALIKE, SEQUENCE_ALIKE, MATCH_ALIKE = 0.35, 0.45, 0.35
@@ -25,18 +27,18 @@ def is_card_cost(direction: Column, payment: Column, kind: Column) -> Column:
 def in_sequence(ledger: DataFrame) -> DataFrame:
     """Ids of ledger instalments with the next or last instalment of like text in an adjacent month: equal amount and total are the join key, with number and month."""
     months = F.year("date") * 12 + F.month("date")
-    rows = ledger.filter("number is not null and total is not null").select("id", "amount", "total", "number", months.alias("month"), F.regexp_replace("description", MARK, "").alias("said"))
+    rows = ledger.filter("number is not null and total is not null").select("id", "amount", "total", "number", "type", months.alias("month"), F.regexp_replace("description", MARK, "").alias("said"))
     steps = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(m).alias("m")) for n in (-1, 1) for m in (-1, 1)))
     asked = rows.withColumn("step", F.explode(steps)).select(F.col("id").alias("asked"), "amount", "total", (F.col("number") + F.col("step.n")).alias("number"), (F.col("month") + F.col("step.m")).alias("month"), F.col("said").alias("said_too"))
-    met = asked.join(rows.filter(F.col("id").isNotNull()), ["amount", "total", "number", "month"]).filter(F.col("asked") != F.col("id"))
+    met = asked.join(rows.filter(F.col("id").isNotNull() & (F.col("type") == "EXPENSE")), ["amount", "total", "number", "month"]).filter(F.col("asked") != F.col("id"))
     return met.filter(installment_similarity(F.col("said_too"), F.col("said")) >= SEQUENCE_ALIKE).select(F.col("asked").alias("id")).distinct()
 
 
-def candidates(purchases: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Ledger rows that may be a purchase: (purchase_id, sheet_id, amount, on_due, days, previous_cycle, similarity, installment).
+def plausible_rows(purchases: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Ledger rows that may be a purchase: (purchase_id, sheet_id, amount, on_due, days, previous_cycle, similarity, installment, linked).
 
-    Amounts are equal. An instalment needs the same number and total and either the due date, a like text or an adjacent instalment; any other purchase the due date, or at most a week
-    of distance, and rows on the due date exclude the rest.
+    Amounts are equal. An instalment needs the same number and total and either the due date, a like text or an adjacent instalment (linked); any other purchase the due date, or at most a week
+    of distance.
     """
     cost = ledger.filter(is_card_cost(F.col("direction"), F.col("payment_method"), F.col("type")))
     linked = in_sequence(cost).select(F.col("id").alias("sheet_id"), F.lit(True).alias("linked"))
@@ -49,27 +51,121 @@ def candidates(purchases: DataFrame, ledger: DataFrame) -> DataFrame:
     pairs = bought.join(rows, "amount").filter(fits).select("*", parcel.alias("installment"), due.alias("on_due"), days.alias("days"))
     pairs = pairs.withColumn("similarity", F.when(F.col("installment"), installment_similarity(F.col("text"), F.col("base_text"))).otherwise(description_similarity(F.col("text"), F.col("sheet_text"))))
     pairs = pairs.filter(~F.col("installment") | F.col("on_due") | (F.col("similarity") >= ALIKE) | F.coalesce("linked", F.lit(False)))
-    some_due = F.max("on_due").over(Window.partitionBy("purchase_id"))
-    pairs = pairs.withColumn("some_due", some_due).filter(F.col("installment") | F.col("on_due") | ~F.col("some_due"))
-    cycle = F.abs(F.datediff("sheet_date", F.add_months("due_date", -1))) <= CYCLE_DAYS
-    return pairs.select("purchase_id", "sheet_id", "amount", "on_due", "days", F.coalesce(cycle, F.lit(False)).alias("previous_cycle"), F.round("similarity", 6).alias("similarity"), "installment")
+    return pairs.select("purchase_id", "sheet_id", "amount", "on_due", "days", _previous_cycle(F.col("sheet_date"), F.col("due_date")).alias("previous_cycle"), F.round("similarity", 6).alias("similarity"), "installment", F.coalesce("linked", F.lit(False)).alias("linked"))
+
+
+def _previous_cycle(day: Column, due: Column) -> Column:
+    """Whether a day lies in the month before the due date, about the same day of the month."""
+    months = (F.year(due) - F.year(day)) * 12 + F.month(due) - F.month(day)
+    return F.coalesce((months == 1) & (F.abs(F.dayofmonth(day) - F.dayofmonth(due)) <= CYCLE_DAYS), F.lit(False))
+
+
+def _due_only(pairs: DataFrame) -> DataFrame:
+    """Rows on the due date exclude the other rows of a purchase that is no instalment."""
+    some_due = pairs.filter("on_due and not installment").select("purchase_id", F.lit(True).alias("some_due")).distinct()
+    return pairs.join(some_due, "purchase_id", "left").filter(F.col("installment") | F.col("on_due") | F.col("some_due").isNull()).drop("some_due")
+
+
+def candidates(purchases: DataFrame, ledger: DataFrame) -> DataFrame:
+    """plausible_rows() of which rows on the due date exclude the rest."""
+    return _due_only(plausible_rows(purchases, ledger))
+
+
+def statement_candidates(purchases: DataFrame, ledger: DataFrame, confirmed: DataFrame | None = None, rejected: DataFrame | None = None, reserved: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(candidates, confirmed pairs that hold) of purchases under decisions.
+
+    confirmed: purchase_id, sheet_id; of several purchases of a statement that name one row the first counts, and no other purchase of the statement may take it. rejected: purchase_id, sheet_id. reserved: sheet_id,
+    purchase_id: the only purchase that may take a row. Rows rejected or reserved still keep rows off the due date out.
+    """
+    spark = purchases.sparkSession
+    none = spark.createDataFrame([], "purchase_id string, sheet_id string")
+    pairs = plausible_rows(purchases, ledger).join(purchases.select(F.col("id").alias("purchase_id"), "statement"), "purchase_id")
+    refused = (rejected if rejected is not None else none).select("purchase_id", "sheet_id", F.lit(True).alias("refused")).distinct()
+    owned = (reserved if reserved is not None else none).groupBy("sheet_id").agg(F.min("purchase_id").alias("owner"))
+    open_to = lambda rows: rows.join(refused, ["purchase_id", "sheet_id"], "left").join(owned, "sheet_id", "left").filter(F.col("refused").isNull() & (F.col("owner").isNull() | (F.col("owner") == F.col("purchase_id")))).drop("refused", "owner")
+    asked = open_to(_due_only(pairs)).join((confirmed if confirmed is not None else none).select("purchase_id", "sheet_id").distinct(), ["purchase_id", "sheet_id"])
+    first = F.row_number().over(Window.partitionBy("statement", "sheet_id").orderBy("purchase_id"))
+    holds = asked.withColumn("n", first).filter("n = 1").select("statement", "purchase_id", "sheet_id")
+    taken = holds.select("statement", "sheet_id", F.col("purchase_id").alias("holder"))
+    free = pairs.join(taken, ["statement", "sheet_id"], "left").filter(F.col("holder").isNull() | (F.col("holder") == F.col("purchase_id"))).drop("holder")
+    return open_to(_due_only(free)), holds.select("purchase_id", "sheet_id")
+
+
+def group_matches(purchases: DataFrame, found: DataFrame) -> DataFrame:
+    """(purchase_id, sheet_ids) of like purchases of a statement that want exactly as many ledger rows as they are.
+
+    All of them have the same amount, due date and candidates, one of them is like all the others, and no other purchase of the statement wants any of the rows. purchases without those confirmed or returned.
+    """
+    sets = found.groupBy("purchase_id").agg(F.array_sort(F.collect_set("sheet_id")).alias("rows"))
+    single = purchases.filter("number is null or total is null").filter("due_date is not null").select(F.col("id").alias("purchase_id"), "statement", "amount", "due_date", F.coalesce("description", F.lit("")).alias("text"))
+    base = single.join(sets, "purchase_id", "left").withColumn("rows", F.coalesce("rows", F.array().cast("array<string>")))
+    other = base.select("statement", "amount", "due_date", F.col("purchase_id").alias("peer"), F.col("text").alias("peer_text"), F.col("rows").alias("peer_rows"))
+    # An invoice holds few purchases of one amount, so its pairs are few.
+    peers = base.filter(F.size("rows") > 1).join(other, ["statement", "amount", "due_date"]).filter(description_similarity(F.col("text"), F.col("peer_text")) >= MATCH_ALIKE)
+    seeds = peers.groupBy("purchase_id", "statement", "rows").agg(F.count("*").alias("n"), F.min(F.col("rows") == F.col("peer_rows")).alias("same"), F.collect_set("peer").alias("peers")).filter((F.col("n") > 1) & F.col("same") & (F.size("rows") == F.col("n")))
+    users = found.groupBy("statement", "sheet_id").agg(F.count_distinct("purchase_id").alias("users"))
+    wanted = seeds.select("purchase_id", "statement", "n", F.explode("rows").alias("sheet_id")).join(users, ["statement", "sheet_id"]).groupBy("purchase_id").agg(F.max(F.col("users") > F.col("n")).alias("contested")).filter("not contested")
+    whole = seeds.join(wanted.select("purchase_id"), "purchase_id", "left_semi")
+    return whole.select(F.explode("peers").alias("purchase_id"), F.col("rows").alias("sheet_ids")).distinct()
 
 
-def purchase_states(purchases: DataFrame, ledger: DataFrame, refunded: DataFrame | None = None) -> DataFrame:
-    """One row per purchase: (purchase_id, status, sheet_id, candidates). refunded: the ids (purchase_id) of purchases returned in full.
+STATES = ["purchase_id", "statement", "status", "sheet_id", "sheet_ids", "candidates"]
 
-    A row that is the only candidate of one purchase, and wanted by no other, matches if it's an instalment, on the due date, or near and alike; other purchases with candidates are CARD_REVIEW.
+
+def purchase_states(purchases: DataFrame, ledger: DataFrame, refunded: DataFrame | None = None, confirmed: DataFrame | None = None, rejected: DataFrame | None = None, reserved: DataFrame | None = None) -> DataFrame:
+    """One row per purchase: (purchase_id, statement, status, sheet_id, sheet_ids, candidates). refunded: the ids (purchase_id) of purchases returned in full; the other tables as for statement_candidates.
+
+    Groups come first (CARD_GROUP_MATCHED, with the rows of the group in sheet_ids), then confirmed pairs. A row that is the only candidate of one purchase, and wanted by no other of its statement, matches if it's an
+    instalment, on the due date, or near and alike; other purchases with candidates are CARD_REVIEW.
     """
-    bought = purchases.filter("type = 'PURCHASE'").select(F.col("id").alias("purchase_id"))
-    back = refunded.select("purchase_id", F.lit(True).alias("back")).dropDuplicates(["purchase_id"]) if refunded is not None else bought.limit(0).select("purchase_id", F.lit(True).alias("back"))
-    open_ = purchases.join(back.select(F.col("purchase_id").alias("id")), "id", "left_anti")
-    found = candidates(open_, ledger).withColumn("wanted", F.count("*").over(Window.partitionBy("sheet_id")))
+    bought = purchases.filter("type = 'PURCHASE'")
+    none = purchases.sparkSession.createDataFrame([], "purchase_id string")
+    back = (refunded if refunded is not None else none).select("purchase_id", F.lit(True).alias("back")).distinct()
+    open_ = bought.join(back.select(F.col("purchase_id").alias("id")), "id", "left_anti")
+    found, holds = statement_candidates(open_, ledger, confirmed, rejected, reserved)
+    groups = group_matches(open_.join(holds.select(F.col("purchase_id").alias("id")), "id", "left_anti"), found)
+    users = found.groupBy("statement", "sheet_id").agg(F.count("*").alias("wanted"))
     near = (F.col("days") <= SURE_DAYS) & ((F.col("days") == 0) | ~F.col("previous_cycle")) & (F.col("similarity") >= MATCH_ALIKE)
     sure = (F.col("wanted") == 1) & (F.col("installment") | F.col("on_due") | near)
-    best = found.groupBy("purchase_id").agg(F.count("*").alias("candidates"), F.min("sheet_id").alias("sheet_id"), F.min(sure).alias("sure"))
-    status = F.when(F.col("back"), "CARD_REFUNDED").when(F.col("candidates").isNull(), "CARD_MISSING").when((F.col("candidates") == 1) & F.col("sure"), "CARD_MATCHED").otherwise("CARD_REVIEW")
-    out = bought.join(best, "purchase_id", "left").join(back, "purchase_id", "left").select("purchase_id", status.alias("status"), "sheet_id", F.coalesce("candidates", F.lit(0)).alias("candidates"))
-    return out.withColumn("sheet_id", F.when(F.col("status") == "CARD_MATCHED", F.col("sheet_id")))
+    best = found.join(users, ["statement", "sheet_id"]).groupBy("purchase_id").agg(F.count("*").alias("candidates"), F.min("sheet_id").alias("only"), F.min(sure).alias("sure"))
+    rows = bought.select(F.col("id").alias("purchase_id"), "statement").join(back, "purchase_id", "left").join(best, "purchase_id", "left").join(holds.withColumnRenamed("sheet_id", "held"), "purchase_id", "left").join(groups, "purchase_id", "left")
+    status = (
+        F.when(F.col("back"), "CARD_REFUNDED").when(F.col("sheet_ids").isNotNull(), "CARD_GROUP_MATCHED").when(F.col("held").isNotNull(), "CARD_MATCHED").when(F.col("candidates").isNull(), "CARD_MISSING")
+        .when((F.col("candidates") == 1) & F.col("sure"), "CARD_MATCHED").otherwise("CARD_REVIEW")
+    )
+    sheet = F.when(status == "CARD_MATCHED", F.coalesce("held", "only"))
+    return rows.select("purchase_id", "statement", status.alias("status"), sheet.alias("sheet_id"), F.when(status == "CARD_GROUP_MATCHED", F.col("sheet_ids")).alias("sheet_ids"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
+
+
+def consume(states: DataFrame, statements: DataFrame, ignored: DataFrame | None = None, confirmed: DataFrame | None = None) -> DataFrame:
+    """States after invoices took their ledger rows in the order of due date and statement: a match or group that wants a row of an earlier invoice becomes CARD_REVIEW, an ignored missing purchase CARD_IGNORED.
+
+    statements: statement, due_date. ignored, confirmed: purchase_id; a confirmed purchase keeps its row whatever came before.
+    """
+    none = states.sparkSession.createDataFrame([], "purchase_id string")
+    mark = lambda df, name: (df if df is not None else none).select("purchase_id", F.lit(True).alias(name)).distinct()
+    due = statements.groupBy("statement").agg(F.min("due_date").alias("due_date"))
+    rows = states.join(due, "statement", "left").join(mark(ignored, "ignored"), "purchase_id", "left").join(mark(confirmed, "kept"), "purchase_id", "left")
+    wants = F.coalesce("sheet_ids", F.array("sheet_id"))
+    claims = rows.filter("status in ('CARD_MATCHED', 'CARD_GROUP_MATCHED')").select(
+        F.col("purchase_id").alias("claim"), F.struct(F.coalesce(F.col("due_date").cast("string"), F.lit("")).alias("due"), F.col("statement").cast("string").alias("statement")).alias("place"), F.explode(wants).alias("id"), F.col("kept").isNotNull().alias("fixed")
+    )
+    holds = first_claims(claims).select(F.col("claim").alias("purchase_id"), F.lit(True).alias("holds"))
+    lost = F.col("status").isin("CARD_MATCHED", "CARD_GROUP_MATCHED") & F.col("holds").isNull()
+    status = F.when((F.col("status") == "CARD_MISSING") & F.col("ignored"), "CARD_IGNORED").when(lost, "CARD_REVIEW").otherwise(F.col("status"))
+    return rows.join(holds, "purchase_id", "left").select("purchase_id", "statement", status.alias("status"), F.when(~lost, F.col("sheet_id")).alias("sheet_id"), F.when(~lost, F.col("sheet_ids")).alias("sheet_ids"), "candidates")
+
+
+def purchase_counts(states: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Purchases by outcome: eligible, matched, review, missing, refunded, ignored; confirmed missing ones count as missing."""
+    count = lambda *kinds: F.count_if(F.col("status").isin(*kinds))
+    matched, review, missing = count("CARD_MATCHED", "CARD_GROUP_MATCHED"), count("CARD_REVIEW"), count("CARD_MISSING", "CARD_MISSING_CONFIRMED")
+    return states.groupBy(*(by or [])).agg((matched + review + missing).alias("eligible"), matched.alias("matched"), review.alias("review"), missing.alias("missing"), count("CARD_REFUNDED").alias("refunded"), count("CARD_IGNORED").alias("ignored"))
+
+
+def only_issues(states: DataFrame) -> DataFrame:
+    """Statements with any purchase that is missing or under review."""
+    return states.filter("status in ('CARD_MISSING', 'CARD_REVIEW')").select("statement").distinct()
 
 
 def refunds(purchases: DataFrame) -> DataFrame:
@@ -107,6 +203,23 @@ def payment_candidates(invoices: DataFrame, bank: DataFrame) -> DataFrame:
     return met.select("statement", "bank_id", "days", "cents", F.row_number().over(order).alias("rank"))
 
 
+def settle(options: DataFrame, statements: DataFrame) -> DataFrame:
+    """(statement, bank_id): each invoice takes its best payment that is still free; invoices with fewer options come first, then earlier ones.
+
+    options: as payment_candidates() gives. In each round an invoice settles if it comes first of all open invoices that could take its best payment; the first of all always does.
+    """
+    order = options.groupBy("statement").agg(F.count("*").alias("n")).join(statements.select("statement", "due_date"), "statement")
+    open_ = cut(options.join(order, "statement").select("statement", "bank_id", "rank", F.struct("n", "due_date", F.col("statement").cast("string").alias("s")).alias("place")))
+    done = None
+    while not open_.isEmpty():
+        best = open_.groupBy("statement", "place").agg(F.min_by("bank_id", "rank").alias("bank_id"))
+        first = open_.groupBy("bank_id").agg(F.min("place").alias("place"))
+        won = cut(best.join(first, ["bank_id", "place"]).select("statement", "bank_id"))
+        done = won if done is None else done.unionByName(won)
+        open_ = cut(open_.join(won.select("statement"), "statement", "left_anti").join(won.select("bank_id"), "bank_id", "left_anti"))
+    return done if done is not None else open_.select("statement", "bank_id")
+
+
 def invoice_checks(invoices: DataFrame, purchases: DataFrame) -> DataFrame:
     """The sums that an invoice reports against those of its rows: (statement, check, ok, expected, actual); checks without a reported value are left out.
 

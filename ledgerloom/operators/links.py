@@ -23,3 +23,23 @@ def components(links: DataFrame) -> DataFrame:
         labels = jumped.select("v", "c")
         if jumped.filter("c <> old").isEmpty():
             return labels
+
+
+def first_claims(claims: DataFrame) -> DataFrame:
+    """Claims that hold when they are taken in order and none may use what an earlier one holds: (claim).
+
+    claims: claim, place (its order; claims of one place don't exclude each other), id (what it wants, one row for each), fixed (holds whatever came before). In each round the claims that come first on all they
+    want hold, and later claims on the same things fall, so the number of rounds is that of the longest chain of claims that wait for one another.
+    """
+    open_ = cut(claims.filter("not fixed").select("claim", "place", "id"))
+    held = cut(claims.filter("fixed").select("claim", "place", "id"))
+    while not open_.isEmpty():
+        before = held.groupBy("id").agg(F.min("place").alias("held"))
+        fallen = open_.join(before, "id").filter(F.col("place") > F.col("held")).select("claim").distinct()
+        left = open_.join(fallen, "claim", "left_anti")
+        first = left.groupBy("id").agg(F.min("place").alias("first"))
+        won = left.join(first, "id").groupBy("claim").agg(F.min(F.col("place") == F.col("first")).alias("won")).filter("won").select("claim")
+        won = left.join(won, "claim", "left_semi")
+        held = cut(held.unionByName(won))
+        open_ = cut(left.join(won.select("claim").distinct(), "claim", "left_anti"))
+    return held.select("claim").distinct()

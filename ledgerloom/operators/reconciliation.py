@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_description
 from ..plans.shared import cut
 from .groups import HORIZON, ITEMS, card_compositions, duplicate_members
+from .links import first_claims
 from .matching import CONFIG, REASON, MatchConfig, assignment, candidate_edges, refund_groups
 
 
@@ -91,7 +92,7 @@ def _planned(remaining: DataFrame, config: MatchConfig) -> DataFrame:
 def confirmed_compositions(bills: DataFrame, ledger: DataFrame, made: Decided, used: DataFrame) -> DataFrame:
     """(bank_id, sheet_ids) of confirmed card bills that hold: at most 18 distinct rows that exist, pay by the card, lie up to a year before the bill, are free and add up to it.
 
-    Bills are taken in the order of date and id, and a row serves one bill only: in each round the bills that come first on all their rows are taken and those that share a row with them fall.
+    Bills are taken in the order of date and id, and a row serves one bill only.
     bills: id, date, amount; ledger: id, identity, date, amount, type, payment_method; used: sheet_id.
     """
     card = normalize_description(F.coalesce("payment_method", F.lit(""))) == "credito bradesco"
@@ -103,17 +104,8 @@ def confirmed_compositions(bills: DataFrame, ledger: DataFrame, made: Decided, u
     age = F.datediff("paid", "date")
     fits = F.coalesce(F.col("card") & (F.col("type") == "EXPENSE") & (age >= 0) & (age <= HORIZON) & F.col("used").isNull(), F.lit(False))
     whole = parts.groupBy("bank_id", "paid", "bill").agg(F.min(fits).alias("fits"), F.sum("amount").alias("total"), F.collect_list("id").alias("ids")).filter("fits and total = bill")
-    open_, taken = cut(whole.select(F.struct("paid", "bank_id").alias("place"), F.explode("ids").alias("id"))), None
-    while not open_.isEmpty():
-        first = open_.groupBy("id").agg(F.min("place").alias("first"))
-        winners = open_.join(first, "id").groupBy("place").agg(F.min(F.col("place") == F.col("first")).alias("won")).filter("won").select("place")
-        won = open_.join(winners, "place")
-        taken = cut(won if taken is None else taken.unionByName(won))
-        fallen = open_.join(won.select("id"), "id", "left_semi").select("place").distinct()
-        open_ = cut(open_.join(fallen, "place", "left_anti"))
-    if taken is None:
-        return whole.select("bank_id", F.col("ids").alias("sheet_ids"))
-    return taken.groupBy("place.bank_id").agg(F.sort_array(F.collect_list("id")).alias("sheet_ids"))
+    claims = whole.select(F.col("bank_id").alias("claim"), F.struct("paid", "bank_id").alias("place"), F.explode("ids").alias("id"), F.lit(False).alias("fixed"))
+    return whole.join(first_claims(claims).withColumnRenamed("claim", "bank_id"), "bank_id", "left_semi").select("bank_id", F.sort_array("ids").alias("sheet_ids"))
 
 
 def reconcile(bank: DataFrame, ledger: DataFrame, made: Decided | None = None, config: MatchConfig = CONFIG) -> Reconciliation:

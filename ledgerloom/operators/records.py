@@ -65,3 +65,33 @@ def totals(bank: DataFrame) -> DataFrame:
     """One row: debit and credit cents and counts."""
     side = lambda d: F.sum(F.when(F.col("direction") == d, F.col("amount")).otherwise(0))
     return bank.agg(side("DEBIT").alias("debit_total"), side("CREDIT").alias("credit_total"), F.count_if(F.col("direction") == "DEBIT").alias("debits"), F.count("*").alias("transactions"))
+
+
+def balance_summary(movements: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+    """Per statement: initial, reported and calculated balance, credits, debits, difference and whether it balances; nulls where no balance is known.
+
+    movements: statement, source_row, date, credit, debit, balance_after. excluded: the same columns for rows that were left out but report a balance. The initial balance is the first reported one without its own
+    movement, or as it stands if that row was left out; the reported one is the last of a movement.
+    """
+    cols = ["statement", "date", "source_row", "credit", "debit", "balance_after"]
+    points = movements.select(*cols, F.lit(True).alias("included"))
+    if excluded is not None:
+        points = points.unionByName(excluded.select(*cols, F.lit(False).alias("included")))
+    known, place = F.col("balance_after").isNotNull(), F.struct("date", "source_row")
+    opening = F.col("balance_after") - F.when(F.col("included"), F.col("credit") - F.col("debit")).otherwise(0)
+    out = points.groupBy("statement").agg(
+        F.min_by(F.when(known, opening), F.when(known, place)).alias("initial"), F.max_by("balance_after", F.when(known & F.col("included"), place)).alias("reported"),
+        F.sum(F.when(F.col("included"), F.col("credit")).otherwise(0)).alias("credits"), F.sum(F.when(F.col("included"), F.col("debit")).otherwise(0)).alias("debits"), F.count_if("included").alias("movements"),
+    )
+    calculated = F.col("initial") + F.col("credits") - F.col("debits")
+    return out.select("statement", "initial", "reported", "credits", "debits", "movements", calculated.alias("calculated"), (F.col("reported") - calculated).alias("difference"), (F.col("reported") == calculated).alias("balanced"))
+
+
+def missing_expenses(items: DataFrame) -> DataFrame:
+    """Items that are missing debits of the type expense. items: status, direction, type."""
+    return items.filter("status = 'MISSING' and direction = 'DEBIT' and type = 'EXPENSE'")
+
+
+def missing_summary(items: DataFrame) -> DataFrame:
+    """One row: number and sum of missing expenses."""
+    return missing_expenses(items).agg(F.count("*").alias("n"), F.coalesce(F.sum("amount"), F.lit(0)).alias("total"))
