@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import catalog_invoices, catalog_matching, catalog_records
+from . import catalog_invoices, catalog_matching, catalog_records, catalog_views
 from .functions import text
 from .operators import groups, matching, records
 from .plans.demo import bank_rows, events
@@ -148,6 +148,6 @@ ORACLE_SQL = {
     "duplicate_groups": "SELECT l_partkey, CAST(l_shipdate AS DATE) AS day, l_quantity, count(*) AS n, min(l_orderkey) AS anchor FROM lineitem GROUP BY ALL HAVING count(*) > 1",
 }
 
-for _part in (catalog_matching, catalog_records, catalog_invoices):
+for _part in (catalog_matching, catalog_records, catalog_invoices, catalog_views):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL

@@ -115,9 +115,12 @@ def provenance(spark, sf_dir):
 
 
 def duplicate_movements(spark, sf_dir):
-    """Line items as movements; line numbers as sources."""
-    rows = _table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("l_linenumber").alias("source_id"), F.to_date("l_shipdate").alias("date"), F.col("l_quantity").cast("long").alias("amount"), F.col("l_returnflag").alias("direction"), F.lit("x").alias("original_description"))
-    return audit.duplicates_across_sources(rows).select("code", "subject", F.array_join("related", ",").alias("related"))
+    """Line items as movements; the line number is the source, and for every fifth part the next number as well."""
+    n = F.col("l_linenumber")
+    rows = _table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.when(F.col("l_partkey") % 5 == 0, F.array(n, n + 1)).otherwise(F.array(n)).alias("source_ids"), F.to_date("l_shipdate").alias("date"), F.col("l_quantity").cast("long").alias("amount"), F.col("l_returnflag").alias("direction"), F.lit("x").alias("original_description")
+    )
+    return audit.duplicates_across_sources(rows).select("date", "amount", "direction", "id")
 
 
 def source_conflicts(spark, sf_dir):
@@ -134,15 +137,17 @@ def double_claims(spark, sf_dir):
 
 
 def _findings(spark, sf_dir):
-    """Orders as bank rows whose states, links and scores follow from their keys."""
+    """Orders as bank rows whose states, links, candidates and refunds follow from their keys."""
     k = F.col("o_orderkey")
     items = _table(spark, sf_dir, "orders").select(
-        k.cast("string").alias("bank_id"), F.when(k % 3 == 0, "MATCHED").when(k % 3 == 1, "REVIEW").otherwise("MISSING").alias("status"), F.when(k % 4 == 0, "ASSIGNMENT_CONFLICT").alias("reason"),
-        F.when(k % 5 != 0, F.col("o_custkey").cast("string")).alias("sheet_id"), F.when(k % 7 == 0, "CARD_PAYMENT").when(k % 7 == 1, "REFUND").otherwise("EXPENSE").alias("type"), F.lit("DEBIT").alias("direction"),
+        k.alias("k"), k.cast("string").alias("bank_id"), F.when(k % 3 == 0, "MATCHED").when(k % 3 == 1, "REVIEW").otherwise("MISSING").alias("status"), F.when(k % 4 == 0, "ASSIGNMENT_CONFLICT").alias("review_reason"),
+        F.when(k % 5 != 0, F.col("o_custkey").cast("string")).alias("sheet_id"), F.lit(None).cast("array<string>").alias("composition"), F.when(k % 7 == 0, "CARD_PAYMENT").otherwise("EXPENSE").alias("type"), F.lit("DEBIT").alias("direction"),
+        F.when(k % 19 == 0, "Gastos cartão de crédito").otherwise("x").alias("text"),
     )
-    edges = items.filter("cast(bank_id as long) % 2 = 0").select("bank_id", "sheet_id", (F.col("bank_id").cast("long") % 101).alias("score"))
+    edges = items.filter("k % 2 = 0").select("bank_id", F.explode(F.array(F.lit("REJECTED_BY_DECISION"), F.when(F.col("k") % 10 == 0, "REJECTED_BY_DECISION").otherwise("AVAILABLE"))).alias("disposition"))
     claims = items.select(F.col("bank_id").alias("subject"), "sheet_id", F.lit(False).alias("confirmed")).filter("sheet_id like '%7'")
-    return audit.state_findings(items, edges, claims)
+    refunds = items.select(F.when(F.col("k") % 23 == 0, "REFUNDED").otherwise("PARTIAL").alias("status"), F.array("bank_id").alias("original_ids"))
+    return audit.state_findings(items.drop("k"), edges, claims, refunds)
 
 
 def audit_findings(spark, sf_dir):
@@ -176,14 +181,24 @@ def decision_validity(spark, sf_dir):
     return _decisions(spark, sf_dir).select("n", decisions.is_valid().alias("valid"))
 
 
+def _decided_rows(spark, sf_dir):
+    """Orders as bank rows and customers as ledger rows of one day; amounts follow from their keys."""
+    text = lambda t: F.lit(t).cast("string")
+    return tuple(
+        _table(spark, sf_dir, t).select(
+            F.col(k).cast("string").alias("id"), F.lit("2026-01-01").cast("date").alias("date"), (F.col(k) % 3).alias("amount"), F.lit("DEBIT").alias("direction"), F.lit(True).alias("direction_known"), F.lit("EXPENSE").alias("type"), F.lit("x").alias("original_description"),
+            text(None).alias("counterparty_name"), F.lit("Pix").alias("payment_method"),
+        )
+        for t, k in (("orders", "o_orderkey"), ("customer", "c_custkey"))
+    )
+
+
 def decision_pairs(spark, sf_dir):
-    return decisions.confirmed_pairs(_decisions(spark, sf_dir))
+    return decisions.confirmed_pairs(_decisions(spark, sf_dir), *_decided_rows(spark, sf_dir))
 
 
 def decision_status(spark, sf_dir):
-    """Orders are the bank rows and customers the ledger rows; both have amounts by their key."""
-    rows = lambda t, k: _table(spark, sf_dir, t).select(F.col(k).cast("string").alias("id"), F.lit("2026-01-01").cast("date").alias("date"), (F.col(k) % 3).alias("amount"), F.lit("DEBIT").alias("direction"))
-    out = decisions.status(_decisions(spark, sf_dir).filter("n % 13 <> 0"), rows("orders", "o_orderkey"), rows("customer", "c_custkey"))
+    out = decisions.status(_decisions(spark, sf_dir).filter("n % 13 <> 0"), *_decided_rows(spark, sf_dir))
     return out.groupBy("kind", "status").agg(F.count("*").alias("n"))
 
 
@@ -211,14 +226,13 @@ _CARDS = """e AS (SELECT CAST(event_id AS VARCHAR) AS id, CAST(ts AS DATE) AS d,
     p AS (SELECT b.id AS purchase_id, s.id AS sheet_id, b.amount, s.d = b.d + 10 AS on_due, CAST(abs(s.d - b.d) AS INTEGER) AS days, (year(b.d + 10) - year(s.d)) * 12 + month(b.d + 10) - month(s.d) = 1 AND abs(day(b.d + 10) - day(s.d)) <= 3 AS previous_cycle
         FROM e b JOIN e s ON b.amount = s.amount AND b.event_type = 'purchase' AND s.event_type = 'view' AND (s.d = b.d + 10 OR abs(s.d - b.d) <= 7)),
     c AS (SELECT * FROM p QUALIFY on_due OR NOT bool_or(on_due) OVER (PARTITION BY purchase_id))"""
-_FINDINGS = """i AS (SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS subject, CASE o_orderkey % 3 WHEN 0 THEN 'MATCHED' WHEN 1 THEN 'REVIEW' ELSE 'MISSING' END AS status, CASE WHEN o_orderkey % 4 = 0 THEN 'ASSIGNMENT_CONFLICT' END AS reason,
-        CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS sheet FROM orders),
+_FINDINGS = """i AS (SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS subject, CASE o_orderkey % 3 WHEN 0 THEN 'MATCHED' WHEN 1 THEN 'REVIEW' ELSE 'MISSING' END AS status, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS sheet FROM orders),
     f AS (SELECT 'MATCHED_WITHOUT_LINK' AS code, 'CRITICAL' AS severity, subject FROM i WHERE status = 'MATCHED' AND sheet IS NULL
-        UNION ALL SELECT 'REVIEW_WITHOUT_CANDIDATES', 'REVIEW', subject FROM i WHERE status = 'REVIEW' AND k % 2 <> 0
-        UNION ALL SELECT 'ASSIGNMENT_CONFLICT', 'REVIEW', subject FROM i WHERE reason IS NOT NULL
-        UNION ALL SELECT 'MISSING_WITH_STRONG_CANDIDATE', 'CRITICAL', subject FROM i WHERE status = 'MISSING' AND k % 2 = 0 AND k % 101 >= 85
-        UNION ALL SELECT 'CARD_PAYMENT_AS_EXPENSE_MISSING', 'CRITICAL', subject FROM i WHERE status = 'MISSING' AND k % 7 = 0
-        UNION ALL SELECT 'REFUNDED_BUT_MISSING', 'CRITICAL', subject FROM i WHERE status = 'MISSING' AND k % 7 = 1
+        UNION ALL SELECT 'REVIEW_WITHOUT_CANDIDATES', 'REVIEW', subject FROM i WHERE status = 'REVIEW' AND sheet IS NULL
+        UNION ALL SELECT 'ASSIGNMENT_CONFLICT', 'REVIEW', subject FROM i WHERE status = 'REVIEW' AND k % 4 = 0 AND sheet IS NOT NULL
+        UNION ALL SELECT CASE WHEN k % 10 = 0 THEN 'EXPECTED_MANUAL_REJECTION' ELSE 'MISSING_WITH_STRONG_CANDIDATE' END, CASE WHEN k % 10 = 0 THEN 'INFO' ELSE 'CRITICAL' END, subject FROM i WHERE status = 'MISSING' AND k % 7 <> 0 AND k % 2 = 0
+        UNION ALL SELECT 'CARD_PAYMENT_AS_EXPENSE_MISSING', 'CRITICAL', subject FROM i WHERE status = 'MISSING' AND (k % 7 = 0 OR k % 19 = 0)
+        UNION ALL SELECT 'REFUNDED_BUT_MISSING', 'CRITICAL', subject FROM i WHERE status = 'MISSING' AND k % 23 = 0
         UNION ALL SELECT 'DOUBLE_CLAIM', 'CRITICAL', sheet FROM i WHERE sheet LIKE '%7' GROUP BY sheet HAVING count(DISTINCT subject) > 1)"""
 _DECISIONS = "k AS (SELECT o_orderkey AS n, o_custkey AS c, CASE o_orderkey % 4 WHEN 0 THEN 'PAIR_REJECTED' WHEN 1 THEN 'PAIR_CONFIRMED' WHEN 2 THEN 'BANK_IGNORED' ELSE 'SHEET_IGNORED' END AS kind FROM orders)"
 
@@ -243,20 +257,21 @@ ORACLE_SQL = {
         u AS (SELECT statement, 'DEBITS' AS "check", x AS expected, d AS actual FROM r UNION ALL SELECT statement, 'CREDITS', c, c FROM r UNION ALL SELECT statement, 'EQUATION', x - c + y, x - c FROM r UNION ALL SELECT statement, 'LINES', 0, 0 FROM r)
         SELECT statement, "check", expected = actual AS ok, CAST(expected AS BIGINT) AS expected, CAST(actual AS BIGINT) AS actual FROM u""",
     "card_subtotals": "SELECT o_custkey AS statement, o_orderpriority AS card, CAST(sum(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) * CASE WHEN o_orderpriority LIKE '1%' THEN -1 ELSE 1 END) AS BIGINT) AS net, count(*) AS n FROM orders GROUP BY 1, 2",
-    "provenance": """SELECT 'SOURCE_POINTS_TO_MISSING_ENTITY' AS code, 'CRITICAL' AS severity, CAST(o_custkey + 1000000000000 AS VARCHAR) AS subject, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY CAST(o_orderkey AS VARCHAR)) AS related FROM orders WHERE o_orderkey % 50 = 0 GROUP BY o_custkey
+    "provenance": """SELECT 'SOURCE_POINTS_TO_MISSING_ENTITY' AS code, 'REVIEW' AS severity, CAST(o_custkey + 1000000000000 AS VARCHAR) AS subject, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY CAST(o_orderkey AS VARCHAR)) AS related FROM orders WHERE o_orderkey % 50 = 0 GROUP BY o_custkey
         UNION ALL SELECT 'ACTIVE_ENTITY_WITHOUT_SOURCE', 'REVIEW', CAST(c_custkey AS VARCHAR), NULL FROM customer WHERE c_custkey NOT IN (SELECT o_orderkey FROM orders)""",
-    "duplicate_movements": """WITH s AS (SELECT CAST(l_shipdate AS DATE) AS d, CAST(l_quantity AS BIGINT) AS q, l_returnflag AS f, l_linenumber AS n, min(l_orderkey || '-' || l_linenumber) AS id FROM lineitem GROUP BY ALL)
-        SELECT 'DUPLICATE_BANK_TRANSACTION_ACROSS_STATEMENTS' AS code, min(id) AS subject, max(id) AS related FROM s GROUP BY d, q, f HAVING count(*) > 1""",
+    "duplicate_movements": """WITH r AS (SELECT CAST(l_shipdate AS DATE) AS date, CAST(l_quantity AS BIGINT) AS amount, l_returnflag AS direction, CASE WHEN l_partkey % 5 = 0 THEN [l_linenumber, l_linenumber + 1] ELSE [l_linenumber] END AS src, l_orderkey || '-' || l_linenumber AS id FROM lineitem),
+        s AS (SELECT DISTINCT date, amount, direction, src FROM r)
+        SELECT date, amount, direction, id FROM r WHERE EXISTS (SELECT 1 FROM s WHERE s.date = r.date AND s.amount = r.amount AND s.direction = r.direction AND NOT list_has_any(s.src, r.src))""",
     "source_conflicts": """WITH o AS (SELECT l_linenumber AS s, l_orderkey AS k, count(*) AS n, min(CAST(l_shipdate AS DATE)) AS d, min(CAST(l_quantity AS BIGINT)) AS q, min(l_returnflag) AS f FROM lineitem GROUP BY 1, 2),
         j AS (SELECT CAST(a.k AS VARCHAR) AS document, concat_ws(',', CASE WHEN a.d <> b.d THEN 'date' END, CASE WHEN a.q <> b.q THEN 'amount' END, CASE WHEN a.f <> b.f THEN 'direction' END) AS differs FROM o a JOIN o b ON a.k = b.k AND a.s = 1 AND b.s = 2 AND a.n = 1 AND b.n = 1)
         SELECT * FROM j WHERE differs <> ''""",
     "double_claims": """WITH c AS (SELECT l_partkey AS sheet_id, l_orderkey, bool_or(l_linenumber = 1) AS sure FROM lineitem GROUP BY 1, 2) SELECT sheet_id, count(*) AS owners, count(*) FILTER (sure) AS confirmed FROM c GROUP BY 1 HAVING count(*) > 1""",
     "audit_findings": f"WITH {_FINDINGS} SELECT * FROM f",
     "audit_summary": f"WITH {_FINDINGS} SELECT severity, code, count(DISTINCT subject) AS subjects FROM f GROUP BY 1, 2",
-    "audit_collapsed": f"""WITH {_FINDINGS}, g AS (SELECT subject, min((CASE severity WHEN 'CRITICAL' THEN 0 ELSE 1 END, code)) AS top, list_sort(list(DISTINCT code)) AS codes FROM f GROUP BY 1)
-        SELECT subject, top[2] AS code, CASE top[1] WHEN 0 THEN 'CRITICAL' ELSE 'REVIEW' END AS severity, array_to_string(list_filter(codes, lambda c: c <> top[2]), ',') AS others FROM g""",
+    "audit_collapsed": f"""WITH {_FINDINGS}, g AS (SELECT subject, min((CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'REVIEW' THEN 1 ELSE 2 END, code)) AS top, list_sort(list(DISTINCT code)) AS codes FROM f GROUP BY 1)
+        SELECT subject, top[2] AS code, CASE top[1] WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'REVIEW' ELSE 'INFO' END AS severity, array_to_string(list_filter(codes, lambda c: c <> top[2]), ',') AS others FROM g""",
     "decision_validity": "SELECT o_orderkey AS n, o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AS valid FROM orders",
-    "decision_pairs": "SELECT CAST(o_orderkey AS VARCHAR) AS bank_id, CAST(o_custkey AS VARCHAR) AS sheet_id, count(*) OVER (PARTITION BY o_custkey) > 1 AS conflicting FROM orders WHERE o_orderkey % 4 = 1",
+    "decision_pairs": "SELECT CAST(o_orderkey AS VARCHAR) AS bank_id, CAST(o_custkey AS VARCHAR) AS sheet_id, count(*) OVER (PARTITION BY o_custkey) > 1 AS conflicting FROM orders WHERE o_orderkey % 4 = 1 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 3 = o_custkey % 3",
     "decision_status": f"""WITH {_DECISIONS}, s AS (SELECT kind, CASE WHEN n % 11 = 0 THEN 'INVALID' WHEN kind IN ('BANK_IGNORED', 'SHEET_IGNORED') OR n % 3 = c % 3 THEN 'VALID' ELSE 'STALE' END AS status FROM k WHERE n % 13 <> 0)
         SELECT kind, status, count(*) AS n FROM s GROUP BY 1, 2""",
     "overlap_merge": """WITH r AS (SELECT l_linenumber AS s, l_orderkey AS id, CAST(l_shipdate AS DATE) AS d, CAST(l_quantity AS BIGINT) AS q, l_returnflag AS f FROM lineitem WHERE l_linenumber <= 2),

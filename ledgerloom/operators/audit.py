@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_description
+from ..functions.text import normalize_description, transaction_type
 
 FINDING = ["code", "severity", "subject", "related"]
 
@@ -24,19 +24,28 @@ def provenance(entities: DataFrame, sources: DataFrame) -> DataFrame:
     lost = told.join(entities.select("id"), "id", "left_anti").groupBy("id").agg(F.sort_array(F.collect_set("source_id")).alias("from"))
     backed = held.join(sources.select("source_id"), "source_id", "left_semi").select("id").distinct()
     bare = entities.join(backed, "id", "left_anti")
-    return _finding(lost, "SOURCE_POINTS_TO_MISSING_ENTITY", "CRITICAL", F.col("id"), F.col("from")).unionByName(_finding(bare, "ACTIVE_ENTITY_WITHOUT_SOURCE", "REVIEW", F.col("id")))
+    return _finding(lost, "SOURCE_POINTS_TO_MISSING_ENTITY", "REVIEW", F.col("id"), F.col("from")).unionByName(_finding(bare, "ACTIVE_ENTITY_WITHOUT_SOURCE", "REVIEW", F.col("id")))
 
 
 def duplicates_across_sources(bank: DataFrame) -> DataFrame:
-    """Equal movements (date, amount, direction, text) that come from more than one source: one finding per movement with the ids.
+    """Equal movements (date, amount, direction, text) that stand as separate rows of disjoint sources: (date, amount, direction, said, id), one row for each row concerned.
 
-    Copies within one source are genuine repetitions. Ids are counted per source first, so a hot movement isn't paired with itself. bank: id, source_id, date, amount, direction, original_description.
+    A row is concerned if any equal row shares no source with it. Rows with the same set of sources behave alike, so only the sets of a movement are compared, and ids, however many, are joined back to them; rows
+    without a source are left out. bank: id, source_ids (or source_id), date, amount, direction, original_description.
     """
+    given = F.col("source_ids") if "source_ids" in bank.columns else F.array("source_id")
     key = ["date", "amount", "direction", "said"]
-    rows = bank.select("id", "source_id", "date", "amount", "direction", normalize_description(F.coalesce("original_description", F.lit(""))).alias("said"))
-    per_source = rows.groupBy(*key, "source_id").agg(F.min("id").alias("id"))
-    met = per_source.groupBy(*key).agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last")).filter("n > 1")
-    return _finding(met, "DUPLICATE_BANK_TRANSACTION_ACROSS_STATEMENTS", "REVIEW", F.col("first"), F.array("last"))
+    rows = bank.select("id", F.array_sort(F.array_distinct(F.array_compact(given.cast("array<string>")))).alias("sources"), "date", "amount", "direction", normalize_description(F.coalesce("original_description", F.lit(""))).alias("said"))
+    rows = rows.filter(F.size("sources") > 0)
+    sets = rows.select(*key, "sources").distinct()
+    apart = sets.join(sets.withColumnRenamed("sources", "others"), key).filter(~F.arrays_overlap("sources", "others")).select(*key, "sources").distinct()
+    return rows.join(apart, [*key, "sources"], "left_semi").select(*key, "id")
+
+
+def duplicate_findings(members: DataFrame) -> DataFrame:
+    """One finding per movement of duplicates_across_sources() with the ids of all rows concerned."""
+    met = members.groupBy("date", "amount", "direction", "said").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    return _finding(met, "DUPLICATE_BANK_TRANSACTION_ACROSS_STATEMENTS", "REVIEW", F.get("ids", F.lit(0)), F.slice("ids", 2, 1 << 30))
 
 
 def source_conflicts(bank: DataFrame, left: str, right: str) -> DataFrame:
@@ -59,23 +68,126 @@ def double_claims(claims: DataFrame) -> DataFrame:
     return per_owner.groupBy("sheet_id").agg(F.count("*").alias("owners"), F.count_if("confirmed").alias("confirmed")).filter("owners > 1")
 
 
-def state_findings(items: DataFrame, edges: DataFrame, claims: DataFrame) -> DataFrame:
-    """Findings about the states of bank rows. items: bank_id, status, reason, sheet_id, type, direction; edges: bank_id, sheet_id, score; claims: as for double_claims."""
-    best = edges.groupBy("bank_id").agg(F.count("*").alias("n"), F.max("score").alias("best"))
-    rows = items.join(best, "bank_id", "left")
+def state_findings(items: DataFrame, edges: DataFrame, claims: DataFrame, refunds: DataFrame | None = None) -> DataFrame:
+    """Findings about the states of bank rows. items: bank_id, status, review_reason, sheet_id, composition, type, direction, text; edges: bank_id, disposition (plausible edges as traced); claims: as for double_claims;
+    refunds: status, original_ids.
+
+    A missing expense with any plausible ledger row is critical, unless all of them were refused by valid decisions, which is expected. A review needs a candidate row; a conflict counts as one only with its candidate.
+    """
+    tried = edges.groupBy("bank_id").agg(F.count("*").alias("n"), F.count_if(F.col("disposition") == "REJECTED_BY_DECISION").alias("refused"))
+    rows = items.join(tried, "bank_id", "left")
+    if refunds is not None:
+        back = refunds.filter("status = 'REFUNDED'").select(F.explode("original_ids").alias("bank_id"), F.lit(True).alias("returned")).distinct()
+        rows = rows.join(back, "bank_id", "left")
+    else:
+        rows = rows.withColumn("returned", F.lit(None).cast("boolean"))
+    rows = rows.withColumn("means_card", transaction_type(F.coalesce("text", F.lit(""))) == "CARD_PAYMENT")
+    expense = "status = 'MISSING' and direction = 'DEBIT' and type = 'EXPENSE' and n > 0"
     cases = [
-        ("MATCHED_WITHOUT_LINK", "CRITICAL", "status = 'MATCHED' and sheet_id is null"),
-        ("REVIEW_WITHOUT_CANDIDATES", "REVIEW", "status = 'REVIEW' and n is null and coalesce(reason, '') <> 'DIRECTION_UNCERTAIN'"),
-        ("ASSIGNMENT_CONFLICT", "REVIEW", "reason = 'ASSIGNMENT_CONFLICT'"),
-        ("MISSING_WITH_STRONG_CANDIDATE", "CRITICAL", "status = 'MISSING' and best >= 85"),
-        ("CARD_PAYMENT_AS_EXPENSE_MISSING", "CRITICAL", "status = 'MISSING' and type = 'CARD_PAYMENT'"),
-        ("REFUNDED_BUT_MISSING", "CRITICAL", "status = 'MISSING' and type = 'REFUND'"),
+        ("MATCHED_WITHOUT_LINK", "CRITICAL", "status = 'MATCHED' and sheet_id is null and coalesce(size(composition), 0) <= 0"),
+        ("REVIEW_WITHOUT_CANDIDATES", "REVIEW", "status = 'REVIEW' and sheet_id is null"),
+        ("ASSIGNMENT_CONFLICT", "REVIEW", "status = 'REVIEW' and review_reason = 'ASSIGNMENT_CONFLICT' and sheet_id is not null"),
+        ("MISSING_WITH_STRONG_CANDIDATE", "CRITICAL", f"{expense} and refused < n"),
+        ("EXPECTED_MANUAL_REJECTION", "INFO", f"{expense} and refused = n"),
+        ("CARD_PAYMENT_AS_EXPENSE_MISSING", "CRITICAL", "status = 'MISSING' and (type = 'CARD_PAYMENT' or means_card)"),
+        ("REFUNDED_BUT_MISSING", "CRITICAL", "status = 'MISSING' and returned"),
     ]
     labels = F.array_compact(F.array(*(F.when(F.expr(test), F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))) for code, severity, test in cases)))
     found = rows.select(F.explode(labels).alias("f"), F.col("bank_id").alias("subject"), F.when(F.col("sheet_id").isNotNull(), F.array("sheet_id")).alias("related")).select("f.*", "subject", "related")
     return found.unionByName(_finding(double_claims(claims), "DOUBLE_CLAIM", "CRITICAL", F.col("sheet_id")))
 
 
+def invoice_findings(statements: DataFrame, subtotals: DataFrame) -> DataFrame:
+    """Findings about the sums of invoices: INVOICE_TOTAL_MISMATCH (the equation is off) and CARD_SUBTOTAL_MISMATCH (reported subtotals don't add up). statements: statement, total, difference; subtotals: statement, amount."""
+    off = _finding(statements.filter("difference <> 0"), "INVOICE_TOTAL_MISMATCH", "REVIEW", F.col("statement"))
+    sums = subtotals.groupBy("statement").agg(F.sum("amount").alias("sum")).join(statements.select("statement", "total"), "statement").filter("total <> sum")
+    return off.unionByName(_finding(sums, "CARD_SUBTOTAL_MISMATCH", "REVIEW", F.col("statement")))
+
+
+def mismatch_severity(pure: Column, current: Column, can_append: Column) -> Column:
+    """How grave it is that a purchase's state differs from what matching alone gives."""
+    matched = lambda c: c.isin("CARD_MATCHED", "CARD_GROUP_MATCHED")
+    return (
+        F.when(matched(pure) & (current == "CARD_MISSING") | (pure == "CARD_MISSING") & matched(current) | (pure == "CARD_REVIEW") & (current == "CARD_MISSING") & can_append, "CRITICAL")
+        .when((pure == "CARD_REVIEW") & (current == "CARD_GROUP_MATCHED"), "INFO").otherwise("REVIEW")
+    )
+
+
+def card_state_findings(pure: DataFrame, current: DataFrame, can_append: DataFrame) -> DataFrame:
+    """DERIVED_STATE_MISMATCH of purchases whose state differs from the recomputed one. pure, current: purchase_id, status; can_append: purchase_id of purchases that may still be written to the ledger."""
+    both = pure.select("purchase_id", F.col("status").alias("pure")).join(current.select("purchase_id", F.col("status").alias("now")), "purchase_id").filter(F.col("pure") != F.col("now"))
+    both = both.join(can_append.select("purchase_id", F.lit(True).alias("open")).distinct(), "purchase_id", "left")
+    grave = mismatch_severity(F.col("pure"), F.col("now"), F.coalesce("open", F.lit(False)))
+    return both.select(F.lit("DERIVED_STATE_MISMATCH").alias("code"), grave.alias("severity"), F.col("purchase_id").cast("string").alias("subject"), F.array("pure", "now").alias("related"))
+
+
+# The invariant that each code breaks.
+INVARIANT = {
+    "DOUBLE_CLAIM": "INV-01", "DOUBLE_CLAIM_AFTER_CONFIRMATION": "INV-02", "ORPHANED_SHEET_REFERENCE": "INV-02", "EDITED_SHEET_REFERENCE": "INV-02", "MISSING_COM_CANDIDATO": "INV-03", "MISSING_WITH_STRONG_CANDIDATE": "INV-03", "ASSIGNMENT_CONFLICT": "INV-03",
+    "REVIEW_WITHOUT_CANDIDATES": "INV-03", "MISSING_ACTION_INCONSISTENCY": "INV-04", "CARD_PAYMENT_AS_EXPENSE_MISSING": "INV-05", "REFUNDED_BUT_MISSING": "INV-06", "STALE_ACTIVE_SOURCE": "INV-07", "DERIVED_STATE_MISMATCH": "INV-08", "MATCHED_WITHOUT_LINK": "INV-08",
+    "INVOICE_TOTAL_MISMATCH": "INV-13", "CARD_SUBTOTAL_MISMATCH": "INV-13", "REFUND_NET_MISMATCH": "INV-06", "ACTIVE_ENTITY_WITHOUT_SOURCE": "INV-07", "SOURCE_POINTS_TO_MISSING_ENTITY": "INV-07", "SOURCE_CONFLICT": "INV-07", "MISSING_COUNT_DIVERGENCE": "INV-09",
+}
+#: Codes that depend on derived results; they weigh less when the inputs have changed meanwhile.
+DEPENDENT = ["CURRENT_SOURCE_DIVERGENCE", "STALE_DECISION_RESULT", "VALID_BANK_MANUAL_MATCH_NOT_APPLIED", "VALID_MANUAL_MATCH_NOT_APPLIED", "REJECTED_CANDIDATE_FILTERED", "MISSING_COM_CANDIDATO", "MISSING_WITH_STRONG_CANDIDATE", "DERIVED_STATE_MISMATCH", "MISSING_ACTION_INCONSISTENCY", "CARD_PAYMENT_AS_EXPENSE_MISSING", "REVIEW_WITHOUT_CANDIDATES", "ASSIGNMENT_CONFLICT", "UNUSED_STRONG_CANDIDATE"]
+
+
+def enrich(findings: DataFrame) -> DataFrame:
+    """Findings with category, invariant, role and root cause: what breaks, which rule, whether a finding follows from another one, and the key that findings of one cause share."""
+    code = F.col("code")
+    category = (
+        F.when(code.rlike("SOURCE|DRIVE|INVOICE_SOURCE"), "SOURCE").when(code.rlike("DUPLICATE|FITID|OVERLAP|DEDUP"), "IDENTITY")
+        .when(code.rlike("DECISION|TOMBSTONE|FINGERPRINT|SYNC|DOUBLE_CLAIM|WRONG_DECISION_DOMAIN|RESERVED_SHEET_ROW_REUSED|EXPECTED_MANUAL_RESERVATION"), "DECISION").when(code.rlike("REFUND|INVOICE|SUBTOTAL|BALANCE|PAYMENT|COUNT"), "FINANCIAL").otherwise("STATE")
+    )
+    named = F.create_map(*(F.lit(x) for pair in INVARIANT.items() for x in pair))
+    fallback = F.when(category == "SOURCE", "INV-07").when(category == "IDENTITY", "INV-14").when(category == "FINANCIAL", "INV-13").when(category == "DECISION", "INV-08").otherwise("INV-03")
+    role = F.when(code.startswith("EXPECTED_"), "EXPECTED").when(F.col("severity") == "INFO", "INFO").when(code.isin("ASSIGNMENT_CONFLICT", "UNUSED_STRONG_CANDIDATE"), "RELATED").otherwise("PRIMARY")
+    cause = F.when(code.isin("ASSIGNMENT_CONFLICT", "UNUSED_STRONG_CANDIDATE", "MISSING_COM_CANDIDATO", "MISSING_WITH_STRONG_CANDIDATE", "MISSING_ACTION_INCONSISTENCY"), "RECONCILIATION_ASSIGNMENT").when(
+        code.isin("DOUBLE_CLAIM", "DOUBLE_CLAIM_AFTER_CONFIRMATION", "RESERVED_SHEET_ROW_REUSED"), "OWNERSHIP").otherwise(code)
+    return findings.select("*", category.alias("category"), F.coalesce(F.try_element_at(named, code), fallback).alias("invariant"), role.alias("role"), F.concat_ws(":", cause, "subject").alias("root_cause"))
+
+
+def group_by_cause(findings: DataFrame) -> DataFrame:
+    """Enriched findings with one primary finding per root cause, the gravest, and the codes of the others and of related ones beside it (related_codes); findings of another role stay, related ones only where nothing absorbs them."""
+    rank = F.when(F.col("severity") == "CRITICAL", 0).when(F.col("severity") == "REVIEW", 1).otherwise(2)
+    cols = [c for c in findings.columns if c != "root_cause"]
+    primary = findings.filter("role = 'PRIMARY'").groupBy("root_cause").agg(F.min(F.struct(rank.alias("rank"), *cols)).alias("top"), F.collect_set("code").alias("codes"))
+    related = findings.filter("role = 'RELATED'").groupBy("root_cause").agg(F.collect_set("code").alias("more"))
+    kept = primary.join(related, "root_cause", "left").select("root_cause", *(F.col(f"top.{c}").alias(c) for c in cols), F.array_sort(F.array_except(F.array_union("codes", F.coalesce("more", F.array().cast("array<string>"))), F.array("top.code"))).alias("related_codes"))
+    rest = findings.filter("role <> 'PRIMARY'").join(primary.select("root_cause", F.lit(True).alias("absorbed")), "root_cause", "left").filter("role <> 'RELATED' or absorbed is null").drop("absorbed").withColumn("related_codes", F.array().cast("array<string>"))
+    return kept.unionByName(rest.select(kept.columns))
+
+
+def snapshot_state(captured: DataFrame, current: DataFrame) -> DataFrame:
+    """One row (state, stale): STALE if any source's revision differs from the captured one, MIXED_REVISION, PARTIAL or COMPLETE. captured, current: source, revision, mixed, unavailable."""
+    both = captured.select("source", F.col("revision").alias("then"), F.col("mixed").alias("m1"), F.col("unavailable").alias("u1")).join(current.select("source", F.col("revision").alias("now"), F.col("mixed").alias("m2"), F.col("unavailable").alias("u2")), "source", "full")
+    any_ = lambda *c: F.coalesce(F.max(F.coalesce(c[0], F.lit(False)) | F.coalesce(c[1], F.lit(False))), F.lit(False))
+    out = both.agg(F.array_sort(F.collect_list(F.when(~F.col("then").eqNullSafe(F.col("now")), F.col("source")))).alias("stale"), any_(F.col("m1"), F.col("m2")).alias("mixed"), any_(F.col("u1"), F.col("u2")).alias("partial"))
+    return out.select(F.when(F.size("stale") > 0, "STALE").when(F.col("mixed"), "MIXED_REVISION").when(F.col("partial"), "PARTIAL").otherwise("COMPLETE").alias("state"), "stale")
+
+
+def finalize(findings: DataFrame, state: str) -> DataFrame:
+    """Findings under the state of the inputs: with stale or mixed inputs dependent codes become REVIEW, confidence is LOW and the mismatch itself is reported; with partial ones confidence is at most MEDIUM. findings: also confidence."""
+    uncertain = state in ("STALE", "MIXED_REVISION")
+    grave = F.when(F.lit(uncertain) & F.col("code").isin(DEPENDENT), "REVIEW").otherwise(F.col("severity"))
+    sure = F.lit("LOW") if uncertain else F.lit("MEDIUM") if state == "PARTIAL" else F.col("confidence")
+    out = findings.withColumn("severity", grave).withColumn("confidence", sure)
+    if not uncertain:
+        return out
+    own = findings.sparkSession.createDataFrame([("AUDIT_INPUT_REVISION_MISMATCH", "REVIEW", state, "LOW")], "code string, severity string, subject string, confidence string")
+    return out.unionByName(own, allowMissingColumns=True)
+
+
+def confidence(comparable: Column, coverage: Column, identity: Column, evidence: Column, valid_decision: Column, canonical_target: Column) -> Column:
+    """How sure a diagnosis is: LOW without comparable, whole inputs and known identities, HIGH with canonical identities and enough evidence, else MEDIUM."""
+    weak = ~comparable | (coverage == "PARTIAL") | (identity == "INCOMPLETE")
+    return F.when(weak, "LOW").when((identity == "CANONICAL") & (evidence >= 2) & (valid_decision | canonical_target | (evidence >= 4)), "HIGH").when(evidence > 0, "MEDIUM").otherwise("LOW")
+
+
+def finding_filter(findings: DataFrame, kind: str) -> DataFrame:
+    """Findings shown under a filter: ALL, CRITICAL, REVIEW, LEGACY (legacy and maintenance ones, by lifecycle) or HIDDEN (none)."""
+    return findings if kind == "ALL" else findings.limit(0) if kind == "HIDDEN" else findings.filter(F.col("lifecycle").isin("LEGACY", "MAINTENANCE")) if kind == "LEGACY" else findings.filter(F.col("severity") == kind)
+
+
 def collapse(findings: DataFrame) -> DataFrame:
     """One row per subject: its gravest finding, with the other codes as `others`."""
     rank = F.when(F.col("severity") == "CRITICAL", 0).when(F.col("severity") == "REVIEW", 1).otherwise(2)

@@ -52,12 +52,12 @@ def _texts(*cases: tuple[Column, str | Column]) -> Column:
     return F.array_compact(F.array(*(F.when(condition, F.lit(text) if isinstance(text, str) else text) for condition, text in cases)))
 
 
-def candidate_edges(bank: DataFrame, ledger: DataFrame, config: MatchConfig = CONFIG) -> DataFrame:
+def candidate_edges(bank: DataFrame, ledger: DataFrame, config: MatchConfig = CONFIG, only: DataFrame | None = None) -> DataFrame:
     """Plausible pairs with score, confidence and reasons: equal cents, both debits, fitting types, at most `days` apart unless both sides are investments.
 
     bank: id, date, amount, direction, direction_known, type, original_description, counterparty_name, payment_method. ledger: id, date, amount, type,
     original_description, payment_method. Ordinary pairs are joined on amount and a block of days, so that a frequent amount meets only the rows of its own weeks; investments, which have
-    no date limit, on the amount alone. Texts are normalised once per row.
+    no date limit, on the amount alone. Texts are normalised once per row. only: the pairs (bank_id, sheet_id) to look at, where not all are asked for.
     """
     said = lambda c: normalize_description(F.coalesce(c, F.lit("")))
     day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
@@ -71,11 +71,15 @@ def candidate_edges(bank: DataFrame, ledger: DataFrame, config: MatchConfig = CO
     )
     alias = F.col("pix_bank") & (F.col("paid") == "transferencia") & (F.col("sheet_type") == "TRANSFER")
     span = 2 * config.days + 1
+    if only is not None:
+        asked = b.join(only.select("bank_id", "sheet_id").distinct(), "bank_id").select(*b.columns, "sheet_id")
+        b = asked.filter("sheet_id is not null")
     near = b.filter("bank_type <> 'INVESTMENT'").withColumn("block", F.explode(F.array_distinct(F.array(*(F.floor((day("bank_date") + shift) / span) for shift in (-config.days, config.days))))))
-    ordinary = near.join(s.filter("sheet_type in ('EXPENSE', 'TRANSFER')").withColumn("block", F.floor(day("sheet_date") / span)), ["amount", "block"])
+    keys = ["amount"] if only is None else ["amount", "sheet_id"]
+    ordinary = near.join(s.filter("sheet_type in ('EXPENSE', 'TRANSFER')").withColumn("block", F.floor(day("sheet_date") / span)), [*keys, "block"])
     ordinary = ordinary.filter((F.abs(F.datediff("bank_date", "sheet_date")) <= config.days) & ((F.col("sheet_type") == "EXPENSE") | alias)).drop("block").withColumn("invested", F.lit(False))
     saved = s.filter((F.col("sheet_type") == "INVESTMENT") | (F.col("paid") == "investimento"))
-    invested = b.filter("bank_type = 'INVESTMENT'").join(saved, "amount").filter(F.col("sheet_type") != "TRANSFER").withColumn("invested", F.lit(True))
+    invested = b.filter("bank_type = 'INVESTMENT'").join(saved, keys).filter(F.col("sheet_type") != "TRANSFER").withColumn("invested", F.lit(True))
     pairs = ordinary.unionByName(invested.select(ordinary.columns)).withColumn("days", F.abs(F.datediff("bank_date", "sheet_date"))).withColumn("alias", alias)
     similar = F.when(F.col("generic"), 0.0).otherwise(normalized_similarity(F.col("bank_said"), F.col("sheet_said")))
     party = F.when(F.col("party_said") == "", 0.0).otherwise(normalized_similarity(F.col("party_said"), F.col("sheet_said")))

@@ -3,7 +3,7 @@ from datetime import date, datetime
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.identity import decision_key
-from ledgerloom.operators import audit, cards, decisions, overlap
+from ledgerloom.operators import audit, cards, decisions, overlap, reconciliation, views
 from ledgerloom.sources import export, files
 
 PURCHASE = "id string, statement string, card string, date date, due_date date, description string, amount long, type string, direction string, number int, total int"
@@ -51,11 +51,66 @@ def made(spark, *rows):
     return df.select(decision_key(F.col("kind"), F.col("identities")).alias("key"), F.lit(1).alias("schema_version"), "*", F.lit("ACTIVE").alias("state"))
 
 
-def test_dispositions(spark):
-    chosen = made(spark, decision("PAIR_CONFIRMED", ["b1"], ["s1"]), decision("PAIR_REJECTED", ["b2", "s2"]), decision("BANK_IGNORED", ["b3"]), decision("PAIR_CONFIRMED", ["b4"], ["s4"]), decision("PAIR_CONFIRMED", ["b5"], ["s4"]))
-    edges = spark.createDataFrame([("b1", "s1"), ("b1", "s9"), ("b9", "s1"), ("b2", "s2"), ("b3", "s3"), ("b4", "s4"), ("b8", "s8")], "bank_id string, sheet_id string")
-    got = {(r.bank_id, r.sheet_id): r.disposition for r in decisions.apply_pairs(edges, chosen).collect()}
-    assert list(got.values()).count("AVAILABLE") == 2 and got["b1", "s1"] == "CONFIRMED" and got["b1", "s9"] == got["b9", "s1"] == "RESERVED" and got["b2", "s2"] == "REJECTED" and got["b3", "s3"] == "IGNORED"
+BANK = "id string, date string, amount long, direction string, direction_known boolean, type string, original_description string, counterparty_name string, payment_method string"
+SHEET = "id string, date string, amount long, direction string, type string, original_description string, payment_method string"
+
+
+def sides(spark):
+    """Ten bank and ledger rows of 10, 20, ... cents a piece, and a card row of the first amount."""
+    banks = [(f"b{i}", "2026-01-05", 10 * i, "DEBIT", True, "EXPENSE", "PIX ENVIADO", None, "Pix") for i in range(1, 10)] + [("b10", "2026-01-05", 40, "DEBIT", True, "EXPENSE", "PIX ENVIADO", None, "Pix")]
+    sheets = [(f"s{i}", "2026-01-06" if i != 7 else "2026-03-06", 10 * i, "DEBIT", "EXPENSE", "x", "Pix") for i in range(1, 10)]
+    day = lambda rows, schema: spark.createDataFrame(rows, schema).withColumn("date", F.to_date("date"))
+    return day(banks, BANK), day(sheets, SHEET)
+
+
+def test_decisions_reach_the_reconciliation(spark):
+    bank, ledger = sides(spark)
+    chosen = made(
+        spark, decision("PAIR_CONFIRMED", ["b1"], ["s1"]), decision("PAIR_REJECTED", ["b2", "s2"]), decision("BANK_IGNORED", ["b3"]), decision("PAIR_CONFIRMED", ["b4"], ["s4"]), decision("PAIR_CONFIRMED", ["b10"], ["s4"]),
+        decision("PAIR_CONFIRMED", ["b5"], ["s6"]), decision("PAIR_CONFIRMED", ["b7"], ["s7"]), decision("STATEMENT_MATCH_CONFIRMED", ["b8"], ["s8"]), decision("PAIR_CONFIRMED", ["b9"], ["gone"]), decision("PAIR_REJECTED", ["b6", "s7"]), decision("MISSING_ADDED_TO_SHEET", ["b6"], ["s6"]),
+    )
+    states = {(r.kind, r.key.split('"')[1]): r.status for r in decisions.status(chosen, bank, ledger).collect()}
+    assert states["PAIR_CONFIRMED", "b1"] == "VALID" and states["PAIR_CONFIRMED", "b5"] == "STALE" and states["PAIR_CONFIRMED", "b7"] == "NEEDS_REVIEW" and states["PAIR_CONFIRMED", "b9"] == "ORPHANED" and states["PAIR_REJECTED", "b6"] == "STALE"
+    pairs = {(r.bank_id, r.sheet_id): r.conflicting for r in decisions.confirmed_pairs(chosen, bank, ledger).collect()}
+    assert pairs == {("b1", "s1"): False, ("b4", "s4"): True, ("b10", "s4"): True}
+    full = ledger.withColumn("row_idx", F.lit(1)).withColumn("description", F.col("original_description"))
+    items = {r.bank_id: r for r in reconciliation.reconcile(bank, full, decisions.hydrate(chosen, bank, ledger)).items.collect()}
+    assert [(items[b].status, items[b].method) for b in ("b1", "b6")] == [("MATCHED", "MANUAL")] * 2 and items["b2"].status == "MISSING" and items["b3"].status == "IGNORED"
+    assert {(items[b].status, items[b].review_reason, items[b].sheet_id) for b in ("b4", "b10")} == {("REVIEW", "ASSIGNMENT_CONFLICT", None)} and items["b8"].status == "REVIEW"
+
+
+def test_tombstones_upserts_and_conflicts(spark):
+    chosen = made(spark, decision("PAIR_CONFIRMED", ["b1"], ["s1"]), decision("PAIR_CONFIRMED", ["b2"], ["s1"], "2027-01-01T00:00:00Z"))
+    key = 'PAIR_CONFIRMED:["b1"]'
+    old = spark.createDataFrame([(key, "2026-05-01T00:00:00.500Z"), ("other", "2026-01-01T00:00:00Z")], "key string, updated_at string")
+    stones = {r.key: r.updated_at for r in decisions.bury(chosen, old, "2026-04-01T00:00:00Z").collect()}
+    assert stones == {key: "2026-05-01T00:00:00.501Z", 'PAIR_CONFIRMED:["b2"]': "2027-01-01T00:00:00.001Z", "other": "2026-01-01T00:00:00.000Z"}
+    table = spark.createDataFrame([("a", "ACTIVE", "t1", "2026-01-01T00:00:00Z"), ("b", "ACTIVE", "t1", "x"), ("c", "ACTIVE", "t1", "t0")], "key string, state string, updated_at string, created_at string")
+    changed = spark.createDataFrame([("a", "DELETED", "2026-02-02T00:00:00Z"), ("b", "ACTIVE", "2026-02-02T00:00:00Z"), ("d", "ACTIVE", "2026-02-02T00:00:00Z")], "key string, state string, updated_at string")
+    got = {r.key: (r.state, r.created_at, r.place) for r in decisions.upsert(table, changed).collect()}
+    assert got == {"a": ("DELETED", "2026-01-01T00:00:00Z", 1), "b": ("ACTIVE", "2026-02-02T00:00:00Z", 2), "c": ("ACTIVE", "t0", 0), "d": ("ACTIVE", "2026-02-02T00:00:00Z", 2)}
+    listed = spark.createDataFrame([("f", "s1", key), ("f", "s1", 'PAIR_CONFIRMED:["b2"]'), ("g", "s1", key), ("g", "s1", key), ("h", "s9", key)], "finding string, row string, key string")
+    assert [(r.finding, r.key) for r in decisions.resolvable(listed, chosen, old.filter("key = 'other'")).orderBy("key").collect()] == [("f", key), ("f", 'PAIR_CONFIRMED:["b2"]')]
+    assert decisions.resolvable(listed, chosen, old).count() == 1
+
+
+def test_card_decisions(spark):
+    bought = [("p1", 10), ("p2", 20), ("p3", 30)]
+    p = spark.createDataFrame([(i, "st", "1", "2026-01-01", "2026-02-10", "loja", a, "PURCHASE", "DEBIT", None, None) for i, a in bought], "id string, statement string, card string, date string, due_date string, description string, amount long, type string, direction string, number int, total int").withColumn("date", F.to_date("date")).withColumn("due_date", F.to_date("due_date"))
+    c = spark.createDataFrame([("r1", "2026-02-10", "x", 10), ("r2", "2026-05-10", "x", 20), ("r3", "2026-05-10", "x", 99)], "id string, date string, description string, amount long").select("id", F.to_date("date").alias("date"), "description", "amount", F.lit("DEBIT").alias("direction"), F.lit("EXPENSE").alias("type"), F.lit("Crédito_Bradesco").alias("payment_method"), F.lit(None).cast("int").alias("number"), F.lit(None).cast("int").alias("total"))
+    aliases = spark.createDataFrame([("a1", "p1"), ("old1", "p1"), ("a2", "p2"), ("a3", "p3")], "identity string, purchase_id string")
+    chosen = made(
+        spark, decision("STATEMENT_MATCH_CONFIRMED", ["a1"], ["r1"]), decision("STATEMENT_MATCH_CONFIRMED", ["a2"], ["r2"]), decision("STATEMENT_MATCH_CONFIRMED", ["a3"], ["r3"]), decision("STATEMENT_MATCH_CONFIRMED", ["old1"], ["r1"]), decision("STATEMENT_MATCH_CONFIRMED", ["zz"], ["r1"]),
+        decision("CARD_MISSING_CONFIRMED", ["a1"]), decision("CARD_MISSING_CONFIRMED", ["a3"]), decision("CARD_PURCHASE_IGNORED", ["a2"]), decision("CARD_PURCHASE_IGNORED", ["zz"]), decision("CARD_REVIEW_REJECTED_CANDIDATES", ["a1"], ["r1"]), decision("CARD_REVIEW_REJECTED_CANDIDATES", ["a2"], ["r2"]), decision("CARD_REVIEW_REJECTED_CANDIDATES", ["a3"], ["none"]),
+    )
+    got = {(r.kind.split("_")[1] + r.kind[-5:], r.key.split('"')[1]): r.status for r in decisions.card_status(chosen, aliases, p, c).collect()}
+    assert got == {
+        ("MATCHIRMED", "a1"): "VALID", ("MATCHIRMED", "a2"): "NEEDS_REVIEW", ("MATCHIRMED", "a3"): "STALE", ("MATCHIRMED", "old1"): "VALID", ("MATCHIRMED", "zz"): "NEEDS_REVIEW", ("MISSINGIRMED", "a1"): "STALE", ("MISSINGIRMED", "a3"): "VALID",
+        ("PURCHASENORED", "a2"): "VALID", ("PURCHASENORED", "zz"): "ORPHANED", ("REVIEWDATES", "a1"): "VALID", ("REVIEWDATES", "a2"): "STALE", ("REVIEWDATES", "a3"): "ORPHANED",
+    }
+    held = decisions.statement_assignments(chosen, aliases, p, c).collect()
+    assert {(r.purchase_id, r.sheet_id, r.conflicting) for r in held} == {("p1", "r1", False)}
+    assert [r.key for r in decisions.superseded_owners(chosen, spark.createDataFrame([("p1", "r1")], "purchase_id string, row string"), aliases).collect()] == ['STATEMENT_MATCH_CONFIRMED:["zz"]']
 
 
 def test_applicable_and_replaced(spark):
@@ -107,9 +162,70 @@ def test_files(spark, tmp_path):
     assert [r.file_id for r in files.changed(now, index).collect()] == ["f2"]
 
 
-def test_exports(spark):
-    items = spark.createDataFrame([("MISSING", date(2026, 1, 2), "a", 123456, "EXPENSE", "Pix", "d", "DEBIT")], "status string, date date, original_description string, amount long, type string, payment_method string, document string, direction string")
-    assert tuple(export.missing_export(items).first()) == ("02/01/2026", "a", "1.234,56", "EXPENSE", "Pix", "d") and export.out_of_scope_export(items).count() == 0
-    groups = spark.createDataFrame([("a", ["a", "z"])], "anchor_id string, ids array<string>")
-    rows = export.duplicates_export(groups, items.withColumn("id", F.lit("a"))).collect()
-    assert sorted((r.ID, r.Valor) for r in rows if r.Valor) == [("a", "1.234,56")] and len(rows) == 2
+def test_audit_states(spark):
+    items = spark.createDataFrame([("a", "MISSING", None, None, None, "EXPENSE", "DEBIT", "x"), ("b", "MISSING", None, None, None, "EXPENSE", "DEBIT", "Gastos cartao de credito"), ("c", "MATCHED", None, None, ["s"], "CARD_PAYMENT", "DEBIT", "x"), ("d", "REVIEW", "DIRECTION_UNCERTAIN", None, None, "EXPENSE", "DEBIT", "x"), ("e", "REVIEW", "ASSIGNMENT_CONFLICT", "s1", None, "EXPENSE", "DEBIT", "x"), ("f", "MISSING", None, None, None, "EXPENSE", "DEBIT", "x")], "bank_id string, status string, review_reason string, sheet_id string, composition array<string>, type string, direction string, text string")
+    edges = spark.createDataFrame([("a", "REJECTED_BY_DECISION"), ("a", "AVAILABLE"), ("f", "REJECTED_BY_DECISION")], "bank_id string, disposition string")
+    claims = spark.createDataFrame([("x", "s1", True)], "subject string, sheet_id string, confirmed boolean")
+    refunds = spark.createDataFrame([("REFUNDED", ["f"]), ("PARTIAL", ["b"])], "status string, original_ids array<string>")
+    got = {(r.code, r.subject) for r in audit.state_findings(items, edges, claims, refunds).collect()}
+    assert got == {("MISSING_WITH_STRONG_CANDIDATE", "a"), ("CARD_PAYMENT_AS_EXPENSE_MISSING", "b"), ("REVIEW_WITHOUT_CANDIDATES", "d"), ("ASSIGNMENT_CONFLICT", "e"), ("EXPECTED_MANUAL_REJECTION", "f"), ("REFUNDED_BUT_MISSING", "f")}
+    rich = audit.enrich(audit.state_findings(items, edges, claims, refunds))
+    kept = {(r.code, tuple(r.related_codes)) for r in audit.group_by_cause(rich.withColumn("subject", F.lit("one")).withColumn("root_cause", F.regexp_replace("root_cause", ":.*", ":one"))).collect()}
+    assert ("MISSING_WITH_STRONG_CANDIDATE", ("ASSIGNMENT_CONFLICT",)) in kept and ("ASSIGNMENT_CONFLICT", ()) not in kept
+    sure = rich.withColumn("confidence", F.lit("HIGH"))
+    assert {r.severity for r in audit.finalize(sure, "STALE").filter("code = 'MISSING_WITH_STRONG_CANDIDATE'").collect()} == {"REVIEW"} and audit.finalize(sure, "STALE").count() == rich.count() + 1
+    assert {r.confidence for r in audit.finalize(sure, "PARTIAL").collect()} == {"MEDIUM"} and audit.finding_filter(rich, "CRITICAL").count() == 3
+    shot = lambda *rows: spark.createDataFrame(list(rows), "source string, revision string, mixed boolean, unavailable boolean")
+    state = lambda a, b: tuple(audit.snapshot_state(a, b).first())
+    one, other = shot(("bank", "1", False, False), ("drive", "2", False, True)), shot(("bank", "9", False, False), ("drive", "2", False, True))
+    assert state(one, other) == ("STALE", ["bank"]) and state(one, one) == ("PARTIAL", []) and state(shot(("a", "1", True, True)), shot(("a", "1", False, False))) == ("MIXED_REVISION", [])
+
+
+def test_duplicates_by_source_sets(spark):
+    rows = [("a", ["1", "2"]), ("b", ["2"]), ("c", ["3"]), ("d", []), ("e", ["2", "1"])]
+    df = spark.createDataFrame(rows, "id string, source_ids array<string>").select("*", F.lit("2026-01-01").cast("date").alias("date"), F.lit(1).alias("amount"), F.lit("DEBIT").alias("direction"), F.lit("x").alias("original_description"))
+    members = audit.duplicates_across_sources(df)
+    assert {r.id for r in members.collect()} == {"a", "b", "c", "e"} and [(r.subject, r.related) for r in audit.duplicate_findings(members).collect()] == [("a", ["b", "c", "e"])]
+    assert audit.duplicates_across_sources(df.filter("id in ('a', 'b', 'e')")).count() == 0
+
+
+def test_exports(spark, tmp_path):
+    bank = spark.createDataFrame([("b1", date(2026, 1, 2), "a", 123456, "DEBIT", "EXPENSE", "Pix", 'd"1'), ("b2", date(2026, 1, 3), "bill", -50, "DEBIT", "CARD_PAYMENT", "", None)], "id string, date date, original_description string, amount long, direction string, type string, payment_method string, bank_transaction_id string")
+    ledger = spark.createDataFrame([("s1", date(2026, 1, 1), "x", 5, "Pix")], "id string, date date, original_description string, amount long, payment_method string")
+    items = spark.createDataFrame([("b1", "MISSING", None, None, None, None, None), ("b2", "CARD_DIVERGENCE", None, None, None, ["s1", "z"], "REVIEW")], "bank_id string, status string, sheet_id string, score int, reasons array<string>, composition array<string>, composition_status string")
+    missing = export.missing_export(items, bank)
+    assert tuple(missing.first())[1:3] == ("a", "R$ 1234,56") and export.out_of_scope_export(items, bank, ledger).count() == export.review_export(items, bank, ledger).count() == 0
+    bills = export.card_payments_export(items, bank, ledger, spark.createDataFrame([("b2", 3, 150)], "bill_id string, candidates int, candidate_total long")).collect()
+    assert sorted((r["Valor compra"], r["Total fatura"], r["Diferença pagamento menos compras"]) for r in bills) == [("", "R$ -0,50", "R$ -2,00"), ("R$ 0,05", "R$ -0,50", "R$ -2,00")]
+    members = spark.createDataFrame([("s1", date(2026, 1, 1), 5), ("z", date(2026, 1, 1), 5)], "id string, date date, amount long")
+    assert [r["Valor"] for r in export.duplicates_export(members, ledger).collect()] == ["R$ 0,05"] * 2
+    metrics = {r["Métrica"]: r["Valor"] for r in export.summary_export(items, bank, ledger, ledger, members.withColumn("anchor_id", F.lit("s1"))).collect()}
+    assert len(metrics) == 16 and metrics["Possíveis ausências"] == "1" and metrics["Total planilha"] == "R$ 0,05" and metrics["Possíveis duplicidades"] == "1" and metrics["Saldo final"] == ""
+    export.write_csv(missing.coalesce(1), str(tmp_path / "out"))
+    text = next((tmp_path / "out").glob("part-*")).read_bytes().decode()
+    assert text.startswith('\ufeff"Data";"Descrição original"') and text.endswith('"Pix";"d""1"\r\n') and text.count("\r\n") == 2
+    found = spark.createDataFrame([("A", "b1", ["s1", "none"])], "code string, subject string, related array<string>")
+    assert sorted((r.kind, r.id) for r in export.diagnostic_json(found, bank, ledger).collect()) == [("bank", "b1"), ("finding", "A:b1"), ("ledger", "s1")]
+
+
+def test_views(spark):
+    two = lambda *ids: spark.createDataFrame([(i,) for i in ids], "bank_id string")
+    assert {(r.side, r.bank_id) for r in views.counter_divergence(two("a", "b"), two("b", "c")).collect()} == {("LEFT", "a"), ("RIGHT", "c")}
+    entries = spark.createDataFrame([("a", ["f2", "f1"], None), ("b", ["f3"], None), ("c", ["f3"], ["m"])], "name string, drive_ids array<string>, manual_ids array<string>")
+    listed = spark.createDataFrame([("f1",), ("f2",)], "file_id string")
+    assert {r.name: r.drive_ids for r in views.active_sources(entries, listed).collect()} == {"a": ["f2", "f1"], "c": []}
+    row = "date string, amount long, description string, payment_method string"
+    pending = spark.createDataFrame([("2026-01-01", 5, "Café  Bar", "Crédito_Bradesco"), ("2026-01-01", 5, "cafe bar", "credito bradesco"), ("2026-01-01", 6, "x", "Pix")], row)
+    assert [r.amount for r in views.to_append(pending, spark.createDataFrame([("2026-01-01", 6, "X!", "pix")], row)).collect()] == [5]
+    sheet = [(2, "a", "d", "1", "c", "p", "i1"), (3, "", None, " ", "", "", ""), (4, "a", "d", "", "c", "p", "i1"), (5, "a", "d", "1", "c", "p", None)]
+    assert {(r.line, r.problem) for r in views.matrix_problems(spark.createDataFrame(sheet, "line int, description string, date string, amount string, category string, payment_method string, id string")).collect()} == {(2, "DUPLICATE_ID"), (4, "DUPLICATE_ID"), (4, "MISSING_AMOUNT"), (5, "MISSING_ID")}
+    keys = spark.range(50).select(F.col("id").cast("string").alias("k"))
+    first = {r.k: r.new_id for r in views.new_ids(keys, spark.createDataFrame([], "id string"), "k").collect()}
+    again = {r.k: r.new_id for r in views.new_ids(keys, spark.createDataFrame([(first["7"].upper(),)], "id string"), "k").collect()}
+    assert len(set(first.values())) == 50 and again["7"] != first["7"] and all(len(i) == 8 for i in again.values())
+
+
+def test_unmatched_view(spark):
+    states = spark.createDataFrame([("CARD_MATCHED", "s1", None), ("CARD_GROUP_MATCHED", None, ["s2"]), ("CARD_REVIEW", "s3", None)], "status string, sheet_id string, sheet_ids array<string>")
+    left = views.unmatched_view(spark.createDataFrame([("s1",), ("s2",), ("s3",), ("s4",)], "id string"), states, spark.createDataFrame([("s4",)], "sheet_id string"))
+    assert [r.id for r in left.collect()] == ["s3"]
