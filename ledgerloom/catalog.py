@@ -33,8 +33,16 @@ def parse_date(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", text.normalize_date(F.date_format("ts", "dd/MM/yy")).alias("day"))
 
 
+#: Texts that reach every rule of the classifier, with what the rules say.
+SAID = {
+    "Gastos Cartão de Crédito": ("CARD_PAYMENT", None), "GASTO C CREDITO": ("CARD_PAYMENT", None), "Devolução Pix": ("REFUND", None), "Estorno compra": ("REFUND", None), "Rentab Invest Facilcred": ("INVESTMENT_INCOME", None), "Resgate CDB": ("INVESTMENT", "RESCUE"),
+    "Vencimento CDB": ("INVESTMENT", "RESCUE"), "Aplicação CDB": ("INVESTMENT", "APPLICATION"), "TED recebida": ("TRANSFER", None), "limited offer": ("TRANSFER", None), "Transf entre contas": ("TRANSFER", None), "DOC 12": ("TRANSFER", None), "doca": ("OTHER", None),
+    "Pix enviado para minha conta": ("TRANSFER", None), "Pix recebido Ana": ("INCOME", None), "Crédito Pix": ("INCOME", None), "PIX QR CODE DINÂMICO": ("EXPENSE", None), "Pix enviado": ("EXPENSE", None), "Conta de telefone": ("EXPENSE", None), "Farmácia": ("EXPENSE", None), "Saldo": ("OTHER", None),
+}
+
+
 def classify_type(spark, sf_dir):
-    said = F.when(F.col("event_type") == "purchase", "PIX QR CODE DINÂMICO").when(F.col("event_type") == "error", "Devolução Pix").when(F.col("event_type") == "click", "Aplicação CDB").when(F.col("event_type") == "signup", "TED recebida").otherwise("Saldo")
+    said = F.element_at(F.array(*map(F.lit, SAID)), (F.col("event_id") % len(SAID) + 1).cast("int"))
     return events(spark, sf_dir).select("event_id", text.transaction_type(said).alias("type"), text.investment_action(said).alias("action"))
 
 
@@ -81,7 +89,9 @@ def period_filter(spark, sf_dir):
 
 
 def missing_diff(spark, sf_dir):
-    return records.missing_sources(_table(spark, sf_dir, "customer").select("c_custkey"), _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    """Customers as the files listed before, those of every fortieth order as the files listed now."""
+    late = _table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 40 == 0)
+    return records.missing_sources(_table(spark, sf_dir, "customer").select("c_custkey"), late.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 def eligibility(spark, sf_dir):
@@ -94,8 +104,11 @@ def eligibility(spark, sf_dir):
 
 
 def duplicate_groups(spark, sf_dir):
-    rows = _table(spark, sf_dir, "lineitem").groupBy("l_partkey", F.to_date("l_shipdate").alias("day"), "l_quantity").agg(F.count("*").alias("n"), F.min("l_orderkey").alias("anchor"))
-    return rows.filter("n > 1")
+    """Groups of equal line items as the ledger's duplicates: their day, quantity and size."""
+    line = _table(spark, sf_dir, "lineitem")
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    rows = line.select(key.alias("id"), F.col("l_orderkey").alias("row_idx"), F.to_date("l_shipdate").alias("date"), F.col("l_quantity").cast("long").alias("amount"), F.md5((F.col("l_partkey") % 50).cast("string")).alias("description"))
+    return groups.duplicate_members(rows).groupBy("date", "amount", "anchor_id").agg(F.count("*").alias("n")).groupBy("date", "amount", "n").agg(F.count("*").alias("groups"))
 
 
 def card_compositions(spark, sf_dir):
@@ -123,8 +136,9 @@ ORACLE_SQL = {
     "normalize_text": rf"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(strip_accents(text || '{_SUFFIX}')), '\b(?:compra aprovada|pagamento aprovado|cartao final \d+)\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))) AS digest FROM documents""",
     "parse_amount": "SELECT event_id, CAST(floor(round(value, 2) * 100 + 0.5) AS BIGINT) AS cents FROM events",
     "parse_date": "SELECT event_id, CAST(ts AS DATE) AS day FROM events",
-    "classify_type": """SELECT event_id, CASE event_type WHEN 'purchase' THEN 'EXPENSE' WHEN 'error' THEN 'REFUND' WHEN 'click' THEN 'INVESTMENT' WHEN 'signup' THEN 'TRANSFER' ELSE 'OTHER' END AS type,
-        CASE event_type WHEN 'click' THEN 'APPLICATION' END AS action FROM events""",
+    "classify_type": "WITH s AS (SELECT [{}] AS kinds, [{}] AS actions) SELECT event_id, kinds[event_id % {n} + 1] AS type, nullif(actions[event_id % {n} + 1], '') AS action FROM events, s".format(
+        *(", ".join(f"'{v[i] or ''}'" for v in SAID.values()) for i in (0, 1)), n=len(SAID)
+    ),
     "refund_groups": f"""WITH e AS ({_BANK}), p AS (SELECT r.id AS rid, r.amount AS ra, o.id AS oid, o.amount AS oa FROM e r JOIN e o ON r.event_type = 'error' AND o.event_type = 'purchase' AND r.d - o.d BETWEEN 1 AND 60 AND o.amount >= r.amount),
         x AS (SELECT * FROM p WHERE ra = oa), q AS (SELECT * FROM p WHERE rid NOT IN (SELECT rid FROM x) AND oid NOT IN (SELECT oid FROM x)),
         c AS (SELECT * FROM x UNION ALL SELECT q.* FROM q WHERE rid IN (SELECT rid FROM q GROUP BY rid HAVING count(*) = 1)),
@@ -142,10 +156,10 @@ ORACLE_SQL = {
     "audit_merge": f"""WITH {_VERSIONS}, j AS (SELECT coalesce(r.key, l.key) AS key, r.ts AS rt, r.state AS rs, l.ts AS lt, l.state AS ls, r.ts IS NULL OR coalesce(l.state = 'DELETED', false) OR coalesce(l.ts > r.ts, false) AS w FROM r FULL JOIN l ON r.key = l.key)
         SELECT key, CASE WHEN w THEN lt ELSE rt END AS updated_ts, CASE WHEN w THEN ls ELSE rs END AS state, CASE WHEN w THEN 'local' ELSE 'remote' END AS side FROM j""",
     "period_filter": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1996-06-30'",
-    "missing_diff": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "missing_diff": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 40 = 0)",
     "eligibility": """SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'ALREADY_ADDED' WHEN event_id % 11 = 0 THEN 'ALREADY_IN_SHEET' WHEN event_type = 'error' THEN 'REFUND' WHEN event_id % 7 = 0 THEN 'NOT_DEBIT' WHEN event_type = 'click' THEN 'OUT_OF_SCOPE_TRANSFER'
         WHEN event_id % 3 <> CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END THEN 'NOT_MISSING' WHEN event_id % 5 = 0 THEN 'UNSUPPORTED_WRITE' ELSE 'ELIGIBLE' END AS reason FROM events""",
-    "duplicate_groups": "SELECT l_partkey, CAST(l_shipdate AS DATE) AS day, l_quantity, count(*) AS n, min(l_orderkey) AS anchor FROM lineitem GROUP BY ALL HAVING count(*) > 1",
+    "duplicate_groups": """WITH g AS (SELECT CAST(l_shipdate AS DATE) AS date, CAST(l_quantity AS BIGINT) AS amount, l_partkey % 50 AS p, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1) SELECT date, amount, n, count(*) AS "groups" FROM g GROUP BY ALL""",
 }
 
 for _part in (catalog_matching, catalog_records, catalog_invoices, catalog_views):

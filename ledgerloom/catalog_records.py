@@ -163,7 +163,7 @@ def audit_collapsed(spark, sf_dir):
 
 
 def table_revision(spark, sf_dir):
-    return audit.revision(_table(spark, sf_dir, "nation"), ["n_nationkey", "n_name", "n_regionkey"])
+    return audit.revision(_table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus"])
 
 
 def _decisions(spark, sf_dir):
@@ -270,6 +270,7 @@ ORACLE_SQL = {
     "audit_summary": f"WITH {_FINDINGS} SELECT severity, code, count(DISTINCT subject) AS subjects FROM f GROUP BY 1, 2",
     "audit_collapsed": f"""WITH {_FINDINGS}, g AS (SELECT subject, min((CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'REVIEW' THEN 1 ELSE 2 END, code)) AS top, list_sort(list(DISTINCT code)) AS codes FROM f GROUP BY 1)
         SELECT subject, top[2] AS code, CASE top[1] WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'REVIEW' ELSE 'INFO' END AS severity, array_to_string(list_filter(codes, lambda c: c <> top[2]), ',') AS others FROM g""",
+    "table_revision": """SELECT count(*) AS rows, CAST(sum(CAST(CAST('0x' || substr(sha256('{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '"}'), 1, 15) AS UBIGINT) AS HUGEINT)) AS VARCHAR) AS revision FROM orders""",
     "decision_validity": "SELECT o_orderkey AS n, o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AS valid FROM orders",
     "decision_pairs": "SELECT CAST(o_orderkey AS VARCHAR) AS bank_id, CAST(o_custkey AS VARCHAR) AS sheet_id, count(*) OVER (PARTITION BY o_custkey) > 1 AS conflicting FROM orders WHERE o_orderkey % 4 = 1 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 3 = o_custkey % 3",
     "decision_status": f"""WITH {_DECISIONS}, s AS (SELECT kind, CASE WHEN n % 11 = 0 THEN 'INVALID' WHEN kind IN ('BANK_IGNORED', 'SHEET_IGNORED') OR n % 3 = c % 3 THEN 'VALID' ELSE 'STALE' END AS status FROM k WHERE n % 13 <> 0)

@@ -159,7 +159,7 @@ _RICH = f"""{_FINDINGS}, e AS (
 
 ORACLE_SQL = {
     "export_missing": f"WITH RECURSIVE {_STATE} SELECT d AS day, {_SAID} AS text, {_MONEY.format('amount')} AS money, side, CASE pays WHEN 'debito' THEN 'Débito' ELSE 'Pix' END AS payment, 't' || b AS id FROM told JOIN bank ON bank_id = b WHERE status = 'MISSING'",
-    "export_out_of_scope": f"""WITH RECURSIVE {_STATE} SELECT d AS day, {_SAID} AS text, CASE side WHEN 'DEBIT' THEN 'Saída' ELSE 'Entrada' END AS side, bank.kind AS type, {_MONEY.format('amount')} AS money, '' AS sheet
+    "export_out_of_scope": f"""WITH RECURSIVE {_STATE} SELECT d AS day, {_SAID} AS text, CASE bank.side WHEN 'DEBIT' THEN 'Saída' ELSE 'Entrada' END AS side, bank.kind AS type, {_MONEY.format('amount')} AS money, '' AS sheet
         FROM items JOIN bank ON bank_id = b WHERE status = 'OUT_OF_SCOPE' AND NOT (bank.kind = 'INVESTMENT' AND sheet_id IS NOT NULL)""",
     "export_summary": f"""WITH RECURSIVE {_STATE}, c AS (SELECT count(*) FILTER (status = 'MATCHED') AS m, count(*) FILTER (status = 'REVIEW') AS r, count(*) FILTER (status = 'MISSING') AS x, count(*) FILTER (status = 'CARD_DIVERGENCE') AS v, count(*) FILTER (status = 'OUT_OF_SCOPE') AS o, count(*) FILTER (status = 'IGNORED') AS i FROM told),
         t AS (SELECT count(*) FILTER (kind = 'CARD_PAYMENT') AS cards, CAST(sum(amount) FILTER (side = 'DEBIT') AS BIGINT) AS debit, CAST(sum(amount) FILTER (side = 'CREDIT') AS BIGINT) AS credit FROM bank), l AS (SELECT CAST(sum(amount) AS BIGINT) AS total FROM ledger),
@@ -189,7 +189,7 @@ ORACLE_SQL = {
     "writable_rows": f"WITH RECURSIVE {_STATE} SELECT bank_id FROM told WHERE status = 'MISSING'",
     "sheet_problems": """SELECT o_orderkey AS line, 'MISSING_DESCRIPTION' AS problem FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, 'MISSING_DATE' FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT o_orderkey, 'MISSING_AMOUNT' FROM orders WHERE o_orderkey % 11 = 0
         UNION ALL SELECT o_orderkey, 'DUPLICATE_ID' FROM (SELECT o_orderkey, count(*) OVER (PARTITION BY CASE WHEN o_orderkey % 13 = 0 THEN 'same' ELSE o_orderkey::VARCHAR END) AS n FROM orders) WHERE n > 1""",
-    "decision_upsert": """WITH o AS (SELECT o_custkey::VARCHAR AS key, o_orderkey % 2 AS odd, max(o_orderkey) AS k FROM orders GROUP BY 1, 2), s AS (SELECT *, '2026-01-01T00:00:0' || (k % 10) || 'Z' AS at FROM o WHERE odd = 0), c AS (SELECT * FROM o WHERE odd = 1)
-        SELECT coalesce(s.key, c.key) AS key, CASE WHEN c.k % 5 = 0 THEN 'DELETED' ELSE 'ACTIVE' END AS state, CASE WHEN c.k IS NULL THEN at ELSE '2026-02-02T00:00:00Z' END AS updated_at, CASE WHEN s.k % 3 <> 0 THEN at WHEN c.k IS NOT NULL THEN '2026-02-02T00:00:00Z' ELSE 'x' END AS created_at,
+    "decision_upsert": """WITH o AS (SELECT o_custkey::VARCHAR AS key, o_orderkey % 2 AS odd, max(o_orderkey) AS k FROM orders GROUP BY 1, 2), s AS (SELECT *, '2026-01-01T00:00:0' || (k % 10) || 'Z' AS stamp FROM o WHERE odd = 0), c AS (SELECT * FROM o WHERE odd = 1)
+        SELECT coalesce(s.key, c.key) AS key, CASE WHEN c.k % 5 = 0 THEN 'DELETED' ELSE 'ACTIVE' END AS state, CASE WHEN c.k IS NULL THEN stamp ELSE '2026-02-02T00:00:00Z' END AS updated_at, CASE WHEN s.k % 3 <> 0 THEN stamp WHEN c.k IS NOT NULL THEN '2026-02-02T00:00:00Z' ELSE 'x' END AS created_at,
             CASE WHEN c.k IS NULL THEN 0 WHEN c.k % 5 = 0 THEN 1 ELSE 2 END AS place FROM s FULL JOIN c ON s.key = c.key""",
 }

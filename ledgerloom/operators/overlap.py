@@ -27,8 +27,8 @@ def overlaps(known: DataFrame, incoming: DataFrame) -> DataFrame:
     """(known_id, incoming_id, how) of movements that both hold, each at most once.
 
     known, incoming: id, row_idx, date, direction, amount, document, format, original_description. SINGLE: the only row of its date, direction and amount on both sides, in another format or with
-    like evidence. DOCUMENT, TEXT: equal document or text, once on each side. ORDER: if nearly all of the incoming rows are single in another format, what is left of a key pairs by order
-    when both sides have equally many. An id that repeats in a source names one row per date, direction and amount. All steps are counts, equi-joins on unique keys and windows; no pairs within a key are listed.
+    like evidence. DOCUMENT, TEXT: equal document or text, once on each side. LIKE: an incoming row whose text is like that of exactly one known row of the key, which no other incoming row claims so. ORDER: if nearly all of the incoming rows are single in another format, what is left of a key pairs by order
+    when both sides have equally many. An id that repeats in a source names one row per date, direction and amount. All steps are counts, equi-joins on unique keys and windows; only distinct texts of a key are compared with each other, never its rows.
     """
     cols = ["id", "row_idx", *KEY, "document", "format", "original_description"]
     a, b = (df.select(*cols).withColumn("said", normalize_description(F.coalesce("original_description", F.lit("")))) for df in (known, incoming))
@@ -52,6 +52,8 @@ def overlaps(known: DataFrame, incoming: DataFrame) -> DataFrame:
         left, right = rest(pairs)
         pairs = pairs.unionByName(once(left, column, "known_id").join(once(right, column, "incoming_id"), [*KEY, column]).select(*KEY, "known_id", "incoming_id", F.lit(how).alias("how")))
     left, right = rest(pairs)
+    pairs = pairs.unionByName(_alike(left, right))
+    left, right = rest(pairs)
     whole = Window.partitionBy(*KEY)
     placed = lambda df, name: df.select(*KEY, F.col("id").alias(name), F.col("format").alias(f"{name}_format"), F.row_number().over(whole.orderBy("row_idx", "id")).alias("nth"), F.count("*").over(whole).alias("size"))
     ordered = placed(left, "known_id").join(placed(right, "incoming_id"), [*KEY, "nth", "size"]).filter("known_id_format <> incoming_id_format")
@@ -59,6 +61,15 @@ def overlaps(known: DataFrame, incoming: DataFrame) -> DataFrame:
     return pairs.drop(*KEY).unionByName(ordered)
 
 
+def _alike(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(key, known_id, incoming_id, how) of rows whose texts are like each other's and no other's."""
+    texts = lambda df, name: df.groupBy(*KEY, "said").agg(F.count("*").alias(f"{name}_n"), F.min("id").alias(f"{name}_id")).withColumnRenamed("said", f"{name}_said")
+    met = texts(left, "known").join(texts(right, "incoming"), KEY).filter(compatible(F.col("known_said"), F.col("incoming_said")))
+    only = met.groupBy(*KEY, "incoming_said").agg(F.sum("known_n").alias("options"), F.max("incoming_n").alias("n"), F.min("known_said").alias("known_said"), F.min("known_id").alias("known_id"), F.min("incoming_id").alias("incoming_id")).filter("options = 1")
+    single = only.groupBy(*KEY, "known_said").agg(F.sum("n").alias("claims"), F.min("known_id").alias("known_id"), F.min("incoming_id").alias("incoming_id")).filter("claims = 1")
+    return single.select(*KEY, "known_id", "incoming_id", F.lit("LIKE").alias("how"))
+
+
 def merge(known: DataFrame, incoming: DataFrame, source: str) -> DataFrame:
     """Known rows, with the source added to source_ids where it holds them too, and the incoming rows that are new. known also has source_ids."""
     pairs = overlaps(known, incoming)

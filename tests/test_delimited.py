@@ -118,6 +118,9 @@ def test_preferred_name_and_label(spark):
 
 def test_more_text_functions(spark):
     one = lambda column: spark.range(1).select(column).first()[0]
+    assert one(counterparty.label(F.lit("pix qrcode avulso"), F.lit("DEBIT"), F.lit("EXPENSE"))) == "Contraparte" and one(counterparty.label(F.lit("pix qrcode din loja"), F.lit("DEBIT"), F.lit("EXPENSE"))) == "Para"
+    assert one(counterparty.without_name(F.lit("Pix enviado Des: Ana 01/02"), F.lit("Ana"))) == "Pix enviado" and one(counterparty.without_name(F.lit("Compra Padaria Sul"), F.lit("padaria sul"))) == "Compra" and one(counterparty.without_name(F.lit(" Ana "), F.lit("Ana"))) == "Ana"
+    assert one(counterparty.displayable(F.lit("Ana"), F.lit("Ana"))) is None and one(counterparty.displayable(F.lit("Compra Ana"), F.lit("Ana"))) == "Ana" and one(counterparty.displayable(F.lit("x"), F.lit(" "))) is None
     assert one(text.friendly_label(F.lit("PIX QRCODE EST loja"))).asDict() == {"label": "Pix QR Code Estático", "payment": "Pix"}
     assert one(text.ledger_type(F.lit("Pix para minha conta"), F.lit("Crédito_Bradesco"))) == "TRANSFER"
     assert [one(text.invoice_amount(F.lit(v))) for v in ("1.234,56-", "- 7,00", "8,10", "x")] == [-123456, -700, 810, None]

@@ -142,6 +142,14 @@ def test_overlap_by_order_and_evidence(spark):
     assert len(merged) == 23 and {r.id: r.source_ids for r in merged}["x2"] == ["one", "two"] and {r.id: r.source_ids for r in merged}["y1"] == ["two"]
 
 
+def test_overlap_by_likeness(spark):
+    day = date(2026, 1, 1)
+    row = lambda i, text, n=1: (i, n, day, "DEBIT", 5, None, "CSV", text)
+    known = spark.createDataFrame([row("k1", "pix joao silva souza"), row("k2", "padaria central do bairro"), row("k3", "mercado novo azul"), row("k4", "mercado novo azul")], MOVE)
+    incoming = spark.createDataFrame([row("n1", "joao silva souza"), row("n2", "padaria central"), row("n3", "central padaria"), row("n4", "mercado azul novo")], MOVE)
+    assert [(r.known_id, r.incoming_id, r.how) for r in overlap.overlaps(known, incoming).collect()] == [("k1", "n1", "LIKE")]
+
+
 def test_findings(spark):
     found = spark.createDataFrame([("A", "REVIEW", "s1", None), ("B", "CRITICAL", "s1", ["x", "y"]), ("A", "REVIEW", "s2", None)], "code string, severity string, subject string, related array<string>")
     assert sorted((r.subject, r.code, r.others) for r in audit.collapse(found).collect()) == [("s1", "B", ["A"]), ("s2", "A", [])]
