@@ -18,7 +18,7 @@ from .common import Scratch, held_out, small_batches
 
 #: Labelled rows that the views are fitted on, at most; rounds; pseudo-labels of each class that a view hands over in a round, at most.
 LABELLED, ROUNDS, HANDED = 6000, 3, 500
-SURE = 0.9  # least probability of a pseudo-label
+SURE, PARTS = 0.9, 64  # least probability of a pseudo-label; parts in which they are drawn first
 _BUCKETS = 32
 _SYMBOLS = "#%$&*|<>{}[]=_~^"
 
@@ -147,7 +147,9 @@ def co_train(features: DataFrame, taught: DataFrame, known: DataFrame) -> tuple:
     weights = [fit_logistic(*train[v]) for v in (0, 1)]
     for _ in range(ROUNDS):
         sure = free.mapInArrow(_sure(weights), FEATURES + ", view int, label int").dropDuplicates(["id", "view"])
-        drawn = sure.withColumn("n", F.row_number().over(Window.partitionBy("view", "label").orderBy(F.xxhash64("id"), "id"))).filter(F.col("n") <= HANDED)
+        first = lambda rows, *keys: rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("id"), "id"))).filter(F.col("n") <= HANDED)
+        # The first HANDED of each part, then of those: no task sorts what all tasks found.
+        drawn = first(first(sure.withColumn("part", F.pmod(F.hash("id"), F.lit(PARTS))), "view", "label", "part"), "view", "label").drop("part")
         for v in (0, 1):
             handed, labels, _ = _collected(drawn.filter(F.col("view") == 1 - v).drop("view", "n"))
             if len(labels):

@@ -159,6 +159,28 @@ def test_url_parts_and_rules(spark):
     assert url_filter.judge(pages.limit(0), none, []).count() == 0
 
 
+def test_url_odd_rows_and_suffixes(spark):
+    data = [(1, "http://a.shop.co.uk/" + "x" * 200000, "a", "b"), (1, "http://a.shop.co.uk/" + "x" * 200000, "a", "b"), (None, "http://shop.co.uk", None, "r"), (2, "http://" + "h" * 50000, "a", "b"), (3, "http://x.y.city.kawasaki.jp/", "a", "b"), (4, "://", "a", "b"), (5, "", "a", "b")]
+    pages = spark.createDataFrame(data, "page_id long, url string, host string, rule string")
+    none = spark.createDataFrame([], "page_id long, bad int")
+    got = [(r.page_id, r.host, len(r.path), r.verdict) for r in url_filter.judge(pages, none, [("block", "shop.co.uk", "/")]).collect()]
+    assert sorted(got, key=str) == sorted([(1, "a.shop.co.uk", 200001, "block"), (1, "a.shop.co.uk", 200001, "block"), (None, "shop.co.uk", 0, "allow"), (2, "h" * 50000, 0, "allow"), (3, "x.y.city.kawasaki.jp", 1, "allow"), (4, "", 0, "allow"), (5, "", 0, "allow")], key=str)
+    hosts = spark.createDataFrame([(h,) for h in ("a.shop.co.uk", "shop.co.uk", "co.uk", "x.y.city.kawasaki.jp", "localhost", "")], "host string")
+    suffixes = spark.createDataFrame([("co.uk",), ("city.kawasaki.jp",), ("kawasaki.jp",), ("",)], "suffix string")
+    assert {r.host: (r.suffix, r.domain) for r in url_filter.with_domain(hosts, suffixes).collect()} == {
+        "a.shop.co.uk": ("co.uk", "shop.co.uk"), "shop.co.uk": ("co.uk", "shop.co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.city.kawasaki.jp": ("city.kawasaki.jp", "y.city.kawasaki.jp"), "localhost": ("localhost", "localhost"), "": ("", ""),
+    }
+
+
+def test_reputation_blocks_by_the_rules_on_a_host(spark):
+    """Most pages of one host fall under a block rule, and its other pages go with them; a host with as many allowed ones stays."""
+    urls = [f"http://spam.example/{'x' if i % 10 else 'other'}/{i}" for i in range(60)] + [f"http://fine.example/{'y' if i % 10 else 'other'}/{i}" for i in range(60)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [("block", "example", "/x/"), ("allow", "example", "/y/")]
+    out = url_filter.judge(pages, url_filter.rule_outcomes(pages, rules), rules).filter("rule is null")
+    assert rows(out.select("host", "verdict").distinct(), "host", "verdict") == [("fine.example", "allow"), ("spam.example", "block")]
+
+
 def test_unigram_against_plain_viterbi_and_round_trip(spark, odd):
     pieces = unigram.load_pieces(PIECES)
     model = unigram.Unigram(pieces)
