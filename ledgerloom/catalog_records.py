@@ -270,6 +270,10 @@ ORACLE_SQL = {
     "audit_summary": f"WITH {_FINDINGS} SELECT severity, code, count(DISTINCT subject) AS subjects FROM f GROUP BY 1, 2",
     "audit_collapsed": f"""WITH {_FINDINGS}, g AS (SELECT subject, min((CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'REVIEW' THEN 1 ELSE 2 END, code)) AS top, list_sort(list(DISTINCT code)) AS codes FROM f GROUP BY 1)
         SELECT subject, top[2] AS code, CASE top[1] WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'REVIEW' ELSE 'INFO' END AS severity, array_to_string(list_filter(codes, lambda c: c <> top[2]), ',') AS others FROM g""",
+    "row_fingerprints": """WITH t AS (SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) || chr(31) || event_type || chr(31) || CAST(floor(value * 100 + 0.5) AS BIGINT) AS s FROM events),
+        u AS (SELECT event_id, list_transform(range(1, length(s) + 1), lambda i: ord(s[i])::UBIGINT) AS c, list_transform(range(1, length(s) + 1), lambda i: (ord(s[i]) + i - 1)::UBIGINT) AS p FROM t),
+        h AS (SELECT event_id, list_reduce(list_prepend(2166136261::UBIGINT, c), lambda h, x: (xor(h, x) * 16777619::UBIGINT) & 4294967295::UBIGINT) AS a, list_reduce(list_prepend(2654435769::UBIGINT, p), lambda h, x: (xor(h, x) * 2246822507::UBIGINT) & 4294967295::UBIGINT) AS b FROM u)
+        SELECT event_id, lower(lpad(to_hex(a), 8, '0') || lpad(to_hex(b), 8, '0')) AS fingerprint FROM h""",
     "table_revision": """SELECT count(*) AS rows, CAST(sum(CAST(CAST('0x' || substr(sha256('{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '"}'), 1, 15) AS UBIGINT) AS HUGEINT)) AS VARCHAR) AS revision FROM orders""",
     "decision_validity": "SELECT o_orderkey AS n, o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AS valid FROM orders",
     "decision_pairs": "SELECT CAST(o_orderkey AS VARCHAR) AS bank_id, CAST(o_custkey AS VARCHAR) AS sheet_id, count(*) OVER (PARTITION BY o_custkey) > 1 AS conflicting FROM orders WHERE o_orderkey % 4 = 1 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 3 = o_custkey % 3",

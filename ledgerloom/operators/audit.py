@@ -207,6 +207,15 @@ def hidden(findings: DataFrame, dismissals: DataFrame) -> DataFrame:
     return findings.join(gone, ["code", "subject"], "left").withColumn("visible", F.col("accepted").isNull() | (weight(F.col("severity")) > F.col("accepted"))).drop("accepted")
 
 
+def invariant_executions(findings: DataFrame, facts: DataFrame) -> DataFrame:
+    """(invariant, status, findings) of each invariant: NOT_APPLICABLE, SKIPPED_DUE_TO_REVISION, UNAVAILABLE, EXECUTED_FAIL (a critical or review finding) or EXECUTED_PASS. findings: enriched; facts: invariant, applicable,
+    mixed (its sources have different revisions), unavailable (one of them is missing)."""
+    per_rule = findings.groupBy("invariant").agg(F.count("*").alias("n"), F.count_if(F.col("severity").isin("CRITICAL", "REVIEW")).alias("open"))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    status = F.when(~F.col("applicable"), "NOT_APPLICABLE").when(F.col("mixed"), "SKIPPED_DUE_TO_REVISION").when(F.col("unavailable"), "UNAVAILABLE").when(n("open") > 0, "EXECUTED_FAIL").otherwise("EXECUTED_PASS")
+    return facts.join(per_rule, "invariant", "left").select("invariant", status.alias("status"), n("n").alias("findings"))
+
+
 def invariants(findings: DataFrame, rules: dict[str, list[str]], skipped: tuple[str, ...] = ()) -> DataFrame:
     """PASS, FAIL or UNAVAILABLE per invariant with the number of its findings. rules: invariant and the codes that break it."""
     spark = findings.sparkSession

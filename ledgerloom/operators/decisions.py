@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.identity import decision_key
+from ..functions.identity import decision_key, fingerprint
 from ..functions.text import is_timestamp
 from . import cards
 from .matching import candidate_edges
@@ -41,6 +41,27 @@ def integrity(rows: DataFrame) -> DataFrame:
     return rows.withColumn("issue", F.when(copies > 1, "DUPLICATE_REMOTE_DECISION_ID").when(~F.coalesce(is_timestamp(F.col("updated_at")), F.lit(False)), "INVALID_DECISION_TIMESTAMP").when(~is_valid(), "INVALID_REMOTE_DECISION_ROW"))
 
 
+REMOTE = ["decision_id", "kind", "subject", "status", "related", "metadata", "created_at", "updated_at", "version"]
+
+
+def remote_rows(rows: DataFrame) -> DataFrame:
+    """Rows of a remote decision table (line and the nine columns of REMOTE, as text) with key, identities, selected and issue.
+
+    issue is DUPLICATE_REMOTE_DECISION_ID for all copies of an id, INVALID_DECISION_TIMESTAMP for a row that can't be read and whose update time is no full timestamp, INVALID_REMOTE_DECISION_ROW for any other row
+    that can't be read, and null for a decision. A decision's id and subject are the fingerprints of its key and of its first identity.
+    """
+    lists = rows.withColumn("identities", F.from_json("related", "array<string>")).withColumn("selected", F.from_json("metadata", "struct<selected:array<string>>")["selected"])
+    lists = lists.withColumn("key", F.when(F.col("identities").isNotNull() & F.col("kind").isNotNull(), decision_key(F.col("kind"), F.col("identities"))))
+    whole = lambda c: F.col(c).isNotNull() & F.forall(c, lambda v: v.isNotNull())
+    read = (
+        F.col("kind").isin(list(ARITY)) & (F.col("version").try_cast("int") == 1) & F.col("status").isin("ACTIVE", "DELETED") & whole("identities") & whole("selected") & (F.col("decision_id") == fingerprint(F.col("key")))
+        & (F.col("subject") == fingerprint(F.coalesce(F.get("identities", F.lit(0)), F.lit("")))) & is_timestamp(F.col("updated_at")) & is_timestamp(F.col("created_at"))
+    )
+    copies = lists.filter(F.trim("decision_id") != "").groupBy("decision_id").agg(F.count("*").alias("copies"))
+    issue = F.when(F.col("copies") > 1, "DUPLICATE_REMOTE_DECISION_ID").when(F.coalesce(read, F.lit(False)), None).when(~F.coalesce(is_timestamp(F.col("updated_at")), F.lit(False)), "INVALID_DECISION_TIMESTAMP").otherwise("INVALID_REMOTE_DECISION_ROW")
+    return lists.join(copies, "decision_id", "left").select("line", *REMOTE, "key", "identities", "selected", issue.alias("issue"))
+
+
 def identified(rows: DataFrame) -> DataFrame:
     """(identity, id): the row that decisions name, the first of those that share an identity."""
     named = F.col("identity") if "identity" in rows.columns else F.col("id")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import delimited
+
 SAME = ["file_id", "modified_time", "size", "mime_type", "kind", "folder_id"]
 
 
@@ -41,3 +43,19 @@ def outcomes(results: DataFrame) -> DataFrame:
 
 def outcome_summary(outcomes_: DataFrame) -> DataFrame:
     return outcomes_.groupBy("status").agg(F.count("*").alias("files"))
+
+
+def statement_format(content: Column) -> Column:
+    """OFX for a text with an envelope and movements, EMPTY for a blank one, else DELIMITED."""
+    bare = F.regexp_replace(content, "^\ufeff", "")
+    envelope = bare.rlike(r"(?i)<OFX(?:\s|>)|<BANKMSGSRSV1>|(?:^|\r?\n)OFXHEADER\s*:")
+    return F.when(F.trim(F.coalesce(bare, F.lit(""))) == "", "EMPTY").when(envelope & bare.rlike("(?i)<STMTTRN>"), "OFX").otherwise("DELIMITED")
+
+
+def dispatch(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(OFX statements, delimited statements, errors as file and error) of documents (file, content). A delimited text without a line that names a date, a text and a value is an unknown layout."""
+    told = documents.withColumn("format", statement_format(F.col("content")))
+    text = told.filter("format = 'DELIMITED'").drop("format")
+    heads = delimited.rows(text).select("file").distinct()
+    lost = text.join(heads, "file", "left_anti").select("file", F.lit("UNKNOWN_LAYOUT").alias("error"))
+    return told.filter("format = 'OFX'").drop("format"), text.join(heads, "file", "left_semi"), told.filter("format = 'EMPTY'").select("file", F.lit("EMPTY_FILE").alias("error")).unionByName(lost)

@@ -18,11 +18,16 @@ def _day(text: Column) -> Column:
 
 
 def read_ofx(spark: SparkSession, path: str) -> DataFrame:
-    """(file, row, date, amount in signed cents, direction, fitid, document, memo, name, period_start, period_end, ledger_balance) per transaction.
+    """parse() of the files under a path."""
+    return parse(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("content")))
+
+
+def parse(documents: DataFrame) -> DataFrame:
+    """Transactions of documents (file, content): (file, row, date, amount in signed cents, direction, fitid, document, memo, name, period_start, period_end, ledger_balance).
 
     Files without transactions give no rows; a transaction without a valid date or amount keeps nulls there.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    files = documents.select("file", F.col("content").alias("value"))
     blocks = F.regexp_extract_all("value", F.lit(r"(?is)<STMTTRN>(.*?)(?=<STMTTRN>|</STMTTRN>|</BANKTRANLIST>)"), F.lit(1))
     rows = files.select("file", _day(_tag(F.col("value"), "DTSTART")).alias("period_start"), _day(_tag(F.col("value"), "DTEND")).alias("period_end"), normalize_amount(_tag(F.col("value"), "BALAMT")).alias("ledger_balance"), F.posexplode(blocks).alias("row", "block"))
     block = F.col("block")
