@@ -57,7 +57,7 @@ def candidate_edges(bank: DataFrame, ledger: DataFrame, config: MatchConfig = CO
 
     bank: id, date, amount, direction, direction_known, type, original_description, counterparty_name, payment_method. ledger: id, date, amount, type,
     original_description, payment_method. Ordinary pairs are joined on amount and a block of days, so that a frequent amount meets only the rows of its own weeks; investments, which have
-    no date limit, on the amount alone. Texts are normalised once per row. only: the pairs (bank_id, sheet_id) to look at, where not all are asked for.
+    no date limit, on the amount alone. Texts are normalised once per row, and each two texts compared once. only: the pairs (bank_id, sheet_id) to look at, where not all are asked for.
     """
     said = lambda c: normalize_description(F.coalesce(c, F.lit("")))
     day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
@@ -80,10 +80,14 @@ def candidate_edges(bank: DataFrame, ledger: DataFrame, config: MatchConfig = CO
     ordinary = ordinary.filter((F.abs(F.datediff("bank_date", "sheet_date")) <= config.days) & ((F.col("sheet_type") == "EXPENSE") | alias)).drop("block").withColumn("invested", F.lit(False))
     saved = s.filter((F.col("sheet_type") == "INVESTMENT") | (F.col("paid") == "investimento"))
     invested = b.filter("bank_type = 'INVESTMENT'").join(saved, keys).filter(F.col("sheet_type") != "TRANSFER").withColumn("invested", F.lit(True))
-    pairs = ordinary.unionByName(invested.select(ordinary.columns)).withColumn("days", F.abs(F.datediff("bank_date", "sheet_date"))).withColumn("alias", alias)
-    similar = F.when(F.col("generic"), 0.0).otherwise(normalized_similarity(F.col("bank_said"), F.col("sheet_said")))
-    party = F.when(F.col("party_said") == "", 0.0).otherwise(normalized_similarity(F.col("party_said"), F.col("sheet_said")))
-    pairs = pairs.withColumn("similarity", similar).withColumn("party", party)
+    pairs = cut(ordinary.unionByName(invested.select(ordinary.columns)).withColumn("days", F.abs(F.datediff("bank_date", "sheet_date"))).withColumn("alias", alias))
+    # Many pairs share their texts; each two texts are compared once.
+    compared = [("generic", "bank_said", "similarity"), (None, "party_said", "party")]
+    asked = [pairs.filter(~F.col(skip) if skip else F.lit(True)).select(F.col(c).alias("one"), F.col("sheet_said").alias("other")).distinct() for skip, c, _ in compared]
+    alike = cut(asked[0].unionByName(asked[1]).filter("one <> '' and other <> ''").distinct().withColumn("alike", normalized_similarity(F.col("one"), F.col("other"))).filter("alike > 0"))
+    for skip, c, name in compared:
+        pairs = pairs.join(alike.select(F.col("one").alias(c), F.col("other").alias("sheet_said"), F.col("alike").alias(name)), [c, "sheet_said"], "left")
+        pairs = pairs.withColumn(name, F.when(F.col(skip), 0.0).otherwise(F.coalesce(name, F.lit(0.0))) if skip else F.coalesce(name, F.lit(0.0)))
 
     by_date = F.coalesce(F.get(F.array(*map(F.lit, config.dates)), "days"), F.lit(0))
     text = F.col("similarity")
