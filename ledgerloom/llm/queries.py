@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contaminated
 from .exact_dedup import exact_duplicates
+from .hard_negatives import hard_negatives
 from .html_extract import extract
 from .license_scan import scan
 from .near_dedup import near_duplicates
+from .pii import personal_data
 from .quality import quality
 from .token_counts import histogram, token_lengths
 from .toxicity import toxicity
 from .unigram import encode
 from .url_filter import LONG_SUFFIXES, judge, rule_outcomes
+from .vector_codes import vector_codes
 
 #: Vocabulary file that the encoding queries use; a parameter of the operators.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -67,11 +71,47 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh id takes the next label first, as the query's contract has it."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings")).drop("scanned")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_near_dedup, op2_decontaminate, op3_token_counts, op4_url_filter, op5_quality, op6_unigram, op7_html_text, op8_exact_dedup, op9_license_scan, op10_toxicity)
+    for f in (op1_near_dedup, op2_decontaminate, op3_token_counts, op4_url_filter, op5_quality, op6_unigram, op7_html_text, op8_exact_dedup, op9_license_scan, op10_toxicity, op11_hard_negatives, op12_pii, op13_vector_codes)
 }
 
+
+
+def _lloyd_sql(rounds: int = 2) -> str:
+    """Sixteen parts of four components, 64 entries: each round's nearest entries by the least of distance * 64 + index."""
+    d = " + ".join(f"(x.v[{n}] - c.v[{n}]) ** 2" for n in range(1, 5))
+    nearest = "a{r} AS (SELECT vec_id, label, x.p, any_value(x.v) AS v, min((" + d + ")::BIGINT * 64 + c.e) AS m FROM x JOIN c{r} c ON c.p = x.p GROUP BY vec_id, label, x.p)"
+    mean = ", ".join(f"floor(sum(v[{n}]) / count(*))" for n in range(1, 5))
+    update = "c{s} AS (SELECT p, e, coalesce(n.v, c{r}.v) AS v FROM c{r} LEFT JOIN (SELECT p, m % 64 AS e, [" + mean + "] AS v FROM a{r} GROUP BY ALL) n USING (p, e))"
+    steps = ", ".join(f"{nearest.format(r=r)}, {update.format(r=r, s=r + 1)}" for r in range(rounds))
+    return f"""
+        WITH kept AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), x AS (SELECT vec_id, label, p, q[p * 4 + 1:p * 4 + 4] AS v FROM kept, range(16) t(p)),
+        c0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v FROM x QUALIFY e < 64),
+        {steps}, {nearest.format(r=rounds)},
+        coded AS (SELECT vec_id, label, string_agg(printf('%02x', m % 64), '' ORDER BY p) AS code, sum(m // 64)::BIGINT AS error FROM a{rounds} GROUP BY vec_id, label),
+        book AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda y: y::BIGINT), ','), ',' ORDER BY p, e)) AS sha FROM c{rounds})
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, sha AS codebooks_sha256 FROM coded, book
+    """
+
+
 ORACLE_SQL = {
     "op1_near_dedup": r"""
         WITH RECURSIVE words AS (
@@ -126,4 +166,17 @@ ORACLE_SQL = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_hard_negatives": """
+        WITH k AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS a, a.label AS al, b.vec_id AS b, b.label AS bl, list_dot_product(a.q, b.q)::BIGINT AS s FROM k a JOIN k b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+        ), pos AS (SELECT a, b AS p, s AS ps FROM s WHERE al = bl QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+        neg AS (
+            SELECT s.a, p, ps, b, s, row_number() OVER (PARTITION BY s.a, p ORDER BY s DESC, b) AS r FROM pos JOIN s ON s.a = pos.a AND al <> bl AND 50 * ps <= 100 * s AND 100 * s <= 95 * ps
+        )
+        SELECT a AS anchor_id, p AS positive_id, r::INTEGER AS rank, b AS negative_id, ps AS positive_score, s AS negative_score FROM neg WHERE r <= 3
+    """,
+    "op13_vector_codes": _lloyd_sql(),
 }
