@@ -1,37 +1,66 @@
-"""Decisions as a stream: new files of decisions are merged into a table, last writer first."""
+"""Decisions as a stream: new files of decisions are merged into a table of buckets, by the same rule as records.sync_merge().
+
+Each key belongs to one bucket by its hash. A batch reads the buckets of its keys, merges, and writes these buckets alone to a new folder; all other buckets stay where they are. The rule takes the greatest
+of a total order of versions, so files may come in any order and any number of times.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "key string, updated_ts timestamp, state string"
+from ..plans.shared import Scratch
+from ..sources.versions import Conflict, VersionedTable
+
+SCHEMA = "key string, updated_ts timestamp, state string, side string"
+#: Buckets of a table; a table keeps the number it was made with.
+BUCKETS = 64
+_BATCH, _BUCKETS = "_batch", "_buckets"
+
+
+def _rank() -> Column:
+    """Versions in the order in which they win: the later one, then a local deletion, then a remote version, a deletion before an active one."""
+    local, gone = F.coalesce(F.col("side") == "local", F.lit(False)), F.coalesce(F.col("state") == "DELETED", F.lit(False))
+    return F.struct("updated_ts", F.when(local & gone, 2).when(~local, 1).otherwise(0).alias("by"), gone.alias("gone"), "state", "side")
 
 
 def latest(decisions: DataFrame) -> DataFrame:
-    """The newest version of each key; a deletion wins a tie."""
-    rank = F.struct("updated_ts", (F.col("state") == "DELETED").alias("deleted"))
-    return decisions.groupBy("key").agg(F.max_by(F.struct("updated_ts", "state"), rank).alias("won")).select("key", "won.*")
+    """The winning version of each key (key, updated_ts, state, side); a null side is remote, null keys are one key, repeated versions count once."""
+    return decisions.groupBy("key").agg(F.max_by(F.struct("updated_ts", "state", "side"), _rank()).alias("won")).select("key", "won.*")
 
 
-def merge_new_files(spark: SparkSession, source: str, table: str, checkpoint: str) -> None:
-    """Process the JSON files in `source` that weren't processed before. `table` holds one folder per version; the newest is read and a new one written, so
-    a lost batch leaves the last version whole."""
+def merge_batch(spark: SparkSession, table: str, batch: DataFrame, number: int, buckets: int = BUCKETS) -> list[int]:
+    """Merge a numbered batch into the table and return the buckets that it touched; a batch that the table has already seen changes nothing."""
+    held = VersionedTable(spark, table, SCHEMA)
+    scratch = Scratch(spark)
+    buckets = int(held.slots(held.version()).get(_BUCKETS, buckets))
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets))
+    new = scratch.keep(latest(batch))
+    touched = sorted(r[0] for r in new.select(bucket).distinct().collect())  # at most as many as there are buckets
+    try:
+        for _ in range(20):
+            base = held.version()
+            slots = held.slots(base)
+            if int(slots.get(_BATCH, -1)) >= number:
+                return []
+            known = held.rows(slots[str(b)] for b in touched if str(b) in slots)
+            folder = held.write(latest(new.unionByName(known)).withColumn("bucket", bucket).repartition("bucket"), by="bucket")
+            if held.commit(base, slots | {str(b): f"{folder}/bucket={b}" for b in touched} | {_BATCH: str(number), _BUCKETS: str(buckets)}):
+                return touched
+            held.discard(folder)
+        raise Conflict(f"batch {number} of {table}")
+    finally:
+        scratch.drop()
 
-    def merge(batch: DataFrame, number: int) -> None:
-        known = current(spark, table)
-        latest(batch.select("key", "updated_ts", "state").unionByName(known)).write.mode("overwrite").parquet(f"{table}/version={number}")
 
-    stream = spark.readStream.schema(SCHEMA).json(source)
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def merge_new_files(spark: SparkSession, source: str, table: str, checkpoint: str, buckets: int = BUCKETS, files_per_batch: int | None = None) -> None:
+    """Process the JSON files in `source` (key, updated_ts, state, and side where it isn't remote) that weren't processed before."""
+    reader = spark.readStream.schema(SCHEMA)
+    reader = reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader
+    batches = reader.json(source).writeStream.foreachBatch(lambda batch, number: merge_batch(spark, table, batch, number, buckets) and None)
+    batches.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def current(spark: SparkSession, table: str) -> DataFrame:
     """The newest version of the table, empty before the first batch."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = [s.getPath().getName() for s in files.listStatus(path) if files.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))] if files.exists(path) else []
-    if not done:
-        return spark.createDataFrame([], SCHEMA)
-    newest = max(int(name.split("=")[1]) for name in done)
-    return spark.read.schema(SCHEMA).parquet(f"{table}/version={newest}")
+    return VersionedTable(spark, table, SCHEMA).read()

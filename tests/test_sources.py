@@ -29,7 +29,7 @@ def test_export(spark, tmp_path):
     df = spark.createDataFrame([('a"b', None), ("x", 1)], "t string, n int").coalesce(1)
     write_csv(df, str(tmp_path / "out"))
     text = b"".join(p.read_bytes() for p in (tmp_path / "out").glob("part*"))
-    assert text == b'"t";"n"\r\n"a""b";""\r\n"x";"1"\r\n'
+    assert text == b'\xef\xbb\xbf"t";"n"\r\n"a""b";""\r\n"x";"1"\r\n'
     assert sorted(map(tuple, summary_long(df, {"rows": F.count("*"), "sum": F.sum("n")}).collect())) == [("rows", 2), ("sum", 1)]
 
 
