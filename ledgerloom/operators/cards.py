@@ -48,10 +48,15 @@ def plausible_rows(purchases: DataFrame, ledger: DataFrame) -> DataFrame:
     due = F.coalesce(F.col("sheet_date") == F.col("due_date"), F.lit(False))
     days = F.abs(F.datediff("sheet_date", "bought"))
     fits = F.when(parcel, (F.col("n") == F.col("number")) & (F.col("of") == F.col("total"))).otherwise(due | (days <= NEAR_DAYS))
-    pairs = bought.join(rows, "amount").filter(fits).select("*", parcel.alias("installment"), due.alias("on_due"), days.alias("days"))
-    pairs = pairs.withColumn("similarity", F.when(F.col("installment"), installment_similarity(F.col("text"), F.col("base_text"))).otherwise(description_similarity(F.col("text"), F.col("sheet_text"))))
+    other = F.when(parcel, F.col("base_text")).otherwise(F.col("sheet_text"))
+    pairs = cut(bought.join(rows, "amount").filter(fits).select("purchase_id", "sheet_id", "amount", "sheet_date", "due_date", "text", other.alias("other"), "linked", parcel.alias("installment"), due.alias("on_due"), days.alias("days")))
+    # Many pairs share their texts; each two texts are compared once, and what follows reads the result.
+    asked = pairs.select("installment", "text", "other").distinct()
+    alike = cut(asked.withColumn("similarity", F.when(F.col("installment"), installment_similarity(F.col("text"), F.col("other"))).otherwise(description_similarity(F.col("text"), F.col("other")))))
+    alike = alike.select(F.col("installment").alias("i"), F.col("text").alias("t"), F.col("other").alias("o"), "similarity")
+    pairs = pairs.join(alike, (pairs.installment == alike.i) & pairs.text.eqNullSafe(alike.t) & pairs.other.eqNullSafe(alike.o))
     pairs = pairs.filter(~F.col("installment") | F.col("on_due") | (F.col("similarity") >= ALIKE) | F.coalesce("linked", F.lit(False)))
-    return pairs.select("purchase_id", "sheet_id", "amount", "on_due", "days", _previous_cycle(F.col("sheet_date"), F.col("due_date")).alias("previous_cycle"), F.round("similarity", 6).alias("similarity"), "installment", F.coalesce("linked", F.lit(False)).alias("linked"))
+    return cut(pairs.select("purchase_id", "sheet_id", "amount", "on_due", "days", _previous_cycle(F.col("sheet_date"), F.col("due_date")).alias("previous_cycle"), F.round("similarity", 6).alias("similarity"), "installment", F.coalesce("linked", F.lit(False)).alias("linked")))
 
 
 def _previous_cycle(day: Column, due: Column) -> Column:
@@ -66,20 +71,22 @@ def _due_only(pairs: DataFrame) -> DataFrame:
     return pairs.join(some_due, "purchase_id", "left").filter(F.col("installment") | F.col("on_due") | F.col("some_due").isNull()).drop("some_due")
 
 
-def candidates(purchases: DataFrame, ledger: DataFrame) -> DataFrame:
-    """plausible_rows() of which rows on the due date exclude the rest."""
-    return _due_only(plausible_rows(purchases, ledger))
+def candidates(purchases: DataFrame, ledger: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """plausible_rows() (pairs, where they are known) of which rows on the due date exclude the rest."""
+    return _due_only(pairs if pairs is not None else plausible_rows(purchases, ledger))
 
 
-def statement_candidates(purchases: DataFrame, ledger: DataFrame, confirmed: DataFrame | None = None, rejected: DataFrame | None = None, reserved: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def statement_candidates(
+    purchases: DataFrame, ledger: DataFrame, confirmed: DataFrame | None = None, rejected: DataFrame | None = None, reserved: DataFrame | None = None, pairs: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(candidates, confirmed pairs that hold) of purchases under decisions.
 
     confirmed: purchase_id, sheet_id; of several purchases of a statement that name one row the first counts, and no other purchase of the statement may take it. rejected: purchase_id, sheet_id. reserved: sheet_id,
-    purchase_id: the only purchase that may take a row. Rows rejected or reserved still keep rows off the due date out.
+    purchase_id: the only purchase that may take a row. Rows rejected or reserved still keep rows off the due date out. pairs: plausible_rows() of these and maybe more purchases, where they are known.
     """
     spark = purchases.sparkSession
     none = spark.createDataFrame([], "purchase_id string, sheet_id string")
-    pairs = plausible_rows(purchases, ledger).join(purchases.select(F.col("id").alias("purchase_id"), "statement"), "purchase_id")
+    pairs = (pairs if pairs is not None else plausible_rows(purchases, ledger)).join(purchases.select(F.col("id").alias("purchase_id"), "statement"), "purchase_id")
     refused = (rejected if rejected is not None else none).select("purchase_id", "sheet_id", F.lit(True).alias("refused")).distinct()
     owned = (reserved if reserved is not None else none).groupBy("sheet_id").agg(F.min("purchase_id").alias("owner"))
     open_to = lambda rows: rows.join(refused, ["purchase_id", "sheet_id"], "left").join(owned, "sheet_id", "left").filter(F.col("refused").isNull() & (F.col("owner").isNull() | (F.col("owner") == F.col("purchase_id")))).drop("refused", "owner")
@@ -100,8 +107,10 @@ def group_matches(purchases: DataFrame, found: DataFrame) -> DataFrame:
     single = purchases.filter("number is null or total is null").filter("due_date is not null").select(F.col("id").alias("purchase_id"), "statement", "amount", "due_date", F.coalesce("description", F.lit("")).alias("text"))
     base = single.join(sets, "purchase_id", "left").withColumn("rows", F.coalesce("rows", F.array().cast("array<string>")))
     other = base.select("statement", "amount", "due_date", F.col("purchase_id").alias("peer"), F.col("text").alias("peer_text"), F.col("rows").alias("peer_rows"))
-    # An invoice holds few purchases of one amount, so its pairs are few.
-    peers = base.filter(F.size("rows") > 1).join(other, ["statement", "amount", "due_date"]).filter(description_similarity(F.col("text"), F.col("peer_text")) >= MATCH_ALIKE)
+    # An invoice holds few purchases of one amount, so its pairs are few; each two texts are compared once.
+    met = cut(base.filter(F.size("rows") > 1).join(other, ["statement", "amount", "due_date"]))
+    alike = cut(met.select("text", "peer_text").distinct().filter(description_similarity(F.col("text"), F.col("peer_text")) >= MATCH_ALIKE))
+    peers = met.join(alike, ["text", "peer_text"])
     seeds = peers.groupBy("purchase_id", "statement", "rows").agg(F.count("*").alias("n"), F.min(F.col("rows") == F.col("peer_rows")).alias("same"), F.collect_set("peer").alias("peers")).filter((F.col("n") > 1) & F.col("same") & (F.size("rows") == F.col("n")))
     users = found.groupBy("statement", "sheet_id").agg(F.count_distinct("purchase_id").alias("users"))
     wanted = seeds.select("purchase_id", "statement", "n", F.explode("rows").alias("sheet_id")).join(users, ["statement", "sheet_id"]).groupBy("purchase_id").agg(F.max(F.col("users") > F.col("n")).alias("contested")).filter("not contested")
@@ -112,7 +121,7 @@ def group_matches(purchases: DataFrame, found: DataFrame) -> DataFrame:
 STATES = ["purchase_id", "statement", "status", "sheet_id", "sheet_ids", "candidates"]
 
 
-def purchase_states(purchases: DataFrame, ledger: DataFrame, refunded: DataFrame | None = None, confirmed: DataFrame | None = None, rejected: DataFrame | None = None, reserved: DataFrame | None = None) -> DataFrame:
+def purchase_states(purchases: DataFrame, ledger: DataFrame, refunded: DataFrame | None = None, confirmed: DataFrame | None = None, rejected: DataFrame | None = None, reserved: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """One row per purchase: (purchase_id, statement, status, sheet_id, sheet_ids, candidates). refunded: the ids (purchase_id) of purchases returned in full; the other tables as for statement_candidates.
 
     Groups come first (CARD_GROUP_MATCHED, with the rows of the group in sheet_ids), then confirmed pairs. A row that is the only candidate of one purchase, and wanted by no other of its statement, matches if it's an
@@ -122,7 +131,7 @@ def purchase_states(purchases: DataFrame, ledger: DataFrame, refunded: DataFrame
     none = purchases.sparkSession.createDataFrame([], "purchase_id string")
     back = (refunded if refunded is not None else none).select("purchase_id", F.lit(True).alias("back")).distinct()
     open_ = bought.join(back.select(F.col("purchase_id").alias("id")), "id", "left_anti")
-    found, holds = statement_candidates(open_, ledger, confirmed, rejected, reserved)
+    found, holds = statement_candidates(open_, ledger, confirmed, rejected, reserved, pairs)
     groups = group_matches(open_.join(holds.select(F.col("purchase_id").alias("id")), "id", "left_anti"), found)
     users = found.groupBy("statement", "sheet_id").agg(F.count("*").alias("wanted"))
     near = (F.col("days") <= SURE_DAYS) & ((F.col("days") == 0) | ~F.col("previous_cycle")) & (F.col("similarity") >= MATCH_ALIKE)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_description
+from ..plans.shared import Scratch
 
 KEY = ["date", "direction", "amount"]
 # Words that say nothing about a movement.
@@ -26,19 +27,22 @@ def compatible(left: Column, right: Column) -> Column:
 def overlaps(known: DataFrame, incoming: DataFrame) -> DataFrame:
     """(known_id, incoming_id, how) of movements that both hold, each at most once.
 
-    known, incoming: id, row_idx, date, direction, amount, document, format, original_description. SINGLE: the only row of its date, direction and amount on both sides, in another format or with
-    like evidence. DOCUMENT, TEXT: equal document or text, once on each side. LIKE: an incoming row whose text is like that of exactly one known row of the key, which no other incoming row claims so. ORDER: if nearly all of the incoming rows are single in another format, what is left of a key pairs by order
-    when both sides have equally many. An id that repeats in a source names one row per date, direction and amount. All steps are counts, equi-joins on unique keys and windows; only distinct texts of a key are compared with each other, never its rows.
+    known, incoming: id, row_idx, date, direction, amount, document, format (or formats, an array), original_description; incoming may hold several sources (source) that share no date, direction and amount. SINGLE: the only row of its date, direction and amount on both sides, in another format or with
+    like evidence. DOCUMENT, TEXT: equal document or text, once on each side. LIKE: an incoming row whose text is like that of exactly one known row of the key, which no other incoming row claims so. ORDER: if nearly all rows of an incoming source are single in another format, what is left of a key with any other format pairs by
+    order when both sides have equally many. An id that repeats in a source names one row per date, direction and amount. All steps are counts, equi-joins on unique keys and windows; only distinct texts of a key are compared with each other, never its rows.
     """
-    cols = ["id", "row_idx", *KEY, "document", "format", "original_description"]
-    a, b = (df.select(*cols).withColumn("said", normalize_description(F.coalesce("original_description", F.lit("")))) for df in (known, incoming))
-    size = lambda df, name: df.groupBy(*KEY).agg(F.count("*").alias(name), F.min("id").alias(f"{name}_id"), F.min("format").alias(f"{name}_format"), F.min("original_description").alias(f"{name}_text"), F.min("document").alias(f"{name}_document"))
+    cols = ["id", "row_idx", *KEY, "document", "original_description"]
+    formats = lambda df: (F.col("formats") if "formats" in df.columns else F.array_compact(F.array("format"))).alias("formats")
+    source = lambda df: (F.col("source") if "source" in df.columns else F.lit("")).alias("source")
+    a, b = (df.select(*cols, formats(df), source(df)).withColumn("said", normalize_description(F.coalesce("original_description", F.lit("")))) for df in (known, incoming))
+    size = lambda df, name: df.groupBy(*KEY).agg(F.count("*").alias(name), *(F.min(c).alias(f"{name}_{n}") for c, n in (("id", "id"), ("formats", "formats"), ("original_description", "text"), ("document", "document"), ("source", "source"))))
     keys = size(a, "a").join(size(b, "b"), KEY)
-    cross = F.coalesce(F.col("a_format") != F.col("b_format"), F.lit(False))
+    cross = F.size(F.array_except("b_formats", "a_formats")) > 0
     like = F.coalesce((F.col("a_document") != "") & (F.col("a_document") == F.col("b_document")), F.lit(False)) | compatible(F.col("a_text"), F.col("b_text"))
-    alone = keys.filter("a = 1 and b = 1").select(*KEY, "a_id", "b_id", cross.alias("cross"), like.alias("like"))
+    alone = keys.filter("a = 1 and b = 1").select(*KEY, "a_id", "b_id", "b_source", cross.alias("cross"), like.alias("like"))
     single = alone.filter("cross or like").select(*KEY, F.col("a_id").alias("known_id"), F.col("b_id").alias("incoming_id"), F.lit("SINGLE").alias("how"))
-    anchors, total = alone.agg(F.count_if("cross")).scalar(), incoming.agg(F.greatest(F.count("*"), F.lit(1))).scalar()
+    anchors = alone.groupBy(F.col("b_source").alias("source")).agg(F.count_if("cross").alias("anchors"))
+    aligned = b.groupBy("source").agg(F.count("*").alias("total")).join(anchors, "source").filter(F.col("anchors") >= ALIGNED * F.col("total")).select("source")
 
     def once(df: DataFrame, column: str, name: str) -> DataFrame:
         return df.filter(F.coalesce(column, F.lit("")) != "").groupBy(*KEY, column).agg(F.count("*").alias("n"), F.min("id").alias(name)).filter("n = 1").drop("n")
@@ -55,10 +59,11 @@ def overlaps(known: DataFrame, incoming: DataFrame) -> DataFrame:
     pairs = pairs.unionByName(_alike(left, right))
     left, right = rest(pairs)
     whole = Window.partitionBy(*KEY)
-    placed = lambda df, name: df.select(*KEY, F.col("id").alias(name), F.col("format").alias(f"{name}_format"), F.row_number().over(whole.orderBy("row_idx", "id")).alias("nth"), F.count("*").over(whole).alias("size"))
-    ordered = placed(left, "known_id").join(placed(right, "incoming_id"), [*KEY, "nth", "size"]).filter("known_id_format <> incoming_id_format")
-    ordered = ordered.filter(anchors >= ALIGNED * total).select("known_id", "incoming_id", F.lit("ORDER").alias("how"))
-    return pairs.drop(*KEY).unionByName(ordered)
+    placed = lambda df, name: df.select(*KEY, F.col("id").alias(name), F.col("source").alias(f"{name}_source"), F.row_number().over(whole.orderBy("row_idx", "id")).alias("nth"), F.count("*").over(whole).alias("size"))
+    having = a.select(*KEY, F.explode("formats").alias("format")).groupBy(*KEY, "format").agg(F.count("*").alias("having"))
+    foreign = b.select(*KEY, F.explode("formats").alias("format")).distinct().join(a.groupBy(*KEY).agg(F.count("*").alias("n")), KEY).join(having, [*KEY, "format"], "left").filter(F.coalesce("having", F.lit(0)) < F.col("n")).select(*KEY).distinct()
+    ordered = placed(left, "known_id").join(placed(right, "incoming_id"), [*KEY, "nth", "size"]).join(foreign, KEY, "left_semi").join(aligned.withColumnRenamed("source", "incoming_id_source"), "incoming_id_source", "left_semi")
+    return pairs.drop(*KEY).unionByName(ordered.select("known_id", "incoming_id", F.lit("ORDER").alias("how")))
 
 
 def _alike(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -77,3 +82,66 @@ def merge(known: DataFrame, incoming: DataFrame, source: str) -> DataFrame:
     old = known.join(met, "id", "left").withColumn("source_ids", F.array_distinct(F.array_compact(F.concat("source_ids", F.array("again"))))).drop("again")
     new = incoming.join(pairs.select(F.col("incoming_id").alias("id")), "id", "left_anti").withColumn("source_ids", F.array(F.lit(source)))
     return old.unionByName(new.select(*[c for c in old.columns if c in new.columns]), allowMissingColumns=True)
+
+
+def _levels(keys: DataFrame, scratch: Scratch) -> DataFrame:
+    """(source, level): sources that share a movement have different levels, in their order; levels are as low as that allows. keys: date, direction, amount, source."""
+    pairs = scratch.keep(keys.withColumn("before", F.lag("source").over(Window.partitionBy(*KEY).orderBy("source"))).filter("before is not null").select("before", "source").distinct())
+    levels = scratch.keep(keys.select("source").distinct().withColumn("level", F.lit(0)))
+    while True:
+        up = pairs.join(levels.select(F.col("source").alias("before"), "level"), "before").groupBy("source").agg((F.max("level") + 1).alias("up"))
+        raised = scratch.keep(levels.join(up, "source", "left").select("source", F.col("level").alias("old"), F.greatest("level", F.coalesce("up", F.lit(0))).alias("level")))
+        levels = raised.select("source", "level")
+        if raised.filter("level > old").isEmpty():
+            return levels
+
+
+def richer(left: Column, right: Column) -> Column:
+    """The text that says more: more words that say anything, then more characters; the left one of equals."""
+    words = lambda t: F.filter(F.split(normalize_description(F.coalesce(t, F.lit(""))), " "), lambda w: (F.length(w) > 2) & ~w.isin(EMPTY_WORDS))
+    weight = lambda t: F.size(words(t)) * 100 + F.length(F.trim(F.coalesce(t, F.lit(""))))
+    return F.when(weight(right) > weight(left), right).otherwise(left)
+
+
+def fold(rows: DataFrame) -> DataFrame:
+    """All sources merged in the order of their names, each into what the ones before it gave: (id, source, row_idx, date, direction, amount, document, original_description, source_ids, formats, descriptions).
+
+    rows: source, id, row_idx (its place in the source), date, direction, amount, document, format, original_description. Every movement stands under the earliest source that holds it, with all sources, formats
+    and texts that name it and the text that says most. Sources that share no movement are taken in one round, so there are as many rounds as the longest chain of overlapping sources; a row is written until
+    the last source with its date, direction and amount has been taken, then never again. Rows whose key no other source has are read once. An empty table gives no rows.
+    """
+    spark = rows.sparkSession
+    scratch, result = Scratch(spark), Scratch(spark)
+    named = rows.withColumn("uid", F.concat_ws("/", "source", "row_idx"))
+    levels = _levels(scratch.keep(rows.select(*KEY, "source").distinct()), scratch)
+    held = ["uid", "id", "source", "row_idx", *KEY, "document", "original_description"]
+    fresh = named.join(levels, "source").select(*held, "level", F.array("source").alias("source_ids"), F.array_compact(F.array("format")).alias("formats"), F.array_compact(F.array("original_description")).alias("descriptions"))
+    last = fresh.groupBy(*KEY).agg(F.max("level").alias("last"))
+    fresh = scratch.keep(fresh.join(last, KEY))
+    done, open_, older = [], None, None
+    for level in range((levels.agg(F.max("level")).first()[0] or 0) + 1):
+        new = fresh.filter(F.col("level") == level)
+        if open_ is not None:
+            keys = new.select(*KEY).distinct()
+            met = open_.join(keys, KEY, "left_semi")
+            plain = lambda df: df.select(F.col("uid").alias("id"), "source", "row_idx", *KEY, "document", "formats", "original_description")
+            by_place = F.row_number().over(Window.partitionBy(*KEY).orderBy("source", "row_idx"))
+            pairs = scratch.keep(overlaps(plain(met.withColumn("row_idx", by_place)), plain(new)))
+            again = pairs.join(new.select(F.col("uid").alias("incoming_id"), *(F.col(c).alias(f"new_{c}") for c in ("source_ids", "formats", "descriptions", "original_description"))), "incoming_id").drop("incoming_id", "how")
+            both = open_.join(again.withColumnRenamed("known_id", "uid"), "uid", "left")
+            gathered = {c: F.when(F.col(f"new_{c}").isNull(), F.col(c)).otherwise(F.array_union(c, f"new_{c}")) for c in ("source_ids", "formats", "descriptions")}
+            text = F.when(F.col("new_source_ids").isNull(), F.col("original_description")).otherwise(richer(F.col("original_description"), F.col("new_original_description")))
+            old = both.withColumns({**gathered, "original_description": text}).select(fresh.columns)
+            new = old.unionByName(new.join(pairs.select(F.col("incoming_id").alias("uid")), "uid", "left_anti"))
+        step = Scratch(spark)
+        now = step.keep(new)
+        if older is not None:
+            older.drop()
+        done.append(result.keep(now.filter(F.col("last") == level)))
+        open_, older = now.filter(F.col("last") > level), step
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    scratch.drop()
+    older.drop()
+    return out.select("id", "source", "row_idx", *KEY, "document", "original_description", F.array_sort("source_ids").alias("source_ids"), F.array_sort("formats").alias("formats"), F.array_sort("descriptions").alias("descriptions"))
