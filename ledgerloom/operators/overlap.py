@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_description
-from ..plans.shared import Scratch
+from ..plans.shared import Scratch, cut
 
 KEY = ["date", "direction", "amount"]
 # Words that say nothing about a movement.
@@ -17,7 +17,10 @@ ALIGNED = 0.9
 
 def compatible(left: Column, right: Column) -> Column:
     """Whether two texts may name one movement: equal, two shared words that are most of the shorter, or one within the other."""
-    a, b = normalize_description(left), normalize_description(right)
+    return _alike_said(normalize_description(left), normalize_description(right))
+
+
+def _alike_said(a: Column, b: Column) -> Column:
     words = lambda t: F.array_distinct(F.filter(F.split(t, " "), lambda w: (F.length(w) > 2) & ~w.isin(EMPTY_WORDS)))
     shared, few = F.size(F.array_intersect(words(a), words(b))), F.least(F.size(words(a)), F.size(words(b)))
     within = (F.least(F.length(a), F.length(b)) >= 12) & (a.contains(b) | b.contains(a))
@@ -34,12 +37,14 @@ def overlaps(known: DataFrame, incoming: DataFrame) -> DataFrame:
     cols = ["id", "row_idx", *KEY, "document", "original_description"]
     formats = lambda df: (F.col("formats") if "formats" in df.columns else F.array_compact(F.array("format"))).alias("formats")
     source = lambda df: (F.col("source") if "source" in df.columns else F.lit("")).alias("source")
-    a, b = (df.select(*cols, formats(df), source(df)).withColumn("said", normalize_description(F.coalesce("original_description", F.lit("")))) for df in (known, incoming))
-    size = lambda df, name: df.groupBy(*KEY).agg(F.count("*").alias(name), *(F.min(c).alias(f"{name}_{n}") for c, n in (("id", "id"), ("formats", "formats"), ("original_description", "text"), ("document", "document"), ("source", "source"))))
+    # Every step is written: the next one reads it twice, and texts are normalised once.
+    scratch = Scratch(known.sparkSession)
+    a, b = (scratch.keep(df.select(*cols, formats(df), source(df)).withColumn("said", normalize_description(F.coalesce("original_description", F.lit(""))))) for df in (known, incoming))
+    size = lambda df, name: df.groupBy(*KEY).agg(F.count("*").alias(name), *(F.min(c).alias(f"{name}_{n}") for c, n in (("id", "id"), ("formats", "formats"), ("said", "said"), ("document", "document"), ("source", "source"))))
     keys = size(a, "a").join(size(b, "b"), KEY)
     cross = F.size(F.array_except("b_formats", "a_formats")) > 0
-    like = F.coalesce((F.col("a_document") != "") & (F.col("a_document") == F.col("b_document")), F.lit(False)) | compatible(F.col("a_text"), F.col("b_text"))
-    alone = keys.filter("a = 1 and b = 1").select(*KEY, "a_id", "b_id", "b_source", cross.alias("cross"), like.alias("like"))
+    like = F.coalesce((F.col("a_document") != "") & (F.col("a_document") == F.col("b_document")), F.lit(False)) | _alike_said(F.col("a_said"), F.col("b_said"))
+    alone = scratch.keep(keys.filter("a = 1 and b = 1").select(*KEY, "a_id", "b_id", "b_source", cross.alias("cross"), like.alias("like")))
     single = alone.filter("cross or like").select(*KEY, F.col("a_id").alias("known_id"), F.col("b_id").alias("incoming_id"), F.lit("SINGLE").alias("how"))
     anchors = alone.groupBy(F.col("b_source").alias("source")).agg(F.count_if("cross").alias("anchors"))
     aligned = b.groupBy("source").agg(F.count("*").alias("total")).join(anchors, "source").filter(F.col("anchors") >= ALIGNED * F.col("total")).select("source")
@@ -54,22 +59,26 @@ def overlaps(known: DataFrame, incoming: DataFrame) -> DataFrame:
     pairs = single
     for column, how in (("document", "DOCUMENT"), ("said", "TEXT")):
         left, right = rest(pairs)
-        pairs = pairs.unionByName(once(left, column, "known_id").join(once(right, column, "incoming_id"), [*KEY, column]).select(*KEY, "known_id", "incoming_id", F.lit(how).alias("how")))
+        pairs = scratch.keep(pairs.unionByName(once(left, column, "known_id").join(once(right, column, "incoming_id"), [*KEY, column]).select(*KEY, "known_id", "incoming_id", F.lit(how).alias("how"))))
     left, right = rest(pairs)
-    pairs = pairs.unionByName(_alike(left, right))
+    pairs = scratch.keep(pairs.unionByName(_alike(left, right, scratch)))
     left, right = rest(pairs)
     whole = Window.partitionBy(*KEY)
     placed = lambda df, name: df.select(*KEY, F.col("id").alias(name), F.col("source").alias(f"{name}_source"), F.row_number().over(whole.orderBy("row_idx", "id")).alias("nth"), F.count("*").over(whole).alias("size"))
     having = a.select(*KEY, F.explode("formats").alias("format")).groupBy(*KEY, "format").agg(F.count("*").alias("having"))
     foreign = b.select(*KEY, F.explode("formats").alias("format")).distinct().join(a.groupBy(*KEY).agg(F.count("*").alias("n")), KEY).join(having, [*KEY, "format"], "left").filter(F.coalesce("having", F.lit(0)) < F.col("n")).select(*KEY).distinct()
     ordered = placed(left, "known_id").join(placed(right, "incoming_id"), [*KEY, "nth", "size"]).join(foreign, KEY, "left_semi").join(aligned.withColumnRenamed("source", "incoming_id_source"), "incoming_id_source", "left_semi")
-    return pairs.drop(*KEY).unionByName(ordered.select("known_id", "incoming_id", F.lit("ORDER").alias("how")))
+    out = cut(pairs.drop(*KEY).unionByName(ordered.select("known_id", "incoming_id", F.lit("ORDER").alias("how"))))
+    scratch.drop()
+    return out
 
 
-def _alike(left: DataFrame, right: DataFrame) -> DataFrame:
+def _alike(left: DataFrame, right: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, known_id, incoming_id, how) of rows whose texts are like each other's and no other's."""
     texts = lambda df, name: df.groupBy(*KEY, "said").agg(F.count("*").alias(f"{name}_n"), F.min("id").alias(f"{name}_id")).withColumnRenamed("said", f"{name}_said")
-    met = texts(left, "known").join(texts(right, "incoming"), KEY).filter(compatible(F.col("known_said"), F.col("incoming_said")))
+    met = scratch.keep(texts(left, "known").join(texts(right, "incoming"), KEY))
+    alike = scratch.keep(met.select("known_said", "incoming_said").distinct().filter(_alike_said(F.col("known_said"), F.col("incoming_said"))))
+    met = met.join(alike, ["known_said", "incoming_said"])
     only = met.groupBy(*KEY, "incoming_said").agg(F.sum("known_n").alias("options"), F.max("incoming_n").alias("n"), F.min("known_said").alias("known_said"), F.min("known_id").alias("known_id"), F.min("incoming_id").alias("incoming_id")).filter("options = 1")
     single = only.groupBy(*KEY, "known_said").agg(F.sum("n").alias("claims"), F.min("known_id").alias("known_id"), F.min("incoming_id").alias("incoming_id")).filter("claims = 1")
     return single.select(*KEY, "known_id", "incoming_id", F.lit("LIKE").alias("how"))
@@ -126,7 +135,7 @@ def fold(rows: DataFrame) -> DataFrame:
             met = open_.join(keys, KEY, "left_semi")
             plain = lambda df: df.select(F.col("uid").alias("id"), "source", "row_idx", *KEY, "document", "formats", "original_description")
             by_place = F.row_number().over(Window.partitionBy(*KEY).orderBy("source", "row_idx"))
-            pairs = scratch.keep(overlaps(plain(met.withColumn("row_idx", by_place)), plain(new)))
+            pairs = overlaps(plain(met.withColumn("row_idx", by_place)), plain(new))
             again = pairs.join(new.select(F.col("uid").alias("incoming_id"), *(F.col(c).alias(f"new_{c}") for c in ("source_ids", "formats", "descriptions", "original_description"))), "incoming_id").drop("incoming_id", "how")
             both = open_.join(again.withColumnRenamed("known_id", "uid"), "uid", "left")
             gathered = {c: F.when(F.col(f"new_{c}").isNull(), F.col(c)).otherwise(F.array_union(c, f"new_{c}")) for c in ("source_ids", "formats", "descriptions")}
