@@ -44,7 +44,7 @@ def rows(df, *names):
 
 def test_registered_against_sql(spark):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels", "benchmark"):
+    for t in ("documents", "pages", "labels", "benchmark", "embeddings"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         want = con.sql(sql)

@@ -186,12 +186,22 @@ def test_pii_odd_cases(spark):
     assert hidden == {1: None, 2: "", 3: "[email]"} and pii.redact(docs).columns == docs.columns
 
 
-def test_vectors_and_pii_against_sql(spark):
-    import duckdb
-
-    con = duckdb.connect()
-    con.sql(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
-    for name in ("op11_hard_negatives", "op13_vector_codes"):
-        want = con.sql(queries.ORACLE_SQL[name])
-        got = queries.QUERIES[name](spark, SF).select(*want.columns).collect()
-        assert sorted(map(tuple, got), key=str) == sorted(want.fetchall(), key=str), name
+def test_words_that_polynomial_hashes_confuse(spark):
+    from ledgerloom.llm.common import WordHasher
+    from ledgerloom.llm.near_dedup import near_duplicates
+
+    one, two = "a", "b"
+    for _ in range(10):
+        one, two = one + two, two + one
+    docs = spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id long, text string")
+    assert [(r.doc_id, r.component_id) for r in near_duplicates(docs).orderBy("doc_id").collect()] == [(1, 1), (2, 2), (3, 1)]
+    draw = random.Random(2)
+    words = {"".join(draw.choice("ab") for _ in range(draw.randint(1, 90))) for _ in range(20000)}
+    raw = np.frombuffer(" ".join(sorted(words)).encode(), np.uint8)
+    for seed in (0, 1000):
+        hashes, at = WordHasher(seed).words(raw, np.array([0, len(raw)]))
+        assert len(np.unique(hashes)) == len(hashes) == len(words) and at.tolist() == [0, len(words)]
+    text = b"Ab abcdefgh abcdefghi  X\tx"
+    hashes, _ = WordHasher().words(np.frombuffer(text, np.uint8), np.array([0, 2, 2, len(text)]))
+    again, _ = WordHasher().words(np.frombuffer(b"aB", np.uint8), np.array([0, 2]))
+    assert hashes[0] == again[0] and hashes[-1] == hashes[-2] and len(np.unique(hashes)) == 4
