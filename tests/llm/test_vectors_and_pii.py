@@ -205,3 +205,75 @@ def test_words_that_polynomial_hashes_confuse(spark):
     hashes, _ = WordHasher().words(np.frombuffer(text, np.uint8), np.array([0, 2, 2, len(text)]))
     again, _ = WordHasher().words(np.frombuffer(b"aB", np.uint8), np.array([0, 2]))
     assert hashes[0] == again[0] and hashes[-1] == hashes[-2] and len(np.unique(hashes)) == 4
+
+
+def test_path_ratios_against_plain_loops():
+    """Means per path, smoothing by distance, fusion and threshold, node by node, over the nodes of whole pages."""
+    import duckdb
+
+    from ledgerloom.llm import html_extract as h
+
+    def plainly(lengths, marks, paths, prior):
+        n = len(paths)
+        of = lambda x, i: sum(x[j] for j in range(n) if paths[j] == paths[i]) / paths.count(paths[i])
+        mean = [of(lengths, i) for i in range(n)]
+        text = [min(m, h.PROSE[0]) ** 0.5 for m in mean]
+        points = [min(of(marks, i), h.PROSE[1]) ** 0.5 for i in range(n)]
+
+        def smooth(x, i):
+            weights = {j: (3 - abs(i - j)) * (1 if i == j or paths[i] == paths[j] else 0.25) for j in range(max(0, i - 2), min(n, i + 3))}
+            return sum(w * x[j] for j, w in weights.items()) / sum(weights.values())
+
+        fused = [(text[i] * smooth(text, i)) ** 0.5 * (0.25 + (points[i] * smooth(points, i)) ** 0.5) * prior[i] for i in range(n)]
+        limit = h.SHARE * min(max(fused), h.PROSE[0] ** 0.5 * (0.25 + h.PROSE[1] ** 0.5))
+        return [f >= limit - 1e-12 or m * p >= h.PROSE[0] for f, m, p in zip(fused, mean, prior, strict=True)]
+
+    pages = duckdb.sql("select html from '/root/testdata/sf0.01/pages.parquet'").fetchall()
+    seen = 0
+    for (source,) in pages:
+        page = h._Page(source or "")
+        if not page.blocks:
+            continue
+        number = {}
+        paths = [number.setdefault(page.path[e], len(number)) for _, e, _ in page.blocks]
+        lengths = [float(len(t) - linked) for t, _, linked in page.blocks]
+        marks = [float(sum(t.count(c) for c in h.PUNCTUATION)) for t, _, _ in page.blocks]
+        prior = [1.0 if page.inside[e] else h.OUTSIDE for _, e, _ in page.blocks]
+        got = h.content_nodes(np.array(lengths), np.array(marks), np.array(paths), np.array(prior))
+        assert got.tolist() == plainly(lengths, marks, paths, prior)
+        seen += len(paths)
+    assert seen > 1000
+
+
+COMMENTS = [
+    "<article>{}<div class='discussion'><p>comment, of a reader.</p><p>another one, here.</p></div></article>",
+    "<div class='story'>{}</div><div class='discussion'><div class='post'><p>comment, of a reader. It is long, too.</p></div><div class='post'><p>another one.</p></div></div>",
+    "<article>{}<div class='u1'><div class='k'><p>Anna, 12:30</p><p>I like that, a lot. Really, yes.</p><p>Reply</p></div><div class='k'><p>Bob, 13:30</p><p>Not me, at all. No.</p><p>Reply</p></div></div></article>",
+    "<main>{}<section class='disclaimer-box'><p>No warranty, of any kind.</p></section></main>",
+]
+
+
+@pytest.mark.parametrize("page", COMMENTS)
+def test_comments_and_notices_go_by_name_or_shape(page):
+    from ledgerloom.llm.html_extract import main_text
+
+    parts = ["Long text, of the article. It goes on, and on, with many words.", "Second part, of the text. With more words, and a full stop."]
+    assert main_text(page.format("".join(f"<p>{p}</p>" for p in parts))) == "\n".join(parts)
+
+
+def test_dated_posts_are_content_where_they_are_the_page():
+    from ledgerloom.llm.html_extract import main_text
+
+    posts = "".join(f"<div class='post'><p>2026-01-0{n}, 12:30</p><p>The text of post number {n}, which is long. It goes on.</p><p>Reply</p></div>" for n in range(1, 4))
+    assert "post number 2" in main_text(f"<body>{posts}</body>")
+
+
+@pytest.mark.parametrize("page", ["<a href=\"" * 80000, "<div><p>a</p></x>" * 30000, "<script x=\"" * 80000, "<b>" * 50000 + "</i>" * 50000, "<svg>" * 80000, "<ul><li>x" * 20000, "<!--" * 100000, "<a '\">" * 60000])
+def test_broken_markup_takes_linear_time(page):
+    import time
+
+    from ledgerloom.llm.html_extract import main_text
+
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 8
