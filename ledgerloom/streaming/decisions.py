@@ -24,9 +24,9 @@ def _rank() -> Column:
     return F.struct("updated_ts", F.when(local & gone, 2).when(~local, 1).otherwise(0).alias("by"), gone.alias("gone"), "state", "side")
 
 
-def latest(decisions: DataFrame) -> DataFrame:
-    """The winning version of each key (key, updated_ts, state, side); a null side is remote, null keys are one key, repeated versions count once."""
-    return decisions.groupBy("key").agg(F.max_by(F.struct("updated_ts", "state", "side"), _rank()).alias("won")).select("key", "won.*")
+def latest(decisions: DataFrame, *by: str) -> DataFrame:
+    """The winning version of each key (by, key, updated_ts, state, side); a null side is remote, null keys are one key, repeated versions count once. by: columns that follow from the key."""
+    return decisions.groupBy(*by, "key").agg(F.max_by(F.struct("updated_ts", "state", "side"), _rank()).alias("won")).select(*by, "key", "won.*")
 
 
 def merge_batch(spark: SparkSession, table: str, batch: DataFrame, number: int, buckets: int = BUCKETS) -> list[int]:
@@ -35,8 +35,8 @@ def merge_batch(spark: SparkSession, table: str, batch: DataFrame, number: int,
     scratch = Scratch(spark)
     buckets = int(held.slots(held.version()).get(_BUCKETS, buckets))
     bucket = F.pmod(F.xxhash64("key"), F.lit(buckets))
-    new = scratch.keep(latest(batch))
-    touched = sorted(r[0] for r in new.select(bucket).distinct().collect())  # at most as many as there are buckets
+    new = scratch.keep(latest(batch.withColumn("bucket", bucket), "bucket"))
+    touched = sorted(new.agg(F.collect_set("bucket")).first()[0])  # at most as many as there are buckets
     try:
         for _ in range(20):
             base = held.version()
@@ -44,7 +44,8 @@ def merge_batch(spark: SparkSession, table: str, batch: DataFrame, number: int,
             if int(slots.get(_BATCH, -1)) >= number:
                 return []
             known = held.rows(slots[str(b)] for b in touched if str(b) in slots)
-            folder = held.write(latest(new.unionByName(known)).withColumn("bucket", bucket).repartition("bucket"), by="bucket")
+            # One shuffle, by bucket, serves the merge and the write.
+            folder = held.write(latest(new.unionByName(known.withColumn("bucket", bucket)).repartition("bucket"), "bucket"), by="bucket")
             if held.commit(base, slots | {str(b): f"{folder}/bucket={b}" for b in touched} | {_BATCH: str(number), _BUCKETS: str(buckets)}):
                 return touched
             held.discard(folder)
