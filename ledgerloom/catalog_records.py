@@ -154,12 +154,24 @@ def audit_findings(spark, sf_dir):
     return _findings(spark, sf_dir).select("code", "severity", "subject")
 
 
+def _card_findings(spark, sf_dir):
+    """Orders as card purchases: recomputed states that differ from those shown, references to rows that went or changed, missing ones with candidates; every second decision is newer than its tombstone."""
+    k = F.col("o_orderkey")
+    rows = _table(spark, sf_dir, "orders").select(k, F.concat(F.lit("c"), k.cast("string")).alias("purchase_id"))
+    state = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (k % n + 1).cast("int")).alias("status")
+    pure, now = rows.select("purchase_id", state(("CARD_MATCHED", "CARD_MISSING", "CARD_REVIEW"), 3)), rows.select("purchase_id", state(("CARD_MISSING", "CARD_REVIEW", "CARD_MATCHED", "CARD_GROUP_MATCHED"), 4))
+    found = [audit.card_state_findings(pure, now, rows.filter(k % 2 == 0).select("purchase_id"))]
+    for code, severity, test in (("ORPHANED_SHEET_REFERENCE", "REVIEW", k % 10 == 5), ("ORPHANED_SHEET_REFERENCE", "INFO", k % 10 == 0), ("EDITED_SHEET_REFERENCE", "INFO", k % 7 == 0), ("MISSING_COM_CANDIDATO", "CRITICAL", k % 11 == 0), ("NEWER_TOMBSTONE_EXISTS", "INFO", k % 13 == 0), ("UNUSED_STRONG_CANDIDATE", "REVIEW", k % 6 == 0)):
+        found.append(audit._finding(rows.filter(test), code, severity, F.col("purchase_id")))
+    return audit.union([_findings(spark, sf_dir), *found])
+
+
 def audit_summary(spark, sf_dir):
-    return audit.audit_summary(_findings(spark, sf_dir))
+    return audit.audit_summary(audit.lifecycle(audit.enrich(_card_findings(spark, sf_dir))))
 
 
 def audit_collapsed(spark, sf_dir):
-    return audit.collapse(_findings(spark, sf_dir)).select("subject", "code", "severity", F.array_join("others", ",").alias("others"))
+    return audit.collapse(_card_findings(spark, sf_dir)).select("subject", "code", "severity", F.array_join("others", ",").alias("others"))
 
 
 def table_revision(spark, sf_dir):
@@ -234,6 +246,12 @@ _FINDINGS = """i AS (SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS subj
         UNION ALL SELECT 'CARD_PAYMENT_AS_EXPENSE_MISSING', 'CRITICAL', subject FROM i WHERE status = 'MISSING' AND (k % 7 = 0 OR k % 19 = 0)
         UNION ALL SELECT 'REFUNDED_BUT_MISSING', 'CRITICAL', subject FROM i WHERE status = 'MISSING' AND k % 23 = 0
         UNION ALL SELECT 'DOUBLE_CLAIM', 'CRITICAL', sheet FROM i WHERE sheet LIKE '%7' GROUP BY sheet HAVING count(DISTINCT subject) > 1)"""
+_CARD_FINDINGS = """o AS (SELECT o_orderkey AS k, 'c' || o_orderkey AS s, ['CARD_MATCHED', 'CARD_MISSING', 'CARD_REVIEW'][o_orderkey % 3 + 1] AS pure, ['CARD_MISSING', 'CARD_REVIEW', 'CARD_MATCHED', 'CARD_GROUP_MATCHED'][o_orderkey % 4 + 1] AS now FROM orders),
+    g AS (SELECT code, severity, subject FROM f
+        UNION ALL SELECT 'DERIVED_STATE_MISMATCH', CASE WHEN pure = 'CARD_MATCHED' AND now = 'CARD_MISSING' OR pure = 'CARD_MISSING' AND now IN ('CARD_MATCHED', 'CARD_GROUP_MATCHED') OR pure = 'CARD_REVIEW' AND now = 'CARD_MISSING' AND k % 2 = 0 THEN 'CRITICAL'
+            WHEN pure = 'CARD_REVIEW' AND now = 'CARD_GROUP_MATCHED' THEN 'INFO' ELSE 'REVIEW' END, s FROM o WHERE pure <> now
+        UNION ALL SELECT 'ORPHANED_SHEET_REFERENCE', CASE WHEN k % 10 = 5 THEN 'REVIEW' ELSE 'INFO' END, s FROM o WHERE k % 5 = 0 UNION ALL SELECT 'EDITED_SHEET_REFERENCE', 'INFO', s FROM o WHERE k % 7 = 0
+        UNION ALL SELECT 'MISSING_COM_CANDIDATO', 'CRITICAL', s FROM o WHERE k % 11 = 0 UNION ALL SELECT 'NEWER_TOMBSTONE_EXISTS', 'INFO', s FROM o WHERE k % 13 = 0 UNION ALL SELECT 'UNUSED_STRONG_CANDIDATE', 'REVIEW', s FROM o WHERE k % 6 = 0)"""
 _DECISIONS = "k AS (SELECT o_orderkey AS n, o_custkey AS c, CASE o_orderkey % 4 WHEN 0 THEN 'PAIR_REJECTED' WHEN 1 THEN 'PAIR_CONFIRMED' WHEN 2 THEN 'BANK_IGNORED' ELSE 'SHEET_IGNORED' END AS kind FROM orders)"
 
 ORACLE_SQL = {
@@ -267,9 +285,14 @@ ORACLE_SQL = {
         SELECT * FROM j WHERE differs <> ''""",
     "double_claims": """WITH c AS (SELECT l_partkey AS sheet_id, l_orderkey, bool_or(l_linenumber = 1) AS sure FROM lineitem GROUP BY 1, 2) SELECT sheet_id, count(*) AS owners, count(*) FILTER (sure) AS confirmed FROM c GROUP BY 1 HAVING count(*) > 1""",
     "audit_findings": f"WITH {_FINDINGS} SELECT * FROM f",
-    "audit_summary": f"WITH {_FINDINGS} SELECT severity, code, count(DISTINCT subject) AS subjects FROM f GROUP BY 1, 2",
-    "audit_collapsed": f"""WITH {_FINDINGS}, g AS (SELECT subject, min((CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'REVIEW' THEN 1 ELSE 2 END, code)) AS top, list_sort(list(DISTINCT code)) AS codes FROM f GROUP BY 1)
-        SELECT subject, top[2] AS code, CASE top[1] WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'REVIEW' ELSE 'INFO' END AS severity, array_to_string(list_filter(codes, lambda c: c <> top[2]), ',') AS others FROM g""",
+    "audit_summary": f"""WITH {_FINDINGS}, {_CARD_FINDINGS}, r AS (
+            SELECT code, severity, CASE WHEN code LIKE 'EXPECTED_%' THEN 'EXPECTED' WHEN severity = 'INFO' THEN 'INFO' WHEN code IN ('ASSIGNMENT_CONFLICT', 'UNUSED_STRONG_CANDIDATE') THEN 'RELATED' ELSE 'PRIMARY' END AS role,
+                CASE WHEN code IN ('ASSIGNMENT_CONFLICT', 'UNUSED_STRONG_CANDIDATE', 'MISSING_COM_CANDIDATO', 'MISSING_WITH_STRONG_CANDIDATE') THEN 'RECONCILIATION_ASSIGNMENT' WHEN code = 'DOUBLE_CLAIM' THEN 'OWNERSHIP' ELSE code END || ':' || subject AS cause FROM g
+        ) SELECT count(DISTINCT cause) FILTER (severity = 'CRITICAL') AS critical, count(DISTINCT cause) FILTER (severity = 'REVIEW') AS review, count(DISTINCT cause) FILTER (severity = 'INFO' AND code IN ('ORPHANED_SHEET_REFERENCE', 'EDITED_SHEET_REFERENCE')) AS maintenance,
+            count(DISTINCT cause) FILTER (code = 'NEWER_TOMBSTONE_EXISTS') AS legacy, count(DISTINCT cause) FILTER (severity = 'INFO') AS informational, count(DISTINCT cause) FILTER (severity <> 'INFO') AS attention FROM r WHERE role <> 'RELATED'""",
+    "audit_collapsed": f"""WITH {_FINDINGS}, {_CARD_FINDINGS}, h AS (SELECT *, CASE WHEN code IN ('DERIVED_STATE_MISMATCH', 'ORPHANED_SHEET_REFERENCE', 'EDITED_SHEET_REFERENCE', 'MISSING_COM_CANDIDATO') THEN '' ELSE code END AS about FROM g),
+        g2 AS (SELECT subject, about, min((CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'REVIEW' THEN 1 ELSE 2 END, code)) AS top, list_sort(list(DISTINCT code)) AS codes FROM h GROUP BY 1, 2)
+        SELECT subject, top[2] AS code, CASE top[1] WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'REVIEW' ELSE 'INFO' END AS severity, array_to_string(list_filter(codes, lambda c: c <> top[2]), ',') AS others FROM g2""",
     "row_fingerprints": """WITH t AS (SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) || chr(31) || event_type || chr(31) || CAST(floor(value * 100 + 0.5) AS BIGINT) AS s FROM events),
         u AS (SELECT event_id, list_transform(range(1, length(s) + 1), lambda i: ord(s[i])::UBIGINT) AS c, list_transform(range(1, length(s) + 1), lambda i: (ord(s[i]) + i - 1)::UBIGINT) AS p FROM t),
         h AS (SELECT event_id, list_reduce(list_prepend(2166136261::UBIGINT, c), lambda h, x: (xor(h, x) * 16777619::UBIGINT) & 4294967295::UBIGINT) AS a, list_reduce(list_prepend(2654435769::UBIGINT, p), lambda h, x: (xor(h, x) * 2246822507::UBIGINT) & 4294967295::UBIGINT) AS b FROM u)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .catalog_invoices import _GROUPS, _group_costs, _group_purchases
 from .catalog_matching import _ROWS, _solved
-from .operators import claims, expected, overlap, refresh, views
+from .operators import audit, claims, expected, overlap, refresh, views
 from .plans.demo import events, mixed_bank, mixed_ledger
-from .plans.shared import Scratch, cut, shared_folder
+from .plans.shared import cut, shared_folder
 from .sources import records
 from .sources.versions import VersionedTable
 from .streaming import decisions
@@ -124,17 +124,34 @@ def safe_invalidations(spark, sf_dir) -> DataFrame:
 
 def records_across_lines(spark, sf_dir) -> DataFrame:
     """Documents written as a delimited file with quoted texts and read again, record by record; n_lines is how many lines a record takes."""
-    scratch = Scratch(spark)
     folder = _folder(spark)
-    docs = scratch.keep(_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang")))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"))
     docs.write.option("header", True).option("quote", '"').option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{folder}/docs")
-    scratch.drop()
     rows = records.read_table(spark, f"{folder}/docs")
     value = lambda name: F.element_at("values", name)
     return rows.select(value("doc_id").cast("long").alias("doc_id"), F.sha2(value("text"), 256).alias("sha"), value("lang").alias("lang"), F.size(F.split(value("text"), "\n")).alias("n_lines"), "issue")
 
 
-QUERIES = {f.__name__: f for f in (refreshed_assignment, appended_rows, decision_stream, source_fold, card_expected_states, claim_conflicts, safe_invalidations, records_across_lines)}
+def audit_dismissals(spark, sf_dir) -> DataFrame:
+    """Orders as findings, three in four dismissed before: the same but for the order of their parts, less grave, of another cause, of less impact, or without evidence of a row; every tenth without a signature."""
+    k = F.col("k")
+    texts = lambda *values: F.array(*(F.lit(v) for v in values))
+    now = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).select(
+        k, F.lit("DERIVED_STATE_MISMATCH").alias("code"), F.element_at(texts("CRITICAL", "REVIEW", "INFO"), (k % 3 + 1).cast("int")).alias("severity"), F.lit("INV-08").alias("invariant"), k.cast("string").alias("subject"),
+        F.concat(F.lit("cause:"), k.cast("string")).alias("root_cause"), F.create_map(F.lit("sheetIdentity"), texts("s2", "s1"), F.lit("selected"), texts("d")).alias("target"),
+        F.create_map(F.lit("row"), texts("r"), F.lit("updatedAt"), F.array(k.cast("string")), F.lit("candidateEvaluations"), texts("x")).alias("technical"), F.lit("high").alias("impact"), F.lit("CARD_MISSING").alias("current"),
+        F.lit("CARD_MATCHED").alias("expected"), F.lit("CANONICAL").alias("identity"), F.lit(True).alias("comparable"),
+    )
+    of = lambda n, other, c: F.when(k % 5 == n, other).otherwise(F.col(c))
+    then = now.filter(k % 4 != 3).withColumns({
+        "target": F.create_map(F.lit("selected"), texts("d"), F.lit("index"), texts("7"), F.lit("sheetIdentity"), texts("s1", "s2")), "severity": of(1, F.lit("INFO"), "severity"), "root_cause": of(2, F.lit("other"), "root_cause"),
+        "impact": of(3, F.lit("LOW"), "impact"), "technical": of(4, F.map_filter("technical", lambda name, _: name != "row"), "technical"),
+    })
+    saved = audit.signed(then).select("key", "severity", F.when(k % 10 != 5, F.col("signature")).alias("signature"), F.lit("2026-01-01").alias("dismissed_at"))
+    return audit.dismissed(audit.signed(now), saved).select("k", "visible")
+
+
+QUERIES = {f.__name__: f for f in (audit_dismissals, refreshed_assignment, appended_rows, decision_stream, source_fold, card_expected_states, claim_conflicts, safe_invalidations, records_across_lines)}
 
 _CLAIMS = """
     line AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS n, l_partkey AS p FROM lineitem),
@@ -143,6 +160,7 @@ _CLAIMS = """
     )"""
 
 ORACLE_SQL = {
+    "audit_dismissals": "SELECT o_orderkey AS k, o_orderkey % 4 = 3 OR o_orderkey % 5 > 1 OR o_orderkey % 5 = 1 AND o_orderkey % 3 < 2 AS visible FROM orders",
     "refreshed_assignment": f"""WITH RECURSIVE {_ROWS}, {_solved("edges")}
         SELECT best.c AS component, total::BIGINT AS total, b AS bank_id, s AS sheet_id, margin::INTEGER AS margin, ambiguous, matched
         FROM best LEFT JOIN (SELECT c, b, s, margin, ambiguous, matched FROM planned WHERE margin > 0) USING (c)""",

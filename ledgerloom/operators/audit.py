@@ -188,16 +188,86 @@ def finding_filter(findings: DataFrame, kind: str) -> DataFrame:
     return findings if kind == "ALL" else findings.limit(0) if kind == "HIDDEN" else findings.filter(F.col("lifecycle").isin("LEGACY", "MAINTENANCE")) if kind == "LEGACY" else findings.filter(F.col("severity") == kind)
 
 
+# Codes that speak of the state of one card purchase.
+CARD_STATE = ["MISSING_COM_CANDIDATO", "CARD_MISSING_NO_CANDIDATE", "DERIVED_STATE_MISMATCH", "PREWRITE_MATCH_MISMATCH", "STALE_MISSING_DECISION", "ORPHANED_SHEET_REFERENCE", "EDITED_SHEET_REFERENCE", "CURRENT_SOURCE_DIVERGENCE", "REJECTED_CANDIDATE_FILTERED"]
+
+
+def _weight(severity: Column) -> Column:
+    return F.when(severity == "CRITICAL", 0).when(severity == "REVIEW", 1).otherwise(2)
+
+
 def collapse(findings: DataFrame) -> DataFrame:
-    """One row per subject: its gravest finding, with the other codes as `others`."""
-    rank = F.when(F.col("severity") == "CRITICAL", 0).when(F.col("severity") == "REVIEW", 1).otherwise(2)
-    kept = findings.groupBy("subject").agg(F.min(F.struct(rank.alias("rank"), "code", "severity")).alias("top"), F.collect_set("code").alias("codes"))
+    """Findings with one row for all codes about the card state of a subject: the gravest, of equals the first code, with the others as `others`. A finding of any other code keeps its own row, repeated ones count once."""
+    about = F.when(F.col("code").isin(CARD_STATE), "card state").otherwise(F.col("code"))
+    kept = findings.groupBy("subject", about.alias("about")).agg(F.min(F.struct(_weight(F.col("severity")).alias("rank"), "code", "severity")).alias("top"), F.collect_set("code").alias("codes"))
     return kept.select("subject", "top.code", "top.severity", F.array_sort(F.array_except("codes", F.array("top.code"))).alias("others"))
 
 
+def lifecycle(findings: DataFrame) -> DataFrame:
+    """Enriched findings with status: LEGACY for codes and fingerprints of former versions, MAINTENANCE for harmless references to rows that went or changed, EXPECTED for what a decision, group, refund,
+    source or synchronisation explains, else ACTIVE."""
+    code, harmless = F.col("code"), F.col("severity") == "INFO"
+    explained = code.rlike("REFUND|STALE_ACTIVE_SOURCE|DUPLICATE_PRESENT_BUT_MARKED_MISSING|IGNORED|TOMBSTONE|SYNC|DECISION|ASSIGNMENT_CONFLICT") | code.startswith("EXPECTED_")
+    status = (
+        F.when(code.isin("NEWER_TOMBSTONE_EXISTS", "LEGACY_FINGERPRINT_MATCH"), "LEGACY").when(harmless & code.isin("ORPHANED_SHEET_REFERENCE", "EDITED_SHEET_REFERENCE"), "MAINTENANCE").when(harmless & explained, "EXPECTED").otherwise("ACTIVE")
+    )
+    return findings.withColumn("status", status)
+
+
 def audit_summary(findings: DataFrame) -> DataFrame:
-    """Distinct subjects per severity and code."""
-    return findings.groupBy("severity", "code").agg(F.count_distinct("subject").alias("subjects"))
+    """One row of distinct root causes: critical, review, maintenance, legacy, informational, and attention (critical or review). findings: severity, status, role, root_cause; related ones don't count."""
+    n = lambda test: F.count_distinct(F.when(F.expr(test), F.col("root_cause")))
+    return findings.filter("role <> 'RELATED'").agg(
+        n("severity = 'CRITICAL'").alias("critical"), n("severity = 'REVIEW'").alias("review"), n("status = 'MAINTENANCE'").alias("maintenance"), n("status = 'LEGACY'").alias("legacy"), n("severity = 'INFO'").alias("informational"),
+        n("severity in ('CRITICAL', 'REVIEW')").alias("attention"),
+    )
+
+
+# Keys of technical details that say nothing of their matter.
+IMMATERIAL = r"(?i)^(?:timestamp|updatedAt|auditedAt|createdAt|position|index|order)$"
+
+
+def material(details: Column) -> Column:
+    """A text that is equal for details (a map of names to lists of texts) of the same matter: names in order, lists sorted, times and places left out."""
+    kept = F.map_filter(details, lambda k, v: ~k.rlike(IMMATERIAL) & v.isNotNull())
+    return F.to_json(F.transform(F.array_sort(F.map_entries(kept)), lambda e: F.struct(e["key"].alias("k"), F.array_sort(F.array_compact(e["value"])).alias("v"))))
+
+
+def _dismissal_key() -> Column:
+    return F.sha2(F.to_json(F.struct("code", "invariant", "subject", material(F.col("target")).alias("target"))), 256)
+
+
+def _band() -> Column:
+    """How much a finding touches: its declared impact, else more where the state isn't the one expected."""
+    declared = F.array_position(F.array(*map(F.lit, ("NONE", "LOW", "MEDIUM", "HIGH", "CRITICAL"))), F.upper(F.coalesce("impact", F.lit("")))).cast("int")
+    return F.when(declared > 0, declared - 1).when(F.col("current") != F.col("expected"), 2).otherwise(1)
+
+
+def signed(findings: DataFrame) -> DataFrame:
+    """Findings with key, by which a dismissal finds them again, and signature (cause, severity, band, evidence), by which it's seen whether they have become worse.
+
+    findings: code, severity, invariant, subject, root_cause, target and technical (maps of names to lists of texts), impact, current, expected, identity (quality of the identities), comparable. The key depends on code,
+    invariant, subject and target alone, however their parts are ordered; evidence is a set of classes.
+    """
+    has = lambda *names: F.exists(F.map_keys("technical"), lambda k: k.isin(list(names)))
+    tried = F.try_element_at("technical", F.lit("candidateEvaluations"))
+    evidence = F.array(
+        F.concat(F.lit("IDENTITY_"), F.coalesce("identity", F.lit("UNKNOWN"))), F.concat(F.lit("DECISION_"), has("decision", "validManualConfirmation", "decisionId").cast("string")), F.concat(F.lit("ROW_"), has("row", "sheet").cast("string")),
+        F.when(tried.isNull(), "CANDIDATE_EVIDENCE_UNKNOWN").when(F.size(tried) > 0, "CANDIDATES").otherwise("NO_CANDIDATES"), F.when(F.coalesce("comparable", F.lit(True)), "REVISION_COMPARABLE").otherwise("REVISION_UNCERTAIN"),
+    )
+    return findings.withColumn("key", _dismissal_key()).withColumn("signature", F.struct(F.col("root_cause").alias("cause"), (2 - _weight(F.col("severity"))).alias("severity"), _band().alias("band"), F.array_sort(evidence).alias("evidence")))
+
+
+def dismissed(findings: DataFrame, dismissals: DataFrame) -> DataFrame:
+    """signed() findings with `visible`. dismissals: key, severity, signature (null for those of former versions), dismissed_at; the last of a key counts.
+
+    A dismissal hides a finding until that is materially worse: graver, of another cause, of more impact, or with a class of evidence that wasn't there. Without a signature only the severity counts.
+    """
+    last = dismissals.groupBy("key").agg(F.max_by(F.struct((2 - _weight(F.col("severity"))).alias("severity"), "signature"), F.col("dismissed_at")).alias("then"))
+    both = findings.join(last, "key", "left")
+    now, then = F.col("signature"), F.col("then.signature")
+    worse = (now["severity"] > F.col("then.severity")) | (then.isNotNull() & ((now["cause"] != then["cause"]) | (now["severity"] > then["severity"]) | (now["band"] > then["band"]) | (F.size(F.array_except(now["evidence"], then["evidence"])) > 0)))
+    return both.withColumn("visible", F.col("then").isNull() | F.coalesce(worse, F.lit(True))).drop("then")
 
 
 def hidden(findings: DataFrame, dismissals: DataFrame) -> DataFrame:

@@ -9,9 +9,15 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import cut
+
+#: Byte ranges, of about 100 bytes each, up to which their table is broadcast.
+RANGES = 50_000
+
 
 def _field(delimiter: str) -> str:
     """A field: quoted, closed, with whatever follows up to the delimiter, or not starting with a quote."""
@@ -30,36 +36,79 @@ def physical_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("text"))
 
 
+def _composed(batches):
+    """One row for each byte range: its lines, and whether a field is open after it, from outside and from within."""
+    place, n, out, within = None, 0, False, True
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*place, n, out, within), (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()), strict=True)], names=["file", "block", "n", "o", "w"])
+    for batch in batches:
+        for file, block, o, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if place != (file, block):
+                if place:
+                    yield row()
+                place, n, out, within = (file, block), 0, False, True
+            n, out, within = n + 1, (w if out else o), (w if within else o)
+    if place:
+        yield row()
+
+
+def _pieces(batches):
+    """Records, and what a byte range holds of those that cross its ends: (file, line, text, begins, ends)."""
+    place, line, open_, held, first, begins = None, 0, False, [], 0, True
+
+    def put(ends):
+        out.append((place[0], first, "\n".join(held), begins, ends))
+        held.clear()
+
+    for batch in _and_end(batches):
+        out = []
+        for file, block, text, o, w, open_before, lines_before in zip(*(c.to_pylist() for c in batch.columns), strict=True) if batch is not None else ():
+            if place != (file, block):
+                if held:
+                    put(False)
+                place, line, open_ = (file, block), lines_before, open_before
+            line += 1
+            if not held:
+                first, begins = line, not open_
+            held.append(text)
+            open_ = w if open_ else o
+            if not open_:
+                put(True)
+        if batch is None and held:
+            put(False)
+        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], t) for n, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()))], names=["file", "line", "text", "begins", "ends"])
+
+
+def _and_end(batches):
+    yield from batches
+    yield None
+
+
 def records(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
     """(file, line, text): the records of all files under path, with the physical line on which each begins, from 1; line breaks within quotes stay, a carriage return at the end goes.
 
-    A quote that is never closed makes the rest of its file one record, as it does for any reader. Only records of several lines are gathered.
+    A quote that is never closed makes the rest of its file one record, as it does for any reader. Files are read twice, first for the states between the ranges; only pieces of records that cross the end of a
+    range are shuffled.
     """
     lines = physical_lines(spark, path)
+    # Whether a field is open after the line, from outside and from within. Equal answers set the state, others keep or swap it.
     lines = lines.withColumn("out", ~_closed(F.col("text"), delimiter)).withColumn("within", ~_closed(F.concat(F.lit('"'), F.col("text")), delimiter))
-    # out, within: whether a field is open after the line, from outside and from within. Equal answers set the state, others keep or swap it.
-    fixed, swap = F.col("out") == F.col("within"), (F.col("out") & ~F.col("within")).cast("int")
-    order = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    scanned = lines.withColumn("swaps", F.sum(swap).over(order)).withColumn("set", F.last(F.when(fixed, F.struct("out", "swaps")), ignorenulls=True).over(order)).withColumn("nth", F.row_number().over(Window.partitionBy("file", "block").orderBy("at")))
-    odd = lambda n: n % 2 == 1
-    #: The state after a line, for both states before its range.
-    after = lambda before: F.when(F.col("set").isNull(), before != odd(F.col("swaps"))).otherwise(F.col("set.out") != odd(F.col("swaps") - F.col("set.swaps")))
-    scanned = scanned.select("file", "block", "at", "nth", "text", after(F.lit(False)).alias("from_out"), after(F.lit(True)).alias("from_within"))
-    blocks = scanned.groupBy("file", "block").agg(F.count("*").alias("n"), F.max_by("from_out", "nth").alias("o"), F.max_by("from_within", "nth").alias("w"))
+    blocks = cut(lines.select("file", "block", "out", "within").mapInArrow(_composed, "file string, block long, n long, o boolean, w boolean"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    # The ranges of a file, a few thousand for a terabyte, are composed the same way.
+    odd = lambda n: n % 2 == 1
+    # The ranges of a file, a few thousand for a terabyte, are composed by the last one that sets the state and the swaps since.
     over = blocks.withColumn("s", (F.col("o") & ~F.col("w")).cast("int")).withColumn("swaps", F.coalesce(F.sum("s").over(earlier), F.lit(0)))
     own = over.withColumn("mark", F.when(F.col("o") == F.col("w"), F.struct("o", (F.col("swaps") + F.col("s")).alias("swaps")))).withColumn("set", F.last("mark", ignorenulls=True).over(earlier))
     start = F.when(F.col("set").isNull(), odd(F.col("swaps"))).otherwise(F.col("set.o") != odd(F.col("swaps") - F.col("set.swaps")))
-    starts = own.select("file", "block", start.alias("open_before"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("lines_before"))
-    told = scanned.join(starts, ["file", "block"]).withColumn("open_after", F.when(F.col("open_before"), F.col("from_within")).otherwise(F.col("from_out")))
-    per_block = Window.partitionBy("file", "block").orderBy("nth")
-    told = told.withColumn("open", F.coalesce(F.lag("open_after").over(per_block), F.col("open_before"))).withColumn("line", F.col("lines_before") + F.col("nth"))
-    whole = told.filter(~F.col("open") & ~F.col("open_after")).select("file", "line", "text")
-    # Lines of longer records: each belongs to the last line before it that begins a record.
-    parts = told.filter(F.col("open") | F.col("open_after")).select("file", "line", "text", F.when(~F.col("open"), F.col("line")).alias("head"))
-    begun = parts.withColumn("first", F.last("head", ignorenulls=True).over(Window.partitionBy("file").orderBy("line")))
-    joined = begun.groupBy("file", F.col("first").alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    starts = cut(own.select("file", "block", start.alias("open_before"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("lines_before")))
+    cols = ["file", "block", "text", "out", "within", "open_before", "lines_before"]
+    if starts.count() <= RANGES:  # rows stay in the order of the scan beside a broadcast table
+        dealt = lines.join(F.broadcast(starts), ["file", "block"]).select(cols)
+    else:
+        dealt = lines.join(starts, ["file", "block"]).repartition("file", "block").sortWithinPartitions("file", "block", "at").select(cols)
+    pieces = cut(dealt.mapInArrow(_pieces, "file string, line long, text string, begins boolean, ends boolean"))
+    whole = pieces.filter("begins and ends").select("file", "line", "text")
+    parts = pieces.filter("not (begins and ends)").withColumn("first", F.last(F.when(F.col("begins"), F.col("line")), ignorenulls=True).over(Window.partitionBy("file").orderBy("line")))
+    joined = parts.groupBy("file", F.col("first").alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
     return whole.unionByName(joined.select("file", "line", "text")).withColumn("text", F.regexp_replace("text", r"\r\z", ""))
 
 

@@ -152,7 +152,11 @@ def test_overlap_by_likeness(spark):
 
 def test_findings(spark):
     found = spark.createDataFrame([("A", "REVIEW", "s1", None), ("B", "CRITICAL", "s1", ["x", "y"]), ("A", "REVIEW", "s2", None)], "code string, severity string, subject string, related array<string>")
-    assert sorted((r.subject, r.code, r.others) for r in audit.collapse(found).collect()) == [("s1", "B", ["A"]), ("s2", "A", [])]
+    assert sorted((r.subject, r.code, r.others) for r in audit.collapse(found).collect()) == [("s1", "A", []), ("s1", "B", []), ("s2", "A", [])]
+    card = spark.createDataFrame([("EDITED_SHEET_REFERENCE", "INFO", "p"), ("DERIVED_STATE_MISMATCH", "REVIEW", "p"), ("DOUBLE_CLAIM", "CRITICAL", "p"), ("DOUBLE_CLAIM", "CRITICAL", "p")], "code string, severity string, subject string")
+    assert sorted((r.code, r.others) for r in audit.collapse(card).collect()) == [("DERIVED_STATE_MISMATCH", ["EDITED_SHEET_REFERENCE"]), ("DOUBLE_CLAIM", [])]
+    told = [("CRITICAL", "ACTIVE", "PRIMARY", "x"), ("CRITICAL", "ACTIVE", "PRIMARY", "x"), ("REVIEW", "ACTIVE", "PRIMARY", "x"), ("REVIEW", "ACTIVE", "RELATED", "y"), ("INFO", "LEGACY", "INFO", "z"), ("INFO", "MAINTENANCE", "INFO", "w")]
+    assert tuple(audit.audit_summary(spark.createDataFrame(told, "severity string, status string, role string, root_cause string")).first()) == (1, 1, 1, 1, 2, 1)
     hidden = spark.createDataFrame([("A", "s2", "REVIEW"), ("B", "s1", "REVIEW")], "code string, subject string, severity string")
     assert {(r.code, r.subject): r.visible for r in audit.hidden(found, hidden).collect()} == {("A", "s1"): True, ("B", "s1"): True, ("A", "s2"): False}
     rules = audit.invariants(found, {"ONE": ["A"], "TWO": ["Z"], "THREE": ["B"]}, skipped=("THREE",)).collect()
