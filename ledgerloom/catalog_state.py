@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .catalog_invoices import _GROUPS, _group_costs, _group_purchases
 from .catalog_matching import _ROWS, _solved
-from .operators import audit, claims, expected, overlap, refresh, views
+from .operators import audit, claims, expected, guard, overlap, refresh, views
+from .operators.matching import candidate_edges
 from .plans.demo import events, mixed_bank, mixed_ledger
 from .plans.shared import cut, shared_folder
 from .sources import records
@@ -151,7 +152,27 @@ def audit_dismissals(spark, sf_dir) -> DataFrame:
     return audit.dismissed(audit.signed(now), saved).select("k", "visible")
 
 
-QUERIES = {f.__name__: f for f in (audit_dismissals, refreshed_assignment, appended_rows, decision_stream, source_fold, card_expected_states, claim_conflicts, safe_invalidations, records_across_lines)}
+def bank_guard(spark, sf_dir) -> DataFrame:
+    """Every fourth bank row is about to be written; every 7th pair is refused, and every ledger row with an even number is held by the bank row of the next number."""
+    bank, ledger = mixed_bank(spark, sf_dir), mixed_ledger(spark, sf_dir)
+    k = F.col("id").cast("long")
+    pending = bank.filter(k % 4 == 0).select(F.col("id").alias("bank_id"))
+    edges = cut(candidate_edges(bank, ledger).select("bank_id", "sheet_id"))
+    rejected = edges.filter((F.col("bank_id").cast("long") + F.col("sheet_id").cast("long")) % 7 == 0)
+    taken = ledger.filter(k % 2 == 0).select(F.col("id").alias("sheet_id"), (k + 1).cast("string").alias("bank_id"))
+    return guard.bank_guard(pending, bank, ledger, rejected, taken).select("bank_id", "allowed", "candidates", "free")
+
+
+def invoice_guard(spark, sf_dir) -> DataFrame:
+    """The purchases of card_group_states whose line has an even number are about to be written; every 5th has its own row refused."""
+    purchases, costs = cut(_group_purchases(spark, sf_dir)), cut(_group_costs(spark, sf_dir))
+    line, order = F.split("id", "-")[1].cast("int"), F.split("id", "-")[0].cast("long")
+    pending = purchases.filter(line % 2 == 0).select(F.col("id").alias("purchase_id"))
+    rejected = purchases.filter((line + order) % 5 == 0).select(F.col("id").alias("purchase_id"), F.concat(F.lit("s"), "id").alias("sheet_id"))
+    return guard.invoice_guard(pending, purchases, purchases.select("statement", "due_date").distinct(), costs, rejected=rejected)
+
+
+QUERIES = {f.__name__: f for f in (audit_dismissals, bank_guard, invoice_guard, refreshed_assignment, appended_rows, decision_stream, source_fold, card_expected_states, claim_conflicts, safe_invalidations, records_across_lines)}
 
 _CLAIMS = """
     line AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS n, l_partkey AS p FROM lineitem),
@@ -160,6 +181,15 @@ _CLAIMS = """
     )"""
 
 ORACLE_SQL = {
+    "bank_guard": f"""WITH {_ROWS}, open_edges AS (SELECT * FROM edges WHERE (kb + ks) % 7 <> 0),
+        n AS (SELECT b, count(*) AS candidates, count(*) FILTER (ks % 2 = 1 OR ks + 1 = kb) AS free FROM open_edges GROUP BY b)
+        SELECT bank.b AS bank_id, n.b IS NULL AS allowed, coalesce(candidates, 0) AS candidates, coalesce(free, 0) AS free FROM bank LEFT JOIN n USING (b) WHERE k % 4 = 0""",
+    "invoice_guard": f"""WITH {_GROUPS}, x AS (SELECT *, id[-2:]::INTEGER AS line, (id[-2:]::INTEGER + o) % 5 = 0 AS refusing FROM p),
+        pairs AS (SELECT x.id, o, x.amount, sheet FROM x JOIN s USING (amount) WHERE NOT (refusing AND sheet = 's' || x.id)),
+        users AS (SELECT sheet, count(*) AS users FROM pairs GROUP BY 1), sets AS (SELECT id, list_sort(list(sheet)) AS rows, max(users) AS users FROM pairs JOIN users USING (sheet) GROUP BY 1),
+        base AS (SELECT x.*, coalesce(rows, []) AS rows, users, count(*) OVER same AS n, min(coalesce(rows, [])) OVER same = max(coalesce(rows, [])) OVER same AS alike FROM x LEFT JOIN sets USING (id) WINDOW same AS (PARTITION BY o, amount, text)),
+        told AS (SELECT *, CASE WHEN len(rows) > 1 AND n > 1 AND alike AND len(rows) = n AND users <= n THEN 'CARD_GROUP_MATCHED' WHEN len(rows) = 0 THEN 'CARD_MISSING' WHEN len(rows) = 1 AND users = 1 THEN 'CARD_MATCHED' ELSE 'CARD_REVIEW' END AS status FROM base)
+        SELECT id AS purchase_id, status = 'CARD_MISSING' AS allowed, status, len(rows)::BIGINT AS candidates FROM told WHERE line % 2 = 0""",
     "audit_dismissals": "SELECT o_orderkey AS k, o_orderkey % 4 = 3 OR o_orderkey % 5 > 1 OR o_orderkey % 5 = 1 AND o_orderkey % 3 < 2 AS visible FROM orders",
     "refreshed_assignment": f"""WITH RECURSIVE {_ROWS}, {_solved("edges")}
         SELECT best.c AS component, total::BIGINT AS total, b AS bank_id, s AS sheet_id, margin::INTEGER AS margin, ambiguous, matched

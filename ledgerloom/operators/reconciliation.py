@@ -140,8 +140,9 @@ def reconcile(bank: DataFrame, ledger: DataFrame, made: Decided | None = None, c
 
     # for every bank row: all candidates, the best free one and the best of another's
     ranked = F.struct((-F.col("score")).alias("minus"), "sheet_id", "score", "confidence", "days", "owner")
+    told = F.struct((-F.col("score")).alias("minus"), "sheet_id", "score", "confidence", "days", "owner", "reasons")
     free = ~F.coalesce("used", F.lit(False)) & F.col("owner").isNull()
-    options = seen.filter(open_).groupBy("bank_id").agg(F.array_sort(F.collect_list(ranked)).alias("all"), F.min(F.when(free, ranked)).alias("free"), F.min(F.when(~free, ranked)).alias("held"))
+    options = seen.filter(open_).groupBy("bank_id").agg(F.array_sort(F.collect_list(ranked)).alias("all"), F.min(F.when(free, told)).alias("free"), F.min(F.when(~free, told)).alias("held"))
     search = card_compositions(
         bills.join(composed.select(F.col("bank_id").alias("id")), "id", "left_anti").join(made.ignored.withColumnRenamed("bank_id", "id"), "id", "left_anti").join(made.identified.withColumnRenamed("bank_id", "id"), "id", "left_anti")
         .select(F.col("id").alias("bill_id"), F.lit("card").alias("account"), "date", "amount"),
@@ -154,7 +155,7 @@ def reconcile(bank: DataFrame, ledger: DataFrame, made: Decided | None = None, c
     mark = lambda df, name: df.select("bank_id", F.lit(True).alias(name)).distinct()
     rows = rows.join(mark(made.ignored, "ignored"), "bank_id", "left").join(mark(made.conflicting, "conflict"), "bank_id", "left").join(roles, "bank_id", "left").join(mark(made.identified, "identified"), "bank_id", "left")
     match = matches.select("bank_id", F.struct("sheet_id", "score", "confidence", "days", "method", "reasons").alias("m"))
-    plan = planned.filter("not matched").select("bank_id", F.struct("sheet_id", "score", "confidence", "days").alias("p"))
+    plan = planned.filter("not matched").select("bank_id", F.struct("sheet_id", "score", "confidence", "days", "reasons").alias("p"))
     rows = rows.join(match, "bank_id", "left").join(plan, "bank_id", "left").join(options, "bank_id", "left").join(composed, "bank_id", "left").join(states, "bank_id", "left")
     kind, said = F.col("type"), lambda status, reason=None, review=None: F.struct(F.lit(status).alias("status"), F.lit(reason).cast("string").alias("reason"), F.lit(review).cast("string").alias("review_reason"))
     verdict = (
@@ -170,10 +171,12 @@ def reconcile(bank: DataFrame, ledger: DataFrame, made: Decided | None = None, c
     takes = F.col("v.status").isin("MATCHED") & (kind != "CARD_PAYMENT") | (kind == "INVESTMENT") & (F.col("v.reason") == "OUT_OF_SCOPE_INVESTMENT")
     reviewed = (F.col("v.status") == "REVIEW") & F.coalesce(F.col("v.review_reason") == "ASSIGNMENT_CONFLICT", F.lit(True)) & F.col("conflict").isNull()
     pick = lambda field: F.when(takes, F.col(f"m.{field}")).when(reviewed, F.coalesce(F.col(f"p.{field}"), F.col(f"free.{field}"), F.col(f"held.{field}")))
+    reserved_for = F.when(F.col("held.owner").isNotNull(), F.array(F.concat(F.lit("Linha reservada na atribuição global para a movimentação "), F.col("held.owner")))).otherwise(F.array().cast("array<string>"))
+    reasons = F.when(takes, F.col("m.reasons")).when(reviewed, F.coalesce(F.col("p.reasons"), F.col("free.reasons"), F.concat(F.col("held.reasons"), reserved_for)))
     in_conflict = reviewed & (F.col("v.review_reason") == "ASSIGNMENT_CONFLICT")
     open_bill = (kind == "CARD_PAYMENT") & F.col("v.status").isin("MATCHED", "CARD_DIVERGENCE")
     items = rows.withColumn("v", verdict).select(
-        "bank_id", "v.status", "v.reason", "v.review_reason", pick("sheet_id").alias("sheet_id"), pick("score").alias("score"), pick("confidence").alias("confidence"), pick("days").alias("days"), F.when(takes, F.col("m.method")).alias("method"),
+        "bank_id", "v.status", "v.reason", "v.review_reason", pick("sheet_id").alias("sheet_id"), pick("score").alias("score"), pick("confidence").alias("confidence"), pick("days").alias("days"), F.when(takes, F.col("m.method")).alias("method"), reasons.alias("reasons"),
         F.when(in_conflict, F.col("held.owner")).alias("conflict_owner"), F.when(reviewed, F.transform("all", lambda c: F.struct(c.sheet_id.alias("sheet_id"), c.score.alias("score"), c.owner.alias("owner")))).alias("candidates"),
         F.when(F.col("v.status") == "MATCHED", F.col("sheet_ids")).alias("composition"),
         F.when(open_bill, F.when(F.col("sheet_ids").isNotNull(), "MATCHED").otherwise(F.coalesce("search", F.lit("NO_MATCH")))).alias("composition_status"),
