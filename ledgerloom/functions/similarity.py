@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 
+
+@lru_cache(maxsize=1 << 18)
 def _fit(a: str, b: str) -> float:
     if a == b:
         return 1.0
@@ -32,3 +35,52 @@ def similarity(a: str, b: str) -> float:
             free_left.discard(i)
             free_right.discard(j)
     return max(2 * total / (len(left) + len(right)), 0.92 * total / min(len(left), len(right)))
+
+
+#: Length of the pieces by which tokens that contain one another are found.
+PIECE = 5
+
+
+def alike(a: str, b: str, least: float) -> bool:
+    """Whether similarity(a, b) reaches `least`; decided by a bound where that suffices: no token can give more than its best partner."""
+    if a == b:
+        return bool(a) and least <= 1
+    left, right = sorted(([t for t in x.split(" ") if len(t) > 1] for x in (a, b)), key=len)
+    if not left:
+        return least <= 0
+    wanted = min(least * (len(left) + len(right)) / 2, least / 0.92 * len(left))
+    open_ = len(left)
+    for t in left:
+        # What the tokens so far fall short of the most that they could give.
+        open_ -= 1 - max(_fit(t, u) if len(t) <= len(u) else _fit(u, t) for u in right)
+        if open_ < wanted - 1e-9:
+            return False
+    return similarity(a, b) >= least
+
+
+def pieces(text: str) -> set[str]:
+    """Keys of which two texts share at least one if their similarity reaches 0.78.
+
+    The token scores of such texts average at least 0.78 over the text with fewer tokens, so some pair of tokens scores 0.8 or more: equal tokens, one of five letters and more within the other, and then with
+    all its pieces, or one of four letters at the start of the other.
+    """
+    tokens = {t for t in text.split(" ") if len(t) > 1}
+    return tokens | {t[i : i + PIECE] for t in tokens for i in range(len(t) - PIECE + 1)} | {f"^{t[:4]}" for t in tokens if len(t) > 3}
+
+
+class Anchors:
+    """The anchors of one key in their order, found by shared pieces."""
+
+    def __init__(self, least: float):
+        self._least, self._held, self._by_piece = least, [], {}
+
+    def place(self, text: str, name: str) -> str:
+        """The name of the first anchor that the text is like, or its own as a new anchor."""
+        own = pieces(text)
+        for n in sorted({n for p in own for n in self._by_piece.get(p, ())}):
+            if alike(self._held[n][0], text, self._least):
+                return self._held[n][1]
+        for p in own:
+            self._by_piece.setdefault(p, []).append(len(self._held))
+        self._held.append((text, name))
+        return name

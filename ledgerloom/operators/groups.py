@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import similarity
+from ..functions.similarity import Anchors
 from ..functions.text import normalize_description
 
 #: Limits of the composition search: candidates, items, visited nodes, solutions, days before the bill.
@@ -20,7 +20,7 @@ def duplicate_members(ledger: DataFrame) -> DataFrame:
     """Ledger rows that repeat each other: (id, row_idx, date, amount, anchor_id), anchors included.
 
     Rows of equal date and amount whose text is like an earlier row's, the anchor, belong to it; likeness counts to the anchor only and isn't transitive, and the first anchor in the order of
-    row_idx takes a row. Equal texts always share an anchor, so only distinct texts of keys with several of them reach Python, sorted and one at a time: a task holds the anchors of one key.
+    row_idx takes a row. Equal texts always share an anchor, so only distinct texts of keys with several of them reach Python, sorted and one at a time: a task holds the anchors of one key, and a text meets only those with which it shares a token or a piece of one.
     ledger: id, row_idx, date, amount, description.
     """
     rows = ledger.select("id", "row_idx", "date", "amount", normalize_description(F.coalesce("description", F.lit(""))).alias("said"))
@@ -30,17 +30,13 @@ def duplicate_members(ledger: DataFrame) -> DataFrame:
     kept = texts.join(several, key)
 
     def anchored(batches):
-        at, anchors = None, []
+        at, anchors = None, Anchors(ALIKE)
         for batch in batches:
             out = []
             for date, amount, said, anchor in zip(batch.date, batch.amount, batch.said, batch.anchor_id, strict=True):
                 if (date, amount) != at:
-                    at, anchors = (date, amount), []
-                found = next((a for a in anchors if similarity(a[0], said) >= ALIKE), None)
-                if found is None:
-                    found = (said, anchor)
-                    anchors.append(found)
-                out.append(found[1])
+                    at, anchors = (date, amount), Anchors(ALIKE)
+                out.append(anchors.place(said, anchor))
             yield batch[["date", "amount", "said"]].assign(anchor_id=out)
 
     many = kept.filter("texts > 1").select(*key, "said", F.col("first.id").alias("anchor_id"), F.col("first.row_idx").alias("place")).repartition(*key).sortWithinPartitions(*key, "place", "anchor_id").drop("place")

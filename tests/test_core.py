@@ -112,3 +112,23 @@ def test_empty_tables(spark):
     schema = "key string, updated_ts timestamp, state string"
     nothing = spark.createDataFrame([], schema)
     assert records.sync_merge(nothing, nothing).count() == 0 and records.audit_merge(nothing, nothing).count() == 0
+
+
+def test_anchors_by_pieces_equal_plain_search():
+    import random
+
+    from ledgerloom.functions.similarity import Anchors, alike, similarity
+
+    draw = random.Random(7)
+    stems = ["padaria", "padariacentral", "central", "mercado", "merc", "mercadinho", "posto", "pst", "farmacia", "farm", "ltda", "sul", "da", "x", "popular", "popul", "shell", "loja", "12", "1234", "nova"]
+    for _ in range(60):
+        texts = list(dict.fromkeys(" ".join(draw.choice(stems) for _ in range(draw.randint(1, 8))) for _ in range(40)))
+        plain, anchors = [], Anchors(0.78)
+        for n, text in enumerate(texts):
+            found = next((name for other, name in plain if similarity(other, text) >= 0.78), None)
+            if found is None:
+                plain.append((text, f"a{n}"))
+            assert anchors.place(text, f"a{n}") == (found or f"a{n}")
+        for a in texts[:12]:
+            for b in texts[:12]:
+                assert all(alike(a, b, least) == (similarity(a, b) >= least) for least in (0.3, 0.72, 0.78, 0.9))
