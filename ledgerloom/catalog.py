@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import catalog_invoices, catalog_matching, catalog_records, catalog_sources, catalog_state, catalog_views
+from . import catalog_invoices, catalog_matching, catalog_records, catalog_rules, catalog_sources, catalog_state, catalog_views
 from .functions import text
 from .operators import groups, matching, records
 from .plans.demo import bank_rows, events
@@ -162,6 +162,6 @@ ORACLE_SQL = {
     "duplicate_groups": """WITH g AS (SELECT CAST(l_shipdate AS DATE) AS date, CAST(l_quantity AS BIGINT) AS amount, l_partkey % 50 AS p, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1) SELECT date, amount, n, count(*) AS "groups" FROM g GROUP BY ALL""",
 }
 
-for _part in (catalog_matching, catalog_records, catalog_invoices, catalog_sources, catalog_views, catalog_state):
+for _part in (catalog_matching, catalog_records, catalog_invoices, catalog_sources, catalog_views, catalog_state, catalog_rules):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL

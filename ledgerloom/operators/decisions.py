@@ -134,9 +134,10 @@ def hydrate(decisions: DataFrame, bank: DataFrame, ledger: DataFrame, payments:
     valid = decisions.join(status(decisions, bank, ledger).filter("status = 'VALID'").select("key").distinct(), "key", "left_semi")
     named = resolve(valid, bank, ledger)
     pairs = confirmed_pairs(decisions, bank, ledger)
-    place = F.xxhash64("bank_id", "sheet_id")
     added = named.filter("kind = 'MISSING_ADDED_TO_SHEET'").select("bank_id", "sheet_id").join(pairs.select("bank_id"), "bank_id", "left_anti")
-    confirmed = pairs.filter("not conflicting").select("bank_id", "sheet_id").unionByName(added).withColumn("place", place)
+    # The earliest decision comes first.
+    since = named.filter("kind in ('PAIR_CONFIRMED', 'MISSING_ADDED_TO_SHEET')").groupBy("bank_id", "sheet_id").agg(F.min(F.unix_millis(F.try_to_timestamp("updated_at"))).alias("place"))
+    confirmed = pairs.filter("not conflicting").select("bank_id", "sheet_id").unionByName(added).distinct().join(since, ["bank_id", "sheet_id"], "left")
     composed = decisions.filter((F.col("kind") == "COMPOSITION_CONFIRMED") & is_valid()).select(F.get("identities", F.lit(0)).alias("identity"), F.col("selected").alias("identities")).join(identified(bank), "identity").select(F.col("id").alias("bank_id"), "identities")
     tables = {
         "ignored": named.filter("kind = 'BANK_IGNORED'").select("bank_id"), "rejected": named.filter("kind = 'PAIR_REJECTED'").select("bank_id", "sheet_id", F.col("key").alias("decision_key")), "confirmed": confirmed,
@@ -201,7 +202,7 @@ def live_pairs(pairs: DataFrame, bank: DataFrame, ledger: DataFrame) -> DataFram
 
 
 def replace(decisions: DataFrame, new: DataFrame) -> DataFrame:
-    """Decisions after new pair decisions: an older opposite of the same pair, and any older confirmation of the same bank row, go."""
+    """Decisions after new pair decisions: those of the same key and an older opposite of the same pair go."""
     pair = F.when(F.col("kind") == "PAIR_REJECTED", F.col("identities")).when(F.col("kind") == "PAIR_CONFIRMED", F.concat("identities", "selected"))
     fresh = new.withColumn("pair", pair)
     old = decisions.withColumn("pair", pair).join(fresh.select("key"), "key", "left_anti").join(fresh.filter("pair is not null").select("pair"), "pair", "left_anti")

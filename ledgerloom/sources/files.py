@@ -49,7 +49,7 @@ def statement_format(content: Column) -> Column:
     """OFX for a text with an envelope and movements, EMPTY for a blank one, else DELIMITED."""
     bare = F.regexp_replace(content, "^\ufeff", "")
     envelope = bare.rlike(r"(?i)<OFX(?:\s|>)|<BANKMSGSRSV1>|(?:^|\r?\n)OFXHEADER\s*:")
-    return F.when(F.trim(F.coalesce(bare, F.lit(""))) == "", "EMPTY").when(envelope & bare.rlike("(?i)<STMTTRN>"), "OFX").otherwise("DELIMITED")
+    return F.when(~F.coalesce(bare, F.lit("")).rlike(r"\S"), "EMPTY").when(envelope & bare.rlike("(?i)<STMTTRN>"), "OFX").otherwise("DELIMITED")
 
 
 def dispatch(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
