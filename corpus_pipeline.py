@@ -18,31 +18,32 @@ from ledgerloom.llm.queries import PIECES
 from ledgerloom.llm.toxicity import fit, mild_rows
 from ledgerloom.llm.unigram import encode
 
-KEY = "_row_key"
 
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a number for every row that is the same at every use: the hash of its file plus its place there, or a written number where docs don't come from files.
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for every row that is the same at every use, and the free name of its column: the hash of its file plus its place there, or a written number where docs don't come from files.
 
     Two files of a table clash only if their 64-bit hashes lie closer together than a file has rows.
     """
+    key = "_row_key"
+    while key.lower() in {c.lower() for c in docs.columns}:
+        key += "_"
     try:
-        keyed = docs.select("*", (F.shiftright(F.xxhash64(F.col("_metadata.file_path")), 1) + F.col("_metadata.row_index")).alias(KEY))
+        keyed = docs.select("*", (F.shiftright(F.xxhash64(F.col("_metadata.file_path")), 1) + F.col("_metadata.row_index")).alias(key))
         keyed.schema
     except AnalysisException:
-        return Scratch(docs.sparkSession).keep(docs.withColumn(KEY, F.monotonically_increasing_id()))
-    return keyed
+        return Scratch(docs.sparkSession).keep(docs.withColumn(key, F.monotonically_increasing_id())), key
+    return keyed, key
 
 
-def _one_of_each(docs: DataFrame, groups: DataFrame, largest: bool) -> DataFrame:
-    """docs without those rows of a group (KEY, same) that aren't its first by id; a row with a null id is first only where its group holds no id."""
+def _one_of_each(docs: DataFrame, key: str, groups: DataFrame, largest: bool) -> DataFrame:
+    """docs without those rows of a group (key, same) that aren't its first by id; a row with a null id is first only where its group holds no id."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     several = groups.join(groups.groupBy("same").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "same")
-    named = scratch.keep(several.join(docs.select(KEY, F.col("doc_id").cast("long").alias("id")), KEY))
-    first = F.max(F.struct("id", KEY)) if largest else F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", KEY))
-    gone = scratch.keep(named.join(named.groupBy("same").agg(first.alias("first")).select(F.col(f"first.{KEY}").alias(KEY)), KEY, "left_anti").select(KEY))
-    return docs.join(gone, KEY, "left_anti").drop(KEY)
+    named = scratch.keep(several.join(docs.select(key, F.col("doc_id").cast("long").alias("id")), key))
+    first = F.max(F.struct("id", key)) if largest else F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", key))
+    gone = scratch.keep(named.join(named.groupBy("same").agg(first.alias("first")).select(F.col(f"first.{key}").alias(key)), key, "left_anti").select(key))
+    return docs.join(gone, key, "left_anti").drop(key)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,14 +53,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of byte-identical texts, null and empty ones being equal, the row with the largest id; of repeated rows one."""
-    docs = _keyed(docs)
-    return _one_of_each(docs, exact_duplicates(docs, KEY).filter("group_size > 1").select(KEY, F.col("keep_id").alias("same")), largest=True)
+    docs, key = _keyed(docs)
+    return _one_of_each(docs, key, exact_duplicates(docs, key).filter("group_size > 1").select(key, F.col("keep_id").alias("same")), largest=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the row with the smallest id; texts without words stay."""
-    docs = _keyed(docs)
-    return _one_of_each(docs, near_duplicates(docs, KEY).filter("n_shingles > 0").select(KEY, F.col("component_id").alias("same")), largest=False)
+    docs, key = _keyed(docs)
+    return _one_of_each(docs, key, near_duplicates(docs, key).filter("n_shingles > 0").select(key, F.col("component_id").alias("same")), largest=False)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

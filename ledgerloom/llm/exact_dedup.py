@@ -129,7 +129,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     parts = source.select("fp").mapInArrow(_build(block_bits), FILTER)
     routed = cut(parts.groupBy("block").applyInPandas(_merge(block_bits), "fp long, seen long").withColumn("parts", F.ceil(F.col("seen") / PART)))
     large = routed.filter("parts > 1").select("fp", F.col("parts").alias("of"))
-    salted = source.join(large, "fp", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("of", F.lit(1)))).drop("of")
+    # By row, so that copies without an id, or with one id, are dealt out as well; any part finds its group.
+    salted = source.join(large, "fp", "left").withColumn("salt", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.coalesce("of", F.lit(1)))).drop("of")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt")
     compared = salted.join(routed.select("fp", every), ["fp", "salt"], "left_semi").groupBy("fp", "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = cut(compared.filter("group_size > 1").select("fp", F.sha2("text", 256).alias("sha"), "keep_id", "group_size"))

@@ -277,3 +277,15 @@ def test_broken_markup_takes_linear_time(page):
     began = time.process_time()
     main_text(page)
     assert time.process_time() - began < 8
+
+
+def test_pipeline_stages_with_a_column_of_the_key_s_name(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(1, "one text here", "a"), (2, "one text here", "b"), (None, "one text here", "c"), (3, "another text", "d"), (None, None, "e"), (None, None, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row_key string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    for given in (docs, spark.read.parquet(str(tmp_path / "docs"))):
+        out = corpus_pipeline.drop_exact_copies(spark, given, "")
+        got = sorted((tuple(r) for r in out.collect()), key=str)
+        assert out.columns == given.columns and got[:2] == [(2, "one text here", "b"), (3, "another text", "d")] and len(got) == 3 and got[2][2] in "ef"
