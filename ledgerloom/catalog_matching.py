@@ -18,18 +18,7 @@ def assignment(spark, sf_dir):
     return found.filter("margin > 0").select("bank_id", "sheet_id", "score", "days", "margin", "ambiguous", "matched")
 
 
-#: Reconciliations of this process by application and folder; several queries read the kept tables of one.
-_DONE: dict = {}
-
-
 def _reconciled(spark, sf_dir):
-    place = spark.sparkContext.applicationId, sf_dir
-    if place not in _DONE:
-        _DONE[place] = _reconcile(spark, sf_dir)
-    return _DONE[place]
-
-
-def _reconcile(spark, sf_dir):
     """Decisions by the row's number: every 13th bank row ignored, every 7th pair refused, every 11th bank row confirmed with its first plausible ledger row."""
     bank, ledger = mixed_bank(spark, sf_dir), mixed_ledger(spark, sf_dir)
     edges = matching.candidate_edges(bank, ledger).select("bank_id", "sheet_id")
