@@ -23,10 +23,10 @@ ROW_BLOCK, ANCHOR_BLOCK, CHUNK = 4096, 256, 32
 #: Stands for a null id inside tiles; it's the last in the order of ids.
 NO_ID = 2**63 - 1
 
-BLOCK = "block long, chunk int, is_first long, is_parts long, ids binary, labels binary, places binary, data binary"
-TILE = "i long, j long, chunk int, tile binary, anchor_ids binary, anchor_labels binary, ids binary, labels binary, places binary, wanted array<struct<row:int,rank:int,id:long,score:long>>"
-POSITIVE = "i long, row int, anchor_id long, id long, place long, score long"
-NEGATIVE = "i long, row int, anchor_id long, rank int, positive_id long, positive_score long, id long, place long, score long"
+BLOCK = "block long, chunk int, is_first long, is_parts long, n int, ids binary, labels binary, data binary"
+TILE = "i long, j long, chunk int, tile binary, rows int, columns int, anchor_ids binary, anchor_labels binary, ids binary, labels binary, wanted array<struct<row:int,rank:int,id:long,score:long>>"
+POSITIVE = "i long, row int, anchor_id long, id long, score long"
+NEGATIVE = "i long, row int, anchor_id long, rank int, positive_id long, positive_score long, id long, score long"
 
 
 def _schema(text: str) -> pa.Schema:
@@ -39,7 +39,7 @@ def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _pack(chunk: int):
-    """Rows of one block to one row per chunk of dimensions; shorter vectors are filled up with zeros."""
+    """Rows of one block to one row per chunk of dimensions; shorter vectors are filled up with zeros. Ids and labels stand with the first chunk."""
     schema = _schema(BLOCK)
 
     def run(rows: pa.Table) -> pa.Table:
@@ -51,9 +51,9 @@ def _pack(chunk: int):
         width = max(1, math.ceil(lengths.max(initial=0) / chunk)) * chunk
         matrix = np.zeros((n, width), np.int64)
         matrix[np.arange(width)[None, :] < lengths[:, None]] = values
-        meta = [np.asarray(rows.column(c)).astype(np.int64).tobytes() for c in ("id", "label", "place")]
+        meta = [narrow(np.asarray(rows.column(c)).astype(np.int64)).tobytes() for c in ("id", "label")]
         head = [rows.column(c)[0].as_py() for c in ("block", "is_first", "is_parts")]
-        out = [(head[0], k, *head[1:], *meta, narrow(matrix[:, k * chunk : (k + 1) * chunk]).tobytes()) for k in range(width // chunk)]
+        out = [(head[0], k, *head[1:], n, *(meta if k == 0 else (None, None)), narrow(matrix[:, k * chunk : (k + 1) * chunk]).tobytes()) for k in range(width // chunk)]
         return pa.Table.from_batches([_batch(schema, out)])
 
     return run
@@ -65,13 +65,12 @@ def _multiply(chunk: int):
             names = batch.schema.names
             for r in range(batch.num_rows):
                 at = lambda c, r=r, batch=batch: batch.column(c)[r].as_py()
-                a, b = ((widened(at(c), (len(at(m)) // 8, chunk))) for c, m in (("anchor_data", "anchor_ids"), ("data", "ids")))
-                first = at("chunk") == 0  # what names the rows of a tile travels with one chunk
-                keep = {c: [at(c) if first else None] for c in ("anchor_ids", "anchor_labels", "ids", "labels", "places")}
-                wanted = batch.column("wanted").slice(r, 1) if "wanted" in names and first else pa.nulls(1, _WANTED)
-                cols = [[at("i")], [at("j")], [at("chunk")], [narrow(product(a, b)).tobytes()], *keep.values()]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 6]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), wanted.cast(_WANTED)], names=[c.split()[0] for c in TILE.split(", ")[:9]] + ["wanted"])
+                shape = at("anchor_n"), at("n")
+                a, b = widened(at("anchor_data"), (shape[0], chunk)), widened(at("data"), (shape[1], chunk))
+                wanted = batch.column("wanted").slice(r, 1) if "wanted" in names and at("chunk") == 0 else pa.nulls(1, _WANTED)
+                meta = [batch.column(c).slice(r, 1) for c in ("anchor_ids", "anchor_labels", "ids", "labels")]  # what names the rows of a tile travels with one chunk
+                head = [pa.array([x], t) for x, t in zip((at("i"), at("j"), at("chunk"), narrow(product(a, b)).tobytes(), *shape), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*head, *meta, wanted.cast(_WANTED)], names=[c.split()[0] for c in TILE.split(", ")[:10]] + ["wanted"])
 
     return run
 
@@ -80,19 +79,20 @@ _WANTED = pa.list_(pa.struct([("row", pa.int32()), ("rank", pa.int32()), ("id",
 
 
 def _summed(parts: pa.Table) -> tuple:
-    """(block of anchors, anchor ids, anchor labels, ids, labels, places, scores, wanted) of one tile: the sum of its partial tiles."""
+    """(block of anchors, anchor ids, anchor labels, ids, labels, scores, wanted) of one tile: the sum of its partial tiles."""
     chunks = parts.column("chunk").to_pylist()
     head = chunks.index(0)
-    longs = [np.frombuffer(parts.column(c)[head].as_py(), np.int64) for c in ("anchor_ids", "anchor_labels", "ids", "labels", "places")]
-    shape = (len(longs[0]), len(longs[2]))
+    shape = parts.column("rows")[0].as_py(), parts.column("columns")[0].as_py()
+    longs = [widened(parts.column(c)[head].as_py(), (n, 1))[:, 0] for c, n in zip(("anchor_ids", "anchor_labels", "ids", "labels"), (shape[0], shape[0], shape[1], shape[1]), strict=True)]
     scores = np.zeros(shape, np.int64)
     for tile in parts.column("tile"):
         scores += widened(tile.as_py(), shape)
     return parts.column("i")[0].as_py(), *longs, scores, parts.column("wanted")[head]
 
 
-def _ordered(scores: np.ndarray, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
-    return np.lexsort((places, ids, -scores))
+def _ordered(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Rows of one id and score are the same to all that follows, so their order doesn't matter."""
+    return np.lexsort((ids, -scores))
 
 
 def _positives(most: int):
@@ -100,7 +100,7 @@ def _positives(most: int):
     schema = _schema(POSITIVE)
 
     def run(parts: pa.Table) -> pa.Table:
-        i, anchors, anchor_labels, ids, labels, places, scores, _ = _summed(parts)
+        i, anchors, anchor_labels, ids, labels, scores, _ = _summed(parts)
         out = []
         for row, (own, label) in enumerate(zip(anchors, anchor_labels, strict=True)):
             at = np.flatnonzero((labels == label) & (ids != own))
@@ -108,8 +108,8 @@ def _positives(most: int):
             if len(at) > most:
                 near = s >= np.partition(s, -most)[-most]
                 at, s = at[near], s[near]
-            for x in at[_ordered(s, ids[at], places[at])[:most]]:
-                out.append((i, row, own, ids[x], places[x], scores[row, x]))
+            for x in at[_ordered(s, ids[at])[:most]]:
+                out.append((i, row, own, ids[x], scores[row, x]))
         return pa.Table.from_batches([_batch(schema, out)])
 
     return run
@@ -120,7 +120,7 @@ def _negatives(most: int, low: int, high: int):
     schema = _schema(NEGATIVE)
 
     def run(parts: pa.Table) -> pa.Table:
-        i, anchors, anchor_labels, ids, labels, places, scores, wanted = _summed(parts)
+        i, anchors, anchor_labels, ids, labels, scores, wanted = _summed(parts)
         windows: dict[int, list] = {}
         for w in wanted.as_py() or []:
             windows.setdefault(w["row"], []).append((w["rank"], w["id"], w["score"], -(-low * w["score"] // 100), high * w["score"] // 100))
@@ -128,12 +128,12 @@ def _negatives(most: int, low: int, high: int):
         for row, each in windows.items():
             s = scores[row]
             at = np.flatnonzero((s >= min(w[3] for w in each)) & (s <= max(w[4] for w in each)) & (labels != anchor_labels[row]) & (ids != anchors[row]))
-            at = at[_ordered(s[at], ids[at], places[at])]
+            at = at[_ordered(s[at], ids[at])]
             falling = -s[at]
             for rank, pid, score, least, top in each:
                 begin, end = np.searchsorted(falling, -top, "left"), np.searchsorted(falling, -least, "right")
                 for x in at[begin : min(begin + most, end)]:
-                    out.append((i, row, anchors[row], rank, pid, score, ids[x], places[x], s[x]))
+                    out.append((i, row, anchors[row], rank, pid, score, ids[x], s[x]))
         return pa.Table.from_batches([_batch(schema, out)])
 
     return run
@@ -167,13 +167,13 @@ def hard_negatives(
 
     def blocks(of: DataFrame, first: str, parts: str, other_first: str, other_parts: str) -> DataFrame:
         """Packed blocks; is_first and is_parts name the other side's blocks of the same bucket."""
-        named = of.select((F.col(first) + F.pmod(F.xxhash64("place"), F.col(parts))).cast("long").alias("block"), F.col(other_first).alias("is_first"), F.col(other_parts).alias("is_parts"), "id", "label", "place", "q")
+        named = of.select((F.col(first) + F.pmod(F.xxhash64("place"), F.col(parts))).cast("long").alias("block"), F.col(other_first).alias("is_first"), F.col(other_parts).alias("is_parts"), "id", "label", "q")
         return scratch.keep(named.groupBy("block").applyInArrow(_pack(chunk), BLOCK))
 
     row_blocks = blocks(with_sizes, "parts_first", "parts", "anchor_parts_first", "anchor_parts")
     anchor_blocks = blocks(with_sizes.filter("anchor"), "anchor_parts_first", "anchor_parts", "parts_first", "parts")
-    left = anchor_blocks.select(F.col("block").alias("i"), "chunk", "is_first", "is_parts", F.col("ids").alias("anchor_ids"), F.col("labels").alias("anchor_labels"), F.col("data").alias("anchor_data"))
-    right = row_blocks.select(F.col("block").alias("j"), "chunk", "is_first", "is_parts", "ids", "labels", "places", "data")
+    left = anchor_blocks.select(F.col("block").alias("i"), "chunk", "is_first", "is_parts", F.col("n").alias("anchor_n"), F.col("ids").alias("anchor_ids"), F.col("labels").alias("anchor_labels"), F.col("data").alias("anchor_data"))
+    right = row_blocks.select(F.col("block").alias("j"), "chunk", "is_first", "is_parts", "n", "ids", "labels", "data")
 
     def tiles(a: DataFrame, b: DataFrame, js, is_) -> DataFrame:
         """Partial tiles: anchor blocks copied to their tiles' columns, row blocks to their rows."""
@@ -182,14 +182,14 @@ def hard_negatives(
         return a.join(b, ["i", "j", "chunk"]).mapInArrow(_multiply(chunk), TILE)
 
     own = F.sequence("is_first", F.col("is_first") + F.col("is_parts") - 1)
-    best = Window.partitionBy("i", "row").orderBy(F.desc("score"), "id", "place")
+    best = Window.partitionBy("i", "row").orderBy(F.desc("score"), "id")
     found = tiles(left, right, own, own).groupBy("i", "j").applyInArrow(_positives(positives), POSITIVE)
     found = scratch.keep(found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= positives))
     wanted = found.groupBy("i").agg(F.collect_list(F.struct("row", "rank", "id", "score")).alias("wanted"))
     every_i, every_j = (F.sequence(F.lit(0).cast("long"), F.lit(max((n or 0) - 1, 0)).cast("long")) for n in (total[1], total[0]))
     everywhere = right.withColumn("is_parts", F.lit(1 if total[1] else 0))
     told = tiles(left.join(wanted, "i"), everywhere, every_j, every_i).groupBy("i", "j").applyInArrow(_negatives(negatives, low, high), NEGATIVE)
-    best = Window.partitionBy("i", "row", "rank").orderBy(F.desc("score"), "id", "place")
+    best = Window.partitionBy("i", "row", "rank").orderBy(F.desc("score"), "id")
     told = told.withColumn("place_in", F.row_number().over(best)).filter(F.col("place_in") <= negatives)
     id_of = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     out = cut(told.select("anchor_id", id_of("positive_id").alias("positive_id"), F.col("place_in").alias("rank"), id_of("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")))
