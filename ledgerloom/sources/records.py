@@ -107,7 +107,10 @@ def records(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
         dealt = lines.join(starts, ["file", "block"]).repartition("file", "block").sortWithinPartitions("file", "block", "at").select(cols)
     pieces = cut(dealt.mapInArrow(_pieces, "file string, line long, text string, begins boolean, ends boolean"))
     whole = pieces.filter("begins and ends").select("file", "line", "text")
-    parts = pieces.filter("not (begins and ends)").withColumn("first", F.last(F.when(F.col("begins"), F.col("line")), ignorenulls=True).over(Window.partitionBy("file").orderBy("line")))
+    parts = pieces.filter("not (begins and ends)")
+    # The record of a piece is found without its text: a file has at most two pieces for each of its ranges.
+    heads = parts.select("file", "line", F.last(F.when(F.col("begins"), F.col("line")), ignorenulls=True).over(Window.partitionBy("file").orderBy("line")).alias("first"))
+    parts = parts.join(cut(heads), ["file", "line"])
     joined = parts.groupBy("file", F.col("first").alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
     return whole.unionByName(joined.select("file", "line", "text")).withColumn("text", F.regexp_replace("text", r"\r\z", ""))
 
@@ -130,7 +133,8 @@ def read_table(spark: SparkSession, path: str, delimiter: str = ",") -> DataFram
     """
     rows = records(spark, path, delimiter).withColumn("text", F.when(F.col("line") == 1, F.regexp_replace("text", "\\A\ufeff", "")).otherwise(F.col("text"))).filter(F.trim("text") != "")
     header = rows.groupBy("file").agg(F.min_by("text", "line").alias("head"), F.min("line").alias("head_line"))
-    header = header.select("file", "head_line", F.transform(fields(F.col("head"), delimiter), lambda name: F.trim(name)).alias("names"))
+    # One row per file; written, so that its size is known and records stay where they are as long as it's small.
+    header = cut(header.select("file", "head_line", F.transform(fields(F.col("head"), delimiter), lambda name: F.trim(name)).alias("names")))
     body = rows.join(header, "file").filter(F.col("line") > F.col("head_line")).withColumn("cells", fields(F.col("text"), delimiter))
     named = F.filter(F.transform(F.slice("cells", 1, F.size("names")), lambda v, i: F.struct(F.get("names", i).alias("key"), v.alias("value"))), lambda e: e["key"] != "")
     last = F.aggregate(named, F.lit(None).cast("map<string,string>"), lambda m, e: F.when(m.isNull(), F.create_map(e["key"], e["value"])).otherwise(F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.create_map(e["key"], e["value"]))))
