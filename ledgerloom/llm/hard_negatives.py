@@ -39,7 +39,7 @@ def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _pack(chunk: int):
-    """Rows of one block to one row per chunk of dimensions; shorter vectors are filled up with zeros. Ids and labels stand with the first chunk."""
+    """Rows of one block to one row per chunk of dimensions; shorter vectors are filled up with zeros."""
     schema = _schema(BLOCK)
 
     def run(rows: pa.Table) -> pa.Table:
@@ -53,7 +53,7 @@ def _pack(chunk: int):
         matrix[np.arange(width)[None, :] < lengths[:, None]] = values
         meta = [narrow(np.asarray(rows.column(c)).astype(np.int64)).tobytes() for c in ("id", "label")]
         head = [rows.column(c)[0].as_py() for c in ("block", "is_first", "is_parts")]
-        out = [(head[0], k, *head[1:], n, *(meta if k == 0 else (None, None)), narrow(matrix[:, k * chunk : (k + 1) * chunk]).tobytes()) for k in range(width // chunk)]
+        out = [(head[0], k, *head[1:], n, *meta, narrow(matrix[:, k * chunk : (k + 1) * chunk]).tobytes()) for k in range(width // chunk)]
         return pa.Table.from_batches([_batch(schema, out)])
 
     return run
@@ -68,8 +68,12 @@ def _multiply(chunk: int):
                 shape = at("anchor_n"), at("n")
                 a, b = widened(at("anchor_data"), (shape[0], chunk)), widened(at("data"), (shape[1], chunk))
                 wanted = batch.column("wanted").slice(r, 1) if "wanted" in names and at("chunk") == 0 else pa.nulls(1, _WANTED)
-                meta = [batch.column(c).slice(r, 1) for c in ("anchor_ids", "anchor_labels", "ids", "labels")]  # what names the rows of a tile travels with one chunk
-                head = [pa.array([x], t) for x, t in zip((at("i"), at("j"), at("chunk"), narrow(product(a, b)).tobytes(), *shape), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32()), strict=True)]
+                # What names the rows of a tile travels with one chunk.
+                meta = [batch.column(c).slice(r, 1) if at("chunk") == 0 else pa.nulls(1, pa.binary()) for c in ("anchor_ids", "anchor_labels", "ids", "labels")]
+                scores = product(a, b)
+                # A row's product with itself is the largest by far and counts for nothing; without it a tile fits a narrower type.
+                scores[widened(at("anchor_ids"), (shape[0], 1)) == widened(at("ids"), (shape[1], 1)).T] = 0
+                head = [pa.array([x], t) for x, t in zip((at("i"), at("j"), at("chunk"), narrow(scores).tobytes(), *shape), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*head, *meta, wanted.cast(_WANTED)], names=[c.split()[0] for c in TILE.split(", ")[:10]] + ["wanted"])
 
     return run
