@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_generic, is_pix_payment, normalize_description, normalized_similarity
 from ..plans.shared import cut
+from . import solver
 from .links import components
 
 
@@ -111,86 +112,6 @@ def candidate_edges(bank: DataFrame, ledger: DataFrame, config: MatchConfig = CO
     ).filter(F.col("score") >= config.least)
 
 
-def _optimum(weights: np.ndarray):
-    """The optimal assignment of rows to columns with one free column per row: (costs, row and column potentials, row of each column or -1)."""
-    n, m = weights.shape
-    top = max(float(weights.max()) if weights.size else 0.0, 0.0)
-    cost = np.hstack([top - np.where(weights > 0, weights, 0.0), np.full((n, n), top)])
-    u, v, owner = np.zeros(n), np.zeros(m + n), np.full(m + n, -1)
-    for row in range(n):
-        reach, came, seen = np.full(m + n, np.inf), np.full(m + n, -1), np.zeros(m + n, bool)
-        at, column, base = row, -1, 0.0
-        while True:
-            step = base + cost[at] - u[at] - v
-            closer = ~seen & (step < reach)
-            reach[closer], came[closer] = step[closer], column
-            column = int(np.where(seen, np.inf, reach).argmin())
-            base, seen[column] = reach[column], True
-            if owner[column] < 0:
-                break
-            at = owner[column]
-        u[row] += base
-        for j in np.flatnonzero(seen):
-            if j != column and owner[j] >= 0:
-                u[owner[j]] += base - reach[j]
-            v[j] -= base - reach[j]
-        while column >= 0:
-            before = came[column]
-            owner[column] = row if before < 0 else owner[before]
-            column = before
-    return cost, u, v, owner
-
-
-def _chosen(weights: np.ndarray, owner: np.ndarray) -> list[int]:
-    chosen = [-1] * len(weights)
-    for j in range(weights.shape[1]):
-        if owner[j] >= 0 and weights[owner[j], j] > 0:
-            chosen[owner[j]] = j
-    return chosen
-
-
-def solve(weights: np.ndarray) -> tuple[float, list[int]]:
-    """Largest total weight of a one-to-one assignment in which rows may stay free: (total, column of each row or -1).
-
-    Shortest augmenting paths over costs max - weight, with one free column of weight zero per row; of equal optima the one that favours earlier rows.
-    """
-    chosen = _chosen(weights, _optimum(weights)[3])
-    return float(sum(weights[i, j] for i, j in enumerate(chosen) if j >= 0)), chosen
-
-
-def solve_with_margins(weights: np.ndarray) -> tuple[list[int], list[float]]:
-    """The column of each row as in solve(), and how much total weight the best assignment without that pair loses.
-
-    A best assignment without a pair differs from the optimum by one alternating cycle through it: a shortest path from the pair's row back to its column over reduced costs. Columns that no row owns
-    count as owned by a spare row that takes any column at no cost.
-    """
-    cost, u, v, owner = _optimum(weights)
-    chosen, top = _chosen(weights, owner), cost[0, -1] if cost.size else 0.0
-    reduced = cost - u[:, None] - v[None, :]
-    spare, margins = -v, [0.0] * len(chosen)
-    free = owner < 0
-    for i, j in enumerate(chosen):
-        if j < 0:
-            continue
-        reach, done = reduced[i].copy(), np.zeros(len(v), bool)
-        reach[j] = top - u[i] - v[j]
-        used_spare = False
-        while True:
-            column = int(np.where(done, np.inf, reach).argmin())
-            if column == j:
-                break
-            done[column] = True
-            if free[column]:
-                if used_spare:
-                    continue
-                step, used_spare = spare, True
-            else:
-                step = reduced[owner[column]]
-            reach = np.where(done, reach, np.minimum(reach, reach[column] + step))
-        margins[i] = float(reach[j] + u[i] + v[j] - cost[i, j])
-    return chosen, margins
-
-
 ASSIGNED = "bank_id string, sheet_id string, amount long, score int, confidence int, days int, margin int, ambiguous boolean, structural string, matched boolean"
 _EDGE = ["bank_id", "sheet_id", "amount", "score", "confidence", "days", "bank_type", "direction_known", "pix_bank", "paid"]
 
@@ -199,29 +120,27 @@ def assign_component(edges: pd.DataFrame, config: MatchConfig = CONFIG) -> list[
     """Best assignment of the edges of one component, with each pair's margin over the best one without it, as rows of ASSIGNED."""
     banks, sheets = np.unique(edges.bank_id), np.unique(edges.sheet_id)
     at_bank, at_sheet = np.searchsorted(banks, edges.bank_id), np.searchsorted(sheets, edges.sheet_id)
-    weights = np.zeros((len(banks), len(sheets)))
-    weights[at_bank, at_sheet] = edges.score
-    chosen, margins = solve_with_margins(weights)
-    paired, of_sheet = sum(j >= 0 for j in chosen), np.bincount(at_sheet)
+    g = solver.graph(at_bank, at_sheet, edges.score.to_numpy(), len(banks), len(sheets))
+    found = solver.optimum(g)
+    chosen, margins = solver.chosen(g, found[2]), solver.margins(g, *found)
+    paired, of_sheet = int((chosen >= 0).sum()), np.bincount(at_sheet)
     order = np.argsort(at_bank, kind="stable")
     ends = np.searchsorted(at_bank[order], np.arange(len(banks) + 1))
-    days, paid, rows = edges.days.to_numpy(), edges.paid.to_numpy(), []
-    for i, j in enumerate(chosen):
-        if j < 0:
-            continue
-        options = order[ends[i] : ends[i + 1]]
+    amount, score, confidence, days, kind, known, pix_bank, paid = (edges[c].to_numpy() for c in ("amount", "score", "confidence", "days", "bank_type", "direction_known", "pix_bank", "paid"))
+    rows = []
+    for i in np.flatnonzero(chosen >= 0):
+        j, options = chosen[i], order[ends[i] : ends[i + 1]]
         k = options[at_sheet[options] == j][0]
-        r = edges.iloc[k]
-        same_day = r.days == 0
-        pix = len(banks) == 1 and same_day and r.pix_bank and r.paid == "pix" and (paid[options] == "pix").sum() == 1 and (paid[options] == "transferencia").sum() == len(options) - 1
+        same_day = days[k] == 0
+        pix = len(banks) == 1 and same_day and pix_bank[k] and paid[k] == "pix" and (paid[options] == "pix").sum() == 1 and (paid[options] == "transferencia").sum() == len(options) - 1
         alone = same_day and (len(options) == 1 or pix) and of_sheet[j] == 1
         whole = same_day and len(banks) == len(sheets) == paired and (days[options] == 0).sum() == 1
         margin = int(round(margins[i]))
         ambiguous = margin < config.margin and not whole and not pix
-        limit = config.automatic_investment if r.bank_type == "INVESTMENT" else config.automatic
-        strong = alone or whole or (not 0 < r.days <= config.days and r.score >= limit)
+        limit = config.automatic_investment if kind[k] == "INVESTMENT" else config.automatic
+        strong = alone or whole or (not 0 < days[k] <= config.days and score[k] >= limit)
         structural = "ALONE" if alone else "WHOLE" if whole else None
-        rows.append((r.bank_id, r.sheet_id, int(r.amount), int(r.score), int(r.confidence), int(r.days), margin, bool(ambiguous), structural, bool(r.direction_known and not ambiguous and strong)))
+        rows.append((banks[i], sheets[j], int(amount[k]), int(score[k]), int(confidence[k]), int(days[k]), margin, bool(ambiguous), structural, bool(known[k] and not ambiguous and strong)))
     return rows
 
 
@@ -252,7 +171,7 @@ def _then_none(batches):
 def assignment(edges: DataFrame, config: MatchConfig = CONFIG) -> DataFrame:
     """One row per planned pair. Pairs whose bank and ledger row have no other edge are settled by columns alone; the others by connected component.
 
-    structural: ALONE or WHOLE if the day alone decides. A component is one assignment problem and is held by one task, as a matrix of its bank rows times its ledger and bank rows.
+    structural: ALONE or WHOLE if the day alone decides. A component is one assignment problem and is held by one task, as lists of its edges.
     """
     edges = cut(edges.select(*_EDGE))
     marked = edges.withColumn("of_bank", F.count("*").over(Window.partitionBy("bank_id"))).withColumn("of_sheet", F.count("*").over(Window.partitionBy("sheet_id")))

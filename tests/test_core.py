@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import catalog
 from ledgerloom.functions import text
-from ledgerloom.operators import matching, records
+from ledgerloom.operators import matching, records, solver
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,7 +65,7 @@ def test_solver_against_enumeration():
     for _ in range(150):
         weights = np.array([[draw.choice([0, 0, 55, 60, 75, 80, 100]) for _ in range(draw.randint(1, 4))]] * 1, float)
         weights = np.array([[draw.choice([0, 55, 60, 75, 80, 100]) for _ in range(weights.shape[1])] for _ in range(draw.randint(1, 4))], float)
-        total, chosen = matching.solve(weights)
+        total, chosen = solver.solve(weights)
         used = [c for c in chosen if c >= 0]
         assert total == brute(weights) and len(used) == len(set(used))
 
@@ -81,14 +82,67 @@ def test_margins_against_solving_again():
     for _ in range(200):
         weights = np.array([[draw.choice([0, 0, 55, 60, 75, 80, 100]) for _ in range(draw.randint(1, 5))]] * 1, float)
         weights = np.array([[draw.choice([0, 0, 55, 60, 75, 80, 100]) for _ in range(weights.shape[1])] for _ in range(draw.randint(1, 5))], float)
-        total, chosen = matching.solve(weights)
-        again, margins = matching.solve_with_margins(weights)
+        total, chosen = solver.solve(weights)
+        again, margins = solver.solve_with_margins(weights)
         assert again == chosen
         for i, j in enumerate(chosen):
             if j >= 0:
                 without = weights.copy()
                 without[i, j] = 0
-                assert margins[i] == pytest.approx(total - matching.solve(without)[0])
+                assert margins[i] == pytest.approx(total - solver.solve(without)[0])
+
+
+def test_margins_of_larger_components():
+    draw = random.Random(5)
+    for _ in range(60):
+        n, m, kinds = draw.randint(5, 14), draw.randint(5, 14), draw.choice([[60], [55, 60], list(range(55, 101))])
+        weights = np.array([[draw.choice(kinds) if draw.random() < 0.35 else 0 for _ in range(m)] for _ in range(n)], float)
+        total = solver.solve(weights)[0]
+        pairs, margins = solver.solve_with_margins(weights)
+        assert len({j for j in pairs if j >= 0}) == sum(j >= 0 for j in pairs)
+        for i, j in enumerate(pairs):
+            without = weights.copy()
+            if j >= 0:
+                without[i, j] = 0
+            assert margins[i] == (total - solver.solve(without)[0] if j >= 0 else 0)
+
+
+def test_edges_given_twice_and_edges_without_weight():
+    g = solver.graph(np.array([1, 0, 0, 0]), np.array([0, 0, 0, 1]), np.array([60, 55, 80, 0]), 2, 2)
+    found = solver.optimum(g)
+    assert solver.chosen(g, found[2]).tolist() == [0, -1] and solver.margins(g, *found)[0] == 20
+    nothing = solver.graph(np.array([], int), np.array([], int), np.array([]), 0, 0)
+    assert solver.margins(nothing, *solver.optimum(nothing)).tolist() == []
+
+
+def chain(n, circular=False, score=lambda i, k: 60):
+    """n bank rows of one amount, each fitting a ledger row and the next one."""
+    names = [("b%05d" % i, "s%05d" % ((i + k) % n), score(i, k)) for i in range(n) for k in (0, 1) if circular or i + k < n]
+    return pd.DataFrame([(b, s, 100, w, 90, 1, "EXPENSE", True, False, "pix") for b, s, w in names], columns=matching._EDGE)
+
+
+def test_long_chains_in_bounded_memory():
+    columns = [c.split()[0] for c in matching.ASSIGNED.split(", ")]
+    draw = random.Random(3)
+    cases = {"equal": (chain(20_000), 60, 60), "circle": (chain(20_000, True), 0, 0), "drawn": (chain(20_000, score=lambda i, k: draw.randint(55, 100)), 0, 100)}
+    for name, (edges, least, most) in cases.items():
+        tracemalloc.start()
+        out = pd.DataFrame(matching.assign_component(edges), columns=columns)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert out.sheet_id.is_unique and out.bank_id.is_unique and out.margin.between(least, most).all() and peak < 200 << 20, (name, peak)
+        if name == "drawn":
+            assert out.score.sum() == best_of_chain(edges)
+        else:
+            assert len(out) == 20_000
+
+
+def best_of_chain(edges):
+    """Largest total of edges of which no two neighbours in the chain's order are taken."""
+    before = last = 0
+    for w in edges.sort_values(["bank_id", "sheet_id"]).score:
+        before, last = last, max(last, before + w)
+    return last
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
