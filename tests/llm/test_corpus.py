@@ -309,6 +309,41 @@ def test_long_templates_with_edits(spark):
     assert found == {1: round(share, 6), 3: 1.0} if share >= 0.8 else found == {3: 1.0}
 
 
+def test_bands_find_every_edited_template(spark):
+    """Long templates with words changed, at any place and in any order of their parts, against a plain sliding window."""
+    draw = random.Random(6)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    grams = lambda w: [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    templates = {f"t{n}": [word() for _ in range(n)] for n in (34, 35, 60, 66, 67, 130, 300, 900)}
+    docs = []
+    for i in range(240):
+        said = list(draw.choice(list(templates.values())))
+        if i % 3 == 0:
+            half = len(said) // 2
+            said = said[half:] + said[:half]
+        said = [w if draw.random() > (0, 0.02, 0.05)[i % 3] else word() for w in said]
+        docs.append((i, [*(word() for _ in range(draw.randint(0, 300))), *said, *(word() for _ in range(draw.randint(0, 300)))]))
+    want = set()
+    for i, said in docs:
+        said = grams(said)
+        for k, t in templates.items():
+            t = set(grams(t))
+            best = max((len(t.intersection(said[j : j + len(t)])) for j in range(len(said)) if said[j] in t), default=0) / len(t)
+            if best >= 0.8:
+                want.add((i, k, int(best * 1e6 + 0.5) / 1e6))  # halves go up
+    given = lambda rows, schema: spark.createDataFrame([(k, " ".join(v)) for k, v in rows], schema)
+    found = license_scan.scan(given(docs, "doc_id long, text string"), given(templates.items(), "license string, text string"))
+    assert {(r.doc_id, r.license, r.containment) for r in found.collect()} == want and len(want) > 150 and len({k for _, k, _ in want}) == len(templates)
+
+
+def test_full_texts_and_clashing_columns(spark):
+    full = license_scan.TEMPLATES["mit-full"]
+    docs = spark.createDataFrame([(1, "/* " + full.replace(" ", "\n * ") + " */", 1, "k", 0), (2, None, 2, "k", 0), (3, "", 3, "k", 0)], "doc_id long, text string, key long, license string, at int")
+    assert {(r.doc_id, r.license) for r in license_scan.scan(docs).collect()} == {(1, "mit-full"), (1, "mit-text")}
+    keys = license_scan.candidates(docs, license_scan.known_templates(license_scan.template_table(spark))).filter("license = 'mit-full'").groupBy("id").agg(F.max(F.size("piece")).alias("w")).collect()
+    assert [r.id for r in keys] == [1] and keys[0].w > license_scan.BLOCK
+
+
 def test_single_shingle_templates_are_found_everywhere(spark):
     draw = random.Random(4)
     word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
