@@ -4,7 +4,7 @@ import datetime
 
 import numpy as np
 
-from ledgerloom.operators import matching, solver
+from ledgerloom.operators import matching, reconciliation, solver
 
 DAY = datetime.date(2024, 1, 5)
 
@@ -44,3 +44,16 @@ def test_copies_make_one_edge_and_every_pair(spark):
         rows = found.collect()
         assert {r.bank_id for r in rows} == {f"b{k:04}" for k in range(600)} and len({r.sheet_id for r in rows}) == len(rows) == 600
         assert {(r.margin, r.ambiguous, r.matched) for r in rows} == {(0, True, False)}
+
+
+def test_reconciling_copies_settles_them_by_class_and_lists_every_pair(spark):
+    bank, ledger = _rows(spark, 30, 20)
+    ledger = ledger.selectExpr("*", "0L as row_idx", "'DEBIT' as direction", "id as description")
+    refused = spark.createDataFrame([("b0000", f"s{k:04}", f"k{k}") for k in range(20)], reconciliation.SCHEMAS["rejected"])
+    out = reconciliation.reconcile(bank, ledger, reconciliation.decided(spark, rejected=refused))
+    assert "candidates" not in out.settled.columns
+    rows = {r.bank_id: r for r in out.items.collect()}
+    assert rows["b0000"].status == "MISSING" and {r.status for b, r in rows.items() if b != "b0000"} == {"REVIEW"}
+    assert all(len(r.candidates) == 20 for b, r in rows.items() if b != "b0000")
+    assert sum(r.review_reason == "ASSIGNMENT_CONFLICT" for r in rows.values()) == 9
+    assert out.trace.filter("disposition = 'REJECTED_BY_DECISION'").count() == 20 and out.trace.count() == 600
