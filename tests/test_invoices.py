@@ -78,6 +78,17 @@ def test_groups_confirmations_and_refusals(spark):
     assert got["d"] == ("CARD_MATCHED", "r3", None) and got["c"] == ("CARD_MISSING", None, None) and got["e"][0] == "CARD_MISSING" and got["a"][0] == got["b"][0] == "CARD_REVIEW"
 
 
+def test_pairs_of_a_statement_and_amount_are_dealt_out_once(spark):
+    p, c = tables(spark, [("a", "s", "padaria sul", 5), ("b", "s", "padaria norte", 5), ("c", "s", "posto", 5), ("d", None, "outra", 9)], [("r1", "2026-02-10", "x", 5), ("r2", "2026-02-10", "y", 5), ("r3", "2026-01-01", "y", 5), ("r4", "2026-02-10", "z", 9)])
+    pairs = cards.plausible_rows(p, c)
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    found = cards.candidates(p, c, pairs)
+    assert exchanges(found) == 1 and exchanges(cards.statement_candidates(p, c, pairs=pairs)[0]) <= 3
+    assert {(r.purchase_id, r.sheet_id) for r in found.collect()} == {(x, r) for x in "abc" for r in ("r1", "r2")} | {("d", "r4")}
+    # "c" is like neither of the others and wants their rows too, so they are no group.
+    assert {r.purchase_id: r.status for r in cards.purchase_states(p, c, pairs=pairs).collect() if r.statement} == dict.fromkeys("abc", "CARD_REVIEW")
+
+
 def test_rows_go_to_earlier_invoices(spark):
     states = spark.createDataFrame([("a", "late", "CARD_MATCHED", "r1", None, 1), ("b", "early", "CARD_MATCHED", "r1", None, 1), ("c", "late", "CARD_GROUP_MATCHED", None, ["r2", "r3"], 2), ("d", "last", "CARD_MATCHED", "r3", None, 1), ("e", "last", "CARD_MISSING", None, None, 0), ("f", "last", "CARD_MATCHED", "r1", None, 1)], "purchase_id string, statement string, status string, sheet_id string, sheet_ids array<string>, candidates long")
     due = spark.createDataFrame([("early", "2026-01-01"), ("late", "2026-02-01"), ("last", "2026-03-01")], "statement string, due_date string")
