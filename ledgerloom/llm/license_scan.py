@@ -5,7 +5,7 @@ of the template's shingles within its own length of the document is counted.
 
 Windows have three blocks of B shingles for templates of more than B and up to 2 B, B = BLOCK times a power of two, and start at every block, so each stretch of a template's length lies wholly within one. A window
 that holds four fifths of a template thus has a Jaccard similarity of at least 0.8 B / (3 B + 0.2 B) = 0.25 to it, in whatever order, and none of BANDS bands of one value meets with a probability of at
-most 0.75 ** 48 = 1e-6. Templates of up to BLOCK shingles are too short for such a bound; each of their shingles is a key of its own.
+most 0.75 ** 48 = 1e-6, though two bands share each hash function. Templates of up to BLOCK shingles are too short for such a bound; each of their shingles is a key of its own.
 """
 
 from __future__ import annotations
@@ -87,13 +87,18 @@ def _let(value: Column, use) -> Column:
 
 
 def _minima(h: Column) -> Column:
-    """For each band the least of the hashes when they are hashed again with its number."""
-    return F.transform(F.array(*map(F.lit, range(BANDS))), lambda band: F.array_min(F.transform(h, lambda x: F.xxhash64(x, band))))
+    """A value for each band; two bands share a hash function. One takes the least of the hashes when they are hashed again, the other the complement of the greatest, so lesser values win in both.
+
+    The first and the last of a random order are two draws without replacement, so the chance that both miss the shared shingles is no more than that of two draws of their own.
+    """
+    ends = lambda again: F.array(F.array_min(again), F.bitwise_not(F.array_max(again)))
+    return F.flatten(F.transform(F.array(*map(F.lit, range(BANDS // 2))), lambda band: _let(F.transform(h, lambda x: F.xxhash64(x, band)), ends)))
 
 
-def _band_keys(minima: Column, size: Column | int) -> Column:
-    """One key per band: the band's number and least value, and the size of the window."""
-    return F.transform(minima, lambda least, band: F.xxhash64(least, band, size if isinstance(size, Column) else F.lit(size)))
+def _band_keys(minima: Column, size: Column | int, at: Column | None = None) -> Column:
+    """One key per band: the band's number and least value, and the size of the window; with the window's place, where it has one."""
+    key = lambda least, band: F.xxhash64(least, band, size if isinstance(size, Column) else F.lit(size))
+    return F.transform(minima, key if at is None else lambda least, band: F.struct(at.alias("at"), key(least, band).alias("key")))
 
 
 def _indexes(count: Column) -> Column:
@@ -113,7 +118,7 @@ def band_keys(rows: DataFrame, longest: int) -> DataFrame:
     while size < longest:
         block = lambda i: F.get("blocks", i)
         window = lambda i: _lesser(_lesser(block(i), block(i + 1)), block(i + 2))
-        found = F.flatten(F.transform(_indexes(F.size("blocks")), lambda i: F.transform(_band_keys(window(i), size), lambda key: F.struct((i * size).cast("int").alias("at"), key.alias("key")))))  # noqa: B023
+        found = F.flatten(F.transform(_indexes(F.size("blocks")), lambda i: _band_keys(window(i), size, (i * size).cast("int"))))  # noqa: B023
         rows = rows.withColumn("keys", F.concat("keys", found))
         rows = rows.withColumn("blocks", F.transform(_indexes(F.ceil(F.size("blocks") / 2).cast("int")), lambda i: _lesser(block(2 * i), block(2 * i + 1))))  # noqa: B023
         size *= 2

@@ -280,6 +280,17 @@ def test_pages_are_extracted_whole(spark):
     assert got[1] == ("", 0) and got[None] == ("a\nb", 3) and got[2][0].count("Some text, here.") == 3000 and html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_two_license_bands_share_a_hash_function(spark):
+    rows = spark.range(200).select(F.sequence("id", F.col("id") + 99).alias("h")).select("h", license_scan._minima(F.col("h")).alias("m"), F.transform("h", lambda x: F.xxhash64(x, F.lit(0))).alias("again")).collect()
+    assert all(len(r.m) == license_scan.BANDS and r.m[0] == min(r.again) and r.m[1] == ~max(r.again) for r in rows)
+    # Windows of 100 of which 40 are shared (a similarity of 0.25) meet in one band of four, the second of a pair as well as the first.
+    pairs = [(x.m, y.m) for x, y in zip(rows, rows[60:])]
+    for first in (0, 1):
+        met = [a == b for x, y in pairs for a, b in zip(x[first::2], y[first::2])]
+        assert 0.2 < sum(met) / len(met) < 0.3
+    assert all(set(x) & set(y) for x, y in pairs)
+
+
 def test_licenses_against_search(spark, odd):
     """Every document and template by a plain sliding window over word triples."""
     words = lambda t: re.findall(r"[^\W_]+", t.lower())
