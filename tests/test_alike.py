@@ -4,7 +4,7 @@ import datetime
 
 import numpy as np
 
-from ledgerloom.operators import matching, reconciliation, solver
+from ledgerloom.operators import guard, matching, reconciliation, solver
 
 DAY = datetime.date(2024, 1, 5)
 
@@ -57,3 +57,11 @@ def test_reconciling_copies_settles_them_by_class_and_lists_every_pair(spark):
     assert all(len(r.candidates) == 20 for b, r in rows.items() if b != "b0000")
     assert sum(r.review_reason == "ASSIGNMENT_CONFLICT" for r in rows.values()) == 9
     assert out.trace.filter("disposition = 'REJECTED_BY_DECISION'").count() == 20 and out.trace.count() == 600
+
+
+def test_guard_tells_other_holders_without_listing_them(spark):
+    bank, ledger = _rows(spark, 2, 3)
+    taken = spark.createDataFrame([("s0000", "b0000"), ("s0001", "b0000"), ("s0001", "b0001"), ("s0002", None)], "sheet_id string, bank_id string")
+    out = guard.bank_guard(bank.selectExpr("id as bank_id"), bank, ledger, taken=taken)
+    assert "collect_set" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.bank_id: (r.candidates, r.free, r.best_id) for r in out.collect()} == {"b0000": (3, 2, "s0000"), "b0001": (3, 1, "s0002")}
