@@ -3,6 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom import catalog_invoices
 from ledgerloom.operators import cards, records
 from ledgerloom.sources import invoices
 
@@ -114,3 +115,16 @@ def test_balances(spark):
     left = spark.createDataFrame([("s", 0, "2026-01-01", 0, 0, 110)], schema)
     got = {r.statement: (r.initial, r.reported, r.calculated, r.difference, r.balanced) for r in records.balance_summary(spark.createDataFrame(rows, schema), left).collect()}
     assert got == {"s": (110, 104, 104, 0, True), "t": (None, None, None, None, None)}
+
+
+def test_decisions_are_told_beside_pairs_that_are_shuffled_once(spark):
+    bought = cards.cut(catalog_invoices._group_purchases(spark, "/root/testdata/sf0.001"))
+    assert "Exchange" not in catalog_invoices._group_costs(spark, "/root/testdata/sf0.001", bought)._jdf.queryExecution().executedPlan().toString()
+    p, c = tables(spark, [("a", "s", "x", 5), ("b", "s", "x", 5), ("c", None, "x", 5), ("d", "s", "x", 9)], [("r1", "2026-02-10", "x", 5), ("r2", "2026-02-10", "x", 5)])
+    made = lambda *rows: spark.createDataFrame(list(rows), "purchase_id string, sheet_id string, decision string")
+    args = made(("d", "", "")).select("purchase_id"), made(("a", "r2", "k")), made(("b", "r1", "z"), ("b", "r1", "y"), ("c", "r1", "w"), ("d", "r1", "v")), made(("a", "r1", "o2"), ("a", "r1", "o1"), ("b", "r1", "o3"))
+    pure, after, refused, owned = cards.pure_and_decided(p, c, *args)
+    assert {r.purchase_id: r.status for r in pure.collect()} == {"a": "CARD_GROUP_MATCHED", "b": "CARD_GROUP_MATCHED", "c": "CARD_REVIEW", "d": "CARD_MISSING"}
+    assert {r.purchase_id: (r.status, r.held) for r in after.collect()} == {"a": ("CARD_MATCHED", "r2"), "b": ("CARD_MISSING", None), "c": ("CARD_MATCHED", None), "d": ("CARD_REFUNDED", None)}
+    assert {tuple(r) for r in refused.select("purchase_id", "decision").collect()} == {("b", "y"), ("c", "w")}
+    assert {tuple(r) for r in owned.select("purchase_id", "owner", "target", "decision").collect()} == {("a", "b", "r1", "o3"), ("b", "a", "r1", "o1"), ("c", "a", "r1", "o1")}
