@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ledgerloom import catalog
 from ledgerloom.functions import text
 from ledgerloom.functions.similarity import similarity
-from ledgerloom.operators import groups
+from ledgerloom.operators import groups, links
+from ledgerloom.plans.shared import cut
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,3 +46,14 @@ def test_compositions_add_up(spark):
             sums.setdefault(r.bill_id, set()).add(sum(cents[i] for i in r.ids.split(",")))
     assert sums and all(len(s) == 1 for s in sums.values()) and {r.status for r in out} <= {"REVIEW", "NO_MATCH", "LIMITED"}
     assert len(out) >= spark.read.parquet(f"{SF}/orders.parquet").select("o_custkey").distinct().count()
+
+
+def test_things_wanted_by_single_wishes_need_no_rounds(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(links, "cut", lambda df: kept.append(1) or cut(df))
+    schema = "claim string, place int, id string, fixed boolean"
+    held = lambda rows: {r.claim for r in links.first_claims(spark.createDataFrame(rows, schema)).collect()}
+    assert held([("a", 1, "x", False), ("b", 2, "x", False), ("c", 2, "x", True), ("d", 3, "y", False), ("e", 3, "y", False), ("f", 4, None, False)]) == {"a", "c", "d", "e"}
+    assert len(kept) == 1
+    # "b" wants two things, so "x" and "y" take rounds: "b" falls by "a" and leaves "y" to "c".
+    assert held([("a", 1, "x", False), ("b", 2, "x", False), ("b", 2, "y", False), ("c", 3, "y", False), ("d", 9, "z", False)]) == {"a", "c", "d"}
