@@ -1,3 +1,4 @@
+import datetime
 import itertools
 import random
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom import catalog
 from ledgerloom.functions import text
 from ledgerloom.functions.similarity import similarity
-from ledgerloom.operators import groups, links
+from ledgerloom.operators import cards, groups, links
 from ledgerloom.plans.shared import cut
 
 SF = "/root/testdata/sf0.001"
@@ -57,3 +58,22 @@ def test_things_wanted_by_single_wishes_need_no_rounds(spark, monkeypatch):
     assert len(kept) == 1
     # "b" wants two things, so "x" and "y" take rounds: "b" falls by "a" and leaves "y" to "c".
     assert held([("a", 1, "x", False), ("b", 2, "x", False), ("b", 2, "y", False), ("c", 3, "y", False), ("d", 9, "z", False)]) == {"a", "c", "d"}
+
+
+def test_alike_invoices_settle_as_one_by_one(spark):
+    rng = random.Random(5)
+    day = lambda: datetime.date(2026, 1, 1) + datetime.timedelta(rng.randrange(25))
+    owed = [(k, day(), rng.randrange(6)) for k in range(160)] + [(1000, None, 3)]
+    paid = [(k, day(), rng.randrange(6), "CARD_PAYMENT" if k % 9 else "EXPENSE") for k in range(140)]
+    options = {s: [(abs((d - due).days), abs(a - total), d, p) for p, d, a, kind in paid if kind == "CARD_PAYMENT" and due and abs((d - due).days) <= 7 and abs(a - total) <= 1] for s, due, total in owed}
+    want, used = {}, set()
+    for s, due, _ in sorted((r for r in owed if options[r[0]]), key=lambda r: (len(options[r[0]]), r[1], str(r[0]))):
+        free = [o for o in sorted(options[s]) if o[3] not in used]
+        if free:
+            want[s] = free[0][3]
+            used.add(free[0][3])
+    invoices, bank = spark.createDataFrame(owed, "statement long, due_date date, total long"), spark.createDataFrame(paid, "id long, date date, amount long, type string")
+    assert {r.statement: r.bank_id for r in cards.settled(invoices, bank).collect()} == want
+    # Copies of one invoice and one payment are one class each: no pair of rows is formed.
+    many = spark.range(3000).selectExpr("id as statement", "date'2026-01-05' as due_date", "7L as total"), spark.range(2000).selectExpr("id", "date'2026-01-05' as date", "7L as amount", "'CARD_PAYMENT' as type")
+    assert cards.settled(*many).count() == 2000
