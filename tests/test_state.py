@@ -87,3 +87,14 @@ def test_signatures_see_matter_only(spark):
     bare = audit.dismissed(all_, saved.withColumn("signature", F.lit(None).cast(saved.schema["signature"].dataType))).orderBy("n").collect()
     assert [r.visible for r in bare][: 1 + len(same) + len(worse)] == [False] * (1 + len(same)) + [True] + [False] * (len(worse) - 1)
     assert len({r.key for r in all_.collect()}) == 1 + len(elsewhere) and len(list(itertools.chain(same, worse))) == 14
+
+
+def test_safe_invalidations_write_only_claims_that_matter(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(claims, "cut", lambda df: written.append(df.count()) or df, raising=False)
+    held = [("r", "a", "DECISION", "d"), ("r", "b", "CURRENT", None), ("q", "a", "CURRENT", None), *((f"x{k}", s, "CURRENT", None) for k in range(20) for s in "ab")]
+    table = spark.createDataFrame(held, "sheet_id string, subject string, source string, decision string")
+    valid = spark.createDataFrame([("d", "VALID"), ("d", "VALID")], "decision string, status string")
+    out = claims.safe_invalidations(table, valid, table.select("subject", "sheet_id"))
+    assert [tuple(r) for r in out.select("sheet_id", "decision", "obsolete", "winner", "separate_id", "decision_status").collect()] == [("r", "d", "a", "b", "q", "VALID")]
+    assert written == [3]
