@@ -65,3 +65,15 @@ def test_guard_tells_other_holders_without_listing_them(spark):
     out = guard.bank_guard(bank.selectExpr("id as bank_id"), bank, ledger, taken=taken)
     assert "collect_set" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert {r.bank_id: (r.candidates, r.free, r.best_id) for r in out.collect()} == {"b0000": (3, 2, "s0000"), "b0001": (3, 1, "s0002")}
+
+
+def test_refunds_of_one_day_and_amount_are_listed_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(matching, "cut", lambda df: written.append(df.count()) or df)
+    schema = "id string, date date, amount long, direction string, type string, original_description string"
+    later = DAY + datetime.timedelta(2)
+    debits = [(f"d{k}", DAY, 100, "DEBIT", "EXPENSE", "pix enviado") for k in range(4)] + [("e", DAY, 70, "DEBIT", "EXPENSE", "pix enviado")]
+    refunds = [(f"r{k}", later, 100, "CREDIT", "REFUND", "") for k in range(5)] + [("q", later, 60, "CREDIT", "REFUND", "")]
+    rows = {r.refund_id: (r.status, r.original_ids, r.gross, r.net) for r in matching.refund_groups(spark.createDataFrame(debits + refunds, schema)).collect()}
+    assert rows == {**{f"r{k}": ("REVIEW", ["d0", "d1", "d2", "d3"], None, None) for k in range(5)}, "q": ("PARTIAL", ["e"], 70, 10)}
+    assert written == [1]
