@@ -68,3 +68,22 @@ def test_refresh_touches_changed_parts_alone(spark, tmp_path):
     plan = stored.filter(stored.part.isin(touched))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(part" in plan or "PartitionFilters: [part" in plan
     assert refresh.refresh(kept, stored, stored, one.limit(0), parts=8) == []
+
+
+def test_copies_are_kept_once(spark, tmp_path):
+    """Sixty alike rows on either side have 3,600 pairs; one edge and the rows are stored, and a row that goes leaves the other pairs."""
+    from datetime import date
+
+    day = date(2026, 1, 5)
+    banks = [(f"b{n}", day, 100, "DEBIT", True, "EXPENSE", "pix enviado", None, "Pix") for n in range(60)]
+    sheets = [(f"s{n}", n, day, 100, "DEBIT", "EXPENSE", "pix enviado", "pix enviado", "Pix") for n in range(60)]
+    kept = refresh.Kept.at(spark, str(tmp_path / "kept"))
+    refresh.build(kept, spark.createDataFrame(banks, BANK), spark.createDataFrame(sheets, LEDGER), parts=2)
+    stored = lambda: spark.read.parquet(*(f"{tmp_path}/kept/edges/{v}" for v in kept.edges.slots(kept.edges.version()).values())).count()
+    assert stored() == 121 and kept.edges.read().count() == 3600 and kept.pairs.read().count() == 60
+    for name, rows, schema in (("b", banks[1:], BANK), ("s", sheets, LEDGER)):
+        refresh.by_amount(spark.createDataFrame(rows, schema), str(tmp_path / name), parts=2)
+    now = [spark.read.parquet(str(tmp_path / name)) for name in "bs"]
+    refresh.refresh(kept, *now, spark.createDataFrame([("BANK", "b0", 100)], "side string, id string, amount long"), parts=2)
+    assert stored() == 120 and kept.edges.read().count() == 3540 and kept.pairs.read().count() == 59
+    assert {r.component for r in kept.edges.read().select("component").distinct().collect()} == {"b1"}
