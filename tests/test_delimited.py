@@ -127,3 +127,11 @@ def test_more_text_functions(spark):
     assert [one(text.is_timestamp(F.lit(v))) for v in ("2026-01-01T00:00:00Z", "2026-02-30T00:00:00Z", "2026-01-01", "2026-01-01T00:00:00+03:00")] == [True, False, False, True]
     assert one(text.installment_similarity(F.lit("mercado livre"), F.lit("merc livre sul"))) == pytest.approx(0.92)
     assert one(text.installment_similarity(F.lit("a"), F.lit(None).cast("string"))) == 0.0
+
+
+def test_companions_are_gathered_in_one_reading(spark):
+    """The lines are parsed and shuffled once: a movement's companions come by a window, not by a join with a second reading."""
+    content = "Extrato;;;;;\nData;Histórico;Docto.;Crédito (R$);Débito (R$);Saldo (R$);\n05/01/2026;Pix enviado;1;;10,00;90,00;\n;Des: Ana Lima;;;;;\n;Rem: Rui;;;;;\n06/01/2026;Compra;2;;5,00;85,00;\n"
+    out = delimited.companions(delimited.sections(delimited.rows(spark.createDataFrame([("f", content)], "file string, content string"))))
+    assert [(r.description, r.added) for r in out.orderBy("row_idx").collect()] == [("Pix enviado", "Des: Ana Lima Rem: Rui"), ("Compra", None)]
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
