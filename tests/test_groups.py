@@ -77,3 +77,13 @@ def test_alike_invoices_settle_as_one_by_one(spark):
     # Copies of one invoice and one payment are one class each: no pair of rows is formed.
     many = spark.range(3000).selectExpr("id as statement", "date'2026-01-05' as due_date", "7L as total"), spark.range(2000).selectExpr("id", "date'2026-01-05' as date", "7L as amount", "'CARD_PAYMENT' as type")
     assert cards.settled(*many).count() == 2000
+
+
+def test_bills_are_searched_many_at_a_time(spark):
+    day = datetime.date(2026, 1, 31)
+    bills = spark.createDataFrame([(f"b{n}", n, day, 30 + n) for n in range(3)], "bill_id string, account int, date date, amount long")
+    costs = spark.createDataFrame([(f"c{n}-{c}", n, datetime.date(2026, 1, c), c + (c == 20) * n) for n in range(3) for c in (10, 20)], "id string, account int, date date, amount long")
+    out = groups.card_compositions(bills, costs)
+    assert [(r.bill_id, r.status, r.candidates, r.ids) for r in out.orderBy("bill_id").collect()] == [(f"b{n}", "REVIEW", 2, [f"c{n}-10", f"c{n}-20"]) for n in range(3)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
