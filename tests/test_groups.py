@@ -38,6 +38,13 @@ def test_duplicates_keep_to_their_anchor(spark):
     assert [(r.anchor_id, r.ids) for r in groups.ledger_duplicates(df).collect()] == [("r1", ["r1", "r2"])]
 
 
+def test_duplicates_of_a_repeated_id_keep_to_their_text(spark):
+    rows = [("r1", 1, "padaria central"), ("r2", 2, "padaria central"), ("r1", 1, "outra coisa"), ("r3", 3, "outra coisa"), ("r4", 4, "posto"), ("r4", 4, "farmacia")]
+    df = spark.createDataFrame(rows, "id string, row_idx int, description string").select("*", F.lit("2026-01-01").cast("date").alias("date"), F.lit(5).cast("long").alias("amount"))
+    assert sorted((r.anchor_id, r.ids) for r in groups.ledger_duplicates(df).collect()) == [("r1", ["r1", "r2"]), ("r1", ["r1", "r3"])]
+    assert sorted(r.id for r in groups.duplicate_members(df).collect()) == ["r1", "r1", "r2", "r3"]
+
+
 def test_compositions_add_up(spark):
     out = catalog.card_compositions(spark, SF).collect()
     cents = {str(r.o_orderkey): int(r.o_totalprice * 100 + 0.5) for r in spark.read.parquet(f"{SF}/orders.parquet").collect()}
