@@ -77,3 +77,40 @@ def test_refunds_of_one_day_and_amount_are_listed_once(spark, monkeypatch):
     rows = {r.refund_id: (r.status, r.original_ids, r.gross, r.net) for r in matching.refund_groups(spark.createDataFrame(debits + refunds, schema)).collect()}
     assert rows == {**{f"r{k}": ("REVIEW", ["d0", "d1", "d2", "d3"], None, None) for k in range(5)}, "q": ("PARTIAL", ["e"], 70, 10)}
     assert written == [1]
+
+
+def test_refused_groups_equal_their_pairs_and_settling_forms_no_pairs(spark, monkeypatch):
+    bank, ledger = _rows(spark, 30, 20)
+    ledger = ledger.selectExpr("*", "0L as row_idx", "'DEBIT' as direction", "id as description")
+    group = lambda rows, key: rows.selectExpr(f"id as {key}_id", f"cast(substr(id, 2) as long) % 3 as {key}_group")
+    refused = spark.createDataFrame([(0, 0), (0, 1), (0, 2), (1, 1)], reconciliation.SCHEMAS["refused_groups"])
+    by_group = reconciliation.decided(spark, bank_groups=group(bank, "bank"), sheet_groups=group(ledger, "sheet"), refused_groups=refused)
+    pairs = group(bank, "bank").join(refused, "bank_group").join(group(ledger, "sheet"), "sheet_group").selectExpr("bank_id", "sheet_id", "concat_ws('/', bank_id, sheet_id) as decision_key")
+    formed, cut = [], reconciliation.cut
+
+    def counted(df):
+        kept = cut(df)
+        formed.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(reconciliation, "cut", counted)
+    one = reconciliation.reconcile(bank, ledger, by_group)
+    assert max(formed) == 30
+    monkeypatch.undo()
+    other = reconciliation.reconcile(bank, ledger, reconciliation.decided(spark, rejected=pairs))
+    # Ledger rows of two groups may be refused for the same bank rows, so equal optima may fall otherwise.
+    told = lambda out: (sorted((r.bank_id, r.status, [c.sheet_id for c in r.candidates or []]) for r in out.items.collect()), sorted((r.bank_id, r.sheet_id, r.decision_key or "") for r in out.trace.collect()), {(r.bank_id, r.disposition) for r in out.answers.collect()}, out.unmatched.count())
+    assert told(one) == told(other)
+    assert one.trace.count() == 600 and one.trace.filter("disposition = 'REJECTED_BY_DECISION'").count() == pairs.count() == 270
+    assert {r.status for r in one.items.collect() if int(r.bank_id[1:]) % 3 == 0} == {"MISSING"} and {int(r.bank_id[1:]) % 3 for r in one.answers.collect()} == {1, 2}
+
+
+def test_roles_of_refunds_need_no_lists(spark):
+    schema = "id string, date date, amount long, direction string, type string, original_description string"
+    later = DAY + datetime.timedelta(2)
+    debits = [(f"d{n}-{k}", DAY, n, "DEBIT", "EXPENSE", "pix enviado") for n, copies in ((100, 3), (200, 1), (300, 1), (70, 1)) for k in range(copies)]
+    refunds = [(f"r{n}-{k}", later, n, "CREDIT", "REFUND", "") for n, copies in ((100, 1), (200, 1), (300, 2), (60, 1)) for k in range(copies)]
+    cases = matching.refund_cases(spark.createDataFrame(debits + refunds, schema))
+    assert "collect_list" not in matching.refund_roles(cases)._jdf.queryExecution().optimizedPlan().toString()
+    want = {**{f"d100-{k}": "AMBIGUOUS" for k in range(3)}, "r100-0": "OTHER_CREDIT", "d200-0": "ORIGINAL", "r200-0": "CREDIT", "d300-0": "AMBIGUOUS", "r300-0": "OTHER_CREDIT", "r300-1": "OTHER_CREDIT", "r60-0": "OTHER_CREDIT"}
+    assert {r.bank_id: r.role for r in matching.refund_roles(cases).collect()} == want
