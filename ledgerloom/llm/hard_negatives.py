@@ -183,7 +183,8 @@ def hard_negatives(
         """Partial tiles: anchor blocks copied to their tiles' columns, row blocks to their rows."""
         a = a.withColumn("j", F.explode(js)).drop("is_first", "is_parts")
         b = b.filter("is_parts > 0").withColumn("i", F.explode(is_)).drop("is_first", "is_parts")
-        return a.join(b, ["i", "j", "chunk"]).mapInArrow(_multiply(chunk), TILE)
+        # Spark doesn't count the copies in the size of either side; without the hint it would gather all of a side that is small before it is copied in the driver, to broadcast it.
+        return a.hint("merge").join(b.hint("merge"), ["i", "j", "chunk"]).mapInArrow(_multiply(chunk), TILE)
 
     own = F.sequence("is_first", F.col("is_first") + F.col("is_parts") - 1)
     best = Window.partitionBy("i", "row").orderBy(F.desc("score"), "id")

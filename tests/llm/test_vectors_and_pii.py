@@ -47,6 +47,16 @@ def test_hard_negatives_against_plain_search(spark, sizes):
         assert want and got == want
 
 
+def test_copies_of_blocks_are_never_gathered_in_the_driver(spark, monkeypatch):
+    from ledgerloom.llm import hard_negatives as module
+
+    plans, keep = [], module.Scratch.keep
+    monkeypatch.setattr(module.Scratch, "keep", lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(self, df))
+    module.hard_negatives(spark.createDataFrame(vectors(60, 3), VECTORS), 5)
+    joins = [line for plan in plans for line in plan.splitlines() if re.search(r"Join \[i#\d+L, j#\d+L, chunk#", line)]
+    assert len(joins) == 2 and all("SortMergeJoin" in line for line in joins)
+
+
 def test_hard_negatives_odd_cases(spark):
     empty = spark.createDataFrame([], VECTORS)
     assert hard_negatives(empty).count() == 0
