@@ -1,6 +1,7 @@
 import datetime
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +87,14 @@ def test_alike_invoices_settle_as_one_by_one(spark):
     assert cards.settled(*many).count() == 2000
 
 
+def test_parts_of_invoices_are_settled_many_at_a_time(spark):
+    apart = spark.range(400).selectExpr("id", "date_add(date'2026-01-05', cast(id * 20 as int)) as day")
+    out = cards.settled(apart.selectExpr("id as statement", "day as due_date", "7L as total"), apart.selectExpr("id", "day as date", "7L as amount", "'CARD_PAYMENT' as type"))
+    assert out.filter("statement = bank_id").count() == out.count() == 400
+    keys = re.search(r"FlatMapCoGroupsInPandas \[([a-z_]+)#", out._jdf.queryExecution().executedPlan().toString())
+    assert keys and keys[1] == "lot"
+
+
 def test_bills_are_searched_many_at_a_time(spark):
     day = datetime.date(2026, 1, 31)
     bills = spark.createDataFrame([(f"b{n}", n, day, 30 + n) for n in range(3)], "bill_id string, account int, date date, amount long")
