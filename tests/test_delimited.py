@@ -1,3 +1,4 @@
+import random
 from datetime import date
 
 import pytest
@@ -47,6 +48,18 @@ def test_fingerprint_against_brute_force(spark):
     assert got == [brute_fingerprint(a, b) for a, b in values]
 
 
+def test_fingerprint_of_odd_texts_makes_one_list_of_units(spark):
+    rng = random.Random(3)
+    values = [(k, "".join(rng.choice("ab \u00e9\u20ac\U0001f600\U0010ffff\uffff\x00\t") for _ in range(k % 40)), rng.choice((None, "", " ", "\U0001f600"))) for k in range(120)]
+    made = spark.createDataFrame(values, "i int, a string, b string").select("i", "a", "b", fingerprint(F.col("a"), F.col("b")).alias("f"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    # Characters are neither filtered one by one nor wrapped with their place.
+    assert "filter(" not in plan.lower() and "named_struct" not in plan
+    plain = lambda x: x.strip(" \t") if x else x
+    assert all(r.f == brute_fingerprint(plain(r.a), plain(r.b)) for r in made.collect())
+
+
+
 def test_identities(spark):
     row = spark.range(1).select(
         card_identities(F.array(F.lit("s"), F.lit(None), F.lit("s")), F.array(F.lit("2026-01-01"), F.lit(None)), F.lit("9"), F.lit("shop")).alias("cards"),
