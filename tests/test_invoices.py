@@ -41,6 +41,26 @@ def test_lines_are_read_once_for_all_results(spark):
     assert not any("Window" in df._jdf.queryExecution().executedPlan().toString() for df in (out.statements, out.rows, out.adjustments, out.subtotals))
 
 
+MOBILE = [
+    ["Total da fatura Vencimento", "R$ 30,00 12/01/2026", "Saldo anterior 5,00", "Créditos/Pagamentos 5,00", "Compras/Débitos 30,00"],
+    ["Lançamentos", "Numero do Cartao 1234 XXXX XXXX 5678", "Data | Histórico de Lançamentos | Cidade | R$", "20/12 | PAGTO POR DEB EM C/C | | 5,00-", "21/12 | LOJA A (1/3) | RECIFE | 10,00", "05/01 | LOJA B | OLINDA | 2,00-", None, "99/99 | SEM DIA | X | 1,00",
+     "Total para FULANO", "8,00", "9,00", "Numero do Cartao 1234 XXXX XXXX 9999", "03/01 | Saldo anterior | X | 4,00", "04/01 | IOF | | 1,00", "06/01 20,00", "06/01 LOJA C 22,00", "Total para BELTRANO 22,00", "Total da fatura em real 30,00", "Limites", "01/01 | FORA | X | 1,00"],
+]
+
+
+def test_rows_and_subtotals_come_from_one_pass_over_the_lines(spark, monkeypatch):
+    passes, keep = [], invoices.cut
+    monkeypatch.setattr(invoices, "cut", lambda df: passes.append("Window" in df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    out = invoices.parse(spark.createDataFrame([("m", MOBILE), ("one", [ONE_CARD]), ("two", [TWO_CARDS]), ("null", None)], "file string, pages array<array<string>>"))
+    assert sum(passes) == 1
+    assert sorted((r.file, r.card[-4:], r.amount) for r in out.subtotals.collect()) == [("m", "5678", 800), ("m", "9999", 2200), ("one", "1271", 82767), ("two", "1111", 1000), ("two", "2222", 1000)]
+    rows = [(r.place, r.card[-4:], str(r.date), r.description, r.amount, r.direction, r.number, r.total, r.city) for r in out.rows.filter("file = 'm'").orderBy("place").collect()]
+    assert rows == [
+        (9, "5678", "2025-12-21", "LOJA A", 1000, "DEBIT", 1, 3, "RECIFE"), (10, "5678", "2026-01-05", "LOJA B", 200, "CREDIT", None, None, "OLINDA"), (18, "9999", "2026-01-04", "IOF", 100, "DEBIT", None, None, ""), (20, "9999", "2026-01-06", "LOJA C", 2200, "DEBIT", None, None, ""),
+    ]
+    assert out.statements.filter("file = 'm'").first().previous_payment == 500
+
+
 def test_sums_and_identities(parsed):
     s = {r.file: r for r in parsed["statements"]}
     one = s["one"]
